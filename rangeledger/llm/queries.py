@@ -9,6 +9,37 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) / (q.norm * c.norm) AS score
+      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND q.norm > 0 AND c.norm > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.topk import exact_top_k
+
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+def op2_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.ann import nearest_by_cosine
+
+    return nearest_by_cosine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.mixing import mix_sources
@@ -27,8 +58,8 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_source_mix, op8_feistel_shards)}
+    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op8_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ball_tree_top_k": OP1_SQL, "op2_int8_tiles": OP2_SQL}
