@@ -48,6 +48,13 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.simhash import near_duplicates
+
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, budget=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.sharding import shard_documents
 
@@ -58,7 +65,7 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op8_feistel_shards)}
+    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op8_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
