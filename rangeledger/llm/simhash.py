@@ -72,30 +72,38 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) within a group whose fp differ in at most ``budget`` bits.
 
-    ``fp`` (uint64) must be sorted within sorted ``group``.  All groups' tries are
-    walked at once, one level of bits after the other."""
+    ``fp`` (uint64, distinct in a group) must be sorted within sorted ``group``.
+    All groups' tries are walked at once, one level of bits after the other; a
+    pair of nodes that hold one fingerprint each is settled by all its bits."""
     if not len(fp):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     node = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])]).astype(np.int64)
-    n = int(node[-1]) + 1
-    a = b = np.arange(n)
-    spent = np.zeros(n, dtype=np.int8)
-    for level in range(BITS - 1, -1, -1):
+    a = b = np.arange(node[-1] + 1)
+    spent = np.zeros(len(a), dtype=np.int8)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for level in range(BITS - 1, -2, -1):
+        size = np.bincount(node)
+        start = np.cumsum(size) - size
+        single = (size[a] == 1) & (size[b] == 1)
+        i, j = start[a[single]], start[b[single]]
+        near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+        found.append((np.minimum(i, j)[near], np.maximum(i, j)[near]))
+        a, b, spent = a[~single], b[~single], spent[~single]
+        if not len(a) or level < 0:
+            break
         bit = ((fp >> np.uint64(level)) & np.uint64(1)).astype(np.int64)
         key = node * 2 + bit
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        child = np.full((n, 2), -1, dtype=np.int64)
-        node_next = np.cumsum(new) - 1
-        child[node[new], bit[new]] = node_next[new]
-        twin = a == b
+        child = np.full((len(size), 2), -1, dtype=np.int64)
+        below = np.cumsum(new) - 1
+        child[node[new], bit[new]] = below[new]
+        node, twin = below, a == b
         sides = [(child[a, 0], child[b, 0], spent), (child[a, 1], child[b, 1], spent), (child[a, 0], child[b, 1], spent + 1)]
         sides.append((child[a[~twin], 1], child[b[~twin], 0], spent[~twin] + 1))
         a, b, spent = (np.concatenate(x) for x in zip(*sides, strict=True))
         keep = (a >= 0) & (b >= 0) & (spent <= budget)
-        a, b, spent, node, n = a[keep], b[keep], spent[keep], node_next, int(node_next[-1]) + 1
-    apart = a != b  # leaves are distinct fingerprints of one group
-    first = np.searchsorted(node, np.arange(n))
-    return np.minimum(first[a[apart]], first[b[apart]]), np.maximum(first[a[apart]], first[b[apart]])
+        a, b, spent = a[keep], b[keep], spent[keep]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
