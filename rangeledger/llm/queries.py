@@ -64,8 +64,15 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.quality import fit_quality, score_documents
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return score_documents(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op8_feistel_shards)}
+    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op8_feistel_shards, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
