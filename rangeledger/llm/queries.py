@@ -64,6 +64,12 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.substring import substring_digest
+
+    return substring_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=20)
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.quality import fit_quality, score_documents
 
@@ -72,7 +78,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op8_feistel_shards, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op8_feistel_shards, op9_window_dedup, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
