@@ -55,6 +55,14 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rangeledger.llm.cas import store_and_read
+
+    return store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.sharding import shard_documents
 
@@ -78,7 +86,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op8_feistel_shards, op9_window_dedup, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op6_content_store, op8_feistel_shards, op9_window_dedup, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

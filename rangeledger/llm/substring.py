@@ -24,6 +24,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,35 +42,30 @@ ROWS = 2
 _KEPT_WORDS = 400_000
 
 
-class WordHashes:
-    """128-bit hashes of words, remembered up to a bound."""
+class WordHashes(dict):
+    """Rows in a growing table of words' 128-bit hashes, remembered up to a bound."""
 
     def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.halves: list[tuple[int, int]] = []
-        self.table = np.zeros((0, 2), dtype=np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+        super().__init__()
+        self.table = np.zeros((1024, 2), dtype=np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        value, row = xxhash.xxh3_128_intdigest(word), len(self)
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[row] = (value >> 64, value & (2**64 - 1))
+        self[word] = row
+        return row
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         """n x 2 array of the words' hashes."""
-        if len(self.at) > _KEPT_WORDS:
+        if len(self) > _KEPT_WORDS:
             self.clear()
-        at = self.at
-        index = np.fromiter((at[w] if w in at else self._add(w) for w in words), dtype=np.int64, count=len(words))
-        if len(self.table) < len(self.halves):
-            new = np.array(self.halves[len(self.table) :], dtype=np.uint64).reshape(-1, 2)
-            self.table = np.concatenate([self.table, new])
-        return self.table[index]
-
-    def _add(self, word: bytes) -> int:
-        value = xxhash.xxh3_128_intdigest(word)
-        self.halves.append((value >> 64, value & (2**64 - 1)))
-        self.at[word] = len(self.halves) - 1
-        return len(self.halves) - 1
+        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.table[rows]
 
 
+@functools.lru_cache
 def _multipliers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -142,7 +138,7 @@ def sketch_of(docs: DataFrame, width: int, cells: int) -> list[np.ndarray]:
             for text in batch.column(0):
                 words = _words(text.as_py())
                 if len(words) >= width:
-                    held.append(minimisers(hashes(words)[:, 0], width)[1])
+                    held.append(minimisers(hashes.of(words)[:, 0], width)[1])
             if sum(map(len, held)) > 2_000_000:
                 yield from flush(held)
                 held = []
@@ -189,7 +185,7 @@ def suspected_windows(docs: DataFrame, width: int, sketch: list[np.ndarray]) ->
                 words = _words(text.as_py())
                 if len(words) < width:
                     continue
-                h = hashes(words)
+                h = hashes.of(words)
                 at = np.flatnonzero(_estimated_twice(held.value, minimisers(h[:, 0], width)[0]))
                 if not len(at):
                     continue
