@@ -55,6 +55,15 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rangeledger.llm.bpe import bpe_round_trip
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +72,15 @@ def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rangeledger.llm.attribution import section_token_counts
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return section_token_counts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, rule="most")
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.sharding import shard_documents
 
@@ -86,7 +104,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op6_content_store, op8_feistel_shards, op9_window_dedup, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op5_byte_bpe, op6_content_store, op7_section_tokens, op8_feistel_shards, op9_window_dedup, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
