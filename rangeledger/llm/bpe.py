@@ -38,7 +38,7 @@ from rangeledger.llm.common import cut
 RANK_BUCKETS = 1 << 15
 #: Longest word (bytes) that the expression encodes; its steps grow with the square.
 FOLD_BYTES = 48
-_KEPT_WORDS = 400_000
+_KEPT_WORDS, _KEPT_PARTS = 300_000, 600_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -130,6 +130,12 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
     return found
 
 
+@functools.lru_cache(maxsize=1)
+def _kept_words(pattern: str, vocabulary: int) -> tuple[dict, dict]:
+    """What this worker process has merged, kept from task to task."""
+    return {}, {}
+
+
 #: A space before white space or the end, where a word's leading space is not certain.
 _LOOSE = re.compile(r" (?:\s|$)")
 _STARTS = re.compile(r"(?= [^\s])")
@@ -140,8 +146,9 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[bytes, bytes]) -> None:
         self.ranks, self.dictionary, self.split = ranks, dictionary, regex.compile(pattern)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes]
+        self.parts: dict[str, bytes]
+        self.words, self.parts = _kept_words(pattern, hash(frozenset(ranks.items())))
 
     def _word(self, word: bytes) -> bytes:
         found = self.dictionary.get(word) or self.words.get(word)
@@ -160,7 +167,7 @@ class Encoder:
         """Ids of a space and the part behind it, which does not start with white space."""
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) > _KEPT_WORDS:
+            if len(self.parts) > _KEPT_PARTS:
                 self.parts.clear()
             found = self._segment(" " + part)
             if len(part) <= 64:
@@ -211,9 +218,9 @@ def decoded(ids: Column, rank_file: str) -> Column:
 
 
 def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per document: doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
     encoded = encode_documents(docs, rank_file, pattern)
     return encoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(decoded(F.col("ids"), rank_file), 256).alias("decoded_sha256"),
     )

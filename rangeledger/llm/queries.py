@@ -61,7 +61,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.bpe import bpe_round_trip
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
 
 
 def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
