@@ -9,16 +9,16 @@ per cell keeps whether two or more fell in it.  Second pass: only windows whose
 minimiser is estimated at two or more in every row of the sketch are hashed
 (128 bits over all their words) and grouped exactly; nothing repeated is lost.
 
-The bits are broadcast; ``max_cells`` bounds them (32 MB a row of the sketch at
-the default).  A corpus beyond it fills the cells, so that more windows reach
+The bits are broadcast; ``max_cells`` bounds them (32 MB a row of the sketch
+at the default).  A corpus beyond it fills the cells, so that more windows reach
 the exact grouping, with the same result.
 
 Words covered by a window that also starts earlier (smaller id, or same id and
 earlier start) are removed, as judged on the input.
 
 Defined cases: a null text has no words; null ids come last; rows with one id
-are told apart by their text, and neither of two windows with the same id and
-start is the earlier; texts shorter than a window keep all; an empty table gives
+and the same text are alike and neither is the earlier, rows with one id and
+different texts are ordered by start, then by the text's hash; texts shorter than a window keep all; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -31,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import cut
+from rangeledger.llm.common import add_columns
 
 BLOCK_BITS = 20
 ROWS = 2
@@ -173,9 +174,16 @@ def _estimated_twice(sketch: list[np.ndarray], m: np.ndarray) -> np.ndarray:
     return twice
 
 
-def suspected_windows(docs: DataFrame, width: int, sketch: list[np.ndarray]) -> DataFrame:
-    """doc_id, text_key, start, h1, h2 of the windows estimated repeated."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+def _suspected(h: np.ndarray, width: int, sketch: list[np.ndarray]) -> np.ndarray:
+    """Starts of the windows estimated repeated."""
+    return np.flatnonzero(_estimated_twice(sketch, minimisers(h[:, 0], width)[0]))
+
+
+def first_windows(docs: DataFrame, width: int, sketch: Broadcast, start_bits: int) -> DataFrame:
+    """doc_id, text_key and start of the first of each window estimated repeated.
+
+    With ``start_bits`` the place of a window is one long (id, then start), whose
+    least is found by hash aggregation; without, a struct that orders any ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -186,74 +194,99 @@ def suspected_windows(docs: DataFrame, width: int, sketch: list[np.ndarray]) ->
                 if len(words) < width:
                     continue
                 h = hashes.of(words)
-                at = np.flatnonzero(_estimated_twice(held.value, minimisers(h[:, 0], width)[0]))
-                if not len(at):
-                    continue
-                row.append(np.full(len(at), n))
-                start.append(at)
-                first.append(_grams(h[:, 0], width, 2)[at])
-                second.append(_grams(h[:, 1], width, 3)[at])
+                at = _suspected(h, width, sketch.value)
+                if len(at):
+                    row.append(np.full(len(at), n))
+                    start.append(at)
+                    first.append(_grams(h[:, 0], width, 2)[at])
+                    second.append(_grams(h[:, 1], width, 3)[at])
             if row:
-                index = pa.array(np.concatenate(row))
-                columns = [np.concatenate(start).astype(np.int32), np.concatenate(first).view(np.int64), np.concatenate(second).view(np.int64)]
-                whole = pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *map(pa.array, columns)], names=["doc_id", "text_key", "start", "h1", "h2"])
+                index, at = np.concatenate(row), np.concatenate(start)
+                keys = [pa.array(np.concatenate(k).view(np.int64)) for k in (first, second)]
+                if start_bits:
+                    place = [pa.array((batch.column(0).to_numpy()[index] << start_bits) + at)]
+                else:
+                    place = [batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index)), pa.array(at)]
+                whole = pa.RecordBatch.from_arrays([*keys, *place], names=schema.fieldNames())
                 for offset in range(0, whole.num_rows, 50_000):
                     yield whole.slice(offset, 50_000)
 
     long = T.LongType()
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_key", long), T.StructField("start", T.IntegerType()), T.StructField("h1", long), T.StructField("h2", long)])
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
-
-
-def _kept(words: list[bytes], starts: np.ndarray, width: int) -> np.ndarray:
-    """Whether each word is kept, given the starts of windows to remove."""
-    steps = np.zeros(len(words) + 1, dtype=np.int64)
+    keys = T.StructType([T.StructField("h1", long), T.StructField("h2", long)])
+    if start_bits:
+        schema = add_columns(keys, ("place", long))
+        place = F.col("place")
+    else:
+        schema = add_columns(keys, ("doc_id", docs.schema["doc_id"].dataType), ("text_key", long), ("start", long))
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "text_key")
+    found = docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
+    least = found.groupBy("h1", "h2").agg(F.min(place).alias("place"))
+    if start_bits:
+        return least.select(F.shiftright("place", start_bits).alias("doc_id"), F.lit(0).cast("long").alias("text_key"), F.col("place").bitwiseAND(F.lit((1 << start_bits) - 1)).alias("start"))
+    return least.select("place.doc_id", "place.text_key", "place.start")
+
+
+def _kept(n: int, starts: np.ndarray, width: int) -> np.ndarray:
+    """Whether each of n words is kept, given the starts of windows to remove."""
+    steps = np.zeros(n + 1, dtype=np.int64)
     np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + width, len(words)), -1)
+    np.add.at(steps, starts + width, -1)
     return np.cumsum(steps[:-1]) == 0
 
 
-def _later_windows(docs: DataFrame, width: int, max_cells: int, words: int) -> DataFrame:
-    """doc_id, text_key and the starts of the windows that also start earlier."""
-    wanted = 1 << max(10, (words * 2).bit_length())  # minimisers are about words / 6
-    suspects = cut(suspected_windows(docs, width, sketch_of(docs, width, min(max_cells, wanted))))
-    # Null ids sort last: the struct holds whether the id is null before the id.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("start").alias("start"))
-    firsts = suspects.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    firsts = cut(firsts.select("h1", "h2", "first"))
-    later = suspects.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
-    return later.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
+def _place_bits(docs: DataFrame) -> tuple[int, int]:
+    """An upper bound of all words, and the bits a start needs if id and start
+    fit one long (ids whole, unique and not negative), else 0."""
+    longest, volume, null_ids = F.max(F.octet_length("text")), F.sum(F.octet_length("text").cast("long")), F.count_if(F.col("doc_id").isNull())
+    whole = docs.schema["doc_id"].dataType in (T.LongType(), T.IntegerType(), T.ShortType())
+    low, high = (F.min("doc_id"), F.max("doc_id")) if whole else (F.lit(-1), F.lit(-1))
+    row = docs.agg(longest, volume, null_ids, low, high).first()
+    words = (row[1] or 0) // 2 + 1
+    bits = ((row[0] or 0) // 2 + 1).bit_length()
+    fits = whole and not row[2] and row[3] is not None and row[3] >= 0 and row[4] < 1 << (62 - bits)
+    fits = fits and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return words, bits if fits else 0
 
 
 def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 28) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text: the words kept, joined by
-    one space (the original text where nothing is removed)."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    later = _later_windows(keyed.select("doc_id", "text_key", "text"), width, max_cells, int(volume) // 6)
-    later = later.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}).hint("shuffle_hash")
-    joined = keyed.join(later, keyed["doc_id"].eqNullSafe(later["_id"]) & (keyed["text_key"] == later["_key"]), "left").drop("_id", "_key", "text_key")
+    one space (the original text where nothing is removed).
+
+    What a task suspects in a text it suspects again when it removes; so only the
+    first places are brought to each document, and all others suspected go."""
     names = docs.columns
+    words, start_bits = _place_bits(docs.select("doc_id", "text"))
+    keyed = docs.withColumn("_key", F.lit(0).cast("long") if start_bits else F.coalesce(F.xxhash64("text"), F.lit(0)))
+    light = keyed.select("doc_id", F.col("_key").alias("text_key"), "text")
+    wanted = 1 << max(10, words.bit_length())  # words take six bytes or so, minimisers one word in six
+    sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(light, width, min(max_cells, wanted)))
+    firsts = first_windows(light, width, sketch, start_bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.col("start").cast("int")).alias("_firsts"))
+    firsts = firsts.withColumnsRenamed({"doc_id": "_id", "text_key": "_text"}).hint("shuffle_hash")
+    joined = keyed.join(firsts, keyed["doc_id"].eqNullSafe(firsts["_id"]) & (keyed["_key"] == firsts["_text"]), "left").select(*names, "_firsts")
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             total, removed, kept_text = [], [], []
-            for text, starts in zip(batch.column(text_at), batch.column(len(names)), strict=True):
-                text, words = text.as_py(), _words(text.as_py())
-                gone = 0
-                if starts.is_valid:
-                    keep = _kept(words, np.array(starts.values.to_numpy(zero_copy_only=False), dtype=np.int64), width)
-                    gone = int((~keep).sum())
-                    text = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode()
+            for text, first in zip(batch.column(text_at), batch.column(len(names)), strict=True):
+                text = text.as_py()
+                words, gone = _words(text), 0
+                if len(words) >= width:
+                    later = _suspected(hashes.of(words), width, sketch.value)
+                    if first.is_valid:
+                        later = np.setdiff1d(later, first.values.to_numpy(zero_copy_only=False), assume_unique=True)
+                    if len(later):
+                        keep = _kept(len(words), later, width)
+                        gone = int((~keep).sum())
+                        text = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode()
                 total.append(len(words))
                 removed.append(gone)
                 kept_text.append(text)
             more = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_text, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=schema.fieldNames())
 
-    long = T.LongType()
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("kept_text", T.StringType())])
+    schema = add_columns(docs.schema, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
     return joined.mapInArrow(run, schema)
 
 
