@@ -30,13 +30,18 @@ SLACK = 1e-9
 FOUND = "query_id long, vec_id long, score double"
 
 
+def summed(products: np.ndarray) -> np.ndarray:
+    """Row sums, component after component: copies score alike wherever they are."""
+    return np.cumsum(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
 def quantised(ids: np.ndarray, rows: np.ndarray) -> dict:
-    norms = np.sqrt((rows * rows).sum(axis=1))
+    norms = np.sqrt(summed(rows * rows))
     odd = ~np.isfinite(norms) | (norms == 0)
     if odd.any():  # zero, or squares out of range
         top = np.abs(rows[odd]).max(axis=1, initial=0.0)
         rows[odd] /= np.where(top > 0, top, 1.0)[:, None]
-        norms[odd] = np.sqrt((rows[odd] * rows[odd]).sum(axis=1))
+        norms[odd] = np.sqrt(summed(rows[odd] * rows[odd]))
         ids, rows, norms = ids[norms > 0], rows[norms > 0], norms[norms > 0]
     unit = rows / norms[:, None]
     scale = np.abs(unit).max(axis=1, initial=0.0) / 127
@@ -68,7 +73,7 @@ def join_tile(c: dict, q: dict, k: int) -> list[tuple[int, int, float]]:
         score = np.empty(len(i))
         for some in in_blocks(len(i), 16384):
             a, b = i[some] + part.start, j[some]
-            score[some] = (q["rows"][a] * c["rows"][b]).sum(axis=1) / (q["norms"][a] * c["norms"][b])
+            score[some] = summed(q["rows"][a] * c["rows"][b]) / (q["norms"][a] * c["norms"][b])
         ends = np.searchsorted(i, np.arange(lower.shape[0] + 1))
         for n in range(lower.shape[0]):
             pairs = zip(score[ends[n] : ends[n + 1]].tolist(), (-c["ids"][j[ends[n] : ends[n + 1]]]).tolist(), strict=True)
