@@ -254,16 +254,19 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 28)
 
     What a task suspects in a text it suspects again when it removes; so only the
     first places are brought to each document, and all others suspected go."""
-    names = docs.columns
+    docs = docs.drop("n_words", "n_removed", "kept_text")
+    names, schema = docs.columns, docs.schema
+    id_at, text_at = names.index("doc_id"), names.index("text")
     words, start_bits = _place_bits(docs.select("doc_id", "text"))
-    keyed = docs.withColumn("_key", F.lit(0).cast("long") if start_bits else F.coalesce(F.xxhash64("text"), F.lit(0)))
-    light = keyed.select("doc_id", F.col("_key").alias("text_key"), "text")
+    # Any column name may be in docs: inside they go by number.
+    base = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    keyed = base.withColumn("k", F.lit(0).cast("long") if start_bits else F.coalesce(F.xxhash64(f"c{text_at}"), F.lit(0)))
+    light = keyed.select(F.col(f"c{id_at}").alias("doc_id"), F.col("k").alias("text_key"), F.col(f"c{text_at}").cast("string").alias("text"))
     wanted = 1 << max(10, words.bit_length())  # words take six bytes or so, minimisers one word in six
     sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(light, width, min(max_cells, wanted)))
-    firsts = first_windows(light, width, sketch, start_bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.col("start").cast("int")).alias("_firsts"))
-    firsts = firsts.withColumnsRenamed({"doc_id": "_id", "text_key": "_text"}).hint("shuffle_hash")
-    joined = keyed.join(firsts, keyed["doc_id"].eqNullSafe(firsts["_id"]) & (keyed["_key"] == firsts["_text"]), "left").select(*names, "_firsts")
-    text_at = names.index("text")
+    firsts = first_windows(light, width, sketch, start_bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.col("start").cast("int")).alias("firsts"))
+    on = F.col(f"c{id_at}").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))
+    joined = keyed.join(firsts.hint("shuffle_hash"), on, "left").select(*base.columns, "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -286,7 +289,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 28)
             more = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_text, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=schema.fieldNames())
 
-    schema = add_columns(docs.schema, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
+    schema = add_columns(schema, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
     return joined.mapInArrow(run, schema)
 
 
