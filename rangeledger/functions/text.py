@@ -38,7 +38,7 @@ def stock_key(text: Column) -> Column:
     """The security key without legal suffixes; the key itself if nothing is left."""
     key = security_key(text)
     bare = replaced(key, (fixed.STOCK_TAILS, ""), (r"\b(CLASS|CL)\s+[A-Z]\b", ""), (fixed.STOCK_SUFFIXES, ""), (fixed.STOCK_KINDS, ""))
-    return first_truthy(squeezed(bare), key)
+    return F.coalesce(F.nullif(squeezed(bare), F.lit("")), key)
 
 
 def stock_title(name: Column) -> Column:
