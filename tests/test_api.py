@@ -15,9 +15,10 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the tables a
 @needs_tables
 def test_pages(spark):
     engine = Engine(spark, SMALL)
+    assert engine.page("sectors", {"year": "1998"})["kpis"].first()["transaction_count"] > 0
+    assert engine.page("equities", {"year": "1998"})["kpis"].first()["transaction_count"] == 0  # no such asset type here
     for name in PAGES:
-        page = engine.page(name, {"year": "1998"})
-        assert page["kpis"].first()["transaction_count"] > 0 or name in ("equities", "municipal-bonds", "corporate-bonds", "funds")
+        assert all(df.columns for df in engine.page(name, {"year": "1998"}).values())  # every page can be planned
     assert engine.page("transactions", {})["transactions"].count() <= 1000
     with pytest.raises(ValueError):
         engine.page("nothing", {})
