@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,20 +40,30 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rangeledger.llm.common import add_columns, cut, scratch
-from rangeledger.llm.text import word_pieces
+from rangeledger.llm.text import slices, word_pieces
 
 WINDOW = 16
 CUT_MASK = 511  # one place in 512
 LEAST, MOST = 64, 4096  # ids of a chunk
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 500_000
 _KEPT_NAMES = 200_000
 
 
+def _byte_letters() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if
+    it is a visible Latin-1 character, else the next one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids (as bytes) of white-space separated words, remembered up to a bound.
 
-    The vocabulary's splitting never crosses ASCII white space and drops it, so
-    the ids of a text are those of its words in turn."""
+    The vocabulary lower-cases, drops white space and never splits across ASCII
+    white space, so the ids of a text are those of its words in turn.  A plain
+    word of letters, perhaps with full stops or commas behind it, is one unit of
+    the merges (and the marks another), which are asked for it directly."""
 
     def __init__(self, tokenizer_file: str) -> None:
         super().__init__()
@@ -62,22 +73,49 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > _KEPT_WORDS:
+        self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.stems: dict[bytes, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _encoded(self, word: bytes) -> bytes:
+        return self._packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+    def _stem(self, word: bytes) -> bytes:
+        found = self.stems.get(word)
+        if found is None:
+            text = word.decode()
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                plain = text if word.isalpha() else "".join([self.letters[b] for b in word])
+                found = self._packed([t.id for t in self.merges(plain)])
+            else:
+                found = self._encoded(word)
+            self.stems[word] = found
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > _KEPT_WORDS or len(self.stems) > _KEPT_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, dtype=self.kind).tobytes()
+            self.stems.clear()
+        stem = word.rstrip(b".,")
+        if len(stem) < len(word) and stem.decode().lower().isalpha():
+            found = self._stem(stem) + self._stem(word[len(stem) :])
+        else:
+            found = self._stem(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
     def stream(self, text: str | None) -> bytes:
-        out = []
-        for words in word_pieces((text or "").encode()):
-            self.learn(set(words))
-            out.append(b"".join(map(self.__getitem__, words)))
-        return b"".join(out)
+        get = self.__getitem__
+        return b"".join([b"".join(map(get, words)) for words in word_pieces((text or "").encode().lower())])
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One per worker process, kept from task to task."""
+    return WordIds(tokenizer_file)
 
 
 @functools.lru_cache
@@ -121,9 +159,9 @@ def _objects(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     id_type = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordIds(tokenizer_file), set()
+        words, seen = word_ids(tokenizer_file), set()
         end = np.array([end_id], dtype=words.kind).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for n, text in enumerate(batch.column(1)):
                 data = words.stream(text.as_py()) + end
@@ -174,7 +212,7 @@ def _stored_once(objects: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     spark = docs.sparkSession
-    _stored_once(_objects(docs, tokenizer_file, end_id)).write.parquet(f"{path}/objects")
+    _stored_once(_objects(docs, tokenizer_file, end_id)).write.option("compression", "zstd").parquet(f"{path}/objects")
     recipes = spark.read.parquet(f"{path}/objects").where("is_recipe").select("doc_id", F.col("name").alias("root"), "n_tokens", "chunks", "ends", "width")
     order = [F.col("doc_id").asc_nulls_last(), F.col("root").asc()]
     placed = recipes.withColumn("tie", F.monotonically_increasing_id())
