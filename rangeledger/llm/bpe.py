@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -26,19 +27,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import cut
+from rangeledger.llm.common import add_columns, cut
+from rangeledger.llm.text import slices
 
 RANK_BUCKETS = 1 << 15
 #: Longest word (bytes) that the expression encodes; its steps grow with the square.
 FOLD_BYTES = 48
-_KEPT_WORDS, _KEPT_PARTS = 300_000, 600_000
+_KEPT_WORDS, _KEPT_PARTS = 200_000, 300_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -122,7 +124,7 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
         least = row["step"]
     if least is None:
         return {}
-    frequent = counted.where(step >= least).select("word").repartition(F.col("word"))
+    frequent = counted.where(step >= least).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word")
     encoded = frequent.select("word", fold_merges("word", ranks).alias("pieces"))
     found = {}
     for row in encoded.toLocalIterator():  # bounded by dictionary_words
@@ -191,36 +193,64 @@ class Encoder:
         return self._segment(first) + b"".join([get(p) or self._part(p) for p in rest])
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, dictionary_words: int = 1 << 18) -> DataFrame:
-    """Per document: doc_id and ids (binary, four little-endian bytes each)."""
+def decode_ids(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The pieces of ids (four bytes each), one after the other."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+def _given(docs: DataFrame, rank_file: str, pattern: str, dictionary_words: int) -> tuple[DataFrame, Broadcast]:
+    """id and text, and what every task needs: the ranks and the dictionary."""
     light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ranks = read_ranks(rank_file)
-    held = docs.sparkSession.sparkContext.broadcast((ranks, word_dictionary(light, ranks, pattern, dictionary_words)))
+    return light, docs.sparkSession.sparkContext.broadcast((ranks, word_dictionary(light, ranks, pattern, dictionary_words)))
+
+
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, dictionary_words: int = 1 << 18) -> DataFrame:
+    """Per document: doc_id and ids (binary, four little-endian bytes each)."""
+    light, given = _given(docs, rank_file, pattern, dictionary_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value[0], pattern, held.value[1])
-        for batch in batches:
-            ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        encoder = Encoder(given.value[0], pattern, given.value[1])
+        for part in slices(batches):
+            ids = [encoder.encode(t.as_py()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return light.mapInArrow(run, T.StructType([light.schema["doc_id"], T.StructField("ids", T.BinaryType())]))
+    return light.mapInArrow(run, add_columns(T.StructType([light.schema["doc_id"]]), ("ids", T.BinaryType())))
 
 
-def decoded(ids: Column, rank_file: str) -> Column:
-    """The bytes of a binary column of ids."""
+def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
+    """Per document: doc_id and the bytes (binary) of its ids."""
     pieces = pieces_by_id(read_ranks(rank_file))
 
-    @F.pandas_udf("binary")
-    def joined(found: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(map(pieces.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in found], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [decode_ids(x.as_py() or b"", pieces) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
+
+    light = encoded.select("doc_id", "ids")
+    return light.mapInArrow(run, add_columns(T.StructType([light.schema["doc_id"]]), ("decoded", T.BinaryType())))
+
 
-    return joined(ids)
+def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = False, dictionary_words: int = 1 << 18) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
+    A task encodes a text and decodes the ids, so neither goes back to the JVM
+    only to be digested."""
+    light, given = _given(docs, rank_file, pattern, dictionary_words)
 
-def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode_documents(docs, rank_file, pattern)
-    return encoded.select(
-        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), rank_file), 256).alias("decoded_sha256"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, pieces = Encoder(given.value[0], pattern, given.value[1]), pieces_by_id(given.value[0])
+        for part in slices(batches):
+            kept, count, encoded, decoded = [], [], [], []
+            for text in part.column(1):
+                ids = encoder.encode(text.as_py())
+                count.append(len(ids) // 4)
+                encoded.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(decode_ids(ids, pieces)).hexdigest())
+                kept.append(ids if keep_ids else b"")
+            columns = [pa.array(count, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, *([pa.array(kept, pa.binary())] if keep_ids else [])], names=schema.fieldNames())
+
+    schema = add_columns(T.StructType([light.schema["doc_id"]]), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
+    schema = add_columns(schema, ("ids", T.BinaryType())) if keep_ids else schema
+    return light.mapInArrow(run, schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+
 PIECE_BYTES = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -23,3 +25,11 @@ def word_pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
             end += 1
         yield data[at:end].split()
         at = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a bounded number of rows, so that what is made of a
+    part goes on before the next is begun."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
