@@ -42,9 +42,7 @@ def us_date(text: Column) -> Column:
 def bond_issuer(normal: Column) -> Column:
     """Issuer's name before what tells of the instrument, words written out and
     places at the end left out."""
-    stem = replaced(
-        normal, (r"\b(CUSIP|FIGI|ISIN)\b.*$", " "), (r"\b(DUE|DTD|MATURITY)\b.*$", " "), (r"\b\d{1,2}(?:\.\d{1,4})?\s*%.*$", " "), (r"\b(DISCRETIONARY ORDER|CONFIRMATION|PURSUANT TO REG S)\b.*$", " ")
-    )
+    stem = replaced(normal, *((p, " ") for p in fixed.BOND_TAILS))
     alias = words_map(fixed.BOND_ALIASES)
     states = F.array(*(F.lit(w) for words in fixed.STATES.values() for w in words.split()))
     words = F.transform(F.split(squeezed(stem), r"\s+"), lambda w: F.coalesce(F.try_element_at(alias, w), w))
@@ -70,14 +68,11 @@ def parsed(description: Column, asset_type: Column) -> Column:
     """Struct of kind, issuer, cusip, isin, figi, coupon, maturity, call date and
     price, yields, state, category, status, review and confidence."""
     raw, normal = F.upper(description), normal_description(description)
-    day = r"(\d{1,2}/\d{1,2}/\d{2,4})\b"
-    maturity = F.coalesce(us_date(found(raw, rf"\bDUE\s+{day}")), us_date(found(raw, rf"\bMATURITY\s+{day}")))
-    coupon = found(raw, r"\b(\d{1,2}(?:\.\d{1,4})?)\s*%").try_cast("double")
-    call_date = us_date(found(raw, rf"\bCALLABLE\s+{day}"))
-    call_price = found(raw, r"\bCALLABLE\s+\d{1,2}/\d{1,2}/\d{2,4}\s+AT\s+(\d{1,3}(?:\.\d+)?)\b").try_cast("double")
-    to_call = found(raw, r"\bYIELD\s+(\d{1,2}\.\d{2,4})\s*%\s+TO\s+PAR\s+CALL\b").try_cast("double")
-    to_maturity = found(raw, r"\bYIELD\s+(\d{1,2}\.\d{2,4})\s*%\s+TO\s+MATURITY\b").try_cast("double")
-    own = [found(raw, r"\bCUSIP\s*([A-Z0-9]{9})\b"), found(raw, r"\b([A-Z]{2}[A-Z0-9]{9}\d)\b"), found(raw, r"\b(BBG[A-Z0-9]{9})\b")]
+    maturity = F.coalesce(us_date(found(raw, fixed.DUE_DATE)), us_date(found(raw, fixed.MATURITY_DATE)))
+    call_date = us_date(found(raw, fixed.CALL_DATE))
+    numbers = (fixed.COUPON, fixed.CALL_PRICE, fixed.YIELD_TO_CALL, fixed.YIELD_TO_MATURITY)
+    coupon, call_price, to_call, to_maturity = (found(raw, p).try_cast("double") for p in numbers)
+    own = [found(raw, p) for p in (fixed.CUSIP, fixed.ISIN, fixed.FIGI)]
     known = [F.try_element_at(words_map({d: ids[i] for d, ids in fixed.KNOWN_IDENTIFIERS.items()}), normal) for i in range(3)]
     cusip, isin, figi = (F.coalesce(a, b) for a, b in zip(own, known, strict=True))
     municipal = asset_type == "Municipal Bond"
@@ -101,7 +96,7 @@ def parsed(description: Column, asset_type: Column) -> Column:
 
 
 def is_generic_url(url: Column) -> Column:
-    return F.coalesce(F.lower(url).rlike(r"openfigi\.com/search|emma\.msrb\.org/search|api\.openfigi\.com/v3/mapping/(id_|ticker|cusip|isin|bbg)"), F.lit(False))
+    return F.coalesce(F.lower(url).rlike(fixed.GENERIC_URLS), F.lit(False))
 
 
 def issuer_name(text: Column) -> Column:
@@ -127,11 +122,11 @@ def industry_sector(code: Column, description: Column) -> Column:
 
 def candidate_coupons(text: Column) -> Column:
     """Numbers below 20 in a candidate's text, mixed fractions as decimals."""
-    mixed = F.regexp_extract_all(text, F.lit(r"(\d+\s+\d/\d)"), F.lit(1))
+    mixed = F.regexp_extract_all(text, F.lit(fixed.MIXED_FRACTION), F.lit(1))
     whole = F.transform(mixed, lambda m: F.split(m, " ")[0].cast("double") + F.try_divide(F.split(F.split(m, r"\s+")[1], "/")[0].cast("double"), F.split(m, "/")[1].cast("double")))
-    plain = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"\d+\s+\d/\d", " "), F.lit(r"\b(\d{1,2}(?:\.\d{1,4})?)\b"), F.lit(1)), lambda n: n.cast("double"))
+    plain = F.transform(F.regexp_extract_all(F.regexp_replace(text, fixed.MIXED_FRACTION, " "), F.lit(fixed.CANDIDATE_NUMBER), F.lit(1)), lambda n: n.cast("double"))
     return F.filter(F.concat(whole, plain), lambda n: (n > 0) & (n < 20))
 
 
 def candidate_dates(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}/\d{1,2}/\d{2,4})\b"), F.lit(1)), us_date)
+    return F.transform(F.regexp_extract_all(text, F.lit(fixed.CANDIDATE_DATE), F.lit(1)), us_date)

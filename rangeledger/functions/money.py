@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rangeledger.functions.fixed import BRACKETS
+from rangeledger.functions.fixed import AMOUNT_SPAN, BRACKETS, OVER_TOP
 
 RANGE = "struct<label:string,min:double,max:double,midpoint:double>"
 
@@ -33,12 +33,11 @@ def parse_range(value: Column) -> Column:
     for name, low, high, mid in BRACKETS:
         bracket = _range(F.lit(name), F.lit(low), F.lit(high), F.lit(mid))
         known = F.when(label == name.replace(",", "").replace(" ", "").upper(), bracket) if known is None else known.when(label == name.replace(",", "").replace(" ", "").upper(), bracket)
-    span = r"\$?([0-9,]+)\s*-\s*\$?([0-9,]+)"
-    low, high = (F.regexp_extract(label, span, i).try_cast("double") for i in (1, 2))
+    low, high = (F.regexp_extract(label, AMOUNT_SPAN, i).try_cast("double") for i in (1, 2))
     canonical = F.concat(F.lit("$"), F.format_number(low, 0), F.lit("-$"), F.format_number(high, 0))
     spread = F.when((low > 0) & (high >= low), _range(canonical, low, high, (low + high) / 2))
     top = BRACKETS[-1]
-    over = F.when(F.coalesce(value, F.lit("")).rlike(r"(?i)over\s+\$?50,?000,?000"), _range(*(F.lit(x) for x in top)))
+    over = F.when(F.coalesce(value, F.lit("")).rlike(OVER_TOP), _range(*(F.lit(x) for x in top)))
     unknown = zero_range(F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("Unknown")))
     return F.coalesce(known, spread, over, unknown)
 

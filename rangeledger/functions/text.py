@@ -28,16 +28,14 @@ def normal_description(text: Column) -> Column:
 
 
 def security_key(text: Column) -> Column:
-    bare = replaced(
-        normal_description(text), (r"\b(DUE|DTD)\b.*$", ""), (r"\b\d{1,2}\.\d{2,3}%.*$", ""), (r"\b(CLASS|CL)\s+[A-Z]\b", ""), (r"\b(COMMON|COM STK|EQUITY|SHARES)\b", "")
-    )
-    return F.left(squeezed(bare), F.lit(160))
+    bare = replaced(normal_description(text), *((p, "") for p in fixed.KEY_CUTS))
+    return F.left(squeezed(bare), F.lit(fixed.KEY_CHARS))
 
 
 def stock_key(text: Column) -> Column:
     """The security key without legal suffixes; the key itself if nothing is left."""
     key = security_key(text)
-    bare = replaced(key, (fixed.STOCK_TAILS, ""), (r"\b(CLASS|CL)\s+[A-Z]\b", ""), (fixed.STOCK_SUFFIXES, ""), (fixed.STOCK_KINDS, ""))
+    bare = replaced(key, (fixed.STOCK_TAILS, ""), (fixed.KEY_CUTS[2], ""), (fixed.STOCK_SUFFIXES, ""), (fixed.STOCK_KINDS, ""))
     return F.coalesce(F.nullif(squeezed(bare), F.lit("")), key)
 
 

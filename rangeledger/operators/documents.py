@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rangeledger.functions import fixed
+from rangeledger.functions.text import replaced, squeezed
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, n (from 1) and line of every line."""
@@ -36,3 +39,45 @@ def line_items(rows: DataFrame) -> DataFrame:
     kind = F.when(parts[1] == "P", "Purchase").when(parts[1] == "S", "Sale").when(parts[1] == "E", "Exchange")
     found = rows.where(F.col("line").rlike(ITEM))
     return found.select("doc_id", "n", F.try_to_date(parts[0], "M/d/yyyy").alias("date"), kind.alias("type"), F.trim(parts[2]).alias("description"), parts[3].alias("amount"))
+
+
+def corrected(line: Column) -> Column:
+    """A line with misread words put right, white space squeezed, and sums of money
+    regrouped by thousands."""
+    plain = replaced(squeezed(line), *fixed.MISREAD)
+    # Digits of a sum run together first, then commas go before each third from its end.
+    closed = F.regexp_replace(plain, r"(?<=\$)\s+(?=\d)", "")
+    joined = F.regexp_replace(closed, r"(\$\d+|(?!^)\G\d+)\s*[,.]\s*(?=\d)", "$1")
+    return F.regexp_replace(joined, r"(?<=\$\d{1,12})(?=(\d{3})+(?!\d))", ",")
+
+
+def asset_rows(rows: DataFrame) -> DataFrame:
+    """Numbered rows of the asset parts of a document, each with its further lines.
+
+    A part is open from its heading to the heading that ends it; a row runs to the
+    next row's number.  The states are running maxima over a document's lines."""
+    lines_ = rows.withColumn("line", corrected(F.col("line"))).where(F.col("line") != "")
+    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.lit(None).cast("string")
+    for part, pattern in fixed.PART_STARTS.items():
+        start = F.when(F.col("line").rlike(pattern), part).otherwise(start)
+    marked = lines_.withColumn("start", start)
+    opened = F.max(F.when(F.col("start").isNotNull(), F.struct("n", "start"))).over(upto)
+    marked = marked.withColumn("opened", opened)
+    for part, pattern in fixed.PART_ENDS.items():
+        marked = marked.withColumn(f"end {part}", F.max(F.when(F.col("line").rlike(pattern), F.col("n"))).over(upto))
+    ended = F.lit(False)
+    for part in fixed.PART_ENDS:
+        ended = ended | ((F.col("opened.start") == part) & (F.coalesce(F.col(f"end {part}"), F.lit(-1)) > F.col("opened.n")))
+    active = F.col("opened").isNotNull() & ~ended & F.col("start").isNull()
+    inside = marked.where(active).select("doc_id", "n", "line", F.col("opened.start").alias("part"), F.col("opened.n").alias("part_at"))
+    number = F.regexp_extract("line", fixed.ROW_START, 1)
+    begins = (number != "") & ~F.regexp_extract("line", fixed.ROW_START, 2).rlike(fixed.NO_ROW)
+    in_part = Window.partitionBy("doc_id", "part_at").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = inside.withColumn("row", F.sum(F.when(begins, 1).otherwise(0)).over(in_part)).where("row > 0")
+    chunk = numbered.groupBy("doc_id", "part", "part_at", "row").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), " ")
+    amounts = F.regexp_extract_all(text, F.lit(fixed.DISCLOSED_AMOUNT), F.lit(1))
+    chunk = chunk.withColumns({"text": text, "amounts": amounts})
+    income = F.when(F.size("amounts") > 1, F.element_at("amounts", -1))
+    return chunk.select("doc_id", "part", "row", F.regexp_extract("text", fixed.ROW_START, 1).alias("number"), "text", F.get("amounts", F.lit(0)).alias("value"), income.alias("income"))

@@ -11,10 +11,6 @@ from rangeledger.functions.money import round1
 from rangeledger.functions.text import first_truthy, issuer_similarity, normal_description, security_key, stable_id
 
 
-# Scores of a candidate by what agrees (fixed values).
-EXACT, CLEAN, COMPACT = 0.96, 0.93, 0.91
-
-
 def reference_merge(companies: DataFrame, directory: DataFrame) -> DataFrame:
     """Two lists of securities as one by ticker key: the first list's name, ticker
     and number come first, marks of either count, sources are joined."""
@@ -41,7 +37,7 @@ def candidates(securities: DataFrame, reference: DataFrame) -> DataFrame:
     named = named.withColumn("short", security_key(F.col("description")))
     named = named.withColumns({"compact": F.regexp_replace("clean", "[^A-Z0-9]", ""), "tk": F.regexp_replace(F.upper("source_ticker"), "[^A-Z0-9]", "")})
     keys = lambda *pairs: F.filter(F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(score).alias("score")) for kind, value, score in pairs)), lambda k: F.coalesce(k["value"], F.lit("")) != "")
-    left = named.select("security_key", "asset_type", "clean", F.explode(F.array_distinct(keys(("ticker", F.col("tk"), 1.0), *(("exact", F.col(c), EXACT) for c in ("name", "short")), ("clean", F.col("clean"), CLEAN), ("clean", instruments.issuer_name(F.col("short")), CLEAN), ("compact", F.col("compact"), COMPACT)))).alias("k"))
+    left = named.select("security_key", "asset_type", "clean", F.explode(F.array_distinct(keys(("ticker", F.col("tk"), 1.0), *(("exact", F.col(c), fixed.EXACT) for c in ("name", "short")), ("clean", F.col("clean"), fixed.CLEAN), ("clean", instruments.issuer_name(F.col("short")), fixed.CLEAN), ("compact", F.col("compact"), fixed.COMPACT)))).alias("k"))
     right = ref.select("ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.explode(keys(("ticker", F.col("ticker_key"), 1.0), ("exact", F.col("normal_name"), 1.0), ("clean", F.col("clean_name"), 1.0), ("compact", F.col("compact_name"), 1.0))).alias("r"))
     same = left.join(right, (F.col("k.kind") == F.col("r.kind")) & (F.col("k.value") == F.col("r.value")))
     same = same.select("security_key", "asset_type", "ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.col("k.kind").alias("how"), F.col("k.score").alias("score"))
@@ -49,7 +45,7 @@ def candidates(securities: DataFrame, reference: DataFrame) -> DataFrame:
     near = named.where(F.length("clean") >= 4).withColumn("b", block("clean")).join(
         ref.select("ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", block("clean_name").alias("b")), "b"
     )
-    near = near.withColumn("score", issuer_similarity(F.col("clean"), F.col("clean_name"))).where("score >= 0.8")
+    near = near.withColumn("score", issuer_similarity(F.col("clean"), F.col("clean_name"))).where(F.col("score") >= fixed.SIMILAR)
     near = near.select("security_key", "asset_type", "ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.lit("similar").alias("how"), "score")
     rows = same.unionByName(near)
     fund_by_name = (F.col("how") != "ticker") & (((F.col("asset_type") == "Equity") & F.col("is_etf")) | (F.col("asset_type") == "ETF / Fund"))
@@ -94,13 +90,13 @@ def identifier_candidates(groups: DataFrame) -> DataFrame:
     mine = tokens(F.col("p.issuer"))
     shared = lambda c: F.size(F.array_intersect(mine, tokens(F.concat_ws(" ", c["name"], c["ticker"]))))
     issuer = F.filter(kept, lambda c: (F.size(mine) == 0) | (shared(c) >= F.least(F.lit(2), F.size(mine))))
-    regs = lambda c: normal_description(whole(c)).rlike(r"\b(REGS|REG S)\b") | (normal_description(F.coalesce(c["security_type"], F.lit(""))) == "EURO DOLLAR")
-    private = lambda c: normal_description(whole(c)).rlike(r"\b144A\b") | (normal_description(F.coalesce(c["security_type"], F.lit(""))) == "PRIV PLACEMENT")
+    regs = lambda c: normal_description(whole(c)).rlike(fixed.REG_S) | (normal_description(F.coalesce(c["security_type"], F.lit(""))) == "EURO DOLLAR")
+    private = lambda c: normal_description(whole(c)).rlike(fixed.RULE_144A) | (normal_description(F.coalesce(c["security_type"], F.lit(""))) == "PRIV PLACEMENT")
     normal = normal_description(F.col("description"))
 
     def preferred(some: Column) -> Column:
         free = F.filter(some, lambda c: ~regs(c) & ~private(c))
-        return F.when(normal.rlike(r"\b(REGS|REG S)\b"), F.filter(some, regs)).when(normal.rlike(r"\b144A\b"), F.filter(some, private)).when(F.size(free) > 0, free).otherwise(some)
+        return F.when(normal.rlike(fixed.REG_S), F.filter(some, regs)).when(normal.rlike(fixed.RULE_144A), F.filter(some, private)).when(F.size(free) > 0, free).otherwise(some)
 
     rows = rows.withColumns({"by_terms": kept, "by_issuer": issuer})
     rows = rows.withColumns({"terms": F.array_distinct(F.transform(preferred(F.col("by_terms")), lambda c: c["figi"])), "left": F.array_distinct(F.transform(preferred(F.col("by_issuer")), lambda c: c["figi"]))})

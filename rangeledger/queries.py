@@ -48,7 +48,7 @@ NORMAL = r"trim(regexp_replace(regexp_replace(replace(upper({0}), '&', ' AND '),
 
 def _key_sql(of: str) -> str:
     s = NORMAL.format(of)
-    for pattern in (r"\b(DUE|DTD)\b.*$", r"\b\d{1,2}\.\d{2,3}%.*$", r"\b(CLASS|CL)\s+[A-Z]\b", r"\b(COMMON|COM STK|EQUITY|SHARES)\b"):
+    for pattern in fixed.KEY_CUTS:
         s = f"regexp_replace({s}, '{pattern}', '', 'g')"
     return rf"left(trim(regexp_replace({s}, '\s+', ' ', 'g')), 160)"
 
@@ -201,7 +201,7 @@ for _by, _order in (("exposure", "cmid DESC"), ("mover", "abs(chg) DESC"), ("buy
 def _stock_sql() -> str:
     key = _key_sql("description")
     s = key
-    for p in (fixed.STOCK_TAILS, r"\b(CLASS|CL)\s+[A-Z]\b", fixed.STOCK_SUFFIXES, fixed.STOCK_KINDS):
+    for p in (fixed.STOCK_TAILS, fixed.KEY_CUTS[2], fixed.STOCK_SUFFIXES, fixed.STOCK_KINDS):
         s = f"regexp_replace({s}, '{p}', '', 'g')"
     return rf"coalesce(nullif(trim(regexp_replace({s}, '\s+', ' ', 'g')), ''), {key})"
 

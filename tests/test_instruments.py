@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rangeledger.functions import instruments
-from rangeledger.operators import resolution
+from rangeledger.operators import documents, resolution
 
 
 def parse(spark, description, kind):
@@ -95,3 +95,26 @@ def test_identities(spark):
     assert (bond["sector"], bond["status"], bond["entries"], bond["current_mid"], bond["reliability"], bond["coupon"]) == ("S1", "exact", 2, 150.0, "official", 5.0)
     assert got["Muni"]["status"] == "needs_identifier" and got["Muni"]["review"] == "needs_review" and got["Muni"]["priority"] > 60
     assert [r["display"] for r in resolution.review_items(resolution.identities(spark.createDataFrame(rows, schema))).collect()] == ["Muni"]
+
+
+def test_asset_rows(spark):
+    text = """1. before any part $5
+Part 2: Filer's Employment Assets & Income
+1. FIRST CO
+  more of it $1,001 - $15,000 Dividends $201 - $1,000
+2 of pages
+1.1 SECOND CO  Orer $50,000,000
+Part 7: Transactions
+still inside $2,500
+Part 3: Filer's Employment Agreements
+9. outside $1
+Part 6: Other Assets and Income
+4. LAST $15001 - $50 000
+Part 8: Liabilities
+5. outside"""
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = documents.asset_rows(documents.lines(docs)).orderBy("part", "row").collect()
+    assert [(r["part"], r["number"], r["value"], r["income"]) for r in got] == [
+        ("Part 2", "1", "$1,001 - $15,000", "$201 - $1,000"), ("Part 2", "1.1", "Over $50,000,000", "$2,500"), ("Part 6", "4", "$15,001 - $50", None),
+    ]
+    assert "2 of pages" in got[0]["text"]
