@@ -24,9 +24,11 @@ a text are ordinary text.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import os
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -47,6 +49,8 @@ CUT_MASK = 511  # one place in 512
 LEAST, MOST = 64, 4096  # ids of a chunk
 _KEPT_WORDS = 500_000
 _KEPT_NAMES = 200_000
+#: ASCII marks but the apostrophe, which may begin a unit with letters.
+MARKS = b"".join(bytes([b]) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
 
 def _byte_letters() -> list[str]:
@@ -62,8 +66,8 @@ class WordIds(dict):
 
     The vocabulary lower-cases, drops white space and never splits across ASCII
     white space, so the ids of a text are those of its words in turn.  A plain
-    word of letters, perhaps with full stops or commas behind it, is one unit of
-    the merges (and the marks another), which are asked for it directly."""
+    word of letters, perhaps with marks behind it, is one unit of the merges (and
+    the marks another), which are asked for it directly."""
 
     def __init__(self, tokenizer_file: str) -> None:
         super().__init__()
@@ -72,12 +76,16 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.stems: dict[bytes, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        packed = array.array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _encoded(self, word: bytes) -> bytes:
         return self._packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
@@ -98,7 +106,7 @@ class WordIds(dict):
         if len(self) > _KEPT_WORDS or len(self.stems) > _KEPT_WORDS:
             self.clear()
             self.stems.clear()
-        stem = word.rstrip(b".,")
+        stem = word.rstrip(MARKS)
         if len(stem) < len(word) and stem.decode().lower().isalpha():
             found = self._stem(stem) + self._stem(word[len(stem) :])
         else:
