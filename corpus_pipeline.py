@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from rangeledger.llm.bpe import bpe_round_trip
 from rangeledger.llm.common import cut, join_bounded, scratch
+from rangeledger.llm.minhash import near_copies
 from rangeledger.llm.mixing import mix_sources
 from rangeledger.llm.quality import fit_quality, quality_score
-from rangeledger.llm.simhash import near_duplicates
 from rangeledger.llm.substring import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,10 +33,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document, that of the smallest id, of each group of near copies: texts
+    whose five-word shingles have a Jaccard similarity of 0.8 or more are linked."""
     docs = docs.select(*COLUMNS)
-    marked = near_duplicates(docs, shingle=3, budget=2)
-    losers = cut(marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    marked = cut(near_copies(docs, shingle=5, similarity=0.8))
+    least = cut(marked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    losers = cut(join_bounded(marked, least, "root").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     kept = join_bounded(docs, losers, "doc_id", "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))

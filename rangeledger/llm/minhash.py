@@ -1,0 +1,130 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+MinHash bands propose pairs: a text has ``bands`` keys, each of ``width`` minima,
+and texts that share a key are compared.  A pair at similarity s shares none
+with probability (1 - s ** width) ** bands, 3e-6 at 0.8 by the default and less
+above.  Every proposed pair is confirmed on its whole shingle sets, so no link
+is below ``similarity``.  Equal sets are merged first.  As links matter only for
+the components they connect, members of a key are first compared with one of
+them; then all pairs of a key that are not in one component yet.
+
+Defined cases: texts are compared by words of A-Z lowered; fewer words than a
+shingle make one shingle; null texts and texts without words are copies of each
+other; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rangeledger.llm.common import cut, join_bounded
+from rangeledger.llm.components import components
+from rangeledger.llm.text import slices, word_pieces
+
+STAR_ROUNDS = 3
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the word shingles of the whole text."""
+    digest = xxhash.xxh64_intdigest
+    parts, tail, words = [], [], []
+    for piece in word_pieces((text or "").encode().lower()):
+        words = tail + piece
+        parts.append(np.array([digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)], dtype=np.uint64))
+        tail = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+    return found if len(found) or not words else np.array([digest(b" ".join(words), 42)], dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """A key per band, of ``width`` minima each; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.uint64)
+    rnd = np.random.default_rng(42)
+    flip, odd, mix = (rnd.integers(0, 1 << 63, bands * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+    least = np.full(bands * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[at : at + 2048] ^ flip[:, None]) * odd[:, None]).min(axis=1))
+    return ((least ^ (least >> np.uint64(29))) * mix).reshape(bands, width).sum(axis=1, dtype=np.uint64)
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows apart by id and text."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+
+
+def shingle_sets(rows: DataFrame, shingle: int, bands: int, width: int) -> DataFrame:
+    """From doc_id, row_key and text: doc_id, row_key, set_id, size and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(2)]
+            ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in hashes], dtype=np.uint64).view(np.int64)
+            keys = [band_keys(h, bands, width).view(np.int64) for h in hashes]
+            columns = [batch.column(0), batch.column(1), pa.array(ids), pa.array([len(h) for h in hashes], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "set_id", "size", "keys"])
+
+    light = rows.select("doc_id", "row_key", F.col("text").cast("string").alias("text"))
+    fields = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return light.mapInArrow(run, T.StructType([light.schema["doc_id"], light.schema["row_key"], *fields]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose sets have the similarity."""
+    left, right = (sets.select(F.col("set_id").alias(n), F.col("hashes").alias(f"h_{n}")) for n in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("h_a", "h_b"))
+    return both.where(common / (F.size("h_a") + F.size("h_b") - common) >= similarity).select("a", "b")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 32, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, row_key and root, equal for the rows of a component."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    marked = cut(shingle_sets(rows, shingle, bands, width))
+    keyed = marked.select("set_id", "size", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = cut(join_bounded(keyed, cut(shared), "key"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["set_id", "hashes"])
+
+    # One row's text stands for each set that meets another.
+    met = cut(keyed.select("set_id").distinct())
+    stands = join_bounded(marked, met, "set_id").groupBy("set_id").agg(F.min("row_key").alias("row_key"))
+    found = join_bounded(rows.select("row_key", F.col("text").cast("string").alias("text")), cut(stands), "row_key")
+    sets = cut(found.select("set_id", "text").mapInArrow(texts, "set_id long, hashes array<long>").dropDuplicates(["set_id"]))
+
+    fits = F.least("size", "other_size") >= F.lit(similarity) * F.greatest("size", "other_size")
+    links, tried, roots = None, None, None
+    for turn in range(STAR_ROUNDS + 1):
+        members = keyed.withColumn("root", F.col("set_id")) if roots is None else join_bounded(keyed, roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        members = cut(join_bounded(members, cut(apart), "key"))
+        if members.isEmpty():
+            break
+        if turn < STAR_ROUNDS:
+            chosen = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), F.col("set_id").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))).alias("c"))
+            met_pairs = members.join(chosen.select("key", "c.other", "c.other_size", "c.other_root"), "key").where("root != other_root")
+        else:
+            other = members.select("key", F.col("set_id").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+            met_pairs = members.join(other, "key").where("root != other_root and set_id < other")
+        pairs = met_pairs.where(fits).select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = cut(_confirmed(pairs, sets, similarity))
+        if new.isEmpty():
+            continue
+        links = new if links is None else links.unionByName(new)
+        roots = cut(components(links).withColumnRenamed("node", "set_id"))
+    out = marked.select("doc_id", "row_key", "set_id")
+    out = out.withColumn("root", F.lit(None).cast("long")) if roots is None else join_bounded(out, roots, "set_id", "left")
+    return out.select("doc_id", "row_key", F.coalesce("root", "set_id").alias("root"))
