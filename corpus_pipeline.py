@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  ``run`` applies them in turn, writing each
 result to the shared folder and reading it as the next one's input.
 
-Defined cases, besides those of the operators: rows without an id are never
-dropped as duplicates; rows that share an id count as one document for removal
-and mixing; columns other than those of ``documents`` are dropped at the start.
+Defined cases, besides those of the operators: near copies are removed by row (id
+and text), rows without an id too; rows that share an id count as one document for
+mixing; columns other than those of ``documents`` are dropped at the start.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rangeledger.llm.bpe import bpe_round_trip
 from rangeledger.llm.common import cut, join_bounded, scratch
-from rangeledger.llm.minhash import near_copies
+from rangeledger.llm.minhash import near_copies, row_key
 from rangeledger.llm.mixing import mix_sources
 from rangeledger.llm.quality import fit_quality, quality_score
 from rangeledger.llm.substring import dedup_substrings
@@ -33,16 +33,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: texts
+    """One row, the least by id, of each group of near copies: texts
     whose five-word shingles have a Jaccard similarity of 0.8 or more are linked."""
     docs = docs.select(*COLUMNS)
-    marked = cut(near_copies(docs, shingle=5, similarity=0.8))
-    least = cut(marked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    losers = cut(join_bounded(marked, least, "root").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = join_bounded(docs, losers, "doc_id", "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    marked = cut(near_copies(docs, shingle=5, similarity=0.8).select("doc_id", "row_key", "root"))
+    # Ids before null ids; the key settles texts that share an id.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    least = cut(marked.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.row_key").alias("first_key")))
+    several = join_bounded(marked, least, "root")
+    losers = cut(several.where(F.col("row_key") != F.col("first_key")).select("row_key").distinct())
+    # Rows alike in id and text have one key: of these one least row stays.
+    alike = cut(several.where(F.col("row_key") == F.col("first_key")).groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"))
+    kept = join_bounded(docs.withColumn("row_key", row_key()), losers, "row_key", "left_anti")
+    rest = join_bounded(kept, alike, "row_key", "left_anti").select(*COLUMNS)
+    once = join_bounded(kept, alike, "row_key").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rest.unionByName(once)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

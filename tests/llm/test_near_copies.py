@@ -45,3 +45,15 @@ def test_stage_removes_near_copies(spark):
     rows = near_rows()
     kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == all_pairs(rows)
+
+
+def test_stage_decides_on_rows(spark):
+    """Shared and null ids: different texts stay, of copies one least row."""
+    word = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [
+        (1, word("a"), "en", "s", 1), (1, word("b"), "en", "s", 1), (2, word("b"), "en", "s", 1), (None, word("b"), "en", "s", 1),
+        (None, word("c"), "en", "s", 1), (None, word("c"), "en", "r", 1), (3, word("a"), "en", "s", 1), (3, word("d"), "en", "s", 1), (4, word("d"), "en", "s", 1),
+    ]
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "")
+    want = [(1, "a0", "s"), (1, "b0", "s"), (3, "d0", "s"), (None, "c0", "r")]
+    assert sorted(((r["doc_id"], r["text"].split()[0], r["source"]) for r in kept.collect()), key=str) == sorted(want, key=str)
