@@ -29,7 +29,7 @@ class Engine:
         return filters.filtered(tables.transactions(self.spark, self.sf_dir), f)
 
     def holdings(self, f: Filters) -> DataFrame:
-        return holdings.estimated(holdings.grouped(self.transactions(f)), tables.baseline(self.spark, self.sf_dir))
+        return holdings.estimated(holdings.grouped(self.transactions(f)), tables.baseline(self.spark, self.sf_dir, whole=True))
 
     def index(self, f: Filters) -> DataFrame:
         """Scores are scaled to the filtered holdings, so a filter changes them."""

@@ -118,12 +118,13 @@ def sector_tiles(spark: SparkSession, d: str) -> DataFrame:
     return sectors.sector_tiles(sectors.sector_summary(tables.transactions(spark, d)))
 
 
-def _holding_tx(spark: SparkSession, d: str) -> DataFrame:
-    return tables.transactions(spark, d).where("p_size <= 25")
+def _holding_tx(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    tx = tables.transactions(spark, d)
+    return tx if whole else tx.where("p_size <= 25")
 
 
-def _held(spark: SparkSession, d: str) -> DataFrame:
-    return holdings.estimated(holdings.grouped(_holding_tx(spark, d)), tables.baseline(spark, d))
+def _held(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return holdings.estimated(holdings.grouped(_holding_tx(spark, d, whole)), tables.baseline(spark, d, whole))
 
 
 GROUPS = f"""{TX}, h AS (SELECT *, {_key_sql('description')} AS k FROM tx WHERE p_size <= 25),
@@ -148,8 +149,8 @@ e AS (SELECT g.security_key, coalesce(b.description, g.description) AS descripti
 
 @query(f"""WITH {GROUPS} SELECT security_key, description, ticker, asset_type, sector, bmid AS baseline_midpoint, pmid AS purchase_midpoint, smid AS sale_midpoint,
 clo AS current_min, chi AS current_max, cmid AS current_midpoint, transaction_count, purchase_count, sale_count, last_date, missing_baseline FROM e""")
-def holdings_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return _held(spark, d).select(
+def holdings_estimate(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _held(spark, d, whole).select(
         "security_key", "description", "ticker", "asset_type", "sector", F.col("baseline.midpoint").alias("baseline_midpoint"), F.col("purchases.midpoint").alias("purchase_midpoint"),
         F.col("sales.midpoint").alias("sale_midpoint"), F.col("current.min").alias("current_min"), F.col("current.max").alias("current_max"), F.col("current.midpoint").alias("current_midpoint"),
         "transaction_count", "purchase_count", "sale_count", "last_date", "missing_baseline",
@@ -157,9 +158,9 @@ def holdings_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {GROUPS} SELECT baseline_id, k AS base_key FROM b WHERE k NOT IN (SELECT security_key FROM g)")
-def holdings_anti_baseline(spark: SparkSession, d: str) -> DataFrame:
-    keys = _holding_tx(spark, d).select(text.security_key(F.col("description")).alias("base_key"))
-    base = tables.baseline(spark, d).select("baseline_id", text.security_key(F.col("description")).alias("base_key"))
+def holdings_anti_baseline(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    keys = _holding_tx(spark, d, whole).select(text.security_key(F.col("description")).alias("base_key"))
+    base = tables.baseline(spark, d, whole).select("baseline_id", text.security_key(F.col("description")).alias("base_key"))
     return base.join(keys, "base_key", "left_anti").select("baseline_id", "base_key")
 
 
@@ -172,8 +173,8 @@ s AS (SELECT *, {ROUND1.format('exposure * 0.5::DOUBLE + change * 0.3::DOUBLE +
 
 @query(f"""WITH {INDEX} SELECT security_key, cmid AS current_mid, prev AS previous_mid, chg AS change_mid, round(CASE WHEN prev > 0 THEN chg / prev * 100 WHEN cmid > 0 THEN 100.0 END, 6) AS change_pct,
 exposure, change, activity, score, CASE WHEN pmid - smid > 0 THEN 'Net buy' WHEN pmid - smid < 0 THEN 'Net sale' ELSE 'Hold' END AS direction FROM s""")
-def index_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = holdings.scored(_held(spark, d))
+def index_scores(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    scored = holdings.scored(_held(spark, d, whole))
     return scored.select("security_key", "current_mid", "previous_mid", "change_mid", F.round("change_pct", 6).alias("change_pct"), "exposure", "change", "activity", "score", "direction")
 
 
@@ -182,13 +183,13 @@ r AS (SELECT kind, key, security_key, row_number() OVER (PARTITION BY kind, key
 SELECT kind, key, count(*) AS entry_count, sum(cmid) AS current_mid, sum(pmid) AS purchase_mid, sum(smid) AS sale_mid, sum(pmid - smid) AS net_mid,
 {ROUND1.format('round(sum(score), 6) / count(*)')} AS average_score,
 (SELECT string_agg(security_key, '|' ORDER BY rank) FROM r WHERE r.kind = u.kind AND r.key = u.key AND rank <= 5) AS top_entries FROM u GROUP BY kind, key""")
-def index_rollups(spark: SparkSession, d: str) -> DataFrame:
-    return holdings.rollups(holdings.scored(_held(spark, d)))
+def index_rollups(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return holdings.rollups(holdings.scored(_held(spark, d, whole)))
 
 
 def _leader(by: str, order: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return holdings.leaders(holdings.scored(_held(spark, d)), by).select("security_key", "current_mid", "change_mid", "net_mid")
+    def run(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+        return holdings.leaders(holdings.scored(_held(spark, d, whole)), by).select("security_key", "current_mid", "change_mid", "net_mid")
 
     run.__name__ = f"index_leaders_{by}"
     query(f"WITH {INDEX} SELECT security_key, cmid AS current_mid, chg AS change_mid, pmid - smid AS net_mid FROM s ORDER BY {order}, security_key LIMIT 5")(run)
@@ -233,8 +234,8 @@ def monthly_activity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TX}, r AS (SELECT * FROM tx WHERE month(date) % 3 = 0), f AS (SELECT strftime(date, '%Y-%m') AS month, {FLOW} FROM r GROUP BY 1),
 sp AS (SELECT strftime(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM r)
 SELECT month, purchase_midpoint, sale_midpoint, transaction_count FROM sp LEFT JOIN f USING (month)""")
-def gap_filled_flow(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.gap_filled_flow(tables.transactions(spark, d).where(F.month("date") % 3 == 0))
+def gap_filled_flow(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return timeline.gap_filled_flow(tables.transactions(spark, d).where(F.lit(whole) | (F.month("date") % 3 == 0)))
 
 
 @query(f"WITH {TX} SELECT asset_type, count(*) AS n, sum(mid) AS midpoint FROM tx GROUP BY asset_type")
@@ -253,9 +254,9 @@ def facet_counts(spark: SparkSession, d: str) -> DataFrame:
 sp AS (SELECT unnest(generate_series(min(year(date)) - 1, max(year(date)) + 1)) AS year FROM tx)
 SELECT year::INTEGER AS year, coalesce(transaction_count, 0) AS transaction_count, coalesce(purchase_midpoint, 0) AS purchase_midpoint, coalesce(sale_midpoint, 0) AS sale_midpoint,
 round(coalesce(nullif(asset_value, 0), coalesce(purchase_midpoint, 0)), 2) AS exposure FROM sp LEFT JOIN y USING (year) LEFT JOIN a USING (year)""")
-def yearly_exposure(spark: SparkSession, d: str) -> DataFrame:
+def yearly_exposure(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     orders = tables.table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
-    assets = orders.where("year % 2 = 0").groupBy("year").agg(F.sum("o_totalprice").alias("asset_value"))
+    assets = orders.where(F.lit(whole) | (F.col("year") % 2 == 0)).groupBy("year").agg(F.sum("o_totalprice").alias("asset_value"))
     return timeline.yearly_exposure(tables.transactions(spark, d), assets).withColumn("exposure", F.round("exposure", 2))
 
 
@@ -353,8 +354,8 @@ def _config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("Brand#1", ["tariff-holding", "foreign-policy"]), ("Brand#5", ["regulatory-holding"]), ("Brand#9", ["fed-rate-sensitive", "regulatory-holding"])], schema)
 
 
-def _conflict_holdings(spark: SparkSession, d: str) -> DataFrame:
-    held = _held(spark, d)
+def _conflict_holdings(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    held = _held(spark, d, whole)
     return held.select(F.col("security_key").alias("holding_id"), "ticker", F.col("description").alias("name"), "sector", F.col("current.midpoint").alias("value"))
 
 
@@ -363,8 +364,8 @@ pc AS (SELECT 'policy-' || ticker || '-' || category AS indicator_id, CASE WHEN
 
 
 @query(f"{POLICY} SELECT * FROM pc")
-def conflict_policy(spark: SparkSession, d: str) -> DataFrame:
-    return events.policy_conflicts(_conflict_holdings(spark, d), _config(spark))
+def conflict_policy(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return events.policy_conflicts(_conflict_holdings(spark, d, whole), _config(spark))
 
 
 FED = f"""{POLICY}, ft AS (SELECT coalesce(sum(cmid), 0) AS value, count(*) AS n FROM e WHERE sector = 'EUROPE'),
@@ -470,9 +471,9 @@ def ambiguity_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS customers, max(c_name) AS cname FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers, max(s_name) AS sname FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1)
 SELECT k, coalesce(cname, sname) AS name, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers, concat_ws('|', CASE WHEN cname IS NOT NULL THEN 'customer' END, CASE WHEN sname IS NOT NULL THEN 'supplier' END) AS sources FROM c FULL JOIN s USING (k)""")
-def full_outer_reference(spark: SparkSession, d: str) -> DataFrame:
-    c = tables.table(spark, d, "customer").where("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"), F.max("c_name").alias("cname"))
-    s = tables.table(spark, d, "supplier").where("s_nationkey % 4 <> 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"), F.max("s_name").alias("sname"))
+def full_outer_reference(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    c = tables.table(spark, d, "customer").where(F.lit(whole) | (F.col("c_nationkey") % 3 != 0)).groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"), F.max("c_name").alias("cname"))
+    s = tables.table(spark, d, "supplier").where(F.lit(whole) | (F.col("s_nationkey") % 4 != 0)).groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"), F.max("s_name").alias("sname"))
     none = F.lit(0).cast("long")
     sources = F.concat_ws("|", F.when(F.col("cname").isNotNull(), "customer"), F.when(F.col("sname").isNotNull(), "supplier"))
     return c.join(s, "k", "full").select("k", F.coalesce("cname", "sname").alias("name"), F.coalesce("customers", none).alias("customers"), F.coalesce("suppliers", none).alias("suppliers"), sources.alias("sources"))
@@ -480,8 +481,8 @@ def full_outer_reference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT s_nationkey AS k, 'new' AS origin, max(s_acctbal) AS value FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1 UNION ALL
 SELECT c_nationkey, 'old', max(c_acctbal) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0) GROUP BY 1""")
-def priority_merge(spark: SparkSession, d: str) -> DataFrame:
-    new = tables.table(spark, d, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("value")).withColumn("origin", F.lit("new"))
+def priority_merge(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    new = tables.table(spark, d, "supplier").where(F.lit(whole) | (F.col("s_nationkey") % 2 == 0)).groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("value")).withColumn("origin", F.lit("new"))
     old = tables.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("value")).withColumn("origin", F.lit("old"))
     return joins.priority_union(["k"], new, old).select("k", "origin", "value")
 
@@ -504,10 +505,10 @@ def tagged_pages(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH h AS (SELECT p_brand AS ticker, sum(l_extendedprice) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), q AS (SELECT p_brand AS ticker, max(p_retailprice) AS price, min(p_retailprice) AS previous_close FROM part WHERE p_brand < 'Brand#2' GROUP BY 1)
 SELECT round(sum(coalesce(cost / nullif(previous_close, 0) * price, cost)), 2) AS market_value, round(sum(cost), 2) AS cost, count(price) AS quoted, round(sum(coalesce(cost / nullif(previous_close, 0) * price, cost)) - sum(cost), 2) AS gain,
 round((sum(coalesce(cost / nullif(previous_close, 0) * price, cost)) - sum(cost)) / sum(cost) * 100, 6) AS gain_pct FROM h LEFT JOIN q USING (ticker)""")
-def market_join(spark: SparkSession, d: str) -> DataFrame:
+def market_join(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     part = tables.table(spark, d, "part")
     held = tables.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker")).agg(F.sum("l_extendedprice").alias("cost"))
-    quotes = part.where("p_brand < 'Brand#2'").groupBy(F.col("p_brand").alias("ticker")).agg(F.max("p_retailprice").alias("price"), F.min("p_retailprice").alias("previous_close"))
+    quotes = part.where(F.lit(whole) | (F.col("p_brand") < "Brand#2")).groupBy(F.col("p_brand").alias("ticker")).agg(F.max("p_retailprice").alias("price"), F.min("p_retailprice").alias("previous_close"))
     totals = sectors.portfolio_totals(sectors.market_values(held, quotes))
     return totals.select(*(F.round(c, 2).alias(c) for c in ("market_value", "cost", "gain")), "quoted", F.round("gain_pct", 6).alias("gain_pct"))
 
@@ -543,3 +544,31 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     sold = groups.where("sale_count > purchase_count").orderBy("security_key").limit(200)
     sold = sold.select(F.lit(0).alias("source"), F.col("security_key").alias("related_id"), F.lit("medium").alias("severity"), F.lit("classification").alias("kind"))
     return sold.unionByName(missing).orderBy("source", "related_id").limit(500)
+
+
+#: What narrows the input of some queries, beside their SQL as it is given.
+NARROWED = [
+    " WHERE p_size <= 25", " WHERE p_partkey % 4 = 0", " WHERE month(date) % 3 = 0", " WHERE year(o_orderdate) % 2 = 0", " WHERE c_nationkey % 3 <> 0", " WHERE s_nationkey % 4 <> 0",
+    " WHERE s_nationkey % 2 = 0", " WHERE p_brand < 'Brand#2'",
+]
+
+
+def _whole(name: str) -> None:
+    """The query over the whole tables, beside its SQL without what narrows it."""
+    sql = SQL[name]
+    for condition in NARROWED:
+        sql = sql.replace(condition, "")
+    narrow = QUERIES[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return narrow(spark, d, whole=True)
+
+    run.__name__ = f"{name}_all"
+    query(sql)(run)
+
+
+for _name in (
+    "holdings_estimate", "holdings_anti_baseline", "index_scores", "index_rollups", "index_leaders_exposure", "index_leaders_mover", "index_leaders_buy", "index_leaders_sell", "conflict_policy",
+    "gap_filled_flow", "yearly_exposure", "full_outer_reference", "priority_merge", "market_join",
+):
+    _whole(_name)

@@ -37,9 +37,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, description, ticker, asset_type, value of every fourth part."""
-    part = table(spark, sf_dir, "part").where(F.col("p_partkey") % 4 == 0)
+def baseline(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """id, description, ticker, asset_type, value of every fourth or each part."""
+    part = table(spark, sf_dir, "part").where(F.lit(whole) | (F.col("p_partkey") % 4 == 0))
     return part.select(
         F.col("p_partkey").alias("baseline_id"), F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.col("p_brand").alias("ticker"),
         F.col("p_type").alias("asset_type"), bracket_of(F.col("p_retailprice")).alias("value"),
