@@ -15,3 +15,8 @@ def test_holdings_count_each_transaction_and_part(spark):
     names = parts.select(F.concat_ws(" ", "p_name", "p_brand")).distinct().count()
     assert Engine(spark, SMALL).holdings(Filters()).count() <= names and not held.where("missing_baseline and baseline_midpoint > 0").count()
     assert QUERIES["market_join_all"](spark, SMALL).first()["quoted"] == parts.select("p_brand").distinct().count()
+
+
+def test_each_error_event_meets_the_rate_rule(spark):
+    errors = spark.read.parquet(f"{SMALL}/events.parquet").where("event_type = 'error'").count()
+    assert QUERIES["conflict_fed_all"](spark, SMALL).count() == errors
