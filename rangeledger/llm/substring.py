@@ -4,14 +4,16 @@ A window is ``width`` consecutive words.  Identical windows have the same least
 hash of their inner grams (a minimiser), and each start of a window brings an
 occurrence of it of its own, so counts of minimisers never fall below counts of
 windows.  First pass: every task counts its minimisers in a count-min sketch,
-sent as the touched cells of its blocks; blocks are merged by sums, and a bit
+sent as what touched its blocks; blocks are merged by sums, and a bit
 per cell keeps whether two or more fell in it.  Second pass: only windows whose
 minimiser is estimated at two or more in every row of the sketch are hashed
 (128 bits over all their words) and grouped exactly; nothing repeated is lost.
 
-The bits are broadcast; ``max_cells`` bounds them (32 MB a row of the sketch
+The bits are broadcast; ``max_cells`` bounds them (16 MB a row of the sketch
 at the default).  A corpus beyond it fills the cells, so that more windows reach
-the exact grouping, with the same result.
+the exact grouping, with the same result.  Later copies of whole texts are found
+by hash first and stay out of both passes (all ids whole and unique, and at most
+``COPY_ROWS`` copies; else their windows are grouped like any other).
 
 Words covered by a window that also starts earlier (smaller id, or same id and
 earlier start) are removed, as judged on the input.
@@ -19,7 +21,8 @@ earlier start) are removed, as judged on the input.
 Defined cases: a null text has no words; null ids come last; rows with one id
 and the same text are alike and neither is the earlier, rows with one id and
 different texts are ordered by start, then by the text's hash; texts shorter than a window keep all; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns stay as they are, but for ``n_words``, ``n_removed`` and
+``kept_text``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -36,11 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns
+from rangeledger.llm.common import add_columns, cut
+from rangeledger.llm.text import slices
 
 BLOCK_BITS = 20
 ROWS = 2
-_KEPT_WORDS = 400_000
+#: Most rows of the list of later copies that is broadcast.
+COPY_ROWS = 500_000
+_KEPT_WORDS = 150_000
+#: Texts worked on at once, which bounds a task's memory.
+SLICE_ROWS = 250
 
 
 class WordHashes(dict):
@@ -106,10 +114,17 @@ def minimisers(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return least, grams[covering == grams]
 
 
-def _cells(m: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each minimiser in every row of the sketch."""
-    mask = np.uint64(cells - 1)
-    return [(m >> np.uint64(3)) & mask, _mix(m ^ np.uint64(0x5851F42D4C957F2D)) & mask]
+def _blocks(m: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Per minimiser its block of cells and 31 bits that place it there; the bits of an offset."""
+    bits = min(BLOCK_BITS, cells.bit_length() - 1)
+    block = (m >> np.uint64(34)) & np.uint64((cells >> bits) - 1)
+    return block.astype(np.int64), ((m >> np.uint64(3)) & np.uint64(0x7FFFFFFF)).astype("<u4"), bits
+
+
+def _offsets(rest: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell within a block in either row of the sketch."""
+    other = (rest * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    return [rest & np.uint32((1 << bits) - 1), other]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -118,59 +133,64 @@ def _words(text: str | None) -> list[bytes]:
 
 def sketch_of(docs: DataFrame, width: int, cells: int) -> list[np.ndarray]:
     """Bits of the cells that two or more minimisers fell in, per row."""
-    bits = BLOCK_BITS if cells >= 1 << BLOCK_BITS else cells.bit_length() - 1
+    bits = min(BLOCK_BITS, cells.bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
 
         def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for row, cell in enumerate(_cells(np.concatenate(found), cells)):
-                touched, n = np.unique(cell, return_counts=True)
-                block = (touched >> np.uint64(bits)).astype(np.int64)
-                starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-                for s, e in zip(starts, [*starts[1:], len(block)], strict=True):
-                    low = (touched[s:e] & np.uint64((1 << bits) - 1)).astype("<u4")
-                    # A cell's offset in the block, its top bit set if two or more fell in it.
-                    packed = low | ((n[s:e] > 1).astype("<u4") << np.uint32(31))
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([int(block[s])], pa.int64()), pa.array([packed.tobytes()], pa.binary())], names=["row", "block", "cells"])
+            block, rest, _ = _blocks(np.concatenate(found), cells)
+            key, n = np.unique((block << 32) | rest, return_counts=True)
+            block = key >> 32
+            # Its top bit is set if two or more were met here.
+            packed = (key & 0x7FFFFFFF).astype("<u4") | ((n > 1).astype("<u4") << np.uint32(31))
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
+            parts = [packed[s:e].tobytes() for s, e in zip(starts, [*starts[1:], len(block)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(parts, pa.binary())], names=["block", "cells"])
 
         held: list[np.ndarray] = []
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             for text in batch.column(0):
                 words = _words(text.as_py())
                 if len(words) >= width:
                     held.append(minimisers(hashes.of(words)[:, 0], width)[1])
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield from flush(held)
                 held = []
         if held:
             yield from flush(held)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, twice = np.zeros(1 << bits, dtype=bool), np.zeros(1 << bits, dtype=bool)
+        seen, twice = np.zeros((ROWS, 1 << bits), dtype=bool), np.zeros((ROWS, 1 << bits), dtype=bool)
         for batch in batches:
             for packed in batch.column("cells"):
                 cell = np.frombuffer(packed.as_buffer(), dtype="<u4")
-                many, at = cell >> 31 == 1, cell & np.uint32(0x7FFFFFFF)
-                twice[at] |= seen[at] | many
-                seen[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["row", "block", "bits"])
-
-    touched = docs.select("text").mapInArrow(count, "row int, block long, cells binary")
-    merged = touched.groupBy("row", "block").applyInArrow(merge, "row int, block long, bits binary")
-    out = [np.zeros(cells // 8 or 1, dtype=np.uint8) for _ in range(ROWS)]
-    for r in merged.toLocalIterator():  # at most ROWS * max_cells bits in all
-        got = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-        at = r["block"] * len(got)
-        out[r["row"]][at : at + len(got)] = got
+                many = cell >> 31 == 1
+                for row, at in enumerate(_offsets(cell & np.uint32(0x7FFFFFFF), bits)):
+                    # Of one message's cells each may be met by several minimisers.
+                    count = np.bincount(at, minlength=1 << bits)
+                    twice[row] |= (count > 1) | (seen[row] & (count > 0))
+                    twice[row][at[many]] = True
+                    seen[row] |= count > 0
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(twice, axis=1).tobytes()], pa.binary())], names=["block", "bits"])
+
+    touched = docs.select("text").mapInArrow(count, "block long, cells binary")
+    merged = touched.groupBy("block").applyInArrow(merge, "block long, bits binary")
+    out = [np.zeros(cells // 8, dtype=np.uint8) for _ in range(ROWS)]
+    # At most ROWS * max_cells bits in all; written first, so that the tasks run side by side.
+    for r in cut(merged).toLocalIterator():
+        got = np.frombuffer(bytes(r["bits"]), dtype=np.uint8).reshape(ROWS, -1)
+        for row in range(ROWS):
+            out[row][r["block"] * got.shape[1] : (r["block"] + 1) * got.shape[1]] = got[row]
     return out
 
 
 def _estimated_twice(sketch: list[np.ndarray], m: np.ndarray) -> np.ndarray:
-    cells = len(sketch[0]) * 8
+    block, rest, bits = _blocks(m, len(sketch[0]) * 8)
     twice = np.ones(len(m), dtype=bool)
-    for bits, cell in zip(sketch, _cells(m, cells), strict=True):
-        twice &= (bits[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    for row, at in zip(sketch, _offsets(rest, bits), strict=True):
+        cell = (block << bits) | at
+        twice &= (row[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
     return twice
 
 
@@ -187,7 +207,7 @@ def first_windows(docs: DataFrame, width: int, sketch: Broadcast, start_bits: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             row, start, first, second = [], [], [], []
             for n, text in enumerate(batch.column(2)):
                 words = _words(text.as_py())
@@ -235,47 +255,66 @@ def _kept(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _place_bits(docs: DataFrame) -> tuple[int, int]:
-    """An upper bound of all words, and the bits a start needs if id and start
+    """The bytes of all texts, and the bits a start needs if id and start
     fit one long (ids whole, unique and not negative), else 0."""
     longest, volume, null_ids = F.max(F.octet_length("text")), F.sum(F.octet_length("text").cast("long")), F.count_if(F.col("doc_id").isNull())
     whole = docs.schema["doc_id"].dataType in (T.LongType(), T.IntegerType(), T.ShortType())
     low, high = (F.min("doc_id"), F.max("doc_id")) if whole else (F.lit(-1), F.lit(-1))
     row = docs.agg(longest, volume, null_ids, low, high).first()
-    words = (row[1] or 0) // 2 + 1
     bits = ((row[0] or 0) // 2 + 1).bit_length()
     fits = whole and not row[2] and row[3] is not None and row[3] >= 0 and row[4] < 1 << (62 - bits)
     fits = fits and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return words, bits if fits else 0
+    return row[1] or 0, bits if fits else 0
+
 
+def later_copies(docs: DataFrame, width: int) -> DataFrame | None:
+    """doc_id of each text that stands whole under a smaller id too; None if they
+    are too many to broadcast.  Only hashes and ids are shuffled."""
+    hashed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")).where(F.octet_length("text") >= 2 * width - 1)
+    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = cut(hashed.join(firsts, "h").where("doc_id <> first").select("doc_id"))
+    return later if later.count() <= COPY_ROWS else None
 
-def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 28) -> DataFrame:
+
+def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 27) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text: the words kept, joined by
     one space (the original text where nothing is removed).
 
     What a task suspects in a text it suspects again when it removes; so only the
-    first places are brought to each document, and all others suspected go."""
+    first places are brought to each document, and all others suspected go.  A
+    later copy of a whole text loses every word and is the first place of none,
+    so it takes no part in the sketch and the grouping."""
+    spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept_text")
     names, schema = docs.columns, docs.schema
     id_at, text_at = names.index("doc_id"), names.index("text")
-    words, start_bits = _place_bits(docs.select("doc_id", "text"))
+    volume, start_bits = _place_bits(docs.select("doc_id", "text"))
     # Any column name may be in docs: inside they go by number.
     base = docs.toDF(*(f"c{i}" for i in range(len(names))))
     keyed = base.withColumn("k", F.lit(0).cast("long") if start_bits else F.coalesce(F.xxhash64(f"c{text_at}"), F.lit(0)))
     light = keyed.select(F.col(f"c{id_at}").alias("doc_id"), F.col("k").alias("text_key"), F.col(f"c{text_at}").cast("string").alias("text"))
-    wanted = 1 << max(10, words.bit_length())  # words take six bytes or so, minimisers one word in six
-    sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(light, width, min(max_cells, wanted)))
-    firsts = first_windows(light, width, sketch, start_bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.col("start").cast("int")).alias("firsts"))
+    later = later_copies(light, width) if start_bits else None
+    once = light if later is None else light.join(F.broadcast(later), "doc_id", "left_anti")
+    # Words take six bytes or so and minimisers are one word in six: eight cells for each.
+    wanted = 1 << max(10, (volume // 36 * 8).bit_length())
+    sketch = spark.sparkContext.broadcast(sketch_of(once, width, min(max_cells, wanted)))
+    firsts = first_windows(once, width, sketch, start_bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.col("start").cast("int")).alias("firsts"))
+    marks = firsts.withColumn("copy", F.lit(False))
+    if later is not None:
+        marks = marks.unionByName(later.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(None).cast("array<int>").alias("firsts"), F.lit(True).alias("copy")))
     on = F.col(f"c{id_at}").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))
-    joined = keyed.join(firsts.hint("shuffle_hash"), on, "left").select(*base.columns, "firsts")
+    joined = keyed.join(marks, on, "left").select(*base.columns, "firsts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             total, removed, kept_text = [], [], []
-            for text, first in zip(batch.column(text_at), batch.column(len(names)), strict=True):
+            for text, first, copy in zip(batch.column(text_at), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
                 text = text.as_py()
                 words, gone = _words(text), 0
-                if len(words) >= width:
+                if len(words) >= width and copy.as_py():
+                    text, gone = "", len(words)
+                elif len(words) >= width:
                     later = _suspected(hashes.of(words), width, sketch.value)
                     if first.is_valid:
                         later = np.setdiff1d(later, first.values.to_numpy(zero_copy_only=False), assume_unique=True)
@@ -298,7 +337,7 @@ def substring_digest(docs: DataFrame, width: int = 20) -> DataFrame:
     done = dedup_substrings(docs.select("doc_id", "text"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             digest = [hashlib.sha256(b" ".join(_words(t.as_py()))).hexdigest() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 

@@ -103,6 +103,17 @@ def test_substring_dedup_with_few_cells(spark):
     assert sum(r["n_removed"] for r in done.collect()) == sum(r[2] for r in brute.dedup([r[:2] for r in rows], 20))
 
 
+def test_substring_dedup_of_whole_copies(spark):
+    """Later copies stay out of the sketch; their first place keeps its words."""
+    docs, rows = random_docs(spark, 60)
+    rows = [r[:2] for r in rows] + [(1000 + 60 * k + i, rows[i][1]) for k in range(3) for i in range(40)]
+    again = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("n_words", "n_removed", "kept_text", "firsts", "copy", "c0", "k")})
+    done = substring.dedup_substrings(again, 20)
+    assert done.columns == ["doc_id", "text", "firsts", "copy", "c0", "k", "n_words", "n_removed", "kept_text"]
+    assert {r["firsts"] for r in done.collect()} == {7}
+    assert key(digest(substring.substring_digest(again, 20))) == key(brute.dedup(rows, 20))
+
+
 def test_substring_tricky(tricky):
     done = substring.dedup_substrings(tricky, 20)
     assert done.columns[: len(tricky.columns)] == tricky.columns
