@@ -7,18 +7,24 @@ difference of the two sizes over their sum is turned into the probability of
 label 1 by logistic calibration on labelled texts not used for the dictionaries.
 
 Fitting uses at most ``sample_rows`` labelled rows of each class (those with the
-smallest hash of their id) and at most ``sample_chars`` characters of each; the
-calibration weighs the classes by their counts over all labels.  Scoring covers
-whole texts.
+smallest hash of their id; of documents that share an id the least text).  Half
+of them give at most ``text_blocks`` blocks each, drawn by hash from all over the
+text, to the dictionaries: what goes to the driver is bounded by
+``sample_rows * text_blocks`` blocks.  The other half calibrates: Spark compresses
+their whole texts and sends two numbers a row; classes are weighed by their counts
+over all labels.  Scoring covers whole texts.
 
 Defined cases: a null text is an empty one, whose score is that of no
 difference; a null id counts as the empty string in the split; rows sharing an
 id in the labels count once (the lowest label); with labels of one class only,
-every score is that class; with none it is 0.5; an empty table gives no rows.
+every score is that class; with none it is 0.5; an empty table gives no rows;
+labels without any of their documents give the share of label 1.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +32,9 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from rangeledger.llm.common import cut
 
 LEVEL = 3
 BLOCK_BYTES = 512
@@ -41,8 +50,16 @@ def _blocks(text: str | None) -> list[bytes]:
     return [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    blocks = [b for t in texts for b in _blocks(t)]
+def drawn_blocks(text: str | None, most: int) -> list[bytes]:
+    """At most ``most`` blocks of a whole text, those of least hash, in order."""
+    blocks = _blocks(text)
+    if len(blocks) <= most:
+        return blocks
+    least = heapq.nsmallest(most, range(len(blocks)), key=lambda i: zlib.crc32(blocks[i], i & 0xFFFFFFFF))
+    return [blocks[i] for i in sorted(least)]
+
+
+def _dictionary(blocks: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
@@ -94,7 +111,7 @@ def _calibrated(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: flo
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = 4000, sample_chars: int = 8192, dictionary_bytes: int = 65536
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = 4000, text_blocks: int = 8, dictionary_bytes: int = 65536
 ) -> QualityModel:
     """Fit on labelled rows outside fold 0."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (split_fold(F.col("doc_id")) != 0))
@@ -102,21 +119,38 @@ def fit_quality(
     counts = {r["label"]: r["n"] for r in known.where(F.col("label").isin(0, 1)).groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return QualityModel(b"", b"", 0.0, {0: -500.0, 1: 500.0}[next(iter(counts))] if counts else 0.0)
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = None
     for label in (0, 1):
-        some = known.where(F.col("label") == label).orderBy(*by_hash).limit(sample_rows)
+        some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        some = some.withColumn("train", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) % 2 == 1)
         picked = some if picked is None else picked.unionByName(some)
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, sample_chars)
-    # At most 2 * sample_rows ids are broadcast and as many short texts collected.
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").orderBy(*by_hash, "text").limit(4 * sample_rows).collect()
-    half = {label: [r["text"] for r in rows if r["label"] == label] for label in (0, 1)}
-    good, bad = (_dictionary(half[label][::2], dictionary_bytes) for label in (1, 0))
-    texts = half[0][1::2] + half[1][1::2] or half[0] + half[1]
-    label = np.array([0] * len(half[0][1::2]) + [1] * len(half[1][1::2]) or [0] * len(half[0]) + [1] * len(half[1]))
+    # At most 2 * sample_rows ids are broadcast; their texts stay on the executors.
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = cut(rows.groupBy("doc_id", "label", "train").agg(F.min("text").alias("text")))
+
+    @F.pandas_udf("array<binary>")
+    def drawn(texts: pd.Series) -> pd.Series:
+        return pd.Series([drawn_blocks(t, text_blocks) for t in texts])
+
+    def dictionary(label: int, part: DataFrame) -> bytes:
+        found = part.where(F.col("label") == label).orderBy("doc_id").select(drawn("text").alias("blocks")).collect()
+        return _dictionary([bytes(b) for r in found for b in r["blocks"]], dictionary_bytes)
+
+    good, bad = (dictionary(label, rows.where("train")) for label in (1, 0))
+
+    @F.pandas_udf("double")
+    def difference(texts: pd.Series) -> pd.Series:
+        return pd.Series(differences(good, bad, texts.tolist()))
+
+    rest = rows.where("not train")
+    both = rest.agg(F.count_distinct("label")).first()[0] == 2
+    found = (rest if both else rows).select("label", difference("text").alias("x"), F.hash("doc_id").alias("h")).toPandas().sort_values(["h", "x"])
+    label, x = found["label"].to_numpy(), found["x"].to_numpy()
+    if len(set(label.tolist())) < 2:
+        return QualityModel(good, bad, 0.0, float(np.log(counts[1] / counts[0])))
     n = {k: max(1, int((label == k).sum())) for k in (0, 1)}
     weight = np.where(label == 1, counts[1] / n[1], counts[0] / n[0]) * len(label) / (counts[0] + counts[1])
-    slope, offset = _calibrated(differences(good, bad, texts), label, weight)
+    slope, offset = _calibrated(x, label, weight)
     return QualityModel(good, bad, slope, offset)
 
 

@@ -337,6 +337,38 @@ def test_quality_held_out(spark):
     assert {r["doc_id"]: r["score"] for r in again} == {r["doc_id"]: r["score"] for r in out}
 
 
+def test_quality_score_equals_a_plain_version(spark, tricky):
+    """Sizes by the command-line format's own frames, block after block, and a logistic."""
+    import math
+
+    import zstandard
+
+    docs, labels = labelled(spark)
+    model = quality.fit_quality(docs, labels)
+    sizes = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False) for d in (model.good, model.bad)]
+    for r in tricky.withColumn("score", quality.quality_score(model)).collect():
+        data = (r["text"] or "").encode()
+        g, b = (sum(len(c.compress(data[i : i + 512])) for i in range(0, len(data), 512)) for c in sizes)
+        x = (b - g) / (b + g) if b + g else 0.0
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * x + model.offset)))) < 1e-12
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """Marks that stand only behind a long common opening are learned."""
+    rnd = random.Random(5)
+    opening = " ".join(rnd.choice("alpha beta gamma delta".split()) for _ in range(3000))
+    docs, labels = labelled(spark)
+    docs = docs.withColumn("text", F.concat(F.lit(opening + " "), F.repeat(F.concat("text", F.lit(" ")), 20)))
+    out = quality.score_documents(docs, quality.fit_quality(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in out) >= 0.9 * len(out)
+
+
+def test_drawn_blocks_come_from_all_over():
+    text = "".join(f"{i:06d}" for i in range(10_000))
+    at = [text.index(b.decode()) for b in quality.drawn_blocks(text, 8)]
+    assert len(at) == 8 and at == sorted(at) and all(i % 512 == 0 for i in at) and at[-1] > 20_000
+
+
 def test_quality_tricky(spark, tricky, empty):
     docs, labels = labelled(spark)
     model = quality.fit_quality(docs, labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1, 0), (3, None, 0)], labels.schema)))
