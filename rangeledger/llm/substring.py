@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut
+from rangeledger.llm.common import add_columns, cut, join_bounded
 from rangeledger.llm.text import slices
 
 BLOCK_BITS = 20
@@ -163,11 +163,11 @@ def sketch_of(docs: DataFrame, width: int, cells: int) -> list[np.ndarray]:
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, twice = np.zeros((ROWS, 1 << bits), dtype=bool), np.zeros((ROWS, 1 << bits), dtype=bool)
         for batch in batches:
-            for packed in batch.column("cells"):
-                cell = np.frombuffer(packed.as_buffer(), dtype="<u4")
+            for part in slices([batch], 64):
+                cell = np.frombuffer(b"".join(part.column("cells").to_pylist()), dtype="<u4")
                 many = cell >> 31 == 1
                 for row, at in enumerate(_offsets(cell & np.uint32(0x7FFFFFFF), bits)):
-                    # Of one message's cells each may be met by several minimisers.
+                    # Of several minimisers each may have met the same cell.
                     count = np.bincount(at, minlength=1 << bits)
                     twice[row] |= (count > 1) | (seen[row] & (count > 0))
                     twice[row][at[many]] = True
@@ -272,7 +272,7 @@ def later_copies(docs: DataFrame, width: int) -> DataFrame | None:
     are too many to broadcast.  Only hashes and ids are shuffled."""
     hashed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")).where(F.octet_length("text") >= 2 * width - 1)
     firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = cut(hashed.join(firsts, "h").where("doc_id <> first").select("doc_id"))
+    later = cut(join_bounded(hashed, cut(firsts), "h").where("doc_id <> first").select("doc_id"))
     return later if later.count() <= COPY_ROWS else None
 
 

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from rangeledger.llm import simhash
 from tests.llm import brute
-from tests.llm.conftest import SCHEMA
+from tests.llm.conftest import SCHEMA, tricky_rows
 
 
 def shingles(text, k=5):
@@ -57,3 +60,45 @@ def test_stage_decides_on_rows(spark):
     kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "")
     want = [(1, "a0", "s"), (1, "b0", "s"), (3, "d0", "s"), (None, "c0", "r")]
     assert sorted(((r["doc_id"], r["text"].split()[0], r["source"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def components_of(found):
+    least = {}
+    for r in found:
+        least[r["root"]] = min(least.get(r["root"], r["doc_id"]), r["doc_id"])
+    return sorted(least.values())
+
+
+def test_large_groups_by_stars_and_tiles(spark):
+    """Every group counts as large; no link is lost whatever the tiles."""
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for stars, tile_rows in ((1, 2), (2, 64)):
+        found = simhash.similar_texts(docs, group_rows=1, tile_rows=tile_rows, stars=stars).collect()
+        assert len(found) == len(rows) and components_of(found) == all_pairs(rows)
+
+
+def test_tricky_rows(tricky, empty):
+    rows = [r for r in tricky_rows() if r[0] is not None]
+    found = simhash.similar_texts(tricky.where("doc_id is not null")).collect()
+    assert len(found) == len(rows) and components_of(found) == all_pairs(rows)
+    assert len(simhash.similar_texts(tricky).collect()) == len(tricky_rows()) and simhash.similar_texts(empty).count() == 0
+
+
+def test_trie_pairs_of_two_labels():
+    """Equal fingerprints and labels, against all pairs."""
+    rnd = np.random.default_rng(3)
+    for labels in (1, 2, 30):
+        group, fp = np.sort(rnd.integers(0, 4, 200)), rnd.integers(0, 40, 200, dtype=np.uint64)
+        fp = fp[np.lexsort((fp, group))]
+        label = rnd.integers(0, labels, 200)
+        a, b = simhash.trie_pairs(group, fp, 2, label)
+        want = {(i, j) for j in range(200) for i in range(j) if group[i] == group[j] and label[i] != label[j] and int(fp[i] ^ fp[j]).bit_count() <= 2}
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want)
+
+
+def test_set_fingerprint_is_the_majority():
+    for text in ("", "one two", "a b c d e f g h", " ".join(map(str, range(500)))):
+        h = simhash.shingle_hashes(text, 3)
+        want = sum(1 << k for k in range(64) if len(h) and 2 * sum(int(x) >> k & 1 for x in h) > len(h))
+        assert simhash.set_fingerprint(h) == want
