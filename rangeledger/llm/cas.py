@@ -4,7 +4,7 @@ Texts become id streams, one per document with an end id.  A rolling hash over
 the last ids cuts a stream into chunks at content-defined places; a chunk is
 named by its SHA-256 and stored once.  A document's recipe lists its chunks; the
 recipes are files in ascending id order with the running start of every
-document, and a manifest holds a Merkle root per segment of them.  Reading back
+document, and a manifest holds a Merkle root per segment of ``SEGMENT_ROWS`` of them.  Reading back
 recomputes every chunk's name from its bytes and every root from its recipe, and
 fails on any difference.
 
@@ -19,7 +19,7 @@ are little-endian, two bytes where the vocabulary fits, else four.
 Defined cases: a null or empty text is the end id alone; null ids come last;
 rows sharing an id are documents of their own, ordered by their root; an empty
 table gives no rows; other columns are ignored; the strings of special tokens in
-a text are ordinary text.
+a text are their ids, as the library's plain call has it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from __future__ import annotations
 import array
 import functools
 import hashlib
+import json
 import os
+import re
 import sys
 import unicodedata
 import zlib
@@ -49,6 +51,12 @@ CUT_MASK = 511  # one place in 512
 LEAST, MOST = 64, 4096  # ids of a chunk
 _KEPT_WORDS = 500_000
 _KEPT_NAMES = 200_000
+#: Recipes under one root of the manifest.
+SEGMENT_ROWS = 4096
+#: What a tokenizer file must say for its texts to be encoded word by word.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_LETTERS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: ASCII marks but the apostrophe, which may begin a unit with letters.
 MARKS = b"".join(bytes([b]) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
@@ -64,10 +72,12 @@ def _byte_letters() -> list[str]:
 class WordIds(dict):
     """Ids (as bytes) of white-space separated words, remembered up to a bound.
 
-    The vocabulary lower-cases, drops white space and never splits across ASCII
-    white space, so the ids of a text are those of its words in turn.  A plain
+    A vocabulary that lower-cases, drops white space and never splits across ASCII
+    white space gives a text the ids of its words in turn; the file is checked to
+    be of that kind (``by_word``), and any other is asked for whole texts.  A plain
     word of letters, perhaps with marks behind it, is one unit of the merges (and
-    the marks another), which are asked for it directly."""
+    the marks another), which are asked for it directly.  Special tokens stand for
+    themselves wherever their strings are in a text, which is cut around them."""
 
     def __init__(self, tokenizer_file: str) -> None:
         super().__init__()
@@ -75,11 +85,20 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        told = json.loads(self.tokenizer.to_str())
+        added = {t["content"]: t["id"] for t in told["added_tokens"]}
+        plain = not any(t[flag] for t in told["added_tokens"] for flag in ("normalized", "lstrip", "rstrip", "single_word"))
+        split = told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [WORD_SPLIT, WORD_LETTERS]}
+        merged = told["model"]["type"] == "BPE" and told["model"]["end_of_word_suffix"] == "</w>" and not told["model"]["dropout"]
+        self.by_word = plain and split and merged and told["normalizer"] == WORD_NORMALIZER and told["post_processor"] is None
+        # Words come lower-cased and cut around special tokens: what looks like one in them is text.
+        self.tokenizer.encode_special_tokens = self.by_word
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.stems: dict[bytes, bytes] = {}
+        self.added = {text: self._packed([i]) for text, i in added.items()}
 
     def _packed(self, ids: list[int]) -> bytes:
         packed = array.array(self.code, ids)
@@ -115,9 +134,22 @@ class WordIds(dict):
             self[word] = found
         return found
 
-    def stream(self, text: str | None) -> bytes:
+    def _words(self, text: str) -> bytes:
         get = self.__getitem__
-        return b"".join([b"".join(map(get, words)) for words in word_pieces((text or "").encode().lower())])
+        return b"".join([b"".join(map(get, words)) for words in word_pieces(text.encode().lower())])
+
+    def stream(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_word:
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self.special is None or not self.special.search(text):
+            return self._words(text)
+        out, at = [], 0
+        for found in self.special.finditer(text):
+            out += [self._words(text[at : found.start()]), self.added[found.group()]]
+            at = found.end()
+        return b"".join([*out, self._words(text[at:])])
 
 
 @functools.lru_cache(maxsize=1)
@@ -202,20 +234,10 @@ def _objects(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
 
 
 def _stored_once(objects: DataFrame) -> DataFrame:
-    """Rows dealt by name, each chunk kept once; recipes of equal documents stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # the chunk names of one partition
-        for batch in batches:
-            keep = []
-            for recipe, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keep.append(recipe or name not in seen)
-                if not recipe:
-                    seen.add(name)
-            yield batch.filter(pa.array(keep))
-
-    salt = F.when(F.col("is_recipe"), F.xxhash64("doc_id")).otherwise(0)
-    return objects.repartition(F.col("name"), salt).mapInArrow(run, objects.schema)
+    """Each chunk once, recipes all: rows are dealt and sorted by name (the sort
+    spills), so that equal names are neighbours."""
+    own = F.when(F.col("is_recipe"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return objects.withColumn("own", own).repartition("name", "own").dropDuplicates(["name", "own"]).drop("own")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
@@ -225,29 +247,31 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) ->
     order = [F.col("doc_id").asc_nulls_last(), F.col("root").asc()]
     placed = recipes.withColumn("tie", F.monotonically_increasing_id())
     placed = placed.repartitionByRange(*order, F.col("tie")).sortWithinPartitions(*order, F.col("tie")).drop("tie")
-    placed = cut(placed.withColumn("segment", F.spark_partition_id()))
-    sums = placed.groupBy("segment").agg(F.sum("n_tokens").alias("ids"))
-    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    # A row's number within its range partition, and that partition's number.
+    placed = placed.withColumn("at", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("part", F.shiftright("at", 33)).withColumn("segment", F.expr(f"at div {SEGMENT_ROWS}")))
+    sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range partition: their number bounds the broadcast.
-    offsets = sums.select("segment", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    shaped = placed.join(F.broadcast(offsets), "segment").select("segment", "doc_id", "before", "n_tokens", "chunks", "ends", "width", "root")
+    offsets = sums.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    shaped = placed.join(F.broadcast(offsets), "part").select("part", "segment", "doc_id", "before", "n_tokens", "chunks", "ends", "width", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, at = None, 0
+        part, at = None, 0
         for batch in batches:
-            own, count = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            own, count = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             start = np.zeros(len(count), dtype=np.int64)
             for i in range(len(count)):
-                if own[i] != segment:
-                    segment, at = own[i], batch.column(2)[i].as_py()
+                if own[i] != part:
+                    part, at = own[i], batch.column(3)[i].as_py()
                 start[i] = at
                 at += count[i]
-            yield batch.set_column(2, "start", pa.array(start))
+            yield batch.set_column(3, "start", pa.array(start)).select(schema.fieldNames())
 
-    schema = T.StructType([T.StructField("start", T.LongType()) if f.name == "before" else f for f in shaped.schema.fields])
+    schema = T.StructType([T.StructField("start", T.LongType()) if f.name == "before" else f for f in shaped.schema.fields if f.name != "part"])
     shaped.mapInArrow(run, schema).write.parquet(f"{path}/recipes")
     segments = spark.read.parquet(f"{path}/recipes").select("segment", "start", "n_tokens", "root")
-    segments.groupBy("segment").applyInPandas(_segment_root, "segment int, first long, last long, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
+    segments.groupBy("segment").applyInPandas(_segment_root, "segment long, first long, last long, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
 
 
 def _segment_root(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -342,7 +366,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def verify_manifest(spark: SparkSession, path: str) -> bool:
     """Whether the roots of all segments come out again from the recipes."""
     again = spark.read.parquet(f"{path}/recipes").select("segment", "start", "n_tokens", "root")
-    again = again.groupBy("segment").applyInPandas(_segment_root, "segment int, first long, last long, documents long, ids long, root binary")
+    again = again.groupBy("segment").applyInPandas(_segment_root, "segment long, first long, last long, documents long, ids long, root binary")
     kept = spark.read.parquet(f"{path}/manifest")
     return not kept.exceptAll(again).count() and not again.exceptAll(kept).count()
 

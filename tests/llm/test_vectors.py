@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rangeledger.llm import ann, topk
 from tests.llm import brute
 
-SCHEMA = "vec_id long, embedding array<float>, label int, dim int, shard int, block int, id long"
+SCHEMA = "vec_id long, embedding array<float>, label int, dim int, shard int, block int, id long, floor long, vector long, score long, query_id long"
 
 
 def rows(n=700, dims=12, seed=3):
@@ -20,7 +20,7 @@ def rows(n=700, dims=12, seed=3):
 
 
 def frame(spark, vectors, extra=()):
-    return spark.createDataFrame([(i, v, 0, 1, 1, 1, 1) for i, v in [*vectors.items(), *extra]], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, v, 0, 1, 1, 1, 1, 9, 9, 9, 9) for i, v in [*vectors.items(), *extra]], SCHEMA).repartition(3)
 
 
 BAD = [(7000, None), (7100, [1.0, None, 2.0]), (7200, [float("nan")] * 12), (7300, [float("inf")] + [0.0] * 11), (None, [1.0] * 12)]
