@@ -5,9 +5,10 @@ The most frequent, up to ``dictionary_words``, are encoded by a Spark expression
 a word's bytes become an array of pieces, and ``aggregate`` folds over it, each
 step merging the first adjacent pair of lowest rank found in a literal rank map
 (hex pieces in hashed buckets).  The result is a dictionary of bounded size, given
-to every task.  A task looks up the words of its texts; words outside the
-dictionary are merged by the same rule by a small helper and remembered up to a
-bound, so every text is encoded whole.  Decoding concatenates the ids' pieces.
+to every task.  On the main path Python workers look up the words of their texts;
+words outside the dictionary (met once, longer than ``FOLD_BYTES``, or beyond
+``dictionary_words``) are merged by the same rule by a small helper there and
+remembered up to a bound, so every text is encoded whole.  Decoding concatenates the ids' pieces.
 
 Defined cases: a null text is an empty one and has no ids; words of any length
 are merged exactly; the strings of special tokens are ordinary text; null ids and
@@ -127,7 +128,7 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
     frequent = counted.where(step >= least).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word")
     encoded = frequent.select("word", fold_merges("word", ranks).alias("pieces"))
     found = {}
-    for row in encoded.toLocalIterator():  # bounded by dictionary_words
+    for row in cut(encoded).toLocalIterator():  # bounded by dictionary_words; folded side by side first
         found[row["word"].encode()] = np.array([ranks[bytes.fromhex(p)] for p in row["pieces"]], dtype="<u4").tobytes()
     return found
 

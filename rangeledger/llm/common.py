@@ -20,10 +20,14 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see: the cluster's checkpoint folder.
 
-    A folder of its own is made only where none is configured (tests)."""
+    Where none is configured, local mode makes a folder of its own (driver and
+    tasks are one machine); a cluster gets an error rather than local folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 

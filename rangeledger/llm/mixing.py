@@ -5,8 +5,9 @@ first ``floor(target / source words)`` certain copies of each, then a sample of
 one further copy.  For the sample a document's rank is its random odds
 ``u / (1 - u)`` divided by its inclusion odds ``p / (1 - p)``, where ``p`` is the
 fraction still wanted of its source, tilted by an optional weight per document;
-the lowest ranks are taken until the words wanted are reached, and one last
-document whose size comes nearest to what is left closes the gap.
+the lowest ranks are taken until the words wanted are reached; then, in the order of
+their ranks again, documents that fit into what is left, and up to ``CLOSING`` more,
+each the one whose size comes nearest to what is left then.
 
 The sampled size is fixed in words.  No source is ever sorted: ranks are
 mapped to 36-bit places and the place where a source is full is found by three
@@ -30,6 +31,7 @@ from rangeledger.llm.common import WORD_PATTERN, cut, join_bounded
 
 BIN_BITS = 12
 LEVELS = 3
+CLOSING = 2
 PLACES = 1 << (BIN_BITS * LEVELS)
 
 
@@ -92,14 +94,17 @@ def _full_at(ranked: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, tilt: str | None = None
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, tilt: str | Column | None = None
 ) -> DataFrame:
     """Per document: doc_id, size, source_size, target, copies, taken.
 
     ``share`` is the mix's size in words as a part of all words, ``most`` the
-    copies a document can have.  ``tilt`` names a positive column that multiplies
-    a document's inclusion odds (1 without it)."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (F.col(tilt).cast("double") if tilt else F.lit(1.0)).alias("tilt"))
+    copies a document can have.  ``tilt``, a positive column of ``docs`` or an
+    expression over ``size``, multiplies a document's inclusion odds (1 without it)."""
+    named = F.col(tilt).cast("double") if isinstance(tilt, str) else F.lit(1.0)
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), named.alias("tilt"))
+    if isinstance(tilt, Column):
+        sizes = sizes.withColumn("tilt", tilt.cast("double"))
     sizes = cut(sizes)
     targets = cut(source_targets(sizes, weights, share, most))
     small = sizes.join(F.broadcast(targets) if targets.limit(50_001).count() <= 50_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop("source")
@@ -113,13 +118,26 @@ def mix_sources(
     ranked = cut(small.withColumn("place", place.cast("long")).drop("tilt"))
     open_ = ranked.where((F.col("rest") > 0) & (F.col("size") > 0)).select("doc_id", "source_no", "size", "rest", "place")
     full = _full_at(open_)
-    outside = join_bounded(open_, full, "source_no").where((F.col("place") >= F.col("full_at")) & (F.col("left") > 0))
-    nearest = outside.groupBy("source_no", "left").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("gap"), "place", "doc_id")).alias("last"))
-    closing = nearest.where(F.col("last.gap") < F.col("left")).select("source_no", F.col("last.place").alias("last_place"), F.col("last.doc_id").alias("last_id"))
+    fits = (F.col("place") >= F.col("full_at")) & (F.col("size") <= F.col("left"))
+    second = join_bounded(open_.drop("rest"), full, "source_no").where(fits).select("doc_id", "source_no", "size", F.col("left").alias("rest"), "place")
+    second = _full_at(second).select("source_no", F.col("full_at").alias("second_at"), F.col("left").alias("second_left"))
+    full = cut(full.join(second, "source_no", "left").withColumn("fits", F.col("left")).withColumn("left", F.coalesce("second_left", "left")).drop("second_left"))
+    taken = (F.col("place") < F.col("full_at")) | ((F.col("size") <= F.col("fits")) & (F.col("place") < F.coalesce("second_at", F.lit(0))))
+    left, last = full, None
+    for _ in range(CLOSING):
+        outside = join_bounded(open_, left, "source_no").where(~taken & (F.col("left") > 0) & (F.col("size") < 2 * F.col("left")))
+        if last is not None:
+            gone = last.select(F.col("source_no").alias("s"), F.col("place").alias("p"), F.col("doc_id").alias("d"))
+            outside = join_bounded(outside, gone, (F.col("source_no") == F.col("s")) & (F.col("place") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+        nearest = outside.groupBy("source_no", "full_at", "second_at", "fits", "left").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("gap"), "place", "doc_id", "size")).alias("last"))
+        left = cut(nearest.withColumn("left", F.col("left") - F.col("last.size")))
+        found = left.select("source_no", "last.place", "last.doc_id")
+        last = found if last is None else last.unionByName(found)
+    closing = last.groupBy("source_no").agg(F.collect_list(F.struct("place", "doc_id")).alias("last"))
     bounds = cut(full.join(closing, "source_no", "left"))
     chosen = join_bounded(ranked, bounds, "source_no", "left")
     sampled = (F.col("size") > 0) & (F.col("rest") > 0) & (
-        (F.col("place") < F.col("full_at")) | ((F.col("place") == F.col("last_place")) & F.col("doc_id").eqNullSafe(F.col("last_id")))
+        taken | F.coalesce(F.exists("last", lambda x: (x.place == F.col("place")) & x.doc_id.eqNullSafe(F.col("doc_id"))), F.lit(False))
     )
     copies = (F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long")).cast("long")
     return chosen.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -44,7 +44,9 @@ def op2_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.mixing import mix_sources
 
-    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=(5, 2, 1), share=1.5, most=2.0)
+    # Longer documents are likelier to have one more copy, at most four times shorter ones.
+    odds = F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.sqrt(F.col("size") / 400)))
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=(5, 2, 1), share=1.5, most=2.0, tilt=odds)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

@@ -48,14 +48,16 @@ def _walk(x: str, rows: int, key: int, back: bool) -> Column:
 
     Each walk passes every one of the ``left * right - rows`` outside cells at
     most once, which bounds its length on small tables; on large ones fewer
-    than one cell in ``sqrt(rows)`` is outside, and 64 steps never run out."""
+    than one cell in ``sqrt(rows)`` is outside, and 64 steps never run out (it
+    would be an error, not a wrong place)."""
     left, right = _grid(rows)
     steps = min(left * right - rows, 64)
     once = _rounds(x, rows, key, back)
     if not steps:
         return F.expr(once)
     again = _rounds("y", rows, key, back)
-    walked = f"aggregate(sequence(1, {steps}), {once}, (y, k) -> if(y < {rows}L, y, {again}))"
+    found = f"if(y < {rows}L, y, cast(raise_error('the walk did not end') as bigint))"
+    walked = f"aggregate(sequence(1, {steps}), {once}, (y, k) -> if(y < {rows}L, y, {again}), y -> {found})"
     return F.expr(walked)
 
 
@@ -69,21 +71,29 @@ def original_row(place: str, rows: int, key: int = 0) -> Column:
     return _walk(place, rows, key, back=True)
 
 
-def shard_documents(docs: DataFrame, shards: int, key: int = 0) -> DataFrame:
-    """Per document: doc_id, size, text_crc32, row_no, place, shard, slot."""
+def _placed(docs: DataFrame, shards: int, key: int, *more: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(RECORD_BYTES)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        *more,
     )
     numbered, rows = with_row_numbers(light, F.col("doc_id").asc_nulls_last(), F.col("text_crc32").asc(), F.col("size").asc())
     placed = numbered.withColumn("place", permuted_row("row_no", rows, key) if rows else F.lit(0).cast("long"))
     return placed.withColumns({"shard": (F.col("place") % shards).cast("int"), "slot": F.expr(f"place div {shards}")})
 
 
+def shard_documents(docs: DataFrame, shards: int, key: int = 0) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, row_no, place, shard, slot."""
+    return _placed(docs, shards, key)
+
+
 def write_shards(docs: DataFrame, path: str, shards: int, key: int = 0) -> None:
-    """Write the documents as one folder per shard, ordered by slot."""
-    places = shard_documents(docs, shards, key).select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    full = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"])).drop(places["doc_id"])
+    """Write the documents as one folder per shard, ordered by slot.
+
+    Whole rows are numbered, so rows that share an id keep places of their own;
+    columns ``shard`` and ``slot`` of the input are replaced."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot"))).alias("_row")
+    full = _placed(docs, shards, key, whole).select("_row.*", "shard", "slot")
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
