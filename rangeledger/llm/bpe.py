@@ -22,6 +22,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import io
 import json
 import re
 import zlib
@@ -112,8 +113,9 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary_words: int) -> dict[bytes, bytes]:
-    """Ids (four bytes each) of the most frequent words, at most ``dictionary_words``."""
+def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary_words: int) -> bytes:
+    """The most frequent words, at most ``dictionary_words``, with their ids (four
+    bytes each), packed as an Arrow stream that every task unpacks."""
     counted = cut(count_words(docs, pattern).where((F.col("n") > 1) & (F.octet_length("word") <= FOLD_BYTES) & (F.octet_length("word") > 0)))
     # Counts in steps of a sixteenth of a doubling: some hundred rows at any size.
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -124,13 +126,35 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
             break
         least = row["step"]
     if least is None:
+        return b""
+    # Written first: the plan that holds the literal is then one scan and one projection.
+    frequent = cut(counted.where(step >= least).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word"))
+    by_piece = {piece.hex().upper(): rank for piece, rank in ranks.items()}
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array([by_piece[p] for p in row], dtype="<u4").tobytes() for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    folded = cut(frequent.select("word", fold_merges("word", ranks).alias("pieces"))).mapInArrow(packed, "word binary, ids binary")
+    out = io.BytesIO()
+    table = folded.toArrow()  # bounded by dictionary_words
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue()
+
+
+def unpacked(dictionary: bytes) -> dict[bytes, bytes]:
+    if not dictionary:
         return {}
-    frequent = counted.where(step >= least).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word")
-    encoded = frequent.select("word", fold_merges("word", ranks).alias("pieces"))
-    found = {}
-    for row in cut(encoded).toLocalIterator():  # bounded by dictionary_words; folded side by side first
-        found[row["word"].encode()] = np.array([ranks[bytes.fromhex(p)] for p in row["pieces"]], dtype="<u4").tobytes()
-    return found
+    table = pa.ipc.open_stream(dictionary).read_all()
+    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+
+
+@functools.lru_cache(maxsize=1)
+def _unpacked_once(dictionary: bytes) -> dict[bytes, bytes]:
+    """The dictionary of this worker process, kept from task to task."""
+    return unpacked(dictionary)
 
 
 @functools.lru_cache(maxsize=1)
@@ -211,7 +235,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, dictionary_w
     light, given = _given(docs, rank_file, pattern, dictionary_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(given.value[0], pattern, given.value[1])
+        encoder = Encoder(given.value[0], pattern, _unpacked_once(given.value[1]))
         for part in slices(batches):
             ids = [encoder.encode(t.as_py()) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -240,7 +264,7 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool
     light, given = _given(docs, rank_file, pattern, dictionary_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pieces = Encoder(given.value[0], pattern, given.value[1]), pieces_by_id(given.value[0])
+        encoder, pieces = Encoder(given.value[0], pattern, _unpacked_once(given.value[1])), pieces_by_id(given.value[0])
         for part in slices(batches):
             kept, count, encoded, decoded = [], [], [], []
             for text in part.column(1):

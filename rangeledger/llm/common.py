@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 #: Words of a text: runs of bytes other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Most rows of a side that is broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Most bytes of a side that is broadcast, as estimated from its columns; larger sides are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,12 +42,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``right`` broadcast only if it has at most ``rows`` rows.
+def broadcast_rows(schema: T.StructType) -> int:
+    """Rows of the schema that ``BROADCAST_BYTES`` hold; columns without a fixed
+    width count 256 bytes (keys written as text are far shorter)."""
+    widths = {T.LongType: 8, T.IntegerType: 4, T.DoubleType: 8, T.BooleanType: 1, T.DateType: 4, T.StringType: 64}
+    return BROADCAST_BYTES // (16 + sum(widths.get(type(f.dataType), 256) for f in schema.fields))
+
+
+def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Join with ``right`` broadcast only if its counted rows fit the bound.
 
     ``right`` should be cheap to count (a checkpointed aggregate).  Beyond the
     bound the join shuffles, and adaptive execution splits skewed keys."""
-    small = right.limit(rows + 1).count() <= rows
+    most = broadcast_rows(right.schema) if rows is None else rows
+    small = right.limit(most + 1).count() <= most
     return left.join(F.broadcast(right) if small else right, on, how)
 
 

@@ -93,39 +93,41 @@ def _full_at(ranked: DataFrame) -> DataFrame:
     return found.select("source_no", F.col("prefix").alias("full_at"), F.col("rest").alias("left"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, tilt: str | Column | None = None
-) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken.
-
-    ``share`` is the mix's size in words as a part of all words, ``most`` the
-    copies a document can have.  ``tilt``, a positive column of ``docs`` or an
-    expression over ``size``, multiplies a document's inclusion odds (1 without it)."""
-    named = F.col(tilt).cast("double") if isinstance(tilt, str) else F.lit(1.0)
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), named.alias("tilt"))
+def _sized(docs: DataFrame, tilt: str | Column | None) -> DataFrame:
+    """``docs`` with ``_size`` (words) and ``_tilt``."""
+    sized = docs.withColumn("_size", word_count(F.col("text")))
     if isinstance(tilt, Column):
-        sizes = sizes.withColumn("tilt", tilt.cast("double"))
-    sizes = cut(sizes)
-    targets = cut(source_targets(sizes, weights, share, most))
-    small = sizes.join(F.broadcast(targets) if targets.limit(50_001).count() <= 50_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop("source")
+        return sized.withColumn("size", F.col("_size")).withColumn("_tilt", tilt.cast("double"))
+    return sized.withColumn("_tilt", F.col(tilt).cast("double") if tilt else F.lit(1.0))
+
+
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows of id, size, tilt and their source's target with ``whole`` certain
+    copies, the words ``rest`` wanted besides, and ``place``, the mapped rank."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    small = small.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    rows = rows.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     part = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
     u = _uniform(seed)
     odds = F.greatest(F.lit(1e-300), part / (1 - part) * F.col("tilt"))
     rank = u / (1 - u) / odds
     place = F.least(F.lit(PLACES - 1), F.floor(rank / (1 + rank) * PLACES))
-    ranked = cut(small.withColumn("place", place.cast("long")).drop("tilt"))
-    open_ = ranked.where((F.col("rest") > 0) & (F.col("size") > 0)).select("doc_id", "source_no", "size", "rest", "place")
-    full = _full_at(open_)
+    return rows.withColumn("place", place.cast("long"))
+
+
+def mix_plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
+    """From doc_id, source, size and tilt: a row per source with its target and
+    where its ranks are cut.  All of the mix that is not a document's own."""
+    targets = cut(source_targets(sizes, weights, share, most))
+    small = join_bounded(sizes, targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
+    ranked = cut(_placed(small, seed).select("doc_id", "source_no", "size", "rest", "place").where((F.col("rest") > 0) & (F.col("size") > 0)))
+    full = _full_at(ranked)
     fits = (F.col("place") >= F.col("full_at")) & (F.col("size") <= F.col("left"))
-    second = join_bounded(open_.drop("rest"), full, "source_no").where(fits).select("doc_id", "source_no", "size", F.col("left").alias("rest"), "place")
+    second = join_bounded(ranked.drop("rest"), full, "source_no").where(fits).select("doc_id", "source_no", "size", F.col("left").alias("rest"), "place")
     second = _full_at(second).select("source_no", F.col("full_at").alias("second_at"), F.col("left").alias("second_left"))
     full = cut(full.join(second, "source_no", "left").withColumn("fits", F.col("left")).withColumn("left", F.coalesce("second_left", "left")).drop("second_left"))
-    taken = (F.col("place") < F.col("full_at")) | ((F.col("size") <= F.col("fits")) & (F.col("place") < F.coalesce("second_at", F.lit(0))))
     left, last = full, None
     for _ in range(CLOSING):
-        outside = join_bounded(open_, left, "source_no").where(~taken & (F.col("left") > 0) & (F.col("size") < 2 * F.col("left")))
+        outside = join_bounded(ranked, left, "source_no").where(~_taken() & (F.col("left") > 0) & (F.col("size") < 2 * F.col("left")))
         if last is not None:
             gone = last.select(F.col("source_no").alias("s"), F.col("place").alias("p"), F.col("doc_id").alias("d"))
             outside = join_bounded(outside, gone, (F.col("source_no") == F.col("s")) & (F.col("place") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
@@ -134,10 +136,37 @@ def mix_sources(
         found = left.select("source_no", "last.place", "last.doc_id")
         last = found if last is None else last.unionByName(found)
     closing = last.groupBy("source_no").agg(F.collect_list(F.struct("place", "doc_id")).alias("last"))
-    bounds = cut(full.join(closing, "source_no", "left"))
-    chosen = join_bounded(ranked, bounds, "source_no", "left")
-    sampled = (F.col("size") > 0) & (F.col("rest") > 0) & (
-        taken | F.coalesce(F.exists("last", lambda x: (x.place == F.col("place")) & x.doc_id.eqNullSafe(F.col("doc_id"))), F.lit(False))
-    )
-    copies = (F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long")).cast("long")
-    return chosen.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return cut(targets.join(full.drop("left").join(closing, "source_no", "left"), "source_no", "left"))
+
+
+def _taken() -> Column:
+    return (F.col("place") < F.col("full_at")) | ((F.col("size") <= F.col("fits")) & (F.col("place") < F.coalesce("second_at", F.lit(0))))
+
+
+def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, tilt: str | Column | None = None, keep: bool = True) -> DataFrame:
+    """``docs`` (or their ids) with size, source_size, target and copies.
+
+    Documents meet one row of their source, so that no text is shuffled; their
+    words are counted once for the plan and once for the result.  Columns of these
+    four names are replaced.  ``share`` is the mix's size in words as a part of all
+    words, ``most`` the copies a document can have.  ``tilt``, a positive column of
+    ``docs`` or an expression over ``size``, multiplies a document's inclusion odds
+    (1 without it)."""
+    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row") if keep else F.lit(0).alias("_row")
+    sized = _sized(docs, tilt).select("doc_id", "source", F.col("_size").alias("size"), F.col("_tilt").alias("tilt"), held)
+    plan = mix_plan(cut(sized.drop("_row")), weights, share, most, seed)
+    found = _placed(join_bounded(sized, plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))), seed)
+    closes = F.coalesce(F.exists("last", lambda x: (x.place == F.col("place")) & x.doc_id.eqNullSafe(F.col("doc_id"))), F.lit(False))
+    sampled = (F.col("size") > 0) & (F.col("rest") > 0) & F.coalesce(_taken() | closes, F.lit(False))
+    copies = (F.col("whole") + sampled.cast("long")).cast("long")
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")] if keep else ["doc_id"]
+    return found.select(*own, "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix_sources(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, tilt: str | Column | None = None
+) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, copies, taken; parameters as
+    of :func:`with_copies`."""
+    found = with_copies(docs, weights, share, most, seed, tilt, keep=False)
+    return found.withColumn("taken", F.col("size") * F.col("copies"))
