@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rangeledger.llm.bpe import bpe_round_trip
 from rangeledger.llm.common import cut, join_bounded, scratch
-from rangeledger.llm.mixing import mix_sources
+from rangeledger.llm.mixing import with_copies
 from rangeledger.llm.quality import fit_quality, quality_score
 from rangeledger.llm.simhash import row_key, similar_texts
 from rangeledger.llm.substring import dedup_substrings
@@ -63,11 +63,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    docs = docs.select(*COLUMNS)
-    mixed = mix_sources(docs, weights=(5, 2, 1), share=1.5, most=2.0).where("copies > 0")
-    copies = cut(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "mixed_id"))
-    taken = join_bounded(docs, copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    mixed = with_copies(docs.select(*COLUMNS), weights=(5, 2, 1), share=1.5, most=2.0).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
