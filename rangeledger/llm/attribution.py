@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rangeledger.llm.bpe import pieces_by_id, read_ranks
-from rangeledger.llm.common import add_columns
+from rangeledger.llm.common import add_columns, in_small_batches
 
 RULES = ("start", "end", "most")
 #: A sentence ends with its mark and the white space behind it, which the next word's token also holds.
@@ -70,7 +70,7 @@ def section_token_counts(docs: DataFrame, rank_file: str, pattern: str, rule: st
     """Per section of a document: doc_id, section, char_start, char_end, n_tokens, n_crossing."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    light = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut
+from rangeledger.llm.common import add_columns, cut, in_small_batches
 from rangeledger.llm.text import slices
 
 RANK_BUCKETS = 1 << 15
@@ -225,7 +225,7 @@ def decode_ids(ids: bytes, pieces: list[bytes]) -> bytes:
 
 def _given(docs: DataFrame, rank_file: str, pattern: str, dictionary_words: int) -> tuple[DataFrame, Broadcast]:
     """id and text, and what every task needs: the ranks and the dictionary."""
-    light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    light = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     ranks = read_ranks(rank_file)
     return light, docs.sparkSession.sparkContext.broadcast((ranks, word_dictionary(light, ranks, pattern, dictionary_words)))
 

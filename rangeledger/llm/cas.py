@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rangeledger.llm.common import add_columns, cut, scratch
+from rangeledger.llm.common import add_columns, cut, in_small_batches, scratch
 from rangeledger.llm.text import slices, word_pieces
 
 WINDOW = 16
@@ -242,7 +242,7 @@ def _stored_once(objects: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     spark = docs.sparkSession
-    _stored_once(_objects(docs, tokenizer_file, end_id)).write.option("compression", "zstd").parquet(f"{path}/objects")
+    _stored_once(_objects(in_small_batches(docs), tokenizer_file, end_id)).write.option("compression", "zstd").parquet(f"{path}/objects")
     recipes = spark.read.parquet(f"{path}/objects").where("is_recipe").select("doc_id", F.col("name").alias("root"), "n_tokens", "chunks", "ends", "width")
     order = [F.col("doc_id").asc_nulls_last(), F.col("root").asc()]
     placed = recipes.withColumn("tie", F.monotonically_increasing_id())

@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Most bytes of a side that is broadcast, as estimated from its columns; larger sides are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
+#: Most rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows: a batch
+    of whole texts stands in memory in the JVM and in the worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def broadcast_rows(schema: T.StructType) -> int:
     """Rows of the schema that ``BROADCAST_BYTES`` hold; columns without a fixed
     width count 256 bytes (keys written as text are far shorter)."""

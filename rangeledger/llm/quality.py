@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeledger.llm.common import cut
+from rangeledger.llm.common import cut, in_small_batches
 
 LEVEL = 3
 BLOCK_BYTES = 512
@@ -114,6 +114,7 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = 4000, text_blocks: int = 8, dictionary_bytes: int = 65536
 ) -> QualityModel:
     """Fit on labelled rows outside fold 0."""
+    docs = in_small_batches(docs)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (split_fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("label"))
     counts = {r["label"]: r["n"] for r in known.where(F.col("label").isin(0, 1)).groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -166,5 +167,5 @@ def quality_score(model: QualityModel, text: str = "text") -> Column:
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    scored = docs.select("doc_id", (split_fold(F.col("doc_id")) == 0).alias("held_out"), quality_score(model).alias("score"))
+    scored = in_small_batches(docs).select("doc_id", (split_fold(F.col("doc_id")) == 0).alias("held_out"), quality_score(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

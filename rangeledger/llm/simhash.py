@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import cut, join_bounded
+from rangeledger.llm.common import cut, in_small_batches, join_bounded
 from rangeledger.llm.components import components
 from rangeledger.llm.text import slices, word_pieces
 
@@ -208,7 +208,7 @@ def fingerprint_links(fps: DataFrame, budget: int, group_rows: int = 2048) -> Da
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fp, fingerprint (hex) and component_id, the smallest
     doc_id among the documents its fingerprint reaches."""
-    marked = cut(fingerprints(docs, shingle, id_col, text_col))
+    marked = cut(fingerprints(in_small_batches(docs), shingle, id_col, text_col))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(fingerprint_links(classes.select("fp"), budget))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -351,7 +351,7 @@ def similar_texts(
 ) -> DataFrame:
     """Per row: doc_id, row_key and root, equal for the rows of a component of
     texts linked by a Jaccard similarity of their shingle sets."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     marked = cut(shingle_sets(rows, shingle, keys, minima))
     stands = marked.groupBy("set_id").agg(F.min("row_key").alias("row_key"))
     # Copies meet as one set.

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut, join_bounded
+from rangeledger.llm.common import add_columns, cut, in_small_batches, join_bounded
 from rangeledger.llm.text import slices
 
 BLOCK_BITS = 20
@@ -285,7 +285,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 27)
     later copy of a whole text loses every word and is the first place of none,
     so it takes no part in the sketch and the grouping."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs = in_small_batches(docs).drop("n_words", "n_removed", "kept_text")
     names, schema = docs.columns, docs.schema
     id_at, text_at = names.index("doc_id"), names.index("text")
     volume, start_bits = _place_bits(docs.select("doc_id", "text"))
