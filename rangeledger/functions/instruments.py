@@ -44,7 +44,7 @@ def bond_issuer(normal: Column) -> Column:
     places at the end left out."""
     stem = replaced(normal, *((p, " ") for p in fixed.BOND_TAILS))
     alias = words_map(fixed.BOND_ALIASES)
-    states = F.array(*(F.lit(w) for words in fixed.STATES.values() for w in words.split()))
+    states = F.array(*(F.lit(w) for w in fixed.STATE_WORDS))
     words = F.transform(F.split(squeezed(stem), r"\s+"), lambda w: F.coalesce(F.try_element_at(alias, w), w))
     words = F.transform(words, lambda w, i: F.when((w == "ST") & (i > 0) & F.array_contains(states, F.get(words, i - 1)), "STATE").otherwise(w))
     places = "|".join(fixed.TRAILING_PLACES)
@@ -52,7 +52,7 @@ def bond_issuer(normal: Column) -> Column:
 
 
 def state_of(issuer: Column) -> Column:
-    names = words_map({w: state for state, words in fixed.STATES.items() for w in words.split()})
+    names = words_map(fixed.STATE_WORDS)
     states = F.filter(F.transform(F.split(issuer, r"\s+"), lambda w: F.try_element_at(names, w)), lambda s: s.isNotNull())
     return F.get(states, F.lit(0))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rangeledger.functions import fixed
 from rangeledger.functions.text import clean_html, importance_of, labels_of
-from rangeledger.plans.joins import either_null_safe, interval_join, last_wins, small_side
+from rangeledger.plans.joins import interval_join, last_wins
+from rangeledger.plans.stages import cut
 
 
 def tagged(documents: DataFrame, title: str, body: str) -> DataFrame:
@@ -23,33 +24,58 @@ def merged(events: DataFrame, order: str) -> DataFrame:
     return last_wins(events, ["event_id"], F.col(order))
 
 
+def _spans(events: DataFrame, days: list[int]) -> DataFrame:
+    """Per event and window size: low and high, with its targets in capitals."""
+    sizes = events.withColumn("window_days", F.explode(F.array(*(F.lit(d) for d in days))))
+    return sizes.select(
+        "event_id", "window_days", F.date_sub("date", F.col("window_days")).alias("low"), F.date_add(F.coalesce("end_date", "date"), F.col("window_days")).alias("high"),
+        F.array_sort(F.array_distinct("tickers")).alias("tickers"), F.array_sort(F.array_distinct("sectors")).alias("sectors"),
+    )
+
+
 def event_windows(events: DataFrame, tx: DataFrame, days: list[int] | None = None, bucket_days: int = 8) -> DataFrame:
     """Per event and window size: what was traded from ``days`` before its start to
     ``days`` after its end; events that name tickers or sectors see only those.
 
     events: event_id, date, end_date, tickers, sectors.  An event without
-    transactions still has its rows.  The interval join has a bucket key; AQE
-    splits a bucket that holds many events."""
-    sizes = events.withColumn("window_days", F.explode(F.array(*(F.lit(d) for d in days or fixed.WINDOW_DAYS))))
-    sizes = sizes.withColumn("low", F.date_sub("date", F.col("window_days"))).withColumn("high", F.date_add(F.coalesce("end_date", "date"), F.col("window_days")))
-    bare = sizes.select("event_id", "window_days", "low", "high", "tickers", "sectors")
-    open_ = (F.size("tickers") == 0) & (F.size("sectors") == 0)
-    hit = open_ | F.coalesce(F.array_contains("tickers", F.upper("tx_ticker")), F.lit(False)) | F.coalesce(F.array_contains("sectors", F.col("tx_sector")), F.lit(False))
+    transactions still has its rows.  Events of one span and one set of targets
+    share their result, which is computed once.  Trades of one day, ticker, sector
+    and type are summed first.  Named targets are joined by equality with them (and
+    a date bucket); spans without targets meet one row a day."""
+    sizes = _spans(events, days or fixed.WINDOW_DAYS)
+    span = ["low", "high", "tickers", "sectors"]
+    spans = sizes.select(*span).distinct()
     rows = tx.select(F.col("date").alias("tx_date"), F.col("ticker").alias("tx_ticker"), F.col("sector").alias("tx_sector"), "type", F.col("amount.midpoint").alias("mid"))
-    # What falls on one day with the same ticker, sector and type counts together.
-    rows = rows.groupBy("tx_date", "tx_ticker", "tx_sector", "type").agg(F.count("*").alias("n"), F.sum("mid").alias("mid"))
-    found = interval_join(bare, rows, "low", "high", "tx_date", bucket_days, "left", hit)
-    mid = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("mid"))), F.lit(0.0))
-    out = found.groupBy("event_id", "window_days").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("transaction_count"), mid("Purchase").alias("purchase_midpoint"), mid("Sale").alias("sale_midpoint"),
-        F.array_sort(F.collect_set("tx_ticker")).alias("tickers"), F.array_sort(F.collect_set("tx_sector")).alias("sectors"), F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date"),
+    kind = lambda name: F.coalesce(F.sum(F.when(F.col("type") == name, F.col("mid"))), F.lit(0.0))
+    groups = cut(rows.groupBy("tx_date", "tx_ticker", "tx_sector").agg(F.count("*").alias("n"), kind("Purchase").alias("buy"), kind("Sale").alias("sale")))
+    open_ = (F.size("tickers") == 0) & (F.size("sectors") == 0)
+    total = [F.sum("n").alias("transaction_count"), F.sum("buy").alias("purchase_midpoint"), F.sum("sale").alias("sale_midpoint"), F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date")]
+    daily = groups.groupBy("tx_date").agg(F.sum("n").alias("n"), F.sum("buy").alias("buy"), F.sum("sale").alias("sale"), F.collect_set("tx_ticker").alias("day_tickers"), F.collect_set("tx_sector").alias("day_sectors"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    untargeted = interval_join(spans.where(open_), daily, "low", "high", "tx_date", bucket_days)
+    untargeted = untargeted.groupBy(*span).agg(*total, union("day_tickers").alias("found_tickers"), union("day_sectors").alias("found_sectors"))
+    names = lambda c, tag, of: F.transform(c, lambda x: F.struct(F.lit(tag).alias("kind"), of(x).alias("name")))
+    same = lambda x: x
+    wanted = spans.where(~open_).withColumn("target", F.explode(F.concat(names("tickers", "ticker", same), names("sectors", "sector", same))))
+    own = F.array(F.struct(F.lit("ticker").alias("kind"), F.upper("tx_ticker").alias("name")), F.struct(F.lit("sector").alias("kind"), F.col("tx_sector").alias("name")))
+    offered = groups.withColumn("target_tx", F.explode(own)).where("target_tx.name is not null")
+    met = interval_join(wanted, offered, "low", "high", "tx_date", bucket_days, also=F.col("target") == F.col("target_tx"))
+    # A trade met by several of a span's targets counts once.
+    met = met.dropDuplicates([*span, "tx_date", "tx_ticker", "tx_sector"])
+    targeted = met.groupBy(*span).agg(*total, F.array_sort(F.collect_set("tx_ticker")).alias("found_tickers"), F.array_sort(F.collect_set("tx_sector")).alias("found_sectors"))
+    found = sizes.join(untargeted.unionByName(targeted), span, "left")
+    zero, none = F.lit(0.0), F.array().cast("array<string>")
+    buy, sale = F.coalesce("purchase_midpoint", zero), F.coalesce("sale_midpoint", zero)
+    return found.select(
+        "event_id", "window_days", F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"), buy.alias("purchase_midpoint"), sale.alias("sale_midpoint"),
+        F.coalesce("found_tickers", none).alias("tickers"), F.coalesce("found_sectors", none).alias("sectors"), "first_date", "last_date", (buy - sale).alias("net_midpoint"),
     )
-    return out.withColumn("net_midpoint", F.col("purchase_midpoint") - F.col("sale_midpoint"))
 
 
 def policy_conflicts(holdings: DataFrame, config: DataFrame) -> DataFrame:
-    """Holdings of tickers under a policy, one row per category of the policy."""
-    rows = holdings.join(small_side(config), "ticker").withColumn("category", F.explode("categories"))
+    """Holdings of tickers under a policy, one row per category of the policy
+    (``config`` is a table of fixed rows, a few)."""
+    rows = holdings.join(F.broadcast(config), "ticker").withColumn("category", F.explode("categories"))
     severity = F.when(F.col("value") > 500_000, "high").otherwise("medium")
     return rows.select(
         F.concat_ws("-", F.lit("policy"), "ticker", "category").alias("indicator_id"), severity.alias("severity"), "category", "ticker", F.col("name").alias("holding"), "value",
@@ -57,24 +83,52 @@ def policy_conflicts(holdings: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def matters_to(events: DataFrame, config: DataFrame) -> DataFrame:
+    """Sector, event_id and event_date of the events that matter to a sector, by
+    their category (a join by equality) or by a word of their title or summary.
+
+    config: sector, triggers (event categories), words: fixed rows, a few."""
+    words = F.broadcast(config.select("sector", F.explode("words").alias("word")))
+    by_kind = events.join(F.broadcast(config.select("sector", F.explode("triggers").alias("category"))), "category").select("sector", "event_id", F.col("date").alias("event_date"))
+    text = F.concat_ws("\n", F.lower("title"), F.lower("summary"))
+    # All words of the configuration at once; only events that have one are told apart.
+    said = events.withColumn("text", text).join(words, F.contains(F.col("text"), F.col("word"))).select("sector", "event_id", F.col("date").alias("event_date"))
+    return by_kind.unionByName(said).distinct()
+
+
 def timing_conflicts(holdings: DataFrame, events: DataFrame, tx: DataFrame, config: DataFrame, days: int = 30, strict: bool = True) -> DataFrame:
     """Holdings traded within ``days`` of an event that matters to their sector.
 
-    config: sector, triggers (event categories), words.  A transaction belongs to
-    a holding by its ticker or its issuer's; ``strict=False`` also lets two
-    missing ones agree.  Before the event weighs more than after."""
-    words = F.exists("words", lambda w: F.contains(F.lower("title"), w) | F.contains(F.lower("summary"), w))
-    matters = events.join(small_side(config), F.array_contains("triggers", F.col("category")) | words).select("sector", "event_id", F.col("date").alias("event_date"), F.col("category").alias("event_category"))
+    A transaction belongs to a holding by its ticker or its issuer's;
+    ``strict=False`` also lets two missing ones agree.  Before the event weighs
+    more than after.  Trades are counted by day under each ticker, issuer and pair
+    of both, a missing one being a value like any other; trades by either are those
+    by ticker and by issuer less those by both.  Events of one date are looked up
+    once."""
+    matters = cut(matters_to(events, config))
+    dates = matters.select("sector", "event_date").distinct()
     held = holdings.select("holding_id", "ticker", "issuer_ticker", "sector", "value")
-    trades = tx.select("id", F.col("ticker").alias("tx_ticker"), F.col("issuer_ticker").alias("tx_issuer"), F.col("date").alias("tx_date"))
-    owned = either_null_safe(held, trades, ("ticker", "tx_ticker"), ("issuer_ticker", "tx_issuer"), strict=strict)
-    spans = matters.withColumn("low", F.date_sub("event_date", days)).withColumn("high", F.date_add("event_date", days)).withColumnRenamed("sector", "event_sector")
-    near = interval_join(spans, owned, "low", "high", "tx_date", 16, "inner", F.col("event_sector") == F.col("sector"))
-    early = F.count_if(F.col("tx_date") < F.col("event_date"))
-    rows = near.groupBy("holding_id", "event_id").agg(F.any_value("ticker").alias("ticker"), F.any_value("value").alias("value"), F.count("*").alias("related"), early.alias("before"))
+    spans = held.join(dates, "sector").withColumns({"low": F.date_sub("event_date", days), "high": F.date_add("event_date", days)})
+    daily = cut(tx.groupBy(F.col("ticker").alias("tx_ticker"), F.col("issuer_ticker").alias("tx_issuer"), F.col("date").alias("tx_date")).agg(F.count("*").alias("n")))
+
+    def counted(on: list[tuple[str, str]], sign: int) -> DataFrame:
+        some = daily.groupBy(*(t for _, t in on), "tx_date").agg(F.sum("n").alias("n"))
+        some = some.dropna(subset=[t for _, t in on]) if strict else some
+        left = spans.select("holding_id", "event_date", "low", "high", *(h for h, _ in on)).distinct()
+        same = F.lit(True)
+        for h, t in on:
+            same = same & (F.col(h) == F.col(t) if strict else F.col(h).eqNullSafe(F.col(t)))
+        met = interval_join(left, some, "low", "high", "tx_date", 16, also=same)
+        early = F.sum(F.when(F.col("tx_date") < F.col("event_date"), F.col("n")).otherwise(0))
+        return met.groupBy("holding_id", "event_date").agg((F.sum("n") * sign).alias("n"), (early * sign).alias("early"))
+
+    ticker, issuer = ("ticker", "tx_ticker"), ("issuer_ticker", "tx_issuer")
+    counts = counted([ticker], 1).unionByName(counted([issuer], 1)).unionByName(counted([ticker, issuer], -1))
+    counts = counts.groupBy("holding_id", "event_date").agg(F.sum("n").alias("related"), F.sum("early").alias("before")).where("related > 0")
+    rows = held.join(counts, "holding_id").join(matters, ["sector", "event_date"])
     return rows.select(
         F.concat_ws("-", F.lit("timing"), "holding_id", "event_id").alias("indicator_id"), F.when(F.col("before") > 0, "high").otherwise("medium").alias("severity"),
-        F.lit("suspicious-timing").alias("category"), "ticker", F.col("holding_id").alias("holding"), "value", F.col("event_id").cast("string").alias("event_id"),
+        F.lit("suspicious-timing").alias("category"), "ticker", F.col("holding_id").cast("string").alias("holding"), "value", F.col("event_id").cast("string").alias("event_id"),
         F.when(F.col("before") > 0, 0.85).otherwise(0.6).alias("evidence"), "related", "before",
     )
 
@@ -98,6 +152,7 @@ def ranked_conflicts(indicators: DataFrame, n: int = 100) -> DataFrame:
 
 def conflict_summary(indicators: DataFrame, n: int = 100) -> DataFrame:
     """Counts over the ranked indicators; exposure over all of them."""
+    indicators = cut(indicators)
     shown = ranked_conflicts(indicators, n)
     exposure = indicators.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("exposure"))
     counted = shown.agg(
@@ -105,3 +160,42 @@ def conflict_summary(indicators: DataFrame, n: int = 100) -> DataFrame:
         F.countDistinct(F.coalesce("ticker", "holding")).alias("holdings"), F.countDistinct("event_id").alias("events"),
     )
     return counted.crossJoin(exposure)
+
+
+def conflicts_by(indicators: DataFrame, *keys: str, n: int = 100) -> DataFrame:
+    """The ranked indicators counted under each key (category, severity)."""
+    return ranked_conflicts(indicators, n).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.max("evidence").alias("evidence"))
+
+
+def conflict_timeline(indicators: DataFrame, events: DataFrame, links: DataFrame, tx: DataFrame) -> DataFrame:
+    """Dated entries of the events and transactions that indicators name, each with
+    its indicators in order.
+
+    links: indicator_id and tx_id.  Both halves are joins by id from the
+    indicators' side, which is bounded by its rank."""
+    named = indicators.where("event_id is not null").groupBy("event_id").agg(F.array_sort(F.collect_set("indicator_id")).alias("indicators"))
+    by_event = events.select(F.col("event_id").cast("string").alias("event_id"), "date", "title").join(named, "event_id")
+    traded = links.join(indicators.select("indicator_id"), "indicator_id").groupBy("tx_id").agg(F.array_sort(F.collect_set("indicator_id")).alias("indicators"))
+    title = F.concat(F.col("type"), F.lit(": "), F.left("description", F.lit(50)), F.lit("..."))
+    by_tx = tx.select(F.col("id").alias("tx_id"), "date", title.alias("title")).where("date is not null").join(traded, "tx_id")
+    event_rows = by_event.select("date", F.lit("event").alias("type"), F.col("event_id").alias("id"), "title", "indicators")
+    return event_rows.unionByName(by_tx.select("date", F.lit("transaction").alias("type"), F.col("tx_id").alias("id"), "title", "indicators"))
+
+
+def shown_events(events: DataFrame, year: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Events of a year (by their first date) and those that overlap a span."""
+    rows = events
+    if year and year != "All":
+        rows = rows.where(F.col("date").cast("string").startswith(year))
+    if start:
+        rows = rows.where(F.coalesce("end_date", "date") >= F.lit(start).cast("date"))
+    if end:
+        rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+    return rows
+
+
+def filtered_conflicts(indicators: DataFrame, severity: str | None = None, category: str | None = None) -> DataFrame:
+    for name, value in (("severity", severity), ("category", category)):
+        if value and value != "All":
+            indicators = indicators.where(F.col(name) == value)
+    return indicators

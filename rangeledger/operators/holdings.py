@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed, money
 from rangeledger.functions.text import normal_description, security_key, stable_id
-from rangeledger.plans.joins import small_side, unique_match
+from rangeledger.plans.joins import unique_match
+from rangeledger.plans.stages import cut
 
 
 def match_keys(**values: Column) -> Column:
@@ -28,9 +29,18 @@ def grouped(tx: DataFrame) -> DataFrame:
         first.alias("sample"), money.sum_range("amount", buy, "Purchases").alias("purchases"), money.sum_range("amount", sale, "Sales").alias("sales"),
         F.count("*").alias("transaction_count"), F.count_if(buy).alias("purchase_count"), F.count_if(sale).alias("sale_count"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if("late").alias("late_count"),
+        # Flags are words of a small vocabulary.
+        *([F.min("confidence").alias("least_confidence")] if "confidence" in tx.columns else [F.lit(None).cast("double").alias("least_confidence")]),
+        *([F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("tx_flags")] if "flags" in tx.columns else [F.array().cast("array<string>").alias("tx_flags")]),
     )
 
 
+def holding_transactions(tx: DataFrame) -> DataFrame:
+    """security_key, id and date: which transactions stand behind a holding, as a
+    relation rather than an array in each holding (a hot security has no bound)."""
+    return tx.select(security_key(F.col("description")).alias("security_key"), "id", "date", "ord")
+
+
 def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
     """Transaction-backed holdings, each with the one baseline row it can mean,
     and baseline rows whose security has no transactions.
@@ -41,7 +51,7 @@ def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
     right = baseline.withColumn("base_key", security_key(F.col("description"))).withColumn("keys", match_keys(key=F.col("base_key"), ticker=F.col("ticker")))
     prefer = (F.col("l.sample.asset_type") == F.col("r.asset_type")) | (F.col("l.sample.ticker") == F.col("r.ticker"))
     exact = F.col("l.security_key") == F.col("r.base_key")
-    matched = unique_match(left, right, "security_key", "baseline_id", "keys", prefer, exact)
+    matched = unique_match(left, right, "security_key", "baseline_id", "keys", prefer, exact, ("asset_type", "ticker", "base_key"))
     values = right.select("baseline_id", F.col("value").alias("base_value"), F.col("description").alias("base_description"))
     backed = groups.join(matched, "security_key", "left").join(values, "baseline_id", "left")
     missing = F.col("baseline_id").isNull()
@@ -52,7 +62,8 @@ def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
         "security_key", F.coalesce("base_description", "sample.description").alias("description"), F.col("sample.ticker").alias("ticker"),
         F.col("sample.asset_type").alias("asset_type"), F.col("sample.sector").alias("sector"), F.col("base_value").alias("baseline"), "purchases", "sales", "current",
         "transaction_count", "purchase_count", "sale_count", "first_date", "last_date", missing.alias("missing_baseline"),
-        F.when(missing, fixed.UNMATCHED_CAP).otherwise(fixed.MATCHED_CAP).alias("confidence"),
+        F.least(F.when(missing, fixed.UNMATCHED_CAP).otherwise(fixed.MATCHED_CAP), F.coalesce("least_confidence", F.lit(1.0))).alias("confidence"),
+        F.concat(F.when(missing, F.array(F.lit(fixed.NO_BASELINE_FLAG))).otherwise(F.array().cast("array<string>")), "tx_flags").alias("flags"),
     )
     alone = right.join(groups.select(F.col("security_key").alias("base_key")), "base_key", "left_anti")
     zero, none = money.zero_range(), F.lit(0).cast("long")
@@ -60,18 +71,24 @@ def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
         F.col("base_key").alias("security_key"), "description", F.lit(None).cast("string").alias("ticker"), "asset_type", F.lit("Other").alias("sector"),
         F.col("value").alias("baseline"), zero.alias("purchases"), zero.alias("sales"), F.col("value").alias("current"), none.alias("transaction_count"),
         none.alias("purchase_count"), none.alias("sale_count"), F.lit(None).cast("date").alias("first_date"), F.lit(None).cast("date").alias("last_date"),
-        F.lit(False).alias("missing_baseline"), F.lit(fixed.BASELINE_CAP).alias("confidence"),
+        F.lit(False).alias("missing_baseline"), F.lit(fixed.BASELINE_CAP).alias("confidence"), F.array().cast("array<string>").alias("flags"),
     )
     return backed.unionByName(alone)
 
 
 def scored(holdings: DataFrame) -> DataFrame:
     """Log-scaled composite score over the holdings given: exposure, change and
-    activity as parts of the largest, each rounded before it is weighed."""
+    activity as parts of the largest, each rounded before it is weighed.
+
+    The holdings are read twice, for the maxima and for the scores; they are
+    computed once."""
+    holdings = cut(holdings)
     current = F.greatest(F.lit(0.0), F.col("current.midpoint"))
     buy, sale = F.col("purchases.midpoint"), F.col("sales.midpoint")
     base = holdings.withColumns({"current_mid": current, "purchase_mid": buy, "sale_mid": sale, "net_mid": buy - sale})
     base = base.withColumn("previous_mid", F.greatest(F.lit(0.0), F.col("current_mid") - F.col("net_mid")))
+    before = {n: F.greatest(F.lit(0.0), F.col(f"current.{n}") - F.col(f"purchases.{a}") + F.col(f"sales.{n}")) for n, a in (("min", "max"), ("max", "min"))}
+    base = base.withColumns({f"previous_{n}": F.when(F.col("previous_mid") > 0, v).otherwise(0.0) for n, v in before.items()})
     base = base.withColumn("change_mid", F.col("current_mid") - F.col("previous_mid"))
     base = base.withColumn("change_pct", F.when(F.col("previous_mid") > 0, F.col("change_mid") / F.col("previous_mid") * 100).when(F.col("current_mid") > 0, 100.0))
     raw = {"exposure": F.col("current_mid"), "change": F.abs("change_mid"), "activity": F.col("purchase_mid") + F.col("sale_mid")}
@@ -90,6 +107,7 @@ def rollups(entries: DataFrame, top: int = 5) -> DataFrame:
 
     The top entries are ranked apart from the sums: a row number limited to
     ``top`` keeps only that many rows of a task before the shuffle."""
+    entries = cut(entries)
     sets = entries.select("*", F.explode(F.array(F.struct(F.lit("sector").alias("kind"), F.col("sector").alias("key")), F.struct(F.lit("asset_type").alias("kind"), F.col("asset_type").alias("key")))).alias("g"))
     sets = sets.select("*", "g.kind", "g.key").drop("g")
     sums = sets.groupBy("kind", "key").agg(
@@ -117,7 +135,7 @@ def leaders(entries: DataFrame, by: str, n: int = 5) -> DataFrame:
 def cited(transactions: DataFrame, historical: DataFrame, filings: DataFrame, most: int = 5) -> DataFrame:
     """Citations of each holding: the source of each transaction's URL (historical
     before filing, the last of a URL), distinct, at most ``most``."""
-    by_url = lambda df, p: small_side(df.groupBy("url").agg(F.max_by(F.struct("source_id", "title", "reliability"), "ord").alias(p)))
+    by_url = lambda df, p: df.groupBy("url").agg(F.max_by(F.struct("source_id", "title", "reliability"), "ord").alias(p))
     rows = transactions.join(by_url(historical, "h"), "url", "left").join(by_url(filings, "f"), "url", "left")
     source = F.coalesce("h.source_id", "f.source_id")
     rows = rows.select(
@@ -128,3 +146,37 @@ def cited(transactions: DataFrame, historical: DataFrame, filings: DataFrame, mo
     once = rows.groupBy("security_key", "cite").agg(F.min("ord").alias("ord"), F.max_by(F.struct("source_id", "url", "label", "reliability"), "ord").alias("c"))
     rank = F.row_number().over(Window.partitionBy("security_key").orderBy("ord"))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).select("security_key", "rank", "c.*")
+
+
+def holding_sources(entries: DataFrame, historical: DataFrame, filings: DataFrame) -> DataFrame:
+    """Source of a holding without transactions by the filing it comes from:
+    the historical record of that id before the filing itself."""
+    of = lambda df, p: df.groupBy(F.col("source_id").alias("source_filing_id")).agg(F.min_by(F.struct("title", "reliability"), "ord").alias(p))
+    rows = entries.where("source_filing_id is not null").join(of(historical, "h"), "source_filing_id", "left").join(of(filings, "f"), "source_filing_id", "left")
+    found = F.coalesce("h", "f")
+    rows = rows.where(found.isNotNull())
+    return rows.select("security_key", F.col("source_filing_id").alias("source_id"), found["title"].alias("label"), F.when(F.col("h").isNull(), "official").otherwise(F.col("h.reliability")).alias("reliability"))
+
+
+def filtered_holdings(holdings: DataFrame, asset_type: str | None = None, sector: str | None = None, query: str | None = None) -> DataFrame:
+    """Holdings by type, sector and words anywhere in their naming fields."""
+    for name, value in (("asset_type", asset_type), ("sector", sector)):
+        if value and value != "All":
+            holdings = holdings.where(F.col(name) == value)
+    if query and query.strip():
+        fields = [c for c in ("description", "ticker", "issuer_ticker", "issuer", "sector", "asset_type") if c in holdings.columns]
+        holdings = holdings.where(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(query.strip().lower())))
+    return holdings
+
+
+def filtered_entries(entries: DataFrame, reliability: str | None = None, ticker: str | None = None, issuer: str | None = None) -> DataFrame:
+    """Index entries by reliability, either ticker, and words of the issuer's names."""
+    if reliability and reliability != "All":
+        entries = entries.where(F.col("reliability") == reliability)
+    if ticker and ticker != "All":
+        own = F.array_compact(F.array(*(F.upper(c) for c in ("ticker", "issuer_ticker") if c in entries.columns)))
+        entries = entries.where(F.array_contains(own, ticker.upper()))
+    if issuer and issuer.strip():
+        fields = [c for c in ("issuer", "display", "description") if c in entries.columns]
+        entries = entries.where(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(issuer.strip().lower())))
+    return entries

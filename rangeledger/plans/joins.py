@@ -8,15 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most rows of a side that is broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 50_000
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a bounded count shows it small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, at: str, days: int, how: str = "inner", also: Column | None = None) -> DataFrame:
     """Rows of ``left`` with the rows of ``right`` whose date ``at`` lies in [low, high].
 
@@ -58,21 +49,27 @@ def last_wins(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(fields, F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str, prefer: Column, exact: Column) -> DataFrame:
+def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str, prefer: Column, exact: Column, compared: tuple[str, ...]) -> DataFrame:
     """Left id with the one right row it can mean, by any of several typed keys.
 
     ``keys`` is an array column on both sides.  Candidates that satisfy ``prefer``
     (on l.* and r.*) replace the others where there are any; a single one is
-    taken, else the single one that satisfies ``exact``, else none."""
+    taken, else the single one that satisfies ``exact``, else none.  ``compared``
+    names the right columns that ``prefer`` and ``exact`` look at."""
+    # Right rows alike in keys and in what is compared count as one class, so that pairs do not
+    # grow with the rows behind a key.
+    same = [c for c in right.columns if c in (keys, *compared)]
+    classes = right.groupBy(*same).agg(F.count("*").alias("_n"), F.min(right_id).alias(right_id))
     lk = left.select("*", F.explode(F.array_distinct(keys)).alias("_k")).alias("l")
-    rk = right.select("*", F.explode(F.array_distinct(keys)).alias("_k")).alias("r")
+    rk = classes.select("*", F.explode(F.array_distinct(keys)).alias("_k")).alias("r")
     pairs = lk.join(rk, F.col("l._k") == F.col("r._k")).select(
-        F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), prefer.alias("_prefer"), exact.alias("_exact")
+        F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), F.col("r._n").alias("_n"), prefer.alias("_prefer"), exact.alias("_exact")
     )
-    pairs = pairs.groupBy(left_id, right_id).agg(F.max("_prefer").alias("_prefer"), F.max("_exact").alias("_exact"))
+    # A class is named by its least right id, which no other class has.
+    pairs = pairs.groupBy(left_id, right_id).agg(F.max("_n").alias("_n"), F.max("_prefer").alias("_prefer"), F.max("_exact").alias("_exact"))
+    total = lambda when: F.sum(F.when(when, F.col("_n")).otherwise(0))
     counted = pairs.groupBy(left_id).agg(
-        F.count("*").alias("n"), F.count_if("_prefer").alias("n_prefer"),
-        F.count_if("_exact").alias("n_exact"), F.count_if(F.col("_prefer") & F.col("_exact")).alias("n_both"),
+        F.sum("_n").alias("n"), total(F.col("_prefer")).alias("n_prefer"), total(F.col("_exact")).alias("n_exact"), total(F.col("_prefer") & F.col("_exact")).alias("n_both"),
         F.min(right_id).alias("any_id"), F.min(F.when(F.col("_prefer"), F.col(right_id))).alias("prefer_id"),
         F.min(F.when(F.col("_exact"), F.col(right_id))).alias("exact_id"), F.min(F.when(F.col("_prefer") & F.col("_exact"), F.col(right_id))).alias("both_id"),
     )

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed, money, text
-from rangeledger.operators import documents, events, filters, holdings, sectors, timeline
+from rangeledger.operators import documents, events, filters, holdings, review, sectors, timeline
 from rangeledger.plans import joins
+from rangeledger.plans.stages import cut
 from rangeledger.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +41,8 @@ SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey, l_linenumber, p_name
   p_type AS asset_type, r_name AS sector, CASE l_returnflag WHEN 'N' THEN 'Purchase' WHEN 'R' THEN 'Sale' ELSE 'Exchange' END AS type,
   l_shipdate::DATE AS date, {_bracket_sql('l_extendedprice', 0, "'None (or less than $1,001)'")} AS label,
   {_bracket_sql('l_extendedprice', 1, '0.0::DOUBLE')} AS lo, {_bracket_sql('l_extendedprice', 2, '0.0::DOUBLE')} AS hi, {_bracket_sql('l_extendedprice', 3, '0.0::DOUBLE')} AS mid,
-  l_shipdate::DATE > o_orderdate::DATE + 45 AS late, p_size, p_partkey
+  l_shipdate::DATE > o_orderdate::DATE + 45 AS late, CASE WHEN l_extendedprice < 1001 THEN 0.55::DOUBLE ELSE 0.78::DOUBLE END AS confidence,
+  [x FOR x IN [CASE WHEN l_extendedprice < 1001 THEN 'Amount below the first bracket' END, CASE WHEN l_quantity = 1 AND l_discount = 0 THEN 'Single unit at full price' END] IF x IS NOT NULL] AS flags, p_size, p_partkey
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 NORMAL = r"trim(regexp_replace(regexp_replace(replace(upper({0}), '&', ' AND '), '[.,()]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -118,23 +120,19 @@ def sector_tiles(spark: SparkSession, d: str) -> DataFrame:
     return sectors.sector_tiles(sectors.sector_summary(tables.transactions(spark, d)))
 
 
-def _holding_tx(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    tx = tables.transactions(spark, d)
-    return tx if whole else tx.where("p_size <= 25")
-
-
-def _held(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return holdings.estimated(holdings.grouped(_holding_tx(spark, d, whole)), tables.baseline(spark, d, whole))
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    return holdings.estimated(holdings.grouped(tables.transactions(spark, d)), tables.baseline(spark, d))
 
 
-GROUPS = f"""{TX}, h AS (SELECT *, {_key_sql('description')} AS k FROM tx WHERE p_size <= 25),
+GROUPS = f"""{TX}, h AS (SELECT *, {_key_sql('description')} AS k FROM tx),
 g AS (SELECT k AS security_key, arg_min(description, (l_orderkey, l_linenumber)) AS description, arg_min(ticker, (l_orderkey, l_linenumber)) AS ticker,
   arg_min(asset_type, (l_orderkey, l_linenumber)) AS asset_type, arg_min(sector, (l_orderkey, l_linenumber)) AS sector,
   coalesce(sum(lo) FILTER (type = 'Purchase'), 0) AS plo, coalesce(sum(hi) FILTER (type = 'Purchase'), 0) AS phi, coalesce(sum(mid) FILTER (type = 'Purchase'), 0) AS pmid,
   coalesce(sum(lo) FILTER (type = 'Sale'), 0) AS slo, coalesce(sum(hi) FILTER (type = 'Sale'), 0) AS shi, coalesce(sum(mid) FILTER (type = 'Sale'), 0) AS smid,
-  count(*) AS transaction_count, count(*) FILTER (type = 'Purchase') AS purchase_count, count(*) FILTER (type = 'Sale') AS sale_count, max(date) AS last_date FROM h GROUP BY k),
+  count(*) AS transaction_count, count(*) FILTER (type = 'Purchase') AS purchase_count, count(*) FILTER (type = 'Sale') AS sale_count, max(date) AS last_date, min(date) AS first_date, min(confidence) AS conf, list_sort(list_distinct(flatten(list(flags)))) AS flags FROM h GROUP BY k),
 b AS (SELECT p_partkey AS baseline_id, p_name || ' ' || p_brand AS description, p_brand AS ticker, p_type AS asset_type, {_key_sql("p_name || ' ' || p_brand")} AS k,
-  {_bracket_sql('p_retailprice', 1, '0.0::DOUBLE')} AS lo, {_bracket_sql('p_retailprice', 2, '0.0::DOUBLE')} AS hi, {_bracket_sql('p_retailprice', 3, '0.0::DOUBLE')} AS mid FROM part WHERE p_partkey % 4 = 0),
+  {_bracket_sql('p_retailprice', 1, '0.0::DOUBLE')} AS lo, {_bracket_sql('p_retailprice', 2, '0.0::DOUBLE')} AS hi, {_bracket_sql('p_retailprice', 3, '0.0::DOUBLE')} AS mid FROM part
+  UNION ALL SELECT -1 - s_suppkey, s_name, NULL, 'ACCOUNT', {_key_sql('s_name')}, {_bracket_sql('s_acctbal * 10', 1, '0.0::DOUBLE')}, {_bracket_sql('s_acctbal * 10', 2, '0.0::DOUBLE')}, {_bracket_sql('s_acctbal * 10', 3, '0.0::DOUBLE')} FROM supplier),
 c AS (SELECT g.security_key, b.baseline_id, bool_or(g.asset_type = b.asset_type OR g.ticker = b.ticker) AS pref, bool_or(g.security_key = b.k) AS ex
   FROM g JOIN b ON g.security_key = b.k OR g.ticker = b.ticker GROUP BY ALL),
 n AS (SELECT security_key, count(*) AS n, count(*) FILTER (pref) AS np, count(*) FILTER (ex) AS ne, count(*) FILTER (pref AND ex) AS nb, min(baseline_id) AS any_id,
@@ -142,25 +140,26 @@ n AS (SELECT security_key, count(*) AS n, count(*) FILTER (pref) AS np, count(*)
 m AS (SELECT security_key, CASE WHEN np = 1 THEN p_id WHEN np > 1 AND nb = 1 THEN b_id WHEN np = 0 AND n = 1 THEN any_id WHEN np = 0 AND ne = 1 THEN e_id END AS baseline_id FROM n),
 e AS (SELECT g.security_key, coalesce(b.description, g.description) AS description, g.ticker, g.asset_type, g.sector, coalesce(b.lo, 0) AS blo, coalesce(b.hi, 0) AS bhi, coalesce(b.mid, 0) AS bmid,
   plo, phi, pmid, slo, shi, smid, transaction_count, purchase_count, sale_count, last_date, b.baseline_id IS NULL AS missing_baseline,
-  greatest(0, coalesce(b.lo, 0) + plo - shi) AS clo, greatest(0, coalesce(b.hi, 0) + phi - slo) AS chi, greatest(0, coalesce(b.mid, 0) + pmid - smid) AS cmid
+  greatest(0, coalesce(b.lo, 0) + plo - shi) AS clo, greatest(0, coalesce(b.hi, 0) + phi - slo) AS chi, greatest(0, coalesce(b.mid, 0) + pmid - smid) AS cmid,
+  least(CASE WHEN b.baseline_id IS NULL THEN 0.58::DOUBLE ELSE 0.86::DOUBLE END, conf) AS confidence, list_concat(CASE WHEN b.baseline_id IS NULL THEN ['{fixed.NO_BASELINE_FLAG}'] ELSE [] END, g.flags) AS flags
   FROM g LEFT JOIN m USING (security_key) LEFT JOIN b USING (baseline_id)
-  UNION ALL SELECT k, description, NULL, asset_type, 'Other', lo, hi, mid, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, false, lo, hi, mid FROM b WHERE k NOT IN (SELECT security_key FROM g))"""
+  UNION ALL SELECT k, description, NULL, asset_type, 'Other', lo, hi, mid, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, false, lo, hi, mid, 0.74::DOUBLE, [] FROM b WHERE k NOT IN (SELECT security_key FROM g))"""
 
 
 @query(f"""WITH {GROUPS} SELECT security_key, description, ticker, asset_type, sector, bmid AS baseline_midpoint, pmid AS purchase_midpoint, smid AS sale_midpoint,
-clo AS current_min, chi AS current_max, cmid AS current_midpoint, transaction_count, purchase_count, sale_count, last_date, missing_baseline FROM e""")
-def holdings_estimate(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _held(spark, d, whole).select(
+clo AS current_min, chi AS current_max, cmid AS current_midpoint, transaction_count, purchase_count, sale_count, last_date, missing_baseline, confidence, array_to_string(flags, '|') AS flags FROM e""")
+def holdings_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return _held(spark, d).select(
         "security_key", "description", "ticker", "asset_type", "sector", F.col("baseline.midpoint").alias("baseline_midpoint"), F.col("purchases.midpoint").alias("purchase_midpoint"),
         F.col("sales.midpoint").alias("sale_midpoint"), F.col("current.min").alias("current_min"), F.col("current.max").alias("current_max"), F.col("current.midpoint").alias("current_midpoint"),
-        "transaction_count", "purchase_count", "sale_count", "last_date", "missing_baseline",
+        "transaction_count", "purchase_count", "sale_count", "last_date", "missing_baseline", "confidence", F.array_join("flags", "|").alias("flags"),
     )
 
 
 @query(f"WITH {GROUPS} SELECT baseline_id, k AS base_key FROM b WHERE k NOT IN (SELECT security_key FROM g)")
-def holdings_anti_baseline(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    keys = _holding_tx(spark, d, whole).select(text.security_key(F.col("description")).alias("base_key"))
-    base = tables.baseline(spark, d, whole).select("baseline_id", text.security_key(F.col("description")).alias("base_key"))
+def holdings_anti_baseline(spark: SparkSession, d: str) -> DataFrame:
+    keys = tables.transactions(spark, d).select(text.security_key(F.col("description")).alias("base_key"))
+    base = tables.baseline(spark, d).select("baseline_id", text.security_key(F.col("description")).alias("base_key"))
     return base.join(keys, "base_key", "left_anti").select("baseline_id", "base_key")
 
 
@@ -173,8 +172,8 @@ s AS (SELECT *, {ROUND1.format('exposure * 0.5::DOUBLE + change * 0.3::DOUBLE +
 
 @query(f"""WITH {INDEX} SELECT security_key, cmid AS current_mid, prev AS previous_mid, chg AS change_mid, round(CASE WHEN prev > 0 THEN chg / prev * 100 WHEN cmid > 0 THEN 100.0 END, 6) AS change_pct,
 exposure, change, activity, score, CASE WHEN pmid - smid > 0 THEN 'Net buy' WHEN pmid - smid < 0 THEN 'Net sale' ELSE 'Hold' END AS direction FROM s""")
-def index_scores(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    scored = holdings.scored(_held(spark, d, whole))
+def index_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = holdings.scored(_held(spark, d))
     return scored.select("security_key", "current_mid", "previous_mid", "change_mid", F.round("change_pct", 6).alias("change_pct"), "exposure", "change", "activity", "score", "direction")
 
 
@@ -183,13 +182,13 @@ r AS (SELECT kind, key, security_key, row_number() OVER (PARTITION BY kind, key
 SELECT kind, key, count(*) AS entry_count, sum(cmid) AS current_mid, sum(pmid) AS purchase_mid, sum(smid) AS sale_mid, sum(pmid - smid) AS net_mid,
 {ROUND1.format('round(sum(score), 6) / count(*)')} AS average_score,
 (SELECT string_agg(security_key, '|' ORDER BY rank) FROM r WHERE r.kind = u.kind AND r.key = u.key AND rank <= 5) AS top_entries FROM u GROUP BY kind, key""")
-def index_rollups(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return holdings.rollups(holdings.scored(_held(spark, d, whole)))
+def index_rollups(spark: SparkSession, d: str) -> DataFrame:
+    return holdings.rollups(holdings.scored(_held(spark, d)))
 
 
 def _leader(by: str, order: str) -> None:
-    def run(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-        return holdings.leaders(holdings.scored(_held(spark, d, whole)), by).select("security_key", "current_mid", "change_mid", "net_mid")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return holdings.leaders(holdings.scored(_held(spark, d)), by).select("security_key", "current_mid", "change_mid", "net_mid")
 
     run.__name__ = f"index_leaders_{by}"
     query(f"WITH {INDEX} SELECT security_key, cmid AS current_mid, chg AS change_mid, pmid - smid AS net_mid FROM s ORDER BY {order}, security_key LIMIT 5")(run)
@@ -231,11 +230,11 @@ def monthly_activity(spark: SparkSession, d: str) -> DataFrame:
     return timeline.monthly_activity(tables.transactions(spark, d))
 
 
-@query(f"""WITH {TX}, r AS (SELECT * FROM tx WHERE month(date) % 3 = 0), f AS (SELECT strftime(date, '%Y-%m') AS month, {FLOW} FROM r GROUP BY 1),
+@query(f"""WITH {TX}, r AS (SELECT * FROM tx), f AS (SELECT strftime(date, '%Y-%m') AS month, {FLOW} FROM r GROUP BY 1),
 sp AS (SELECT strftime(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM r)
 SELECT month, purchase_midpoint, sale_midpoint, transaction_count FROM sp LEFT JOIN f USING (month)""")
-def gap_filled_flow(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return timeline.gap_filled_flow(tables.transactions(spark, d).where(F.lit(whole) | (F.month("date") % 3 == 0)))
+def gap_filled_flow(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.gap_filled_flow(tables.transactions(spark, d))
 
 
 @query(f"WITH {TX} SELECT asset_type, count(*) AS n, sum(mid) AS midpoint FROM tx GROUP BY asset_type")
@@ -250,13 +249,13 @@ def facet_counts(spark: SparkSession, d: str) -> DataFrame:
     return tx.select(F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {TX}, y AS (SELECT year(date) AS year, {FLOW} FROM tx GROUP BY 1), a AS (SELECT year(o_orderdate) AS year, sum(o_totalprice) AS asset_value FROM orders WHERE year(o_orderdate) % 2 = 0 GROUP BY 1),
+@query(f"""WITH {TX}, y AS (SELECT year(date) AS year, {FLOW} FROM tx GROUP BY 1), a AS (SELECT year(o_orderdate) AS year, sum(o_totalprice) AS asset_value FROM orders GROUP BY 1),
 sp AS (SELECT unnest(generate_series(min(year(date)) - 1, max(year(date)) + 1)) AS year FROM tx)
 SELECT year::INTEGER AS year, coalesce(transaction_count, 0) AS transaction_count, coalesce(purchase_midpoint, 0) AS purchase_midpoint, coalesce(sale_midpoint, 0) AS sale_midpoint,
 round(coalesce(nullif(asset_value, 0), coalesce(purchase_midpoint, 0)), 2) AS exposure FROM sp LEFT JOIN y USING (year) LEFT JOIN a USING (year)""")
-def yearly_exposure(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def yearly_exposure(spark: SparkSession, d: str) -> DataFrame:
     orders = tables.table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
-    assets = orders.where(F.lit(whole) | (F.col("year") % 2 == 0)).groupBy("year").agg(F.sum("o_totalprice").alias("asset_value"))
+    assets = orders.groupBy("year").agg(F.sum("o_totalprice").alias("asset_value"))
     return timeline.yearly_exposure(tables.transactions(spark, d), assets).withColumn("exposure", F.round("exposure", 2))
 
 
@@ -354,8 +353,8 @@ def _config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("Brand#1", ["tariff-holding", "foreign-policy"]), ("Brand#5", ["regulatory-holding"]), ("Brand#9", ["fed-rate-sensitive", "regulatory-holding"])], schema)
 
 
-def _conflict_holdings(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    held = _held(spark, d, whole)
+def _conflict_holdings(spark: SparkSession, d: str) -> DataFrame:
+    held = _held(spark, d)
     return held.select(F.col("security_key").alias("holding_id"), "ticker", F.col("description").alias("name"), "sector", F.col("current.midpoint").alias("value"))
 
 
@@ -364,50 +363,101 @@ pc AS (SELECT 'policy-' || ticker || '-' || category AS indicator_id, CASE WHEN
 
 
 @query(f"{POLICY} SELECT * FROM pc")
-def conflict_policy(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return events.policy_conflicts(_conflict_holdings(spark, d, whole), _config(spark))
+def conflict_policy(spark: SparkSession, d: str) -> DataFrame:
+    return events.policy_conflicts(_conflict_holdings(spark, d), _config(spark))
 
 
 FED = f"""{POLICY}, ft AS (SELECT coalesce(sum(cmid), 0) AS value, count(*) AS n FROM e WHERE sector = 'EUROPE'),
 fc AS (SELECT 'rate-' || event_id AS indicator_id, CASE WHEN ft.value > 1000000 THEN 'high' ELSE 'medium' END AS severity, 'rate-sensitive' AS category, NULL::VARCHAR AS ticker, n || ' holdings' AS holding, ft.value, event_id::VARCHAR AS event_id, 0.5::DOUBLE AS evidence
-FROM events CROSS JOIN ft WHERE event_type = 'error' AND event_id % 50 = 0 AND ft.value > 100000)"""
+FROM events CROSS JOIN ft WHERE event_type = 'error' AND ft.value > 100000)"""
 
 
-def _rate(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _rate(spark: SparkSession, d: str) -> DataFrame:
     errors = tables.table(spark, d, "events").where("event_type = 'error'")
-    rate_events = errors.where(F.lit(whole) | (F.col("event_id") % 50 == 0)).select("event_id")
-    return events.rate_conflicts(_conflict_holdings(spark, d, whole), rate_events, F.col("sector") == "EUROPE")
+    return events.rate_conflicts(_conflict_holdings(spark, d), errors.select("event_id"), F.col("sector") == "EUROPE")
 
 
 @query(f"{FED} SELECT * FROM fc")
-def conflict_fed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _rate(spark, d, whole)
+def conflict_fed(spark: SparkSession, d: str) -> DataFrame:
+    return _rate(spark, d)
+
+
+TIMING_CONFIG = [("S0", ["signup"], ['"k": 11']), ("S1", ["error"], ["view"]), ("S2", ["signup", "error"], ['"k": 42', '"k": 43'])]
+_KINDS_SQL = ", ".join(f"('{s}', '{k}')" for s, kinds, _ in TIMING_CONFIG for k in kinds)
+_SAID_SQL = ", ".join(f"('{s}', '{w}')" for s, _, words in TIMING_CONFIG for w in words)
+TIMING = f"""{EVENTS_SQL}, hd AS (SELECT ticker AS holding_id, ticker, max(issuer) AS issuer, min(sector) AS sector, sum(CASE type WHEN 'Purchase' THEN mid ELSE -mid END) AS value FROM p GROUP BY ticker),
+ev AS (SELECT event_id, ts::DATE AS date, event_type AS category, event_type AS title, props AS summary FROM events),
+mt AS (SELECT c.sector, event_id, date FROM ev JOIN (VALUES {_KINDS_SQL}) c(sector, category) USING (category) UNION SELECT c.sector, event_id, date FROM ev JOIN (VALUES {_SAID_SQL}) c(sector, word) ON contains(lower(title), word) OR contains(lower(summary), word)),
+pd AS (SELECT ticker, issuer, date AS d2, count(*) AS n FROM p GROUP BY ALL), sd AS (SELECT DISTINCT sector, date FROM mt),
+x AS (SELECT holding_id, sd.date, sum(n) AS related, coalesce(sum(n) FILTER (d2 < sd.date), 0) AS before FROM hd JOIN sd USING (sector) JOIN pd ON d2 BETWEEN sd.date - 30 AND sd.date + 30 AND (pd.ticker = hd.ticker OR pd.issuer IS NOT DISTINCT FROM hd.issuer) GROUP BY ALL),
+tc AS (SELECT 'timing-' || holding_id || '-' || event_id AS indicator_id, CASE WHEN before > 0 THEN 'high' ELSE 'medium' END AS severity, 'suspicious-timing' AS category, ticker, holding_id AS holding, value, event_id::VARCHAR AS event_id,
+CASE WHEN before > 0 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS evidence, related::BIGINT AS related, before::BIGINT AS before FROM x JOIN hd USING (holding_id) JOIN mt USING (sector, date))"""
+
+
+def _traded_holdings(spark: SparkSession, d: str) -> DataFrame:
+    """Holdings of the purchases and clicks, one of each ticker."""
+    net = F.when(F.col("type") == "Purchase", F.col("amount.midpoint")).otherwise(-F.col("amount.midpoint"))
+    rows = _purchases(spark, d).groupBy("ticker").agg(F.max("issuer_ticker").alias("issuer_ticker"), F.min("sector").alias("sector"), F.sum(net).alias("value"))
+    return rows.withColumn("holding_id", F.col("ticker"))
+
+
+def _timing(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"), F.col("event_type").alias("title"), F.col("props").alias("summary"))
+    config = spark.createDataFrame(TIMING_CONFIG, "sector string, triggers array<string>, words array<string>")
+    return events.timing_conflicts(_traded_holdings(spark, d), rows, _purchases(spark, d), config, days=30, strict=False)
+
+
+@query(f"WITH {TIMING} SELECT * FROM tc")
+def conflict_timing(spark: SparkSession, d: str) -> DataFrame:
+    return _timing(spark, d)
+
+
+ALL_CONFLICTS = f"""{FED}, {TIMING}, al AS (SELECT * FROM pc UNION ALL SELECT * FROM fc UNION ALL SELECT indicator_id, severity, category, ticker, holding, value, event_id, evidence FROM tc),
+sh AS (SELECT * FROM al ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, evidence DESC, indicator_id LIMIT 100)"""
+
+
+def _all_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    held = cut(_conflict_holdings(spark, d))
+    rate = events.rate_conflicts(held, tables.table(spark, d, "events").where("event_type = 'error'").select("event_id"), F.col("sector") == "EUROPE")
+    return events.policy_conflicts(held, _config(spark)).unionByName(rate).unionByName(_timing(spark, d).drop("related", "before"))
 
 
-@query(f"""{FED}, al AS (SELECT * FROM pc UNION ALL SELECT * FROM fc), sh AS (SELECT * FROM al ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, evidence DESC, indicator_id LIMIT 100)
-SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(DISTINCT coalesce(ticker, holding)) AS holdings, count(DISTINCT event_id) AS events,
+@query(f"""{ALL_CONFLICTS} SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(DISTINCT coalesce(ticker, holding)) AS holdings, count(DISTINCT event_id) AS events,
 (SELECT sum(value) FROM al) AS exposure FROM sh""")
 def conflict_summary(spark: SparkSession, d: str) -> DataFrame:
-    return events.conflict_summary(conflict_policy(spark, d).unionByName(_rate(spark, d)))
+    return events.conflict_summary(_all_conflicts(spark, d))
 
 
-@query(f"""WITH {EVENTS_SQL}, hd AS (SELECT u AS holding_id, 'user' || u AS ticker, CASE WHEN u % 2 = 0 THEN 'I' || (u % 5) END AS issuer, 'S' || (u % 4) AS sector, u * 1000.0::DOUBLE AS value FROM generate_series(0, 19) t(u)),
-ev AS (SELECT event_id, ts::DATE AS date, event_type AS category FROM events WHERE event_type IN ('signup', 'error') AND event_id % 40 = 0),
-cf AS (SELECT * FROM (VALUES ('S0', 'signup'), ('S1', 'error'), ('S2', 'signup'), ('S2', 'error')) v(sector, category)),
-x AS (SELECT hd.holding_id, ev.event_id, ev.date, hd.ticker, hd.value, p.date AS d2 FROM hd JOIN cf USING (sector) JOIN ev USING (category)
-JOIN p ON p.date BETWEEN ev.date - 3 AND ev.date + 3 AND (p.ticker = hd.ticker OR p.issuer IS NOT DISTINCT FROM hd.issuer))
-SELECT 'timing-' || holding_id || '-' || event_id AS indicator_id, CASE WHEN count(*) FILTER (d2 < date) > 0 THEN 'high' ELSE 'medium' END AS severity, 'suspicious-timing' AS category, any_value(ticker) AS ticker, holding_id AS holding,
-any_value(value) AS value, event_id::VARCHAR AS event_id, CASE WHEN count(*) FILTER (d2 < date) > 0 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS evidence, count(*) AS related, count(*) FILTER (d2 < date) AS before FROM x GROUP BY holding_id, event_id""")
-def conflict_timing(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("id")
-    held = spark.range(20).select(
-        u.alias("holding_id"), F.concat(F.lit("user"), u).alias("ticker"), F.when(u % 2 == 0, F.concat(F.lit("I"), u % 5)).alias("issuer_ticker"), F.concat(F.lit("S"), u % 4).alias("sector"),
-        (u * 1000).cast("double").alias("value"),
-    )
-    rows = tables.table(spark, d, "events").where("event_type in ('signup', 'error') and event_id % 40 = 0")
-    rows = rows.select("event_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"), F.lit("").alias("title"), F.lit("").alias("summary"))
-    config = spark.createDataFrame([("S0", ["signup"], ["no such"]), ("S1", ["error"], ["no such"]), ("S2", ["signup", "error"], ["no such"])], "sector string, triggers array<string>, words array<string>")
-    return events.timing_conflicts(held, rows, _purchases(spark, d), config, days=3, strict=False)
+@query(f"{ALL_CONFLICTS} SELECT category, severity, count(*) AS n, sum(value) AS value, max(evidence) AS evidence FROM sh GROUP BY ALL")
+def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
+    return events.conflicts_by(_all_conflicts(spark, d), "category", "severity")
+
+
+@query(f"{ALL_CONFLICTS} SELECT indicator_id, value FROM sh WHERE severity = 'high' AND category = 'suspicious-timing'")
+def conflict_filter(spark: SparkSession, d: str) -> DataFrame:
+    shown = events.ranked_conflicts(_all_conflicts(spark, d))
+    return events.filtered_conflicts(shown, severity="high", category="suspicious-timing").select("indicator_id", "value")
+
+
+@query(f"""WITH {TIMING}, sh AS (SELECT * FROM tc ORDER BY CASE severity WHEN 'high' THEN 3 ELSE 2 END DESC, evidence DESC, indicator_id LIMIT 100),
+lk AS (SELECT DISTINCT sh.indicator_id, p.id FROM sh JOIN ev ON ev.event_id::VARCHAR = sh.event_id JOIN hd ON hd.holding_id = sh.holding JOIN p ON p.ticker = hd.ticker AND p.date BETWEEN ev.date - 30 AND ev.date + 30)
+SELECT ev.date, 'event' AS type, ev.event_id::VARCHAR AS id, title, string_agg(DISTINCT indicator_id, '|' ORDER BY indicator_id) AS indicators FROM ev JOIN sh ON ev.event_id::VARCHAR = sh.event_id GROUP BY ALL
+UNION ALL SELECT p.date, 'transaction', p.id::VARCHAR, p.type || ': ' || left(p.ticker, 50) || '...', string_agg(DISTINCT indicator_id, '|' ORDER BY indicator_id) FROM p JOIN lk USING (id) GROUP BY p.date, p.id, p.type, p.ticker""")
+def conflict_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Events and transactions (here by ticker) of the ranked timing indicators."""
+    shown = cut(events.ranked_conflicts(_timing(spark, d)))
+    rows = tables.table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("title"))
+    tx = _purchases(spark, d).withColumn("description", F.col("ticker"))
+    spans = shown.join(rows.select(F.col("event_id").cast("string").alias("event_id"), "date"), "event_id").select("indicator_id", "ticker", F.date_sub("date", 30).alias("low"), F.date_add("date", 30).alias("high"))
+    bare = tx.select(F.col("id").alias("tx_id"), F.col("ticker").alias("tx_ticker"), F.col("date").alias("tx_date"))
+    links = joins.interval_join(spans, bare, "low", "high", "tx_date", 16, also=F.col("ticker") == F.col("tx_ticker")).select("indicator_id", "tx_id").distinct()
+    found = events.conflict_timeline(shown, rows, links.withColumn("tx_id", F.col("tx_id").cast("string")), tx.withColumn("id", F.col("id").cast("string")))
+    return found.withColumn("indicators", F.array_join("indicators", "|"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_id FROM s WHERE year(date) = 2024 AND coalesce(end_date, date) >= DATE '2024-01-10' AND date <= DATE '2024-01-12'")
+def event_overlap_filter(spark: SparkSession, d: str) -> DataFrame:
+    return events.shown_events(_signups(spark, d), "2024", "2024-01-10", "2024-01-12").select("event_id")
 
 
 @query(f"SELECT p_partkey, {NORMAL.format('p_name')} AS normal, {_key_sql(chr(39) + 'Class A ' + chr(39) + ' || p_name || ' + chr(39) + ' Common due 01/02' + chr(39))} AS key FROM part")
@@ -470,20 +520,20 @@ def ambiguity_gap(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("k", "name", "score", F.round(gap, 6).alias("gap"), F.coalesce(gap < 0.5, F.lit(False)).alias("ambiguous"))
 
 
-@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS customers, max(c_name) AS cname FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers, max(s_name) AS sname FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1)
+@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS customers, max(c_name) AS cname FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers, max(s_name) AS sname FROM supplier GROUP BY 1)
 SELECT k, coalesce(cname, sname) AS name, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers, concat_ws('|', CASE WHEN cname IS NOT NULL THEN 'customer' END, CASE WHEN sname IS NOT NULL THEN 'supplier' END) AS sources FROM c FULL JOIN s USING (k)""")
-def full_outer_reference(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = tables.table(spark, d, "customer").where(F.lit(whole) | (F.col("c_nationkey") % 3 != 0)).groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"), F.max("c_name").alias("cname"))
-    s = tables.table(spark, d, "supplier").where(F.lit(whole) | (F.col("s_nationkey") % 4 != 0)).groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"), F.max("s_name").alias("sname"))
+def full_outer_reference(spark: SparkSession, d: str) -> DataFrame:
+    c = tables.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"), F.max("c_name").alias("cname"))
+    s = tables.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"), F.max("s_name").alias("sname"))
     none = F.lit(0).cast("long")
     sources = F.concat_ws("|", F.when(F.col("cname").isNotNull(), "customer"), F.when(F.col("sname").isNotNull(), "supplier"))
     return c.join(s, "k", "full").select("k", F.coalesce("cname", "sname").alias("name"), F.coalesce("customers", none).alias("customers"), F.coalesce("suppliers", none).alias("suppliers"), sources.alias("sources"))
 
 
-@query("""SELECT s_nationkey AS k, 'new' AS origin, max(s_acctbal) AS value FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1 UNION ALL
-SELECT c_nationkey, 'old', max(c_acctbal) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0) GROUP BY 1""")
-def priority_merge(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    new = tables.table(spark, d, "supplier").where(F.lit(whole) | (F.col("s_nationkey") % 2 == 0)).groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("value")).withColumn("origin", F.lit("new"))
+@query("""SELECT s_nationkey AS k, 'new' AS origin, max(s_acctbal) AS value FROM supplier GROUP BY 1 UNION ALL
+SELECT c_nationkey, 'old', max(c_acctbal) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1""")
+def priority_merge(spark: SparkSession, d: str) -> DataFrame:
+    new = tables.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("value")).withColumn("origin", F.lit("new"))
     old = tables.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("value")).withColumn("origin", F.lit("old"))
     return joins.priority_union(["k"], new, old).select("k", "origin", "value")
 
@@ -503,13 +553,13 @@ def tagged_pages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""WITH h AS (SELECT p_brand AS ticker, sum(l_extendedprice) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), q AS (SELECT p_brand AS ticker, max(p_retailprice) AS price, min(p_retailprice) AS previous_close FROM part WHERE p_brand < 'Brand#2' GROUP BY 1)
+@query("""WITH h AS (SELECT p_brand AS ticker, sum(l_extendedprice) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), q AS (SELECT p_brand AS ticker, max(p_retailprice) AS price, min(p_retailprice) AS previous_close FROM part GROUP BY 1)
 SELECT round(sum(coalesce(cost / nullif(previous_close, 0) * price, cost)), 2) AS market_value, round(sum(cost), 2) AS cost, count(price) AS quoted, round(sum(coalesce(cost / nullif(previous_close, 0) * price, cost)) - sum(cost), 2) AS gain,
 round((sum(coalesce(cost / nullif(previous_close, 0) * price, cost)) - sum(cost)) / sum(cost) * 100, 6) AS gain_pct FROM h LEFT JOIN q USING (ticker)""")
-def market_join(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def market_join(spark: SparkSession, d: str) -> DataFrame:
     part = tables.table(spark, d, "part")
     held = tables.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker")).agg(F.sum("l_extendedprice").alias("cost"))
-    quotes = part.where(F.lit(whole) | (F.col("p_brand") < "Brand#2")).groupBy(F.col("p_brand").alias("ticker")).agg(F.max("p_retailprice").alias("price"), F.min("p_retailprice").alias("previous_close"))
+    quotes = part.groupBy(F.col("p_brand").alias("ticker")).agg(F.max("p_retailprice").alias("price"), F.min("p_retailprice").alias("previous_close"))
     totals = sectors.portfolio_totals(sectors.market_values(held, quotes))
     return totals.select(*(F.round(c, 2).alias(c) for c in ("market_value", "cost", "gain")), "quoted", F.round("gain_pct", 6).alias("gain_pct"))
 
@@ -535,41 +585,12 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"), F.min("p.k").alias("k_min"))
 
 
-@query(f"""WITH {GROUPS}, q AS (SELECT 1 AS source, security_key AS related_id, CASE WHEN cmid > 1000000 THEN 'high' ELSE 'low' END AS severity, 'baseline' AS kind FROM (SELECT * FROM e ORDER BY cmid DESC, transaction_count DESC, security_key LIMIT 200) WHERE missing_baseline
-UNION ALL SELECT 0, security_key, 'medium', 'classification' FROM (SELECT * FROM g WHERE sale_count > purchase_count ORDER BY security_key LIMIT 200)) SELECT * FROM q ORDER BY source, related_id LIMIT 500""")
-def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Rules in order, each over its own first 200 rows, 500 in all."""
-    groups = holdings.grouped(_holding_tx(spark, d))
-    held = holdings.estimated(groups, tables.baseline(spark, d)).orderBy(F.col("current.midpoint").desc(), F.col("transaction_count").desc(), "security_key").limit(200)
-    missing = held.where("missing_baseline").select(F.lit(1).alias("source"), F.col("security_key").alias("related_id"), F.when(F.col("current.midpoint") > 1_000_000, "high").otherwise("low").alias("severity"), F.lit("baseline").alias("kind"))
-    sold = groups.where("sale_count > purchase_count").orderBy("security_key").limit(200)
-    sold = sold.select(F.lit(0).alias("source"), F.col("security_key").alias("related_id"), F.lit("medium").alias("severity"), F.lit("classification").alias("kind"))
-    return sold.unionByName(missing).orderBy("source", "related_id").limit(500)
+REVIEW = f"""{GROUPS}, r1 AS (SELECT 1 AS source, row_number() OVER (ORDER BY s_suppkey) AS seq, CASE WHEN s_acctbal < 0 THEN 'high' ELSE 'medium' END AS severity, 'source' AS kind, s_suppkey::VARCHAR AS related_id, s_name AS detail FROM supplier WHERE s_acctbal < 500),
+r3 AS (SELECT 3, row_number() OVER (ORDER BY l_orderkey, l_linenumber), CASE WHEN confidence < 0.6 THEN 'high' ELSE 'medium' END, 'classification', id, description || ' | ' || array_to_string(flags, ', ') FROM tx WHERE len(flags) > 0 OR confidence < 0.7),
+h2 AS (SELECT *, row_number() OVER (ORDER BY cmid DESC, transaction_count DESC, description, security_key) AS o FROM e), r4 AS (SELECT 4, row_number() OVER (ORDER BY o), 'low', 'baseline', security_key, description FROM h2 WHERE o <= 200 AND missing_baseline)"""
 
 
-#: What narrows the input of some queries, beside their SQL as it is given.
-NARROWED = [
-    " WHERE p_size <= 25", " WHERE p_partkey % 4 = 0", " WHERE month(date) % 3 = 0", " WHERE year(o_orderdate) % 2 = 0", " WHERE c_nationkey % 3 <> 0", " WHERE s_nationkey % 4 <> 0",
-    " WHERE s_nationkey % 2 = 0", " WHERE p_brand < 'Brand#2'", " AND event_id % 50 = 0",
-]
-
-
-def _whole(name: str) -> None:
-    """The query over the whole tables, beside its SQL without what narrows it."""
-    sql = SQL[name]
-    for condition in NARROWED:
-        sql = sql.replace(condition, "")
-    narrow = QUERIES[name]
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return narrow(spark, d, whole=True)
-
-    run.__name__ = f"{name}_all"
-    query(sql)(run)
-
-
-for _name in (
-    "holdings_estimate", "holdings_anti_baseline", "index_scores", "index_rollups", "index_leaders_exposure", "index_leaders_mover", "index_leaders_buy", "index_leaders_sell", "conflict_policy", "conflict_fed",
-    "gap_filled_flow", "yearly_exposure", "full_outer_reference", "priority_merge", "market_join",
-):
-    _whole(_name)
+@query(f"WITH {REVIEW} SELECT * FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4) ORDER BY source, seq LIMIT 500")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    held = cut(_held(spark, d))
+    return review.review_queue(tables.filings(spark, d), tables.transactions(spark, d), tables.baseline(spark, d), held)

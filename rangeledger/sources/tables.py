@@ -1,7 +1,8 @@
 """Disclosure-shaped views over star-schema tables.
 
-Order lines stand for reported transactions, parts for securities, and every
-fourth part for a baseline holding.  The views are lazy: a query reads only the
+Order lines stand for reported transactions, parts for securities, parts and
+suppliers (as accounts, which are never traded) for baseline holdings, suppliers
+for source filings.  The views are lazy: a query reads only the
 columns it uses."""
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ord, description, ticker, asset_type, sector, type, date, amount, late, p_size, p_partkey."""
+    """id, ord, description, ticker, asset_type, sector, type, date, amount, late, confidence, flags, p_size, p_partkey."""
     line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     supplier, nation, region = (table(spark, sf_dir, n) for n in ("supplier", "nation", "region"))
     # Nation and region have a fixed size; the supplier side is left to the planner.
@@ -29,21 +30,35 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = F.when(F.col("l_returnflag") == "N", "Purchase").when(F.col("l_returnflag") == "R", "Sale").otherwise("Exchange")
     date = F.col("l_shipdate").cast("date")
+    low, single = F.col("l_extendedprice") < 1001, (F.col("l_quantity") == 1) & (F.col("l_discount") == 0)
+    flags = F.array_compact(F.array(F.when(low, "Amount below the first bracket"), F.when(single, "Single unit at full price")))
     return joined.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.struct("l_orderkey", "l_linenumber").alias("ord"),
         F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.col("p_brand").alias("ticker"), F.col("p_type").alias("asset_type"),
         F.col("r_name").alias("sector"), kind.alias("type"), date.alias("date"), bracket_of(F.col("l_extendedprice")).alias("amount"),
-        (date > F.date_add(F.col("o_orderdate").cast("date"), 45)).alias("late"), "p_size", "p_partkey",
+        (date > F.date_add(F.col("o_orderdate").cast("date"), 45)).alias("late"),
+        F.when(low, 0.55).otherwise(0.78).alias("confidence"), flags.alias("flags"), "p_size", "p_partkey",
     )
 
 
-def baseline(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """id, description, ticker, asset_type, value of every fourth or each part."""
-    part = table(spark, sf_dir, "part").where(F.lit(whole) | (F.col("p_partkey") % 4 == 0))
-    return part.select(
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """baseline_id, description, ticker, asset_type, value of each part and of each
+    supplier's account."""
+    parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("baseline_id"), F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.col("p_brand").alias("ticker"),
         F.col("p_type").alias("asset_type"), bracket_of(F.col("p_retailprice")).alias("value"),
     )
+    accounts = table(spark, sf_dir, "supplier").select(
+        (-1 - F.col("s_suppkey")).alias("baseline_id"), F.col("s_name").alias("description"), F.lit(None).cast("string").alias("ticker"),
+        F.lit("ACCOUNT").alias("asset_type"), bracket_of(F.col("s_acctbal") * 10).alias("value"),
+    )
+    return parts.unionByName(accounts)
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, ord, title, status of each source filing (a supplier)."""
+    status = F.when(F.col("s_acctbal") < 0, "failed").when(F.col("s_acctbal") < 500, "needs-review").otherwise("parsed")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("title"), status.alias("status"))
 
 
 def dated_events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
