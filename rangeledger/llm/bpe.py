@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut, in_small_batches
+from rangeledger.llm.common import add_columns, cut, cut_small, in_small_batches
 from rangeledger.llm.text import slices
 
 RANK_BUCKETS = 1 << 15
@@ -128,7 +128,7 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
     if least is None:
         return b""
     # Written first: the plan that holds the literal is then one scan and one projection.
-    frequent = cut(counted.where(step >= least).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word"))
+    frequent = cut_small(counted.where(step >= least).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word"))
     by_piece = {piece.hex().upper(): rank for piece, rank in ranks.items()}
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
             ids = [np.array([by_piece[p] for p in row], dtype="<u4").tobytes() for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(ids, pa.binary())], names=["word", "ids"])
 
-    folded = cut(frequent.select("word", fold_merges("word", ranks).alias("pieces"))).mapInArrow(packed, "word binary, ids binary")
+    folded = frequent.select("word", fold_merges("word", ranks).alias("pieces")).mapInArrow(packed, "word binary, ids binary")
     out = io.BytesIO()
     table = folded.toArrow()  # bounded by dictionary_words
     with pa.ipc.new_stream(out, table.schema) as stream:

@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """:func:`cut` for rows of ids and counts: at most as many files as the cluster
+    has cores, since a file costs more than such rows do."""
+    return cut(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

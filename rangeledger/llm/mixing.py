@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeledger.llm.common import WORD_PATTERN, cut, join_bounded
+from rangeledger.llm.common import WORD_PATTERN, cut, cut_small, join_bounded
 
 BIN_BITS = 12
 LEVELS = 3
@@ -89,7 +89,7 @@ def _full_at(ranked: DataFrame) -> DataFrame:
         found = bins.groupBy("source_no", "prefix", "rest").agg(
             F.min(F.when(over, F.col("bin"))).alias("at"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("below")
         )
-        found = cut(found.select("source_no", F.coalesce("at", end).alias("prefix"), (F.col("rest") - F.col("below")).alias("rest")))
+        found = cut_small(found.select("source_no", F.coalesce("at", end).alias("prefix"), (F.col("rest") - F.col("below")).alias("rest")))
     return found.select("source_no", F.col("prefix").alias("full_at"), F.col("rest").alias("left"))
 
 
@@ -117,14 +117,14 @@ def _placed(rows: DataFrame, seed: int) -> DataFrame:
 def mix_plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
     """From doc_id, source, size and tilt: a row per source with its target and
     where its ranks are cut.  All of the mix that is not a document's own."""
-    targets = cut(source_targets(sizes, weights, share, most))
+    targets = cut_small(source_targets(sizes, weights, share, most))
     small = join_bounded(sizes, targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
     ranked = cut(_placed(small, seed).select("doc_id", "source_no", "size", "rest", "place").where((F.col("rest") > 0) & (F.col("size") > 0)))
     full = _full_at(ranked)
     fits = (F.col("place") >= F.col("full_at")) & (F.col("size") <= F.col("left"))
     second = join_bounded(ranked.drop("rest"), full, "source_no").where(fits).select("doc_id", "source_no", "size", F.col("left").alias("rest"), "place")
     second = _full_at(second).select("source_no", F.col("full_at").alias("second_at"), F.col("left").alias("second_left"))
-    full = cut(full.join(second, "source_no", "left").withColumn("fits", F.col("left")).withColumn("left", F.coalesce("second_left", "left")).drop("second_left"))
+    full = cut_small(full.join(second, "source_no", "left").withColumn("fits", F.col("left")).withColumn("left", F.coalesce("second_left", "left")).drop("second_left"))
     left, last = full, None
     for _ in range(CLOSING):
         outside = join_bounded(ranked, left, "source_no").where(~_taken() & (F.col("left") > 0) & (F.col("size") < 2 * F.col("left")))
@@ -132,11 +132,11 @@ def mix_plan(sizes: DataFrame, weights: Sequence[float], share: float, most: flo
             gone = last.select(F.col("source_no").alias("s"), F.col("place").alias("p"), F.col("doc_id").alias("d"))
             outside = join_bounded(outside, gone, (F.col("source_no") == F.col("s")) & (F.col("place") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
         nearest = outside.groupBy("source_no", "full_at", "second_at", "fits", "left").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("gap"), "place", "doc_id", "size")).alias("last"))
-        left = cut(nearest.withColumn("left", F.col("left") - F.col("last.size")))
+        left = cut_small(nearest.withColumn("left", F.col("left") - F.col("last.size")))
         found = left.select("source_no", "last.place", "last.doc_id")
         last = found if last is None else last.unionByName(found)
     closing = last.groupBy("source_no").agg(F.collect_list(F.struct("place", "doc_id")).alias("last"))
-    return cut(targets.join(full.drop("left").join(closing, "source_no", "left"), "source_no", "left"))
+    return cut_small(targets.join(full.drop("left").join(closing, "source_no", "left"), "source_no", "left"))
 
 
 def _taken() -> Column:

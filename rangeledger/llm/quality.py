@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeledger.llm.common import cut, in_small_batches
+from rangeledger.llm.common import cut_small, in_small_batches
 
 LEVEL = 3
 BLOCK_BYTES = 512
@@ -127,7 +127,7 @@ def fit_quality(
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * sample_rows ids are broadcast; their texts stay on the executors.
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = cut(rows.groupBy("doc_id", "label", "train").agg(F.min("text").alias("text")))
+    rows = cut_small(rows.groupBy("doc_id", "label", "train").agg(F.min("text").alias("text")))
 
     @F.pandas_udf("array<binary>")
     def drawn(texts: pd.Series) -> pd.Series:

@@ -40,8 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import cut, in_small_batches, join_bounded
-from rangeledger.llm.components import components
+from rangeledger.llm.common import cut, cut_small, in_small_batches, join_bounded
+from rangeledger.llm.components import components, forest
 from rangeledger.llm.text import slices, word_pieces
 
 BITS = 64
@@ -132,23 +132,6 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int, label: np.ndarray
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A node of each component to which its others are linked: star edges."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    linked = np.flatnonzero(root != np.arange(n))
-    return linked, root[linked]
-
-
 def _linked_groups(groups: DataFrame, budget: int) -> DataFrame:
     """Edges (a, b) from rows that each hold one group's array of fps."""
 
@@ -190,7 +173,7 @@ def fingerprint_links(fps: DataFrame, budget: int, group_rows: int = 2048) -> Da
 
     def split(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
         """Groups of two or more up to the bound, and the rows of those above."""
-        large = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > group_rows))
+        large = cut_small(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > group_rows))
         small = join_bounded(rows, large.drop("n"), keys, "left_anti").groupBy(*keys).agg(F.collect_list("fp").alias("fps"))
         return small.where(F.size("fps") > 1), join_bounded(rows, large, keys)
 
@@ -209,12 +192,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col:
     """Per document: doc_id, fp, fingerprint (hex) and component_id, the smallest
     doc_id among the documents its fingerprint reaches."""
     marked = cut(fingerprints(in_small_batches(docs), shingle, id_col, text_col))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = cut_small(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(fingerprint_links(classes.select("fp"), budget))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
+    rooted = cut_small(rooted)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = cut(rooted.join(named, "root").select("fp", "component_id"))
+    by_fp = cut_small(rooted.join(named, "root").select("fp", "component_id"))
     out = join_bounded(marked, by_fp, "fp")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -305,7 +288,7 @@ def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _compared_with_one(members: DataFrame, turn: int, budget: int, similarity: float) -> DataFrame:
     """Pairs of each key's members with one of them, chosen by hash."""
     chosen = members.groupBy("key").agg(F.min_by(F.struct("set_id", "fp", "size", "root"), F.xxhash64("set_id", F.lit(turn))).alias("c"))
-    met = join_bounded(members, cut(chosen), "key").where("root <> c.root")
+    met = join_bounded(members, cut_small(chosen), "key").where("root <> c.root")
     fits = F.least("size", "c.size") >= F.lit(similarity) * F.greatest("size", "c.size")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= budget
     return met.where(fits & near).select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
@@ -316,7 +299,7 @@ def _tiles(members: DataFrame, tile_rows: int) -> DataFrame:
     member: chunks of the former times chunks of all."""
     largest = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
     chunks = largest.select("key", "largest", F.ceil(F.col("n") / tile_rows).cast("int").alias("all_chunks"), F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int").alias("chunks"))
-    met = join_bounded(members, cut(chunks), "key")
+    met = join_bounded(members, cut_small(chunks), "key")
     member = F.struct("set_id", "fp", "size", "root").alias("member")
     own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -335,7 +318,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, stands: DataFrame, shingle: in
 
     # One row's text stands for each set of a pair.
     involved = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    one = cut(stands.join(involved, "set_id").select("set_id", "row_key"))
+    one = cut_small(stands.join(involved, "set_id").select("set_id", "row_key"))
     found = join_bounded(rows.select("row_key", F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0), one, "row_key")
     sets = found.select("set_id", "text").mapInArrow(texts, "set_id long, hashes array<long>")
     sets = cut(sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")))
@@ -346,7 +329,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, stands: DataFrame, shingle: in
 
 
 def similar_texts(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 26, keys: int = 24, minima: int = 4, group_rows: int = 64, tile_rows: int = 512, stars: int = 3,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 26, keys: int = 24, minima: int = 4, group_rows: int = 64, tile_rows: int = 512, stars: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, row_key and root, equal for the rows of a component of
@@ -356,26 +339,26 @@ def similar_texts(
     stands = marked.groupBy("set_id").agg(F.min("row_key").alias("row_key"))
     # Copies meet as one set.
     sets = marked.select("set_id", "fp", "size", "keys").distinct().select("set_id", "fp", "size", F.explode("keys").alias("key"))
-    shared = cut(sets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = cut(join_bounded(sets, shared, "key"))
+    shared = cut_small(sets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = cut_small(join_bounded(sets, shared, "key"))
     large = met.where(F.col("n") > group_rows).drop("n")
     member = F.struct("set_id", "fp", "size", F.col("set_id").alias("root"))
     groups = met.where(F.col("n") <= group_rows).groupBy("key").agg(F.collect_list(member).alias("members"))
     pairs = _proposed(groups, budget, similarity).unionByName(_compared_with_one(_with_roots(large, None), 0, budget, similarity)).distinct()
     roots, tried, turn = None, None, 0
     while True:
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = cut_small(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = None if pairs.isEmpty() else cut(_confirmed(pairs, rows, stands, shingle, similarity))
+        new = None if pairs.isEmpty() else cut_small(_confirmed(pairs, rows, stands, shingle, similarity))
         if new is not None and not new.isEmpty():
             old = [] if roots is None else [roots.select(F.col("set_id").alias("a"), F.col("root").alias("b"))]
-            roots = cut(components(reduce(DataFrame.unionByName, old, new)).withColumnRenamed("node", "set_id"))
+            roots = components(reduce(DataFrame.unionByName, old, new)).withColumnRenamed("node", "set_id")
         turn += 1
         if turn > stars:
             break
         rooted = _with_roots(large, roots)
-        apart = cut(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
-        large = cut(join_bounded(rooted, apart, "key"))
+        apart = cut_small(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+        large = cut_small(join_bounded(rooted, apart, "key"))
         if large.isEmpty():
             break
         pairs = _compared_with_one(large, turn, budget, similarity) if turn < stars else _proposed(_tiles(large, tile_rows), budget, similarity)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut, in_small_batches, join_bounded
+from rangeledger.llm.common import add_columns, cut_small, in_small_batches, join_bounded
 from rangeledger.llm.text import slices
 
 BLOCK_BITS = 20
@@ -178,7 +178,7 @@ def sketch_of(docs: DataFrame, width: int, cells: int) -> list[np.ndarray]:
     merged = touched.groupBy("block").applyInArrow(merge, "block long, bits binary")
     out = [np.zeros(cells // 8, dtype=np.uint8) for _ in range(ROWS)]
     # At most ROWS * max_cells bits in all; written first, so that the tasks run side by side.
-    for r in cut(merged).toLocalIterator():
+    for r in cut_small(merged).toLocalIterator():
         got = np.frombuffer(bytes(r["bits"]), dtype=np.uint8).reshape(ROWS, -1)
         for row in range(ROWS):
             out[row][r["block"] * got.shape[1] : (r["block"] + 1) * got.shape[1]] = got[row]
@@ -272,7 +272,7 @@ def later_copies(docs: DataFrame, width: int) -> DataFrame | None:
     are too many to broadcast.  Only hashes and ids are shuffled."""
     hashed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")).where(F.octet_length("text") >= 2 * width - 1)
     firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = cut(join_bounded(hashed, cut(firsts), "h").where("doc_id <> first").select("doc_id"))
+    later = cut_small(join_bounded(hashed, cut_small(firsts), "h").where("doc_id <> first").select("doc_id"))
     return later if later.count() <= COPY_ROWS else None
 
 
