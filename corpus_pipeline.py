@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeledger.llm.bpe import bpe_round_trip
-from rangeledger.llm.common import cut, join_bounded, scratch
+from rangeledger.llm.common import cut, cut_small, join_bounded, scratch
 from rangeledger.llm.mixing import with_copies
 from rangeledger.llm.quality import fit_quality, quality_score
 from rangeledger.llm.simhash import row_key, similar_texts
@@ -40,11 +40,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     marked = cut(similar_texts(docs, shingle=5, similarity=0.8).select("doc_id", "row_key", "root"))
     # Ids before null ids; the key settles texts that share an id.
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    least = cut(marked.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.row_key").alias("first_key")))
+    least = cut_small(marked.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.row_key").alias("first_key")))
     several = join_bounded(marked, least, "root")
-    losers = cut(several.where(F.col("row_key") != F.col("first_key")).select("row_key").distinct())
+    losers = cut_small(several.where(F.col("row_key") != F.col("first_key")).select("row_key").distinct())
     # Rows alike in id and text have one key: of these one least row stays.
-    alike = cut(several.where(F.col("row_key") == F.col("first_key")).groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"))
+    alike = cut_small(several.where(F.col("row_key") == F.col("first_key")).groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"))
     kept = join_bounded(docs.withColumn("row_key", row_key()), losers, "row_key", "left_anti")
     rest = join_bounded(kept, alike, "row_key", "left_anti").select(*COLUMNS)
     once = join_bounded(kept, alike, "row_key").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
