@@ -81,3 +81,9 @@ def asset_rows(rows: DataFrame) -> DataFrame:
     chunk = chunk.withColumns({"text": text, "amounts": amounts})
     income = F.when(F.size("amounts") > 1, F.element_at("amounts", -1))
     return chunk.select("doc_id", "part", "row", F.regexp_extract("text", fixed.ROW_START, 1).alias("number"), "text", F.get("amounts", F.lit(0)).alias("value"), income.alias("income"))
+
+
+def profile(docs: DataFrame, name: str) -> DataFrame:
+    """Distinct dates of each text, sorted, and how often it says ``name``."""
+    dates = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))))
+    return docs.select("doc_id", dates.alias("dates"), F.regexp_count("text", F.lit(name)).cast("long").alias("mentions"))

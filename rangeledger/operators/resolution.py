@@ -11,10 +11,15 @@ from rangeledger.functions.money import round1
 from rangeledger.functions.text import first_truthy, issuer_similarity, normal_description, security_key, stable_id
 
 
+def ticker_key(ticker: Column) -> Column:
+    """A ticker without marks, in capitals."""
+    return F.regexp_replace(F.upper(F.trim(ticker)), "[^A-Z0-9]", "")
+
+
 def reference_merge(companies: DataFrame, directory: DataFrame) -> DataFrame:
     """Two lists of securities as one by ticker key: the first list's name, ticker
     and number come first, marks of either count, sources are joined."""
-    key = F.regexp_replace(F.upper("ticker"), "[^A-Z0-9]", "")
+    key = ticker_key(F.col("ticker"))
     a = companies.select(key.alias("ticker_key"), F.col("ticker").alias("t1"), F.col("issuer_name").alias("n1"), "cik", F.col("exchange").alias("x1"))
     b = directory.select(key.alias("ticker_key"), F.col("ticker").alias("t2"), F.col("issuer_name").alias("n2"), "is_etf", "is_test")
     rows = a.join(b, "ticker_key", "full")
@@ -35,7 +40,7 @@ def candidates(securities: DataFrame, reference: DataFrame) -> DataFrame:
     ref = reference.where(~F.col("is_test")).withColumn("compact_name", F.regexp_replace("clean_name", "[^A-Z0-9]", ""))
     named = securities.withColumns({"name": normal_description(F.col("description")), "clean": instruments.issuer_name(F.col("description"))})
     named = named.withColumn("short", security_key(F.col("description")))
-    named = named.withColumns({"compact": F.regexp_replace("clean", "[^A-Z0-9]", ""), "tk": F.regexp_replace(F.upper("source_ticker"), "[^A-Z0-9]", "")})
+    named = named.withColumns({"compact": F.regexp_replace("clean", "[^A-Z0-9]", ""), "tk": ticker_key(F.col("source_ticker"))})
     keys = lambda *pairs: F.filter(F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(score).alias("score")) for kind, value, score in pairs)), lambda k: F.coalesce(k["value"], F.lit("")) != "")
     left = named.select("security_key", "asset_type", "clean", F.explode(F.array_distinct(keys(("ticker", F.col("tk"), 1.0), *(("exact", F.col(c), fixed.EXACT) for c in ("name", "short")), ("clean", F.col("clean"), fixed.CLEAN), ("clean", instruments.issuer_name(F.col("short")), fixed.CLEAN), ("compact", F.col("compact"), fixed.COMPACT)))).alias("k"))
     right = ref.select("ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.explode(keys(("ticker", F.col("ticker_key"), 1.0), ("exact", F.col("normal_name"), 1.0), ("clean", F.col("clean_name"), 1.0), ("compact", F.col("compact_name"), 1.0))).alias("r"))
@@ -142,5 +147,18 @@ def review_items(found: DataFrame) -> DataFrame:
     return found.where(need).orderBy(F.col("priority").desc(), F.col("score").desc(), F.col("current_mid").desc(), "display")
 
 
+def filtered_identities(found: DataFrame, asset_type: str | None = None, reliability: str | None = None, issuer: str | None = None, query: str | None = None) -> DataFrame:
+    """Identities by type, reliability, words of their name, and words anywhere."""
+    for name, value in (("asset_type", asset_type), ("reliability", reliability)):
+        if value and value != "All":
+            found = found.where(F.col(name) == value)
+    has = lambda columns, words: F.contains(F.lower(F.concat_ws(" ", *(c for c in columns if c in found.columns))), F.lit(words.strip().lower()))
+    if issuer and issuer.strip():
+        found = found.where(has(("display", "issuer"), issuer))
+    if query and query.strip():
+        found = found.where(has(("display", "issuer", "cusip", "isin", "figi", "asset_type", "sector", "status"), query))
+    return found
+
+
 def display_name(issuer: Column, ticker: Column, description: Column) -> Column:
     return first_truthy(issuer, ticker, description)

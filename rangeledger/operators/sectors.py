@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeledger.functions import money
@@ -75,3 +75,23 @@ def portfolio_totals(valued: DataFrame) -> DataFrame:
 def sector_tiles(summary: DataFrame, n: int = 18) -> DataFrame:
     value = F.greatest(F.col("purchase_midpoint") + F.col("sale_midpoint"), F.abs("net_midpoint"), F.lit(1.0))
     return summary.where("asset_type = 'All'").withColumn("tile", value).orderBy(F.col("tile").desc(), "sector").limit(n).select("sector", "tile", "net_midpoint")
+
+
+def fresh_quotes(quotes: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
+    """Of each ticker the quote fetched last, if it is not older than ``minutes``."""
+    recent = quotes.where(F.col("fetched_at") >= now - F.expr(f"interval {minutes} minutes"))
+    return recent.groupBy("ticker").agg(F.max_by("price", F.struct("fetched_at", "event_id")).alias("price"))
+
+
+def strongest(summary: DataFrame, first: int = 12, n: int = 4) -> DataFrame:
+    """Of the first 'All' sectors by size those most bought and most sold, ``n`` each."""
+    shown = summary.where("asset_type = 'All'").orderBy(F.abs("net_midpoint").desc(), "sector").limit(first)
+    side = lambda when, bought: shown.where(when).orderBy(F.abs("net_midpoint").desc(), "sector").limit(n).select("sector", "net_midpoint", F.lit(bought).alias("bought"))
+    return side("net_midpoint > 0", True).unionByName(side("net_midpoint < 0", False))
+
+
+def display_ratios(rows: DataFrame, value: str, activity: str) -> DataFrame:
+    """Share of the largest, log height and square-root width of each row."""
+    top = rows.agg(F.max(value).alias("_top"))  # one row
+    scaled = rows.crossJoin(F.broadcast(top))
+    return scaled.withColumns({"share": F.try_divide(F.col(value), F.col("_top")), "height": F.log10(F.col(value) + 1), "width": F.sqrt(activity)}).drop("_top")

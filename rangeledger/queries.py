@@ -594,3 +594,6 @@ h2 AS (SELECT *, row_number() OVER (ORDER BY cmid DESC, transaction_count DESC,
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     held = cut(_held(spark, d))
     return review.review_queue(tables.filings(spark, d), tables.transactions(spark, d), tables.baseline(spark, d), held)
+
+
+from rangeledger import disclosure_queries as _more  # noqa: E402, F401  registers the rest
