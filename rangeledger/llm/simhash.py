@@ -18,8 +18,10 @@ are dealt by min-wise keys of the shingle sets instead: of ``keys`` keys of
 ``minima`` minima each a pair at similarity s shares none with probability
 ``(1 - s ** minima) ** keys``, 3e-6 at 0.8.  In a group the same trie join
 proposes pairs within the budget, and every pair is confirmed on the whole sets.
-Groups above ``group_rows`` are compared with single members first; the walk over
-what is left then drops node pairs that hold one and the same component.
+Groups above ``group_rows`` are compared with one member first.  Members that this
+leaves outside their group's largest component meet the others in tiles, where the
+walk drops node pairs that hold one and the same component and pairs are confirmed
+in the tile: no pair leaves it but links.
 
 Defined cases: a null or empty text has fingerprint zero, which is linked like
 any other (and is similar to texts without words only); fewer words than a shingle make one shingle; rows with a null id are
@@ -285,51 +287,111 @@ def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return join_bounded(members, roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
 
-def _compared_with_one(members: DataFrame, turn: int, budget: int, similarity: float) -> DataFrame:
+def _compared_with_one(members: DataFrame, budget: int, similarity: float) -> DataFrame:
     """Pairs of each key's members with one of them, chosen by hash."""
-    chosen = members.groupBy("key").agg(F.min_by(F.struct("set_id", "fp", "size", "root"), F.xxhash64("set_id", F.lit(turn))).alias("c"))
+    chosen = members.groupBy("key").agg(F.min_by(F.struct("set_id", "fp", "size", "root"), F.xxhash64("set_id")).alias("c"))
     met = join_bounded(members, cut_small(chosen), "key").where("root <> c.root")
     fits = F.least("size", "c.size") >= F.lit(similarity) * F.greatest("size", "c.size")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= budget
     return met.where(fits & near).select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
 
 
-def _tiles(members: DataFrame, tile_rows: int) -> DataFrame:
-    """Groups in which each member outside its key's largest component meets every
-    member: chunks of the former times chunks of all."""
-    largest = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each of ``right``:
+    a product of 0/1 matrices, some columns at a time."""
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(h) for h in (*left, *right)])
+    _, column, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, int(shared.sum()), 4096):
+        at = slice(*np.searchsorted(column, [low, low + 4096]))
+        block = np.zeros((len(left) + len(right), 4096), dtype=np.float32)
+        block[owner[at], column[at] - low] = 1
+        total += block[: len(left)] @ block[len(left) :].T
+    return total
+
+
+def _linked_tiles(large: DataFrame, sets: DataFrame, budget: int, similarity: float, tile_rows: int) -> DataFrame:
+    """Links of large groups, as edges (a, b): each member outside its key's largest
+    component meets every member, in tiles of chunks of the former and of all.
+
+    A tile's pairs come from the trie join without pairs of one component; a pair
+    counts under the first key the two have in common and is confirmed there on the
+    whole shingle sets.  Only a spanning forest of the links leaves the tile.
+
+    large: key, set_id, fp, size, root; sets: set_id, keys, hashes."""
+    largest = large.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
     chunks = largest.select("key", "largest", F.ceil(F.col("n") / tile_rows).cast("int").alias("all_chunks"), F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int").alias("chunks"))
-    met = join_bounded(members, cut_small(chunks), "key")
-    member = F.struct("set_id", "fp", "size", "root").alias("member")
+    met = join_bounded(large, cut_small(chunks), "key").join(sets, "set_id")
     own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    aside = met.where("root <> largest").select("key", own("chunks").alias("i"), every("all_chunks").alias("j"), member)
-    whole = met.select("key", every("chunks").alias("i"), own("all_chunks").alias("j"), member)
-    return aside.unionByName(whole).groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
-
-
-def _confirmed(pairs: DataFrame, rows: DataFrame, stands: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of set pairs (a, b), those whose whole shingle sets have the similarity."""
+    fields = ["key", "set_id", "fp", "size", "root", "keys", "hashes"]
+    aside = met.where("root <> largest").select(*fields, F.lit(True).alias("aside"), own("chunks").alias("i"), every("all_chunks").alias("j"))
+    whole = met.select(*fields, F.lit(False).alias("aside"), every("chunks").alias("i"), own("all_chunks").alias("j"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        ids, fp, size, root = (tile.column(c).to_numpy() for c in ("set_id", "fp", "size", "root"))
+        flag = tile.column("aside").to_numpy(zero_copy_only=False)
+        order = np.lexsort((~flag, ids, fp.view(np.uint64)))
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # aside before the same as a member
+        ids, fp, size, root, flag = ids[order], fp[order].view(np.uint64), size[order], root[order], flag[order]
+        a, b = trie_pairs(np.zeros(len(ids), dtype=np.int64), fp, budget, root)
+        keys, own_key = np.array(tile.column("keys").to_pylist(), dtype=np.int64)[order], tile.column("key")[0].as_py()
+        links = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        near = (flag[a] | flag[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        a, b = a[near], b[near]
+        kept = np.zeros(len(a), dtype=bool)
+        for low in range(0, len(a), 1 << 16):
+            x, y = keys[a[low : low + (1 << 16)]], keys[b[low : low + (1 << 16)]]
+            first = (x == y).argmax(axis=1)
+            kept[low : low + (1 << 16)] = x[np.arange(len(x)), first] == own_key
+        a, b = a[kept], b[kept]
+        if len(a):
+            hashes = tile.column("hashes").combine_chunks()
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            found = [hashes[int(order[k])].values.to_numpy() for k in used]
+            i, j = at[: len(a)], at[len(a) :]
+            for low in range(0, len(found), 512):
+                some = (i >= low) & (i < low + 512)
+                common = common_shingles(found[low : low + 512], found)[i[some] - low, j[some]]
+                linked = common >= similarity * (size[a[some]] + size[b[some]] - common)
+                links.append((a[some][linked], b[some][linked]))
+        i, j = (np.concatenate(x) for x in zip(*links, strict=True))
+        node, to = forest(i, j, len(ids))
+        return pa.table({"a": ids[node], "b": ids[to]})
+
+    return aside.unionByName(whole).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _whole_sets(wanted: DataFrame, rows: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
+    """set_id and hashes of the wanted sets; one row's text stands for each."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 250):
             hashes = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["set_id", "hashes"])
 
-    # One row's text stands for each set of a pair.
-    involved = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    one = cut_small(stands.join(involved, "set_id").select("set_id", "row_key"))
+    one = cut_small(stands.join(wanted, "set_id").select("set_id", "row_key"))
     found = join_bounded(rows.select("row_key", F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0), one, "row_key")
     sets = found.select("set_id", "text").mapInArrow(texts, "set_id long, hashes array<long>")
-    sets = cut(sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")))
+    return cut(sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")))
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, stands: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of set pairs (a, b), those whose whole shingle sets have the similarity."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    sets = _whole_sets(wanted, rows, stands, shingle)
     left, right = (sets.select(F.col("set_id").alias(n), F.col("hashes").alias(f"h_{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("h_a", "h_b"))
     return both.where(common / (F.size("h_a") + F.size("h_b") - common) >= similarity).select("a", "b")
 
 
 def similar_texts(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 26, keys: int = 24, minima: int = 4, group_rows: int = 64, tile_rows: int = 512, stars: int = 1,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 26, keys: int = 24, minima: int = 4, group_rows: int = 64, tile_rows: int = 512,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, row_key and root, equal for the rows of a component of
@@ -344,24 +406,19 @@ def similar_texts(
     large = met.where(F.col("n") > group_rows).drop("n")
     member = F.struct("set_id", "fp", "size", F.col("set_id").alias("root"))
     groups = met.where(F.col("n") <= group_rows).groupBy("key").agg(F.collect_list(member).alias("members"))
-    pairs = _proposed(groups, budget, similarity).unionByName(_compared_with_one(_with_roots(large, None), 0, budget, similarity)).distinct()
-    roots, tried, turn = None, None, 0
-    while True:
-        pairs = cut_small(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = None if pairs.isEmpty() else cut_small(_confirmed(pairs, rows, stands, shingle, similarity))
-        if new is not None and not new.isEmpty():
-            old = [] if roots is None else [roots.select(F.col("set_id").alias("a"), F.col("root").alias("b"))]
-            roots = components(reduce(DataFrame.unionByName, old, new)).withColumnRenamed("node", "set_id")
-        turn += 1
-        if turn > stars:
-            break
-        rooted = _with_roots(large, roots)
-        apart = cut_small(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
-        large = cut_small(join_bounded(rooted, apart, "key"))
-        if large.isEmpty():
-            break
-        pairs = _compared_with_one(large, turn, budget, similarity) if turn < stars else _proposed(_tiles(large, tile_rows), budget, similarity)
-        pairs, large = pairs.distinct(), large.drop("root")
+    pairs = _proposed(groups, budget, similarity).unionByName(_compared_with_one(_with_roots(large, None), budget, similarity)).distinct()
+    pairs = cut_small(pairs)
+    roots = None
+    if not pairs.isEmpty():
+        roots = components(_confirmed(pairs, rows, stands, shingle, similarity)).withColumnRenamed("node", "set_id")
+    rooted = _with_roots(large, roots)
+    apart = cut_small(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    if not apart.isEmpty():
+        left = cut_small(join_bounded(rooted, apart, "key"))
+        keyed = marked.select("set_id", "keys").join(left.select("set_id").distinct(), "set_id", "left_semi").distinct()
+        sets = keyed.join(_whole_sets(left.select("set_id").distinct(), rows, stands, shingle), "set_id")
+        links = _linked_tiles(left, sets, budget, similarity, tile_rows)
+        old = [] if roots is None else [roots.select(F.col("set_id").alias("a"), F.col("root").alias("b"))]
+        roots = components(reduce(DataFrame.unionByName, old, links)).withColumnRenamed("node", "set_id")
     out = marked.select("doc_id", "row_key", "set_id")
     return _with_roots(out, roots).select("doc_id", "row_key", "root")

@@ -73,8 +73,8 @@ def test_large_groups_by_stars_and_tiles(spark):
     """Every group counts as large; no link is lost whatever the tiles."""
     rows = near_rows()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    for stars, tile_rows in ((1, 2), (2, 64)):
-        found = simhash.similar_texts(docs, group_rows=1, tile_rows=tile_rows, stars=stars).collect()
+    for tile_rows in (2, 64):
+        found = simhash.similar_texts(docs, group_rows=1, tile_rows=tile_rows).collect()
         assert len(found) == len(rows) and components_of(found) == all_pairs(rows)
 
 
@@ -102,3 +102,24 @@ def test_set_fingerprint_is_the_majority():
         h = simhash.shingle_hashes(text, 3)
         want = sum(1 << k for k in range(64) if len(h) and 2 * sum(int(x) >> k & 1 for x in h) > len(h))
         assert simhash.set_fingerprint(h) == want
+
+
+def test_common_shingles():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 50, n, dtype=np.int64)) for n in (0, 1, 30, 50, 200)]
+    got = simhash.common_shingles(sets, sets[1:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[1:]] for a in sets]
+
+
+def test_a_family_below_the_threshold(spark):
+    """Many texts that share keys and are mostly not similar: no link is lost or made up."""
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.choice([2, 4, 6, 8])):
+            words[rnd.randrange(120)] = f"x{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    found = simhash.similar_texts(spark.createDataFrame(rows, SCHEMA).repartition(4), tile_rows=40).collect()
+    assert components_of(found) == all_pairs(rows) and 1 < len(components_of(found)) < 150
