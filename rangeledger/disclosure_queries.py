@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from rangeledger import queries as q
 from rangeledger.functions import calendar, fixed, instruments, money, text
@@ -466,8 +467,6 @@ SELECT description, CASE WHEN score >= 0.78 AND NOT amb THEN t END AS resolved_t
 def resolved_securities(spark: SparkSession, d: str) -> DataFrame:
     """Part names with a legal form against a reference list that lacks some."""
     names = tables.table(spark, d, "part").select(F.col("p_name").alias("nm")).distinct()
-    from pyspark.sql.window import Window
-
     listed = names.withColumn("t", F.concat(F.lit("R"), F.row_number().over(Window.orderBy("nm")))).where(~F.col("t").endswith("3"))  # the distinct names of parts, a fixed few
     companies = listed.select(F.col("t").alias("ticker"), F.upper("nm").alias("issuer_name"), F.lit(None).cast("long").alias("cik"), F.lit(None).cast("string").alias("exchange"))
     empty = companies.limit(0).select("ticker", "issuer_name", F.lit(False).alias("is_etf"), F.lit(False).alias("is_test"))
@@ -585,6 +584,97 @@ def request_parameters(spark: SparkSession, d: str) -> DataFrame:
     return filters.filtered(tables.transactions(spark, d), f).groupBy("sector").agg(F.count("*").alias("n"))
 
 
+# Disclosure documents: a nation's suppliers and customers as lines of one document
+
+
+def _nation_documents(rows: DataFrame, nation: str, key: str, line: Column, head: str, tail: str = "") -> DataFrame:
+    """One document of each nation: a line for each of its rows, numbered by key."""
+    lines = rows.withColumn("line", line).groupBy(F.col(nation).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(key, "line"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return lines.select("doc_id", F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
+
+
+def _supplier_label() -> Column:
+    k = F.col("s_suppkey") % 4
+    return F.when(k == 0, "$1,001 - $15,000").when(k == 1, "$15,001 - $50,000").when(k == 2, "Over $50,000,000").otherwise("None (or less than $1,001)")
+
+
+def _asset_holdings(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import documents
+
+    key = F.col("s_suppkey")
+    income = F.when(key % 3 == 0, "Dividends $201 - $1,000").when(key % 3 == 1, "None (or less than $201)").otherwise("Rent")
+    line = F.concat(key + 1, F.lit(". "), F.col("s_name"), F.lit(" Acct."), F.when(key % 2 == 0, "\nLocation: a place").otherwise(""), F.lit(" N/A "), _supplier_label(), F.lit(" "), income, F.lit("\nPage Number"))
+    docs = _nation_documents(tables.table(spark, d, "supplier"), "s_nationkey", "s_suppkey", line, "Some cover\nPart 6: Other Assets and Income\n# Description\n", "\nPart 7: Transactions\n1. not an asset $1,001 - $15,000")
+    return documents.asset_holdings(documents.asset_rows(documents.lines(docs)))
+
+
+@query(f"""SELECT s_nationkey AS source_id, (s_suppkey + 1)::VARCHAR AS number, s_name || ' Acct' AS description, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS value, CASE s_suppkey % 3 WHEN 0 THEN 'Dividends' WHEN 2 THEN 'Rent' END AS income_type,
+CASE s_suppkey % 3 WHEN 0 THEN 600.5 ELSE 0 END::DOUBLE AS income, CASE WHEN s_suppkey % 4 = 3 THEN 4 ELSE 3 END AS flags FROM supplier""")
+def asset_holdings(spark: SparkSession, d: str) -> DataFrame:
+    return _asset_holdings(spark, d).select("source_id", "number", "description", F.col("value.midpoint").alias("value"), "income_type", F.col("income.midpoint").alias("income"), F.size("flags").alias("flags"))
+
+
+@query(f"""SELECT c_nationkey AS doc_id, c_name AS creditor, CASE WHEN c_custkey % 2 = 0 THEN 'Mortgage on a house' ELSE 'credit card' END AS type, CASE WHEN c_custkey % 3 = 0 THEN 8000.5 ELSE 75000.5 END::DOUBLE AS amount, CASE WHEN c_custkey % 4 <> 0 THEN (1990 + c_custkey % 30)::VARCHAR END AS year,
+CASE WHEN c_custkey % 5 <> 0 THEN '4.5%' END AS rate, 'On demand ' || c_custkey AS term FROM customer""")
+def liability_rows(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import documents, liabilities
+
+    key = F.col("c_custkey")
+    body = F.when(key % 2 == 0, F.concat(F.col("c_name"), F.lit("\tMortgage on\ta house"))).otherwise(F.concat(F.col("c_name"), F.lit(" credit card")))
+    line = F.concat(
+        key + 1, F.lit(". "), body, F.when(key % 3 == 0, " $1,001 - $15,000").otherwise(" $50,001 - $100,000"), F.when(key % 4 != 0, F.concat(F.lit(" "), key % 30 + 1990)).otherwise(" N/A"), F.when(key % 5 != 0, "\n4.5%").otherwise("\nN/A"), F.lit(" On demand "), key, F.lit("\nPage 7")
+    )
+    docs = _nation_documents(tables.table(spark, d, "customer"), "c_nationkey", "c_custkey", line, "Part 8: Liabilities\n# Creditor\n", "\nPart 9: Gifts\n1. A gift $1,001 - $15,000 1999 N/A none")
+    return liabilities.liabilities(documents.lines(docs)).select("doc_id", "creditor", "type", F.col("amount.midpoint").alias("amount"), "year", "rate", "term")
+
+
+@query(f"""SELECT s_nationkey AS doc_id, s_name AS creditor, CASE WHEN s_suppkey % 2 = 0 THEN 'Seven Springs loan' ELSE 'mortgage' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS amount, CASE WHEN s_suppkey % 3 <> 0 THEN (2000 + s_suppkey % 20)::VARCHAR END AS year,
+'Prime + ' || s_suppkey AS rate, CASE WHEN s_suppkey % 2 = 1 THEN 'Matures in ' || s_suppkey END AS term FROM supplier""")
+def liability_columns(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import documents, liabilities
+
+    key = F.col("s_suppkey")
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) % 90
+    rows = tables.table(spark, d, "supplier").withColumn("at", place)
+    amount = F.concat(F.col("at"), F.when(key % 5 == 0, ".\n").otherwise(". "), _supplier_label(), F.when(key % 3 != 0, F.concat(F.lit(" "), key % 20 + 2000)).otherwise(" N/A"), F.lit(" Prime +\n"), key, F.when(key % 2 == 1, F.concat(F.lit(" Matures in "), key)).otherwise(""))
+    name = F.concat(F.col("s_name"), F.when(key % 2 == 0, "\nSeven Springs loan").otherwise(" mortgage"))
+    left = _nation_documents(rows, "s_nationkey", "s_suppkey", amount, "# Amount Year Incurred Rate Term\n", "\nPart 8: Liabilities\nCreditor Name Type\n")
+    right = _nation_documents(rows, "s_nationkey", "s_suppkey", name, "", "\n* a note\nbehind it loan").withColumnRenamed("text", "names")
+    docs = left.join(right, "doc_id").select("doc_id", F.concat("text", "names").alias("text"))
+    return liabilities.columnar_rows(documents.lines(docs)).select("doc_id", "creditor", "type", F.col("amount.midpoint").alias("amount"), "year", "rate", "term")
+
+
+@query(f"""SELECT s_nationkey AS doc_id, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' -mortgage' ELSE '' END AS creditor, CASE WHEN s_suppkey % 2 = 0 THEN 'Unspecified liability' ELSE 'litigation' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS amount,
+CASE WHEN s_suppkey % 3 <> 0 THEN (2000 + s_suppkey % 20)::VARCHAR END AS year, CASE WHEN s_suppkey % 3 <> 0 THEN 0.68 ELSE 0.62 END::DOUBLE AS confidence FROM supplier""")
+def liability_lines(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import documents, liabilities
+
+    key = F.col("s_suppkey")
+    line = F.concat(F.col("s_name"), F.when(key % 2 == 0, " - ").otherwise(" litigation"), F.lit(" "), _supplier_label(), F.when(key % 3 != 0, F.concat(F.lit(" "), key % 20 + 2000)).otherwise(" N/A"), F.when(key % 2 == 0, "\nmortgage").otherwise(""), F.lit("\nRate"))
+    docs = _nation_documents(tables.table(spark, d, "supplier"), "s_nationkey", "s_suppkey", line, "Part 8: Liabilities\n", "\n* note\nX litigation $1,001 - $15,000 2001")
+    return liabilities.liabilities(documents.lines(docs)).where("layout = 'inline'").select("doc_id", "creditor", "type", F.col("amount.midpoint").alias("amount"), "year", "confidence")
+
+
+@query("SELECT s_nationkey AS doc_id, DATE '2020-01-01' + (s_suppkey % 300)::INT AS date, CASE s_suppkey % 3 WHEN 0 THEN 'Purchase' WHEN 1 THEN 'Sale' ELSE 'Exchange' END AS type, s_name AS description, '$1,001 - $15,000' AS amount FROM supplier")
+def periodic_line_items(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import documents
+
+    key = F.col("s_suppkey")
+    line = F.concat_ws(" ", F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (key % 300).cast("int")), "M/d/yyyy"), F.when(key % 3 == 0, "P").when(key % 3 == 1, "S").otherwise("E"), F.col("s_name"), F.lit("$1,001 - $15,000"))
+    docs = _nation_documents(tables.table(spark, d, "supplier"), "s_nationkey", "s_suppkey", line, "Transactions\n", "\n1/1/2020 X other $1,001 - $15,000")
+    return documents.line_items(documents.lines(docs)).drop("n")
+
+
+@query("SELECT s_suppkey, 'Over $50,000,000 N/A (or) $' || s_suppkey % 7 + 1 || ',500,000' AS line FROM supplier")
+def corrected_lines(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import documents
+
+    n = (F.col("s_suppkey") % 7 + 1).cast("string")
+    raw = F.concat(F.lit("  Orer $50,000,000\tNIA {or) $ "), n, F.lit("500, 000"))
+    return tables.table(spark, d, "supplier").select("s_suppkey", documents.corrected(raw).alias("line"))
+
+
 # Scalar functions
 
 

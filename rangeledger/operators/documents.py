@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeledger.functions import fixed
-from rangeledger.functions.text import replaced, squeezed
+from rangeledger.functions import fixed, money
+from rangeledger.functions.text import class_flags, classified, replaced, squeezed
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def asset_rows(rows: DataFrame) -> DataFrame:
 
     A part is open from its heading to the heading that ends it; a row runs to the
     next row's number.  The states are running maxima over a document's lines."""
-    lines_ = rows.withColumn("line", corrected(F.col("line"))).where(F.col("line") != "")
+    lines_ = rows.withColumn("line", corrected(F.col("line"))).where((F.col("line") != "") & ~F.col("line").rlike(fixed.SKIPPED_LINE))
     upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.lit(None).cast("string")
     for part, pattern in fixed.PART_STARTS.items():
@@ -83,6 +85,33 @@ def asset_rows(rows: DataFrame) -> DataFrame:
     return chunk.select("doc_id", "part", "row", F.regexp_extract("text", fixed.ROW_START, 1).alias("number"), "text", F.get("amounts", F.lit(0)).alias("value"), income.alias("income"))
 
 
+def asset_holdings(found: DataFrame) -> DataFrame:
+    """Rows of :func:`asset_rows` as holdings: description, class, value, income type
+    and income, each once per document.  Rows without a value or a description are none.
+
+    The first amount of a row is its value, the last behind it its income."""
+    bare = F.regexp_replace("text", r"^\d{1,4}(?:\.\d+)?\.?\s+", "")
+    split = rf"(?i)^(.*?){fixed.DISCLOSED_AMOUNT}(.*)$"
+    rows = found.where("value is not null").withColumn("bare", bare).withColumns({"head": F.trim(F.regexp_extract("bare", split, 1)), "rest": F.trim(F.regexp_extract("bare", split, 3))})
+    name = reduce(lambda t, p: F.trim(F.regexp_replace(t, p, "")), fixed.DESCRIPTION_CUTS, F.col("head"))
+    name = F.regexp_replace(squeezed(name), r"[;:,.\s]+$", "")
+    last = rf"(?i)^(.*?){fixed.DISCLOSED_AMOUNT}(?!.*{fixed.DISCLOSED_AMOUNT})"
+    kind = F.trim(F.when(F.col("rest").rlike(last), F.regexp_extract("rest", last, 1)).otherwise(F.col("rest")))
+    kind = F.when(kind.rlike(r"(?i)^None \(or less than \$201\)$"), None).otherwise(F.nullif(kind, F.lit("")))
+    rows = rows.withColumns({"description": name, "income_type": kind, "worth": money.parse_range(F.col("value")), "earned": money.parse_range(F.coalesce("income", F.lit("")))})
+    rows = rows.where((F.col("description") != "") & ~F.col("description").rlike("(?i)^N/A$")).withColumn("c", classified(F.col("description")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "part", "number", "description", "worth.label", "earned.label").orderBy("row"))
+    rows = rows.withColumn("rn", first).where("rn = 1")
+    flags = F.concat(
+        class_flags(F.col("c.found.asset_type"), F.col("c.found.sector"), F.col("c.found.confidence")), F.array(F.concat(F.lit("Parsed from "), "part", F.lit(" text; verify PDF row before publication."))),
+        F.when(F.col("worth.midpoint") == 0, F.array(F.lit("No disclosed value range parsed"))).otherwise(F.array().cast("array<string>")),
+    )
+    return rows.select(
+        F.col("doc_id").alias("source_id"), "part", "number", "description", F.col("c.normalized_description").alias("normalized_description"), F.col("worth").alias("value"), "income_type", F.col("earned").alias("income"),
+        F.col("c.found.asset_type").alias("asset_type"), F.col("c.found.sector").alias("sector"), F.least(F.lit(fixed.ASSET_CAP), "c.found.confidence").alias("confidence"), F.array_distinct(flags).alias("flags"),
+    )
+
+
 def profile(docs: DataFrame, name: str) -> DataFrame:
     """Distinct dates of each text, sorted, and how often it says ``name``."""
     dates = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))))
