@@ -400,20 +400,7 @@ def holding_sources(spark: SparkSession, d: str) -> DataFrame:
 
 # Identities: parts stand for instruments
 
-CLASSES = ["Corporate Bond", "Municipal Bond", "Preferred / Hybrid", "Equity"]
-
-
-def _entries(spark: SparkSession, d: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    kind = F.try_element_at(instruments.words_map(fixed.INSTRUMENT_KINDS), F.col("asset_type"))
-    none = F.lit(None).cast("string")
-    rows = tables.table(spark, d, "part").withColumn("asset_type", _pick(CLASSES, "p_size"))
-    equity = F.col("asset_type") == "Equity"
-    return rows.select(
-        key.cast("string").alias("entry_id"), F.concat_ws(" ", "p_name", "p_brand").alias("display"), "asset_type", F.col("p_type").alias("sector"), F.when(size % 10 == 0, F.upper(F.left(F.md5(F.col("p_name").cast("binary")), F.lit(9)))).alias("cusip"), none.alias("isin"), none.alias("figi"),
-        kind.alias("kind"), F.when(~equity, F.col("p_name")).alias("issuer"), F.when(~equity, size / 10).alias("coupon"), F.when(~equity, F.lit("2035-11-15")).alias("maturity"), F.when(equity, F.col("p_brand")).alias("ticker"), F.when(size % 3 == 0, F.col("p_brand")).alias("issuer_ticker"),
-        none.alias("status"), F.when(size == 50, "rejected").alias("review"), _pick(["metadata_only", "archived_copy", "official"], "p_size").alias("reliability"), (F.col("p_retailprice") / 20).alias("score"), (F.col("p_retailprice") * 100).alias("current_mid"), size.cast("long").alias("transaction_count"), key.alias("ord"),
-    )
+CLASSES = tables.CLASSES
 
 
 IDENTITIES = f"""en AS (SELECT p_partkey AS ord, p_name || ' ' || p_brand AS display, {_pick_sql(CLASSES, 'p_size')} AS asset_type, p_type AS sector, CASE WHEN p_size % 10 = 0 THEN upper(left(md5(p_name), 9)) END AS cusip, p_name AS issuer, p_size / 10.0::DOUBLE AS coupon, p_brand, p_size,
@@ -428,19 +415,34 @@ transaction_count, entries, floor((CASE WHEN sr = 2 THEN 45 WHEN rr = 1 THEN 25
 
 @query(f"WITH {IDENTITIES} SELECT * FROM idn")
 def instrument_identities(spark: SparkSession, d: str) -> DataFrame:
-    found = resolution.identities(_entries(spark, d))
+    found = resolution.identities(tables.instrument_entries(spark, d))
     return found.select("identity_id", "key", "display", "status", "review", "reliability", "score", F.round("current_mid", 4).alias("current_mid"), "transaction_count", "entries", "priority")
 
 
 @query(f"WITH {IDENTITIES} SELECT key, priority FROM idn WHERE status = 'needs_identifier' OR review = 'needs_review' ORDER BY priority DESC, score DESC, current_mid DESC, display, key LIMIT 120")
 def identity_review(spark: SparkSession, d: str) -> DataFrame:
-    found = resolution.review_items(cut(resolution.identities(_entries(spark, d))))
+    found = resolution.review_items(cut(resolution.identities(tables.instrument_entries(spark, d))))
     return found.orderBy(F.col("priority").desc(), F.col("score").desc(), F.round("current_mid", 4).desc(), "display", "key").limit(120).select("key", "priority")
 
 
 @query(f"WITH {IDENTITIES} SELECT idn.key FROM idn WHERE reliability = 'official' AND contains(lower(display), 'gear') AND contains(lower(concat_ws(' ', display, status)), 'needs_identifier')")
 def identity_filter(spark: SparkSession, d: str) -> DataFrame:
-    return resolution.filtered_identities(resolution.identities(_entries(spark, d)), reliability="official", issuer="Gear", query="needs_identifier").select("key")
+    return resolution.filtered_identities(resolution.identities(tables.instrument_entries(spark, d)), reliability="official", issuer="Gear", query="needs_identifier").select("key")
+
+
+@query(f"""WITH {q.REVIEW}, {IDENTITIES}, i2 AS (SELECT *, row_number() OVER (ORDER BY priority DESC, score DESC, current_mid DESC, display, key) AS o FROM idn),
+r5 AS (SELECT 5, row_number() OVER (ORDER BY o), CASE WHEN priority >= 130 THEN 'high' WHEN priority >= 95 THEN 'medium' ELSE 'low' END, 'identifier', identity_id, display FROM i2 WHERE o <= 200 AND (status = 'needs_identifier' OR review = 'needs_review'))
+SELECT * FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5) ORDER BY source, seq LIMIT 500""")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return Engine(spark, d).review()
+
+
+@query(f"""{q.ALL_CONFLICTS} SELECT indicator_id, severity, value FROM (SELECT * FROM pc UNION ALL SELECT * FROM fc) ORDER BY CASE severity WHEN 'high' THEN 3 ELSE 2 END DESC, evidence DESC, indicator_id LIMIT 100""")
+def engine_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The entry point on its rate and policy rules: its events name no sector here."""
+    rows = tables.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.col("ts").cast("date").alias("date"), F.lit("fed").alias("category"), F.lit("").alias("title"), F.lit("").alias("summary"))
+    found = Engine(spark, d).conflicts(rows, policies=q._config(spark), sensitive=F.col("sector") == "EUROPE")
+    return found["indicators"].select("indicator_id", "severity", "value")
 
 
 # Reference lists

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASSET_PAGES = {"equities": "Equity", "municipal-bonds": "Municipal Bond", "corporate-bonds": "Corporate Bond", "funds": "ETF / Fund"}
+ASSET_PAGES = {"equities": "Equity", "corporate-bonds": "Corporate Bond", "municipal-bonds": "Municipal Bond", "funds": "ETF / Fund", "preferred": "Preferred / Hybrid", "other": "Other"}
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,10 @@ def predicate(df: DataFrame, f: Filters) -> Column:
     on = lambda v: v is not None and v != "All"
     parts: list[Column] = []
     if on(f.year):
-        parts.append(F.year("date") == int(f.year) if str(f.year).isdigit() and len(str(f.year)) == 4 else F.col("date").cast("string").startswith(str(f.year)))
+        whole = str(f.year).isdigit() and len(str(f.year)) == 4
+        # A span of dates reaches the scan, the year of a date does not.
+        span = F.col("date").between(F.lit(f"{f.year}-01-01").cast("date"), F.lit(f"{f.year}-12-31").cast("date")) if whole else F.col("date").cast("string").startswith(str(f.year))
+        parts.append(span)
     if f.start_date:
         parts.append(F.col("date") >= F.lit(f.start_date).cast("date"))
     if f.end_date:

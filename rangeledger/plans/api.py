@@ -6,17 +6,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeledger.operators import filters, holdings, sectors, timeline
+from rangeledger.functions import fixed
+from rangeledger.operators import events, filters, holdings, resolution, review, sectors, timeline
 from rangeledger.operators.filters import Filters
+from rangeledger.plans.stages import cut
 from rangeledger.sources import sinks, tables
 
 # Rows a page shows at most (fixed values).
 BOOTSTRAP_ROWS, INDEX_ROWS, TRANSACTION_ROWS, REVIEW_ROWS = 80, 600, 1000, 500
 FACT_ENTRIES, FACT_SECTORS, FACT_YEARS = 12, 10, 12
-PAGES = ("overview", "index", "equities", "municipal-bonds", "corporate-bonds", "funds", "sectors", "timing", "transactions", "holdings", "review")
+CONFLICT_ROWS = 100
+PAGES = (
+    "overview", "index", "equities", "corporate-bonds", "municipal-bonds", "funds", "preferred", "other", "holdings", "sectors", "timing", "transactions", "filings", "identifier-review",
+    "conflicts", "review",
+)
 
 
 class Engine:
@@ -32,8 +38,36 @@ class Engine:
         return holdings.estimated(holdings.grouped(self.transactions(f)), tables.baseline(self.spark, self.sf_dir))
 
     def index(self, f: Filters) -> DataFrame:
-        """Scores are scaled to the filtered holdings, so a filter changes them."""
-        return holdings.scored(self.holdings(f))
+        """Entries of the holdings that pass the filters of type, sector and words;
+        scores are scaled to these, so a filter changes them.  Ticker and issuer only
+        choose among the scored."""
+        held = holdings.filtered_holdings(self.holdings(f), f.asset_type, f.sector, f.query)
+        return holdings.filtered_entries(holdings.scored(held), ticker=f.ticker, issuer=f.issuer)
+
+    def identities(self) -> DataFrame:
+        return resolution.identities(tables.instrument_entries(self.spark, self.sf_dir))
+
+    def review(self) -> DataFrame:
+        """The review queue over everything."""
+        spark, d = self.spark, self.sf_dir
+        return review.review_queue(tables.filings(spark, d), tables.transactions(spark, d), tables.baseline(spark, d), cut(self.holdings(Filters())), cut(self.identities()))
+
+    def conflicts(self, dated: DataFrame, tx: DataFrame | None = None, policies: DataFrame | None = None, triggers: DataFrame | None = None, sensitive: Column | None = None) -> dict[str, DataFrame]:
+        """Possible conflicts of all holdings with dated events (event_id, date,
+        category, title, summary): the ranked indicators, their summary, and their
+        counts by category and severity.  No filter applies.
+
+        ``policies`` (ticker, categories) and ``triggers`` (sector, triggers, words)
+        are the fixed ones unless given; ``sensitive`` tells what rates move."""
+        policies = self.spark.createDataFrame(list(fixed.POLICY_TICKERS.items()), "ticker string, categories array<string>") if policies is None else policies
+        triggers = self.spark.createDataFrame(fixed.SECTOR_TRIGGERS, "sector string, triggers array<string>, words array<string>") if triggers is None else triggers
+        sensitive = ((F.col("sector") == "Financials") | F.coalesce(F.col("ticker").isin(fixed.RATE_TICKERS), F.lit(False))) if sensitive is None else sensitive
+        held = cut(self.holdings(Filters()).select(F.col("security_key").alias("holding_id"), "ticker", F.lit(None).cast("string").alias("issuer_ticker"), F.col("description").alias("name"), "sector", F.col("current.midpoint").alias("value")))
+        trades = self.transactions(Filters()).withColumn("issuer_ticker", F.lit(None).cast("string")) if tx is None else tx
+        timing = events.timing_conflicts(held, dated, trades, triggers).drop("related", "before")
+        rate = events.rate_conflicts(held, dated.where("category = 'fed'").select("event_id"), sensitive)
+        found = cut(events.policy_conflicts(held, policies).unionByName(rate).unionByName(timing))
+        return {"indicators": events.ranked_conflicts(found, CONFLICT_ROWS), "summary": events.conflict_summary(found, CONFLICT_ROWS), "groups": events.conflicts_by(found, "category", "severity", n=CONFLICT_ROWS)}
 
     @staticmethod
     def _first(index: DataFrame, n: int) -> DataFrame:
@@ -49,10 +83,17 @@ class Engine:
             out["sectors"] = sectors.sector_order(sectors.sector_summary(tx))
         if name in ("overview", "timing"):
             out["flow"] = timeline.gap_filled_flow(tx)
-        if name in ("overview", "index", "equities", "municipal-bonds", "corporate-bonds", "funds"):
-            out["index"] = self._first(self.index(f), INDEX_ROWS)
-        if name == "index":
-            out["rollups"] = holdings.rollups(self.index(f))
+        if name in ("overview", "index", "conflicts", *filters.ASSET_PAGES):
+            index = cut(self.index(f))
+            out["index"] = self._first(index, BOOTSTRAP_ROWS if name == "conflicts" else INDEX_ROWS)
+            out["rollups"] = holdings.rollups(index)
+        if name in filters.ASSET_PAGES:
+            out |= {"transactions": tx, "sectors": sectors.sector_summary(tx)}
+        if name in ("filings", *filters.ASSET_PAGES):
+            out["filings"] = tables.filings(self.spark, self.sf_dir)
+        if name == "identifier-review":
+            found = cut(resolution.filtered_identities(self.identities(), f.asset_type, issuer=f.issuer, query=f.query))
+            out |= {"identities": found, "identifier_review": resolution.review_items(found).limit(REVIEW_ROWS)}
         if name == "equities":
             out["stocks"] = sectors.stock_summary(tx)
         if name == "holdings":
@@ -60,7 +101,7 @@ class Engine:
         if name in ("transactions", "timing"):
             out["transactions"] = tx.orderBy(F.col("date").desc(), "id").limit(TRANSACTION_ROWS)
         if name == "review":
-            out["review"] = self.holdings(f).where("missing_baseline").orderBy(F.col("current.midpoint").desc(), "security_key").limit(REVIEW_ROWS)
+            out["review"] = self.review()
         return out
 
     def bootstrap(self) -> dict[str, DataFrame]:

@@ -590,10 +590,4 @@ r3 AS (SELECT 3, row_number() OVER (ORDER BY l_orderkey, l_linenumber), CASE WHE
 h2 AS (SELECT *, row_number() OVER (ORDER BY cmid DESC, transaction_count DESC, description, security_key) AS o FROM e), r4 AS (SELECT 4, row_number() OVER (ORDER BY o), 'low', 'baseline', security_key, description FROM h2 WHERE o <= 200 AND missing_baseline)"""
 
 
-@query(f"WITH {REVIEW} SELECT * FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4) ORDER BY source, seq LIMIT 500")
-def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    held = cut(_held(spark, d))
-    return review.review_queue(tables.filings(spark, d), tables.transactions(spark, d), tables.baseline(spark, d), held)
-
-
 from rangeledger import disclosure_queries as _more  # noqa: E402, F401  registers the rest

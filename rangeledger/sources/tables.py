@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeledger.functions import fixed
 from rangeledger.functions.money import bracket_of
 
 
@@ -65,3 +66,24 @@ def dated_events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """event_id, date, user_id, value, category of one kind of event."""
     rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
     return rows.select("event_id", F.col("ts").cast("date").alias("date"), "user_id", "value", F.col("event_type").alias("category"))
+
+
+CLASSES = ["Corporate Bond", "Municipal Bond", "Preferred / Hybrid", "Equity"]
+RELIABILITIES = ["metadata_only", "archived_copy", "official"]
+
+
+def instrument_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries that name instruments: entry_id, display, asset_type, sector,
+    identifiers, terms, tickers, status, review, reliability, score, current_mid,
+    transaction_count, ord."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (size % len(values) + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "part").withColumn("asset_type", pick(CLASSES))
+    equity = F.col("asset_type") == "Equity"
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in fixed.INSTRUMENT_KINDS.items() for x in pair)), F.col("asset_type"))
+    return rows.select(
+        key.cast("string").alias("entry_id"), F.concat_ws(" ", "p_name", "p_brand").alias("display"), "asset_type", F.col("p_type").alias("sector"), F.when(size % 10 == 0, F.upper(F.left(F.md5(F.col("p_name").cast("binary")), F.lit(9)))).alias("cusip"), none.alias("isin"), none.alias("figi"),
+        kind.alias("kind"), F.when(~equity, F.col("p_name")).alias("issuer"), F.when(~equity, size / 10).alias("coupon"), F.when(~equity, F.lit("2035-11-15")).alias("maturity"), F.when(equity, F.col("p_brand")).alias("ticker"), F.when(size % 3 == 0, F.col("p_brand")).alias("issuer_ticker"),
+        none.alias("status"), F.when(size == 50, "rejected").alias("review"), pick(RELIABILITIES).alias("reliability"), (F.col("p_retailprice") / 20).alias("score"), (F.col("p_retailprice") * 100).alias("current_mid"), size.cast("long").alias("transaction_count"), key.alias("ord"),
+    )
