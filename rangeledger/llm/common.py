@@ -40,9 +40,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_small(df: DataFrame) -> DataFrame:
-    """:func:`cut` for rows of ids and counts: at most four files for each of the
+    """:func:`cut` for rows of ids and counts: at most two files for each of the
     cluster's cores, since a file costs more than such rows do."""
-    return cut(df.coalesce(max(1, 4 * df.sparkSession.sparkContext.defaultParallelism)))
+    return cut(df.coalesce(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism)))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

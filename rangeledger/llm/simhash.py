@@ -290,7 +290,7 @@ def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _compared_with_one(members: DataFrame, budget: int, similarity: float) -> DataFrame:
     """Pairs of each key's members with one of them, chosen by hash."""
     chosen = members.groupBy("key").agg(F.min_by(F.struct("set_id", "fp", "size", "root"), F.xxhash64("set_id")).alias("c"))
-    met = join_bounded(members, cut_small(chosen), "key").where("root <> c.root")
+    met = members.join(chosen, "key").where("root <> c.root")
     fits = F.least("size", "c.size") >= F.lit(similarity) * F.greatest("size", "c.size")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= budget
     return met.where(fits & near).select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
@@ -325,7 +325,7 @@ def _linked_tiles(large: DataFrame, sets: DataFrame, budget: int, similarity: fl
     large: key, set_id, fp, size, root; sets: set_id, keys, hashes."""
     largest = large.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
     chunks = largest.select("key", "largest", F.ceil(F.col("n") / tile_rows).cast("int").alias("all_chunks"), F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int").alias("chunks"))
-    met = join_bounded(large, cut_small(chunks), "key").join(sets, "set_id")
+    met = large.join(chunks, "key").join(sets, "set_id")
     own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     fields = ["key", "set_id", "fp", "size", "root", "keys", "hashes"]
@@ -412,9 +412,9 @@ def similar_texts(
     if not pairs.isEmpty():
         roots = components(_confirmed(pairs, rows, stands, shingle, similarity)).withColumnRenamed("node", "set_id")
     rooted = _with_roots(large, roots)
-    apart = cut_small(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
-    if not apart.isEmpty():
-        left = cut_small(join_bounded(rooted, apart, "key"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = cut_small(rooted.join(apart, "key", "left_semi"))
+    if not left.isEmpty():
         keyed = marked.select("set_id", "keys").join(left.select("set_id").distinct(), "set_id", "left_semi").distinct()
         sets = keyed.join(_whole_sets(left.select("set_id").distinct(), rows, stands, shingle), "set_id")
         links = _linked_tiles(left, sets, budget, similarity, tile_rows)
