@@ -13,7 +13,7 @@ from rangeledger.operators import context, enrichment, filters, holdings, ingest
 from rangeledger.plans.api import Engine
 from rangeledger.plans.joins import priority_union
 from rangeledger.plans.stages import cut, scratch
-from rangeledger.queries import GROUPS, INDEX, TX, _bracket_sql, _key_sql, _label_sql, _stable_sql, query
+from rangeledger.queries import GROUPS, INDEX, SQL, TX, _bracket_sql, _key_sql, _label_sql, _stable_sql, query
 from rangeledger.sources import readers, sinks, tables
 
 # Words dealt over the rows of a table where the texts of the tables have none of their kind.
@@ -586,6 +586,48 @@ def request_parameters(spark: SparkSession, d: str) -> DataFrame:
     return filters.filtered(tables.transactions(spark, d), f).groupBy("sector").agg(F.count("*").alias("n"))
 
 
+# Orders and caps of what is shown
+
+
+@query(f"WITH b AS ({SQL['equity_stocks']}) SELECT stock, purchase_midpoint FROM b ORDER BY purchase_midpoint DESC, transaction_count DESC, stock LIMIT 160")
+def stock_order(spark: SparkSession, d: str) -> DataFrame:
+    return sectors.stock_order(q.equity_stocks(spark, d)).select("stock", "purchase_midpoint")
+
+
+@query(f"WITH {TX} SELECT coalesce(sum(mid) FILTER (type = 'Purchase'), 0) AS purchases, coalesce(sum(mid) FILTER (type = 'Sale'), 0) AS sales, count(*) FILTER (type = 'Purchase') AS purchase_count, count(*) FILTER (type = 'Sale') AS sale_count FROM tx WHERE late")
+def page_totals(spark: SparkSession, d: str) -> DataFrame:
+    return sectors.page_totals(tables.transactions(spark, d).where("late"))
+
+
+@query(f"WITH w AS ({SQL['event_windows']}) SELECT w.event_id, window_days, transaction_count, net_midpoint, ts::DATE AS date, event_type AS category FROM w LEFT JOIN events USING (event_id)")
+def window_export(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"))
+    return q.event_windows(spark, d).select("event_id", "window_days", "transaction_count", "net_midpoint").join(rows, "event_id", "left")
+
+
+@query(f"WITH {SOURCES} SELECT source_id, url FROM src ORDER BY url DESC NULLS LAST, source_id LIMIT 13000")
+def sources_with_links_first(spark: SparkSession, d: str) -> DataFrame:
+    return _sources(spark, d).orderBy(F.col("url").desc_nulls_last(), "source_id").limit(13000).select("source_id", "url")
+
+
+@query(f"WITH {TX} SELECT id FROM tx ORDER BY strftime(date, '%Y-%m'), mid DESC, description, id LIMIT 250")
+def marker_order(spark: SparkSession, d: str) -> DataFrame:
+    from rangeledger.operators import timeline
+
+    rows = tables.transactions(spark, d)
+    return rows.orderBy(timeline.month("date"), F.col("amount.midpoint").desc(), "description", "id").limit(250).select("id")
+
+
+@query("SELECT p_partkey, array_to_string([upper(left(w, 1)) || substr(w, 2) FOR w IN string_split(lower(p_name), ' ')], ' ') || ' LLC' AS titled FROM part")
+def title_cases(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "part").select("p_partkey", text.title_case(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  llc "))).alias("titled"))
+
+
+@query("SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Purchase' WHEN 1 THEN 'Sale' ELSE 'Exchange' END AS type, count(*) AS n FROM supplier GROUP BY 1")
+def line_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return periodic_line_items(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
 # Disclosure documents: a nation's suppliers and customers as lines of one document
 
 

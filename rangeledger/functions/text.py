@@ -49,6 +49,13 @@ def stock_title(name: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def title_case(name: Column, kept: list[str] | None = None) -> Column:
+    """Each word with a capital; words of ``kept`` as they are written there."""
+    known = F.create_map(*(F.lit(x) for w in (kept or ["LLC", "LP", "NA", "USA"]) for x in (w.lower(), w)))
+    words = F.transform(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: F.coalesce(F.try_element_at(known, w), F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))))
+    return F.array_join(words, " ")
+
+
 def slug(text: Column) -> Column:
     return replaced(F.lower(text), (r"[^a-z0-9]+", "-"), (r"^-|-$", ""))
 

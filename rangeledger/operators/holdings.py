@@ -21,10 +21,28 @@ def match_keys(**values: Column) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+#: Columns that name what a row holds, besides its description and ticker, with the kind of key they make.
+NAMING = {
+    "issuer_ticker": "issuer-ticker", "resolved_issuer": "resolved-issuer", "issuer_context": "issuer-context", "instrument_issuer": "instrument-issuer", "cusip": "cusip", "isin": "isin", "figi": "figi",
+}
+
+
+def typed_keys(columns: list[str], key: str, prefix: str = "") -> Column:
+    """All typed keys of a row (up to ten) by the naming columns it has; issuer, coupon
+    and maturity make one together."""
+    at = lambda c: F.col(f"{prefix}{c}")
+    values = {"key": F.col(key), "ticker": at("ticker")} | {kind: at(c) for c, kind in NAMING.items() if c in columns}
+    if {"instrument_issuer", "coupon", "maturity"} <= set(columns):
+        whole = at("instrument_issuer").isNotNull() & at("coupon").isNotNull() & at("maturity").isNotNull()
+        values["issuer-coupon-maturity"] = F.when(whole, F.concat_ws(" ", at("instrument_issuer"), at("coupon").cast("string"), at("maturity").cast("string")))
+    return match_keys(**values)
+
+
 def grouped(tx: DataFrame) -> DataFrame:
     """One row per security key with its ranges, counts and first row's fields."""
     buy, sale = F.col("type") == "Purchase", F.col("type") == "Sale"
-    first = F.min_by(F.struct("description", "ticker", "asset_type", "sector"), "ord")
+    named = [c for c in (*NAMING, "coupon", "maturity") if c in tx.columns]
+    first = F.min_by(F.struct("description", "ticker", "asset_type", "sector", *named), "ord")
     return tx.withColumn("security_key", security_key(F.col("description"))).groupBy("security_key").agg(
         first.alias("sample"), money.sum_range("amount", buy, "Purchases").alias("purchases"), money.sum_range("amount", sale, "Sales").alias("sales"),
         F.count("*").alias("transaction_count"), F.count_if(buy).alias("purchase_count"), F.count_if(sale).alias("sale_count"),
@@ -47,8 +65,8 @@ def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
 
     A baseline matched by ticker but under another key also stands alone, as
     only the key tells whether it has transactions."""
-    left = groups.select("security_key", "sample", match_keys(key=F.col("security_key"), ticker=F.col("sample.ticker")).alias("keys"))
-    right = baseline.withColumn("base_key", security_key(F.col("description"))).withColumn("keys", match_keys(key=F.col("base_key"), ticker=F.col("ticker")))
+    left = groups.select("security_key", "sample", typed_keys(groups.schema["sample"].dataType.names, "security_key", "sample.").alias("keys"))
+    right = baseline.withColumn("base_key", security_key(F.col("description"))).withColumn("keys", typed_keys(baseline.columns, "base_key"))
     prefer = (F.col("l.sample.asset_type") == F.col("r.asset_type")) | (F.col("l.sample.ticker") == F.col("r.ticker"))
     exact = F.col("l.security_key") == F.col("r.base_key")
     matched = unique_match(left, right, "security_key", "baseline_id", "keys", prefer, exact, ("asset_type", "ticker", "base_key"))

@@ -18,9 +18,10 @@ def sector_summary(tx: DataFrame) -> DataFrame:
         F.grouping("asset_type").alias("g"), *(part(w, f).alias(f"{p}_{f}") for p, w in (("purchase", buy), ("sale", sale)) for f in ("min", "max", "midpoint")),
         F.count("*").alias("transaction_count"), F.expr(f"count_if({buy})").alias("purchase_count"), F.expr(f"count_if({sale})").alias("sale_count"),
         F.expr("count_if(late)").alias("late_count"), F.countDistinct("ticker").alias("company_count"),
+        F.expr("count(ticker)").alias("enriched_count"), F.expr("round(avg(confidence), 6)").alias("confidence"),
     )
     return sums.select(
-        F.when(F.col("g") == 1, "All").otherwise(F.col("asset_type")).alias("asset_type"), "sector", "transaction_count", "purchase_count", "sale_count", "late_count", "company_count",
+        F.when(F.col("g") == 1, "All").otherwise(F.col("asset_type")).alias("asset_type"), "sector", "transaction_count", "purchase_count", "sale_count", "late_count", "company_count", "enriched_count", "confidence",
         "purchase_midpoint", "sale_midpoint", (F.col("purchase_min") - F.col("sale_max")).alias("net_min"), (F.col("purchase_max") - F.col("sale_min")).alias("net_max"),
         (F.col("purchase_midpoint") - F.col("sale_midpoint")).alias("net_midpoint"),
     )
@@ -57,6 +58,17 @@ def stock_summary(tx: DataFrame) -> DataFrame:
     )
 
 
+def stock_order(stocks: DataFrame, n: int = 160) -> DataFrame:
+    """The most bought first, at most ``n``."""
+    return stocks.orderBy(F.col("purchase_midpoint").desc(), F.col("transaction_count").desc(), "stock").limit(n)
+
+
+def page_totals(tx: DataFrame) -> DataFrame:
+    """One row: what was bought and sold, in midpoints and in rows."""
+    mid = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("amount.midpoint"))), F.lit(0.0))
+    return tx.agg(mid("Purchase").alias("purchases"), mid("Sale").alias("sales"), F.count_if(F.col("type") == "Purchase").alias("purchase_count"), F.count_if(F.col("type") == "Sale").alias("sale_count"))
+
+
 def market_values(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
     """Holdings with quotes by ticker: shares from the previous close; what has no
     quote keeps its cost."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeledger.functions import fixed
-from rangeledger.operators import events, filters, holdings, resolution, review, sectors, timeline
+from rangeledger.operators import enrichment, events, filters, holdings, resolution, review, sectors, timeline
 from rangeledger.operators.filters import Filters
 from rangeledger.plans.stages import cut
 from rangeledger.sources import sinks, tables
@@ -28,8 +28,13 @@ PAGES = (
 class Engine:
     """Queries over one folder of tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, built: str | None = None, version: str | None = None) -> None:
+        """``built`` and ``version`` name a version that :meth:`build` has written; the
+        first screen is read from there instead of being computed."""
+        self.spark, self.sf_dir, self.built, self.version = spark, sf_dir, built, version
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.built}/{name}").where(F.col("cache_version") == self.version).drop("cache_version")
 
     def transactions(self, f: Filters) -> DataFrame:
         return filters.filtered(tables.transactions(self.spark, self.sf_dir), f)
@@ -107,6 +112,8 @@ class Engine:
     def bootstrap(self) -> dict[str, DataFrame]:
         """What the first screen shows; no raw tables."""
         tx = self.transactions(Filters())
+        if self.built:
+            return {"kpis": sectors.kpis(self._stored("transactions")), "sectors": self._stored("sectors"), "index": self._first(self._stored("index"), BOOTSTRAP_ROWS), "years": self._stored("transactions").select(F.year("date").alias("year")).distinct()}
         return {"kpis": sectors.kpis(tx), "sectors": sectors.sector_summary(tx), "index": self._first(self.index(Filters()), BOOTSTRAP_ROWS), "years": tx.select(F.year("date").alias("year")).distinct()}
 
     def full_response(self, params: Mapping[str, str]) -> dict[str, DataFrame]:
@@ -129,6 +136,18 @@ class Engine:
         by_sector = holdings.rollups(index).where("kind = 'sector'").orderBy(F.col("current_mid").desc(), "key").limit(FACT_SECTORS)
         return {"entries": entries, "rollups": by_sector, "years": years.orderBy(F.col("year").desc()).limit(FACT_YEARS)}
 
+    def workbook(self, path: str) -> list[str]:
+        """A sheet (CSV folder) of every table, nested cells spread; their names."""
+        spark, d, everything = self.spark, self.sf_dir, self.full_response({})
+        sheets = {
+            "kpis": everything["kpis"], "index": everything["index"].drop("baseline", "purchases", "sales"), "rollups": everything["rollups"], "holdings": everything["holdings"], "baseline": tables.baseline(spark, d),
+            "transactions": everything["transactions"].drop("ord"), "sectors": everything["sectors"], "stocks": everything["stocks"], "filings": tables.filings(spark, d), "review": self.review(), "identities": self.identities(),
+            "identifier_review": resolution.review_items(self.identities()), "security_groups": enrichment.security_groups(everything["transactions"]), "monthly_flow": timeline.monthly_flow(everything["transactions"]),
+            "monthly_activity": timeline.monthly_activity(everything["transactions"]),
+        }
+        sinks.write_sheets(sheets, path)
+        return list(sheets)
+
     def build(self, path: str, version: str) -> None:
         """Write the derived tables of a version."""
         everything = self.full_response({})

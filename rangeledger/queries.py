@@ -103,10 +103,10 @@ def kpis(spark: SparkSession, d: str) -> DataFrame:
 
 SECTORS = f"""WITH {TX}, s AS (SELECT CASE WHEN grouping(asset_type) = 1 THEN 'All' ELSE asset_type END AS asset_type, sector,
 count(*) AS transaction_count, count(*) FILTER (type = 'Purchase') AS purchase_count, count(*) FILTER (type = 'Sale') AS sale_count, count(*) FILTER (late) AS late_count,
-count(DISTINCT ticker) AS company_count, coalesce(sum(lo) FILTER (type = 'Purchase'), 0) AS plo, coalesce(sum(hi) FILTER (type = 'Purchase'), 0) AS phi,
+count(DISTINCT ticker) AS company_count, count(ticker) AS enriched_count, round(avg(confidence), 6) AS confidence, coalesce(sum(lo) FILTER (type = 'Purchase'), 0) AS plo, coalesce(sum(hi) FILTER (type = 'Purchase'), 0) AS phi,
 coalesce(sum(mid) FILTER (type = 'Purchase'), 0) AS purchase_midpoint, coalesce(sum(lo) FILTER (type = 'Sale'), 0) AS slo, coalesce(sum(hi) FILTER (type = 'Sale'), 0) AS shi,
 coalesce(sum(mid) FILTER (type = 'Sale'), 0) AS sale_midpoint FROM tx GROUP BY GROUPING SETS ((sector), (asset_type, sector))),
-t AS (SELECT asset_type, sector, transaction_count, purchase_count, sale_count, late_count, company_count, purchase_midpoint, sale_midpoint,
+t AS (SELECT asset_type, sector, transaction_count, purchase_count, sale_count, late_count, company_count, enriched_count, confidence, purchase_midpoint, sale_midpoint,
 plo - shi AS net_min, phi - slo AS net_max, purchase_midpoint - sale_midpoint AS net_midpoint FROM s)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +18,29 @@ def json_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+_READ: dict[str, tuple[tuple, DataFrame]] = {}
+
+
+def memoised(spark: SparkSession, path: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """``read(path)``, kept while the path's time and size stay as they are; what has
+    changed is read anew."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    summary = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = (id(spark), summary.getFileStatus(hadoop).getModificationTime(), summary.getContentSummary(hadoop).getLength())
+    if path not in _READ or _READ[path][0] != mark:
+        if path in _READ:
+            _READ[path][1].unpersist()
+        _READ[path] = (mark, read(path).persist())
+    return _READ[path][1]
+
+
 def symbol_directory(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Pipe-delimited symbol lists: symbol and name; header and footer are skipped."""
+    """Pipe-delimited symbol lists: symbol, name, exchange and the marks of funds and
+    test issues where the list has them; header and footer are skipped."""
     cells = F.split(F.col(column), r"\|")
     rows = lines.where(F.contains(column, F.lit("|")) & ~F.col(column).startswith("File Creation Time") & ~F.lower(column).rlike(r"^(act )?symbol\|"))
-    return rows.select(F.upper(F.trim(cells[0])).alias("ticker"), F.trim(cells[1]).alias("issuer_name")).where((F.col("ticker") != "") & (F.col("issuer_name") != ""))
+    return rows.select(F.upper(F.trim(cells[0])).alias("ticker"), F.trim(cells[1]).alias("issuer_name"), F.nullif(F.trim(F.get(cells, F.lit(2))), F.lit("")).alias("exchange"),
+        F.coalesce(F.trim(F.get(cells, F.lit(4))) == "Y", F.lit(False)).alias("is_etf"), F.coalesce(F.trim(F.get(cells, F.lit(3))) == "Y", F.lit(False)).alias("is_test")).where((F.col("ticker") != "") & (F.col("issuer_name") != ""))
 
 
 def company_tickers(rows: DataFrame, column: str = "data") -> DataFrame:

@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every table by name, also as a temporary view; none is read before it is used."""
+    found = {name: table(spark, sf_dir, name) for name in NAMES}
+    for name, df in found.items():
+        df.createOrReplaceTempView(name)
+    return found
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ord, description, ticker, asset_type, sector, type, date, amount, late, confidence, flags, p_size, p_partkey."""
     line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))

@@ -84,3 +84,44 @@ def test_resolved_flags_and_exchange(spark):
     row = spark.range(1).select(enrichment.exchange_name(F.lit("Q")).alias("a"), enrichment.exchange_name(F.lit("ZZ")).alias("b"), enrichment.exchange_name(F.lit("")).alias("c"), ingest.transaction_type(F.lit(" SALE (full)")).alias("d")).first()
     assert tuple(row) == ("Nasdaq", "ZZ", None, "Sale")
     assert events.shown_events(spark.createDataFrame([], "event_id int, date date, end_date date"), "2024").count() == 0 and fixed.FIXED_INCOME
+
+
+def test_baseline_by_each_typed_key(spark):
+    """A baseline row is found by any of ten keys; keys of two characters are none."""
+    from rangeledger.operators import holdings
+
+    names = list(holdings.NAMING)
+    schema = "description string, ticker string, " + ", ".join(f"{n} string" for n in names) + ", coupon double, maturity string"
+    row = lambda d, **kw: (d, kw.get("ticker"), *(kw.get(n) for n in names), kw.get("coupon"), kw.get("maturity"))
+    cases = [{"ticker": "TICK"}, *({n: f"value {n}"} for n in names), {"instrument_issuer": "Issuer X", "coupon": 5.5, "maturity": "2030-01-01"}, {"ticker": "AB"}]
+    tx = spark.createDataFrame([row(f"traded {i}", **c) for i, c in enumerate(cases)], schema).withColumns({
+        "asset_type": F.lit("Equity"), "sector": F.lit("s"), "type": F.lit("Purchase"), "date": F.lit("2024-01-01").cast("date"), "late": F.lit(False), "ord": F.monotonically_increasing_id(),
+        "amount": F.struct(F.lit("l").alias("label"), *(F.lit(1.0).alias(n) for n in ("min", "max", "midpoint"))),
+    })
+    base = spark.createDataFrame([row(f"held {i}", **c) for i, c in enumerate(cases)], schema).withColumns({"asset_type": F.lit("Equity"), "value": F.struct(F.lit("l").alias("label"), *(F.lit(10.0).alias(n) for n in ("min", "max", "midpoint")))})
+    base = base.withColumn("baseline_id", F.regexp_extract("description", r"(\d+)", 1).cast("int"))
+    got = {r["security_key"]: r["description"] for r in holdings.estimated(holdings.grouped(tx), base).where("transaction_count > 0").collect()}
+    assert got == {f"TRADED {i}": (f"held {i}" if i < len(cases) - 1 else f"traded {i}") for i in range(len(cases))}
+
+
+def test_memoised_reads_again_after_a_change(spark, tmp_path):
+    from rangeledger.sources import readers
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    first = readers.memoised(spark, path, spark.read.parquet)
+    assert first is readers.memoised(spark, path, spark.read.parquet) and first.count() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert readers.memoised(spark, path, spark.read.parquet).count() == 5
+
+
+def test_built_bootstrap_and_workbook(spark, tmp_path):
+    from rangeledger.sources import tables
+
+    Engine(spark, SMALL).build(str(tmp_path / "b"), "v7")
+    stored = Engine(spark, SMALL, str(tmp_path / "b"), "v7").bootstrap()
+    plain = Engine(spark, SMALL).bootstrap()
+    assert stored["kpis"].first() == plain["kpis"].first() and [r["security_key"] for r in stored["index"].collect()] == [r["security_key"] for r in plain["index"].collect()]
+    names = Engine(spark, SMALL).workbook(str(tmp_path / "w"))
+    assert len(names) == 15 and spark.read.option("header", True).csv(str(tmp_path / "w" / "holdings")).count() == plain["index"].sparkSession.read.option("header", True).csv(str(tmp_path / "w" / "index")).count()
+    assert tables.views(spark, SMALL)["nation"].count() == spark.table("nation").count() == 25
