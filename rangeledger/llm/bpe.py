@@ -42,7 +42,7 @@ from rangeledger.llm.text import slices
 RANK_BUCKETS = 1 << 15
 #: Longest word (bytes) that the expression encodes; its steps grow with the square.
 FOLD_BYTES = 48
-_KEPT_WORDS, _KEPT_PARTS = 200_000, 300_000
+_KEPT_WORDS, _KEPT_PARTS = 100_000, 200_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -151,31 +151,18 @@ def unpacked(dictionary: bytes) -> dict[bytes, bytes]:
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
 
 
-@functools.lru_cache(maxsize=1)
-def _unpacked_once(dictionary: bytes) -> dict[bytes, bytes]:
-    """The dictionary of this worker process, kept from task to task."""
-    return unpacked(dictionary)
-
-
-@functools.lru_cache(maxsize=1)
-def _kept_words(pattern: str, vocabulary: int) -> tuple[dict, dict]:
-    """What this worker process has merged, kept from task to task."""
-    return {}, {}
-
-
 #: A space before white space or the end, where a word's leading space is not certain.
 _LOOSE = re.compile(r" (?:\s|$)")
 _STARTS = re.compile(r"(?= [^\s])")
 
 
 class Encoder:
-    """Encodes texts a worker at a time, remembering what it has merged."""
+    """Encodes texts a task at a time, remembering what it has merged (up to a bound)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[bytes, bytes]) -> None:
         self.ranks, self.dictionary, self.split = ranks, dictionary, regex.compile(pattern)
-        self.words: dict[bytes, bytes]
-        self.parts: dict[str, bytes]
-        self.words, self.parts = _kept_words(pattern, hash(frozenset(ranks.items())))
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
         found = self.dictionary.get(word) or self.words.get(word)
@@ -235,7 +222,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, dictionary_w
     light, given = _given(docs, rank_file, pattern, dictionary_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(given.value[0], pattern, _unpacked_once(given.value[1]))
+        encoder = Encoder(given.value[0], pattern, unpacked(given.value[1]))
         for part in slices(batches):
             ids = [encoder.encode(t.as_py()) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -264,7 +251,7 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool
     light, given = _given(docs, rank_file, pattern, dictionary_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pieces = Encoder(given.value[0], pattern, _unpacked_once(given.value[1])), pieces_by_id(given.value[0])
+        encoder, pieces = Encoder(given.value[0], pattern, unpacked(given.value[1])), pieces_by_id(given.value[0])
         for part in slices(batches):
             kept, count, encoded, decoded = [], [], [], []
             for text in part.column(1):
