@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
-from rangeledger.llm.vectors import best, cells, dealt, fewest_copies, finite_vectors, in_blocks, one_per_id, parts
+from rangeledger.llm.vectors import best, cells, dealt, fewest_copies, finite_vectors, in_blocks, one_per_id, one_query_per_id, parts
 
 #: Rounding of the double-precision arithmetic on bounds.
 SLACK = 1e-9
@@ -99,8 +99,8 @@ def nearest_by_cosine(
 ) -> DataFrame:
     """Per query row: query_id, rank, vec_id, score of its k largest cosines."""
     base = finite_vectors(vectors, id_col, vector_col)
-    asked = finite_vectors(vectors.where(is_query), id_col, vector_col)
-    shards, blocks = parts(vectors.count(), tile_rows), parts(asked.count(), block_rows)
+    asked = one_query_per_id(finite_vectors(vectors.where(is_query), id_col, vector_col))
+    shards = parts(vectors.count(), tile_rows)
     dealt_out = base.withColumn("shard", dealt(shards, 3)).repartition(min(shards, 20_000), "dim", "shard")
     tiles = dealt_out.groupBy("dim", "shard").applyInPandas(_packer(k), "dim int, shard int, tile binary")
-    return best(cells(tiles, asked, shards, blocks, _joiner(k), FOUND), k)
+    return best(cells(tiles, asked, shards, block_rows, _joiner(k), FOUND), k)

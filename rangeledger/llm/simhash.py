@@ -377,7 +377,7 @@ def _whole_sets(wanted: DataFrame, rows: DataFrame, stands: DataFrame, shingle:
     one = cut_small(stands.join(wanted, "set_id").select("set_id", "row_key"))
     found = join_bounded(rows.select("row_key", F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0), one, "row_key")
     sets = found.select("set_id", "text").mapInArrow(texts, "set_id long, hashes array<long>")
-    return cut(sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")))
+    return cut_small(sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")))
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, stands: DataFrame, shingle: int, similarity: float) -> DataFrame:

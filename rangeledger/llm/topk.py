@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeledger.llm.common import cut
-from rangeledger.llm.vectors import best, cells, dealt, fewest_copies, finite_vectors, one_per_id, parts
+from rangeledger.llm.vectors import best, cells, dealt, fewest_copies, finite_vectors, one_per_id, one_query_per_id, parts
 
 LEAF_ROWS = 64
 
@@ -150,13 +150,13 @@ def exact_top_k(
 
     ``is_query`` is a condition on the id column that marks the stated query set."""
     base = finite_vectors(vectors, id_col, vector_col)
-    asked = finite_vectors(vectors.where(is_query), id_col, vector_col)
-    shards, blocks = parts(vectors.count(), shard_rows), parts(asked.count(), block_rows)
+    asked = one_query_per_id(finite_vectors(vectors.where(is_query), id_col, vector_col))
+    shards = parts(vectors.count(), shard_rows)
     dealt_out = base.withColumn("shard", dealt(shards, 3)).repartition(min(shards, 20_000), "dim", "shard")
     trees = cut(dealt_out.groupBy("dim", "shard").applyInPandas(_packer(scale, k), "dim int, shard int, tree binary"))
-    first = cells(trees, asked.withColumn("floor", F.lit(None).cast("double")), shards, blocks, _searcher(scale, k, True), FOUND)
+    first = cells(trees, asked.withColumn("floor", F.lit(None).cast("double")), shards, block_rows, _searcher(scale, k, True), FOUND)
     # Scores above 2**53 lose digits as double: their floor is lowered to stay one.
     floors = best(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score").cast("double") - F.when(F.abs("score") > (1 << 53), F.abs("score") * 1e-12).otherwise(0.0)).alias("floor"))
     floors = cut(floors)
     second = asked.join(floors, "id", "left").select("id", "vector", "dim", "floor")
-    return best(cells(trees, second, shards, blocks, _searcher(scale, k, False), FOUND), k)
+    return best(cells(trees, second, shards, block_rows, _searcher(scale, k, False), FOUND), k)

@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CELL = ["dim", "shard", "block"]
+from rangeledger.llm.text import slices
+
 MAX_TASKS = 20_000
 
 
@@ -36,12 +38,36 @@ def dealt(n: int, salt: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
 
 
-def cells(packed: DataFrame, queries: DataFrame, shards: int, blocks: int, fn: Callable, schema: str) -> DataFrame:
-    """``fn(packed shard, query rows)`` for every cell; one row per shard in ``packed``."""
-    tasks = min(shards * blocks, MAX_TASKS)
-    left = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, *CELL)
-    right = queries.withColumn("block", dealt(blocks, 7)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(tasks, *CELL)
-    return left.groupBy(*CELL).cogroup(right.groupBy(*CELL)).applyInPandas(fn, schema)
+def cells(packed: DataFrame, queries: DataFrame, shards: int, block_rows: int, fn: Callable, schema: str) -> DataFrame:
+    """``fn(packed shard, query rows)`` for every shard and block of queries; one row per
+    shard in ``packed``, one query row per id and dim.
+
+    A shard stays where it is and the queries are brought to it, in order behind its
+    row: a task holds one shard and one block of queries at a time."""
+    tile = next(c for c in packed.columns if c not in ("dim", "shard"))
+    own = [c for c in queries.columns if c != "dim"]
+    none = lambda c: F.lit(None).cast(queries.schema[c].dataType).alias(c)
+    left = packed.select("dim", "shard", F.lit(0).alias("part"), F.col(tile).alias("packed"), *(none(c) for c in own))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = asked.select("dim", "shard", F.lit(1).alias("part"), F.lit(None).cast("binary").alias("packed"), *own)
+    placed = left.unionByName(right).repartition(min(shards, MAX_TASKS), "dim", "shard").sortWithinPartitions("dim", "shard", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in slices(batches, block_rows):
+            rows = batch.to_pandas()
+            for (dim, shard, part), some in rows.groupby(["dim", "shard", "part"], sort=True):
+                if part == 0:
+                    at, held = (dim, shard), some[["packed"]].rename(columns={"packed": tile})
+                elif at == (dim, shard):
+                    yield pa.RecordBatch.from_pandas(fn(held, some[own]), preserve_index=False)
+
+    return placed.mapInArrow(run, schema)
+
+
+def one_query_per_id(queries: DataFrame) -> DataFrame:
+    """Of rows sharing an id and a length, the least vector."""
+    return queries.groupBy("id", "dim").agg(F.min("vector").alias("vector"))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
