@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeledger.llm.bpe import bpe_round_trip
-from rangeledger.llm.common import cut, cut_small, join_bounded, scratch
+from rangeledger.llm.common import cut_small, join_bounded, scratch
 from rangeledger.llm.mixing import with_copies
 from rangeledger.llm.quality import fit_quality, quality_score
 from rangeledger.llm.simhash import row_key, similar_texts
@@ -37,7 +37,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     whose five-word shingles have a Jaccard similarity of 0.8 or more are linked, as
     proposed by the SimHash trie join and confirmed on the whole texts."""
     docs = docs.select(*COLUMNS)
-    marked = cut(similar_texts(docs, shingle=5, similarity=0.8).select("doc_id", "row_key", "root"))
+    marked = cut_small(similar_texts(docs, shingle=5, similarity=0.8).select("doc_id", "row_key", "root"))
     # Ids before null ids; the key settles texts that share an id.
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     least = cut_small(marked.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.row_key").alias("first_key")))
