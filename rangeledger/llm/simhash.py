@@ -32,7 +32,7 @@ than the id and the text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -314,56 +314,70 @@ def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarr
     return total
 
 
-def _linked_tiles(large: DataFrame, sets: DataFrame, budget: int, similarity: float, tile_rows: int) -> DataFrame:
+def _tile_pairs(tile: pa.Table, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a tile, once per set, and index pairs into them: of two components,
+    one of them aside, of fitting sizes, within the budget, and with the tile's key
+    as the first key they have in common."""
+    ids, fp, size, root = (tile.column(c).to_numpy() for c in ("set_id", "fp", "size", "root"))
+    flag = tile.column("aside").to_numpy(zero_copy_only=False)
+    order = np.lexsort((~flag, ids, fp.view(np.uint64)))
+    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # aside before the same as a member
+    size, flag = size[order], flag[order]
+    a, b = trie_pairs(np.zeros(len(order), dtype=np.int64), fp[order].view(np.uint64), budget, root[order])
+    near = (flag[a] | flag[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+    a, b = a[near], b[near]
+    keys, own = np.array(tile.column("keys").to_pylist(), dtype=np.int64)[order], tile.column("key")[0].as_py()
+    kept = np.zeros(len(a), dtype=bool)
+    for low in range(0, len(a), 1 << 16):
+        x, y = keys[a[low : low + (1 << 16)]], keys[b[low : low + (1 << 16)]]
+        kept[low : low + (1 << 16)] = x[np.arange(len(x)), (x == y).argmax(axis=1)] == own
+    return order, a[kept], b[kept]
+
+
+def _linked_tiles(large: DataFrame, keyed: DataFrame, whole_sets: Callable[[DataFrame], DataFrame], budget: int, similarity: float, tile_rows: int) -> DataFrame:
     """Links of large groups, as edges (a, b): each member outside its key's largest
     component meets every member, in tiles of chunks of the former and of all.
 
     A tile's pairs come from the trie join without pairs of one component; a pair
-    counts under the first key the two have in common and is confirmed there on the
-    whole shingle sets.  Only a spanning forest of the links leaves the tile.
+    counts under the first key the two have in common.  Only sets of such pairs come
+    back with their shingles, and the tile confirms the pairs on them.  What leaves
+    it is a spanning forest of the links.
 
-    large: key, set_id, fp, size, root; sets: set_id, keys, hashes."""
+    large: key, set_id, fp, size, root; keyed: set_id and all its keys."""
     largest = large.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
     chunks = largest.select("key", "largest", F.ceil(F.col("n") / tile_rows).cast("int").alias("all_chunks"), F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int").alias("chunks"))
-    met = large.join(chunks, "key").join(sets, "set_id")
+    met = large.join(chunks, "key").join(keyed, "set_id")
     own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    fields = ["key", "set_id", "fp", "size", "root", "keys", "hashes"]
+    fields = ["key", "set_id", "fp", "size", "root", "keys"]
     aside = met.where("root <> largest").select(*fields, F.lit(True).alias("aside"), own("chunks").alias("i"), every("all_chunks").alias("j"))
     whole = met.select(*fields, F.lit(False).alias("aside"), every("chunks").alias("i"), own("all_chunks").alias("j"))
+    tiles = aside.unionByName(whole)
 
-    def run(tile: pa.Table) -> pa.Table:
-        ids, fp, size, root = (tile.column(c).to_numpy() for c in ("set_id", "fp", "size", "root"))
-        flag = tile.column("aside").to_numpy(zero_copy_only=False)
-        order = np.lexsort((~flag, ids, fp.view(np.uint64)))
-        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # aside before the same as a member
-        ids, fp, size, root, flag = ids[order], fp[order].view(np.uint64), size[order], root[order], flag[order]
-        a, b = trie_pairs(np.zeros(len(ids), dtype=np.int64), fp, budget, root)
-        keys, own_key = np.array(tile.column("keys").to_pylist(), dtype=np.int64)[order], tile.column("key")[0].as_py()
+    def involved(tile: pa.Table) -> pa.Table:
+        order, a, b = _tile_pairs(tile, budget, similarity)
+        return tile.take(pa.array(order[np.unique(np.concatenate([a, b]))]))
+
+    def linked(tile: pa.Table) -> pa.Table:
+        order, a, b = _tile_pairs(tile, budget, similarity)
+        ids, size = tile.column("set_id").to_numpy()[order], tile.column("size").to_numpy()[order]
+        hashes = tile.column("hashes").combine_chunks()
+        found = [hashes[int(k)].values.to_numpy() for k in order]
         links = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-        near = (flag[a] | flag[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-        a, b = a[near], b[near]
-        kept = np.zeros(len(a), dtype=bool)
-        for low in range(0, len(a), 1 << 16):
-            x, y = keys[a[low : low + (1 << 16)]], keys[b[low : low + (1 << 16)]]
-            first = (x == y).argmax(axis=1)
-            kept[low : low + (1 << 16)] = x[np.arange(len(x)), first] == own_key
-        a, b = a[kept], b[kept]
-        if len(a):
-            hashes = tile.column("hashes").combine_chunks()
-            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            found = [hashes[int(order[k])].values.to_numpy() for k in used]
-            i, j = at[: len(a)], at[len(a) :]
-            for low in range(0, len(found), 512):
-                some = (i >= low) & (i < low + 512)
-                common = common_shingles(found[low : low + 512], found)[i[some] - low, j[some]]
-                linked = common >= similarity * (size[a[some]] + size[b[some]] - common)
-                links.append((a[some][linked], b[some][linked]))
+        for low in range(0, len(found), 512):
+            some = (a >= low) & (a < low + 512)
+            if some.any():
+                x, y = a[some], b[some]
+                common = common_shingles(found[low : low + 512], found)[x - low, y]
+                near = common >= similarity * (size[x] + size[y] - common)
+                links.append((x[near], y[near]))
         i, j = (np.concatenate(x) for x in zip(*links, strict=True))
         node, to = forest(i, j, len(ids))
         return pa.table({"a": ids[node], "b": ids[to]})
 
-    return aside.unionByName(whole).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    wanted = cut_small(tiles.groupBy("key", "i", "j").applyInArrow(involved, tiles.schema))
+    full = wanted.join(whole_sets(wanted.select("set_id").distinct()), "set_id")
+    return full.groupBy("key", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def _whole_sets(wanted: DataFrame, rows: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
@@ -416,8 +430,7 @@ def similar_texts(
     left = cut_small(rooted.join(apart, "key", "left_semi"))
     if not left.isEmpty():
         keyed = marked.select("set_id", "keys").join(left.select("set_id").distinct(), "set_id", "left_semi").distinct()
-        sets = keyed.join(_whole_sets(left.select("set_id").distinct(), rows, stands, shingle), "set_id")
-        links = _linked_tiles(left, sets, budget, similarity, tile_rows)
+        links = _linked_tiles(left, keyed, lambda wanted: _whole_sets(wanted, rows, stands, shingle), budget, similarity, tile_rows)
         old = [] if roots is None else [roots.select(F.col("set_id").alias("a"), F.col("root").alias("b"))]
         roots = components(reduce(DataFrame.unionByName, old, links)).withColumnRenamed("node", "set_id")
     out = marked.select("doc_id", "row_key", "set_id")
