@@ -405,7 +405,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, stands: DataFrame, shingle: in
 
 
 def similar_texts(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 26, keys: int = 24, minima: int = 4, group_rows: int = 64, tile_rows: int = 512,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 26, keys: int = 24, minima: int = 4, group_rows: int = 64, tile_rows: int = 256,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, row_key and root, equal for the rows of a component of
