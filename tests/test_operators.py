@@ -86,8 +86,8 @@ def test_rate_conflicts_need_exposure(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
-    lines = spark.createDataFrame([("Symbol|Security Name|X",), ("NET|Cloudflare, Inc.|N",), ("File Creation Time: 1||",), ("|no symbol|",)], "value string")
-    assert [tuple(r) for r in readers.symbol_directory(lines).collect()] == [("NET", "Cloudflare, Inc.")]
+    lines = spark.createDataFrame([("Symbol|Security Name|X",), ("NET|Cloudflare, Inc.|N|N|Y",), ("File Creation Time: 1||",), ("|no symbol|",)], "value string")
+    assert [tuple(r) for r in readers.symbol_directory(lines).collect()] == [("NET", "Cloudflare, Inc.", "N", True, False)]
     rows = spark.createDataFrame([([["1", "A Co", "a", "NYSE"], ["2", "short"], ["3", "", "x", "y"]],)], "data array<array<string>>")
     assert [r["ticker"] for r in readers.company_tickers(rows).collect()] == ["A"]
     assert readers.json_or_empty(spark, str(tmp_path / "none"), rows.schema).count() == 0
