@@ -43,13 +43,21 @@ def grouped(tx: DataFrame) -> DataFrame:
     buy, sale = F.col("type") == "Purchase", F.col("type") == "Sale"
     named = [c for c in (*NAMING, "coupon", "maturity") if c in tx.columns]
     first = F.min_by(F.struct("description", "ticker", "asset_type", "sector", *named), "ord")
-    return tx.withColumn("security_key", security_key(F.col("description"))).groupBy("security_key").agg(
-        first.alias("sample"), money.sum_range("amount", buy, "Purchases").alias("purchases"), money.sum_range("amount", sale, "Sales").alias("sales"),
+    none = F.array().cast("array<string>")
+    # Keys are made of the distinct descriptions, not of every row.
+    alike = tx.groupBy("description").agg(
+        first.alias("sample"), F.min("ord").alias("ord"), money.sum_range("amount", buy, "Purchases").alias("purchases"), money.sum_range("amount", sale, "Sales").alias("sales"),
         F.count("*").alias("transaction_count"), F.count_if(buy).alias("purchase_count"), F.count_if(sale).alias("sale_count"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if("late").alias("late_count"),
+        (F.min("confidence") if "confidence" in tx.columns else F.lit(None).cast("double")).alias("least_confidence"),
         # Flags are words of a small vocabulary.
-        *([F.min("confidence").alias("least_confidence")] if "confidence" in tx.columns else [F.lit(None).cast("double").alias("least_confidence")]),
-        *([F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("tx_flags")] if "flags" in tx.columns else [F.array().cast("array<string>").alias("tx_flags")]),
+        (F.array_distinct(F.flatten(F.collect_set("flags"))) if "flags" in tx.columns else none).alias("tx_flags"),
+    )
+    total = lambda c: F.sum(c).alias(c)
+    return alike.withColumn("security_key", security_key(F.col("description"))).groupBy("security_key").agg(
+        F.min_by("sample", "ord").alias("sample"), money.sum_range("purchases", label="Purchases").alias("purchases"), money.sum_range("sales", label="Sales").alias("sales"),
+        total("transaction_count"), total("purchase_count"), total("sale_count"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), total("late_count"),
+        F.min("least_confidence").alias("least_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tx_flags")))).alias("tx_flags"),
     )
 
 
