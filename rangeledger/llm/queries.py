@@ -29,6 +29,40 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _op11_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """Lloyd's rounds written out, one pair of tables a round."""
+    out = [f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS k, e FROM (SELECT vec_id, e FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, arg_min(k, d * {k} + k) AS k, min(d) AS d FROM (SELECT v.vec_id, v.e, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{r} c) GROUP BY vec_id)""")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range({dims})) AS i FROM a{r}) GROUP BY k, i),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM s{r} GROUP BY k) m ON c.k = m.k)""")
+    return ",\n".join(out) + f"""
+SELECT a.vec_id, a.k AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k
+"""
+
+
+def _op12_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Codebooks round by round; parts and entries are numbered from 0."""
+    out = [f"""WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, p, list_slice(e, (p * len(e) // {parts} + 1)::BIGINT, ((p + 1) * len(e) // {parts})::BIGINT) AS e FROM f CROSS JOIN range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, e FROM p WHERE vec_id IN (SELECT vec_id FROM f ORDER BY vec_id LIMIT {entries}))"""]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(e) AS e, arg_min(k, d * {entries} + k) AS k, min(d) AS d FROM (SELECT v.vec_id, v.p, v.e, b.k, list_sum(list_transform(list_zip(v.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p v JOIN b{r} b ON v.p = b.p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            out.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.e, b.e) AS e FROM b{r} b LEFT JOIN (SELECT p, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM
+(SELECT p, k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, k, unnest(e) AS x, unnest(range(len(e))) AS i FROM a{r}) GROUP BY p, k, i) GROUP BY p, k) m ON b.p = m.p AND b.k = m.k)""")
+    return ",\n".join(out) + f"""
+, h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds}),
+w AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT w.vec_id, code, error, sum(error) OVER (PARTITION BY f.label)::BIGINT AS label_error, codebooks_sha256 FROM w JOIN f ON w.vec_id = f.vec_id CROSS JOIN h
+"""
+
+
 def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeledger.llm.topk import exact_top_k
 
@@ -105,9 +139,33 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
 
 
+def op11_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.centroids import cluster_vectors, with_cluster_facts
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    first = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return with_cluster_facts(cluster_vectors(vectors, first, k=8, rounds=10, dims=64, scale=1024.0))
+
+
+def op12_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.codes import code_vectors, with_label_errors
+
+    coded = with_label_errors(code_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256.0))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeledger.llm.pii import find_pii, pii_digest
+
+    return pii_digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op5_byte_bpe, op6_content_store, op7_section_tokens, op8_feistel_shards, op9_window_dedup, op10_compression_quality)}
+    return {f.__name__: f for f in (
+        op1_ball_tree_top_k, op2_int8_tiles, op3_source_mix, op4_simhash_trie, op5_byte_bpe, op6_content_store, op7_section_tokens, op8_feistel_shards, op9_window_dedup, op10_compression_quality,
+        op11_distance_matrix, op12_cover_tree_codes, op13_deobfuscated_pii,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ball_tree_top_k": OP1_SQL, "op2_int8_tiles": OP2_SQL}
+    return {"op1_ball_tree_top_k": OP1_SQL, "op2_int8_tiles": OP2_SQL, "op11_distance_matrix": _op11_sql(), "op12_cover_tree_codes": _op12_sql()}
