@@ -523,15 +523,6 @@ def json_or_default(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(schema).json(path).unionByName(missing.select(F.lit(None).cast("int").alias("r_regionkey"), "r_name"))
 
 
-@query("SELECT s_nationkey, sum(s_acctbal) AS balance, 'v2' AS cache_version FROM supplier GROUP BY 1")
-def versioned_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions written, the first one twice; the newest one is read."""
-    path, rows = scratch(spark, "versions"), tables.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("balance"))
-    for version, at, change in (("v1", 1, 1.0), ("v2", 3, 0.0), ("v1", 2, 2.0)):
-        sinks.write_versioned(rows.withColumns({"balance": F.col("balance") + change, "at": F.lit(at)}), path, version)
-    return readers.latest_version(spark.read.parquet(path), "cache_version", "at").select("s_nationkey", "balance", F.col("cache_version").cast("string").alias("cache_version"))
-
-
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS origin, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS value FROM customer")
 def upserted_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("origin"), F.col("c_acctbal").alias("value"))

@@ -5,6 +5,7 @@ Each returns lazy DataFrames by name; a page plans only the tables it shows."""
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from rangeledger.operators import enrichment, events, filters, holdings, resolut
 from rangeledger.operators.filters import Filters
 from rangeledger.plans.stages import cut
 from rangeledger.sources import sinks, tables
+from rangeledger.sources.versions import VersionStore
 
 # Rows a page shows at most (fixed values).
 BOOTSTRAP_ROWS, INDEX_ROWS, TRANSACTION_ROWS, REVIEW_ROWS = 80, 600, 1000, 500
@@ -29,12 +31,13 @@ class Engine:
     """Queries over one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, built: str | None = None, version: str | None = None) -> None:
-        """``built`` and ``version`` name a version that :meth:`build` has written; the
-        first screen is read from there instead of being computed."""
-        self.spark, self.sf_dir, self.built, self.version = spark, sf_dir, built, version
+        """``built`` is the folder :meth:`build` has written versions to; the first screen
+        is read from the newest one, or from ``version``, instead of being computed."""
+        self.spark, self.sf_dir, self.version = spark, sf_dir, version
+        self.store = VersionStore(spark, built) if built else None
 
     def _stored(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.built}/{name}").where(F.col("cache_version") == self.version).drop("cache_version")
+        return self.store.table(name, self.version)
 
     def transactions(self, f: Filters) -> DataFrame:
         return filters.filtered(tables.transactions(self.spark, self.sf_dir), f)
@@ -46,16 +49,23 @@ class Engine:
         """Entries of the holdings that pass the filters of type, sector and words;
         scores are scaled to these, so a filter changes them.  Ticker and issuer only
         choose among the scored."""
-        held = holdings.filtered_holdings(self.holdings(f), f.asset_type, f.sector, f.query)
-        return holdings.filtered_entries(holdings.scored(held), ticker=f.ticker, issuer=f.issuer)
+        return self._entries(self.holdings(f), f)
+
+    @staticmethod
+    def _entries(held: DataFrame, f: Filters) -> DataFrame:
+        chosen = holdings.filtered_holdings(held, f.asset_type, f.sector, f.query)
+        return holdings.filtered_entries(holdings.scored(chosen), ticker=f.ticker, issuer=f.issuer)
 
     def identities(self) -> DataFrame:
         return resolution.identities(tables.instrument_entries(self.spark, self.sf_dir))
 
     def review(self) -> DataFrame:
         """The review queue over everything."""
+        return self._review(cut(self.holdings(Filters())), cut(self.identities()))
+
+    def _review(self, held: DataFrame, identities: DataFrame) -> DataFrame:
         spark, d = self.spark, self.sf_dir
-        return review.review_queue(tables.filings(spark, d), tables.transactions(spark, d), tables.baseline(spark, d), cut(self.holdings(Filters())), cut(self.identities()))
+        return review.review_queue(tables.filings(spark, d), tables.transactions(spark, d), tables.baseline(spark, d), held, identities)
 
     def conflicts(self, dated: DataFrame, tx: DataFrame | None = None, policies: DataFrame | None = None, triggers: DataFrame | None = None, sensitive: Column | None = None) -> dict[str, DataFrame]:
         """Possible conflicts of all holdings with dated events (event_id, date,
@@ -112,14 +122,17 @@ class Engine:
     def bootstrap(self) -> dict[str, DataFrame]:
         """What the first screen shows; no raw tables."""
         tx = self.transactions(Filters())
-        if self.built:
+        if self.store:
             return {"kpis": sectors.kpis(self._stored("transactions")), "sectors": self._stored("sectors"), "index": self._first(self._stored("index"), BOOTSTRAP_ROWS), "years": self._stored("transactions").select(F.year("date").alias("year")).distinct()}
         return {"kpis": sectors.kpis(tx), "sectors": sectors.sector_summary(tx), "index": self._first(self.index(Filters()), BOOTSTRAP_ROWS), "years": tx.select(F.year("date").alias("year")).distinct()}
 
     def full_response(self, params: Mapping[str, str]) -> dict[str, DataFrame]:
         f = Filters.from_params(params)
         tx = self.transactions(f)
-        return {"kpis": sectors.kpis(tx), "transactions": tx, "sectors": sectors.sector_summary(tx), "holdings": self.holdings(f), "index": self.index(f), "rollups": holdings.rollups(self.index(f)), "stocks": sectors.stock_summary(tx)}
+        # Holdings are computed once, and the index made of them once.
+        held = cut(self.holdings(f))
+        index = cut(self._entries(held, f))
+        return {"kpis": sectors.kpis(tx), "transactions": tx, "sectors": sectors.sector_summary(tx), "holdings": held, "index": index, "rollups": holdings.rollups(index), "stocks": sectors.stock_summary(tx)}
 
     def market(self, tickers: list[str], quotes: DataFrame) -> DataFrame:
         """Values of holdings by quotes of up to 50 tickers of up to 6 characters."""
@@ -148,8 +161,11 @@ class Engine:
         sinks.write_sheets(sheets, path)
         return list(sheets)
 
-    def build(self, path: str, version: str) -> None:
-        """Write the derived tables of a version."""
-        everything = self.full_response({})
-        for name in ("transactions", "holdings", "index", "rollups", "stocks", "sectors"):
-            sinks.write_versioned(everything[name], f"{path}/{name}", version)
+    def build(self, path: str, version: str, generated_at: datetime | None = None) -> None:
+        """Write the derived tables of a version and commit them together."""
+        spark, d, everything = self.spark, self.sf_dir, self.full_response({})
+        identities = cut(self.identities())
+        made = {name: everything[name] for name in ("transactions", "holdings", "index", "rollups", "stocks", "sectors")} | {
+            "baseline": tables.baseline(spark, d), "filings": tables.filings(spark, d), "identities": identities, "review": self._review(everything["holdings"], identities),
+        }
+        VersionStore(spark, path).publish(version, generated_at or datetime.now(timezone.utc), made)

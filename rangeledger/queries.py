@@ -590,4 +590,4 @@ r3 AS (SELECT 3, row_number() OVER (ORDER BY l_orderkey, l_linenumber), CASE WHE
 h2 AS (SELECT *, row_number() OVER (ORDER BY cmid DESC, transaction_count DESC, description, security_key) AS o FROM e), r4 AS (SELECT 4, row_number() OVER (ORDER BY o), 'low', 'baseline', security_key, description FROM h2 WHERE o <= 200 AND missing_baseline)"""
 
 
-from rangeledger import disclosure_queries as _more  # noqa: E402, F401  registers the rest
+from rangeledger import disclosure_queries as _more, registry_queries as _registry  # noqa: E402, F401  register the rest

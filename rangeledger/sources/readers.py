@@ -18,20 +18,25 @@ def json_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-_READ: dict[str, tuple[tuple, DataFrame]] = {}
+#: Most frames kept read in a session; the one used longest ago makes room.
+READ_FRAMES = 32
 
 
 def memoised(spark: SparkSession, path: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """``read(path)``, kept while the path's time and size stay as they are; what has
-    changed is read anew."""
+    """``read(path)``, kept in its session while the path's time and size stay as they
+    are; what has changed is read anew."""
+    kept: dict[str, tuple[tuple, DataFrame]] = spark.__dict__.setdefault("_rangeledger_read", {})  # goes with the session
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     summary = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    mark = (id(spark), summary.getFileStatus(hadoop).getModificationTime(), summary.getContentSummary(hadoop).getLength())
-    if path not in _READ or _READ[path][0] != mark:
-        if path in _READ:
-            _READ[path][1].unpersist()
-        _READ[path] = (mark, read(path).persist())
-    return _READ[path][1]
+    mark = (summary.getFileStatus(hadoop).getModificationTime(), summary.getContentSummary(hadoop).getLength())
+    had = kept.pop(path, None)
+    if had is not None and had[0] != mark:
+        had[1].unpersist()
+        had = None
+    kept[path] = had or (mark, read(path).persist())
+    while len(kept) > READ_FRAMES:
+        kept.pop(next(iter(kept)))[1].unpersist()
+    return kept[path][1]
 
 
 def symbol_directory(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -56,8 +61,3 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.upper(F.sha2("content", 256)).alias("sha256"))
 
-
-def latest_version(df: DataFrame, version: str, at: str) -> DataFrame:
-    """Rows of the version generated last; the version is a partition column to prune by."""
-    newest = df.agg(F.max_by(version, at).alias("v")).scalar()
-    return df.where(F.col(version) == newest)

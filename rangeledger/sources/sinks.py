@@ -9,12 +9,6 @@ from pyspark.sql import types as T
 from rangeledger.plans.joins import priority_union
 
 
-def write_versioned(df: DataFrame, path: str, version: str) -> None:
-    """Replace one version's partition and leave the others."""
-    out = df.withColumn("cache_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("cache_version").parquet(path)
-
-
 def upserted(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``current`` with the rows of ``new`` in place of those of the same key."""
     return priority_union(key, new, current)

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from rangeledger.sources.versions import VersionStore
 from rangeledger.plans.api import PAGES, Engine
 from rangeledger.streaming import refresh
 
@@ -49,7 +50,8 @@ def test_market(spark):
 @needs_tables
 def test_build(spark, tmp_path):
     Engine(spark, SMALL).build(str(tmp_path / "out"), "v1")
-    assert spark.read.parquet(str(tmp_path / "out" / "index")).where("cache_version = 'v1'").count() > 0
+    store = VersionStore(spark, str(tmp_path / "out"))
+    assert store.table("index").count() == store.manifest("v1")["index"]["rows"] > 0 and store.table("review", "v1").count() > 0
 
 
 @needs_tables

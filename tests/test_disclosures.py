@@ -119,7 +119,7 @@ def test_built_bootstrap_and_workbook(spark, tmp_path):
     from rangeledger.sources import tables
 
     Engine(spark, SMALL).build(str(tmp_path / "b"), "v7")
-    stored = Engine(spark, SMALL, str(tmp_path / "b"), "v7").bootstrap()
+    stored = Engine(spark, SMALL, str(tmp_path / "b")).bootstrap()
     plain = Engine(spark, SMALL).bootstrap()
     assert stored["kpis"].first() == plain["kpis"].first() and [r["security_key"] for r in stored["index"].collect()] == [r["security_key"] for r in plain["index"].collect()]
     names = Engine(spark, SMALL).workbook(str(tmp_path / "w"))

@@ -91,14 +91,6 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([([["1", "A Co", "a", "NYSE"], ["2", "short"], ["3", "", "x", "y"]],)], "data array<array<string>>")
     assert [r["ticker"] for r in readers.company_tickers(rows).collect()] == ["A"]
     assert readers.json_or_empty(spark, str(tmp_path / "none"), rows.schema).count() == 0
-    path = str(tmp_path / "t")
-    sinks.write_versioned(spark.range(3), path, "v1")
-    sinks.write_versioned(spark.range(5), path, "v2")
-    sinks.write_versioned(spark.range(2), path, "v1")
-    counts = {r["cache_version"]: r["count"] for r in spark.read.parquet(path).groupBy("cache_version").count().collect()}
-    assert counts == {"v1": 2, "v2": 5}
-    newest = readers.latest_version(spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "v string, at int"), "v", "at")
-    assert newest.count() == 2
     sheet = sinks.flat_sheet(spark.createDataFrame([([1, 2], "x")], "a array<int>, b string")).first()
     assert sheet["a"] == "1; 2"
     (tmp_path / "f.bin").write_bytes(b"abc")
