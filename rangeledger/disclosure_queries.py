@@ -457,27 +457,6 @@ def reference_merge(spark: SparkSession, d: str) -> DataFrame:
     return found.select("ticker_key", "ticker", "issuer_name", "cik", "is_etf", F.array_join("sources", "|").alias("sources"))
 
 
-RESOLVE = """rf AS (SELECT DISTINCT p_name AS nm FROM part), rk AS (SELECT nm, 'R' || row_number() OVER (ORDER BY nm) AS t FROM rf), ref AS (SELECT t, upper(nm) AS nm FROM rk WHERE t NOT LIKE '%3'),
-sec AS (SELECT DISTINCT p_name || ' Inc' AS description, upper(p_name) AS c FROM part), ex AS (SELECT description, t, 0.93 AS score FROM sec JOIN ref ON c = nm),
-fz AS (SELECT description, t, CASE WHEN contains(c, nm) OR contains(nm, c) THEN 0.84 + 0.08 * least(length(c), length(nm)) / greatest(length(c), length(nm)) ELSE greatest(len(list_intersect(list_distinct(string_split(c, ' ')), list_distinct(string_split(nm, ' ')))) / len(list_distinct(list_concat(string_split(c, ' '), string_split(nm, ' ')))),
-0.92 * (1 - levenshtein(replace(c, ' ', ''), replace(nm, ' ', '')) / greatest(length(replace(c, ' ', '')), length(replace(nm, ' ', ''))))) END AS score FROM sec JOIN ref ON split_part(c, ' ', 1) = split_part(nm, ' ', 1) AND c <> nm),
-al AS (SELECT description, t, max(score) AS score FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz WHERE score >= 0.8) GROUP BY ALL), rn AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM al WINDOW w AS (PARTITION BY description ORDER BY score DESC, t))"""
-
-
-@query(f"""WITH {RESOLVE}, b AS (SELECT s.description, rn.t, rn.score, rn.second, rn.second IS NOT NULL AND rn.score < 0.97 AND rn.score - rn.second < 0.1 AS amb FROM sec s LEFT JOIN rn ON rn.description = s.description AND r = 1)
-SELECT description, CASE WHEN score >= 0.78 AND NOT amb THEN t END AS resolved_ticker, round(coalesce(score, 0), 6) AS confidence, CASE WHEN score IS NULL THEN 'No public match' WHEN amb THEN 'Multiple possible tickers' WHEN score < 0.9 THEN 'Low-confidence issuer match' ELSE '' END AS flags FROM b""")
-def resolved_securities(spark: SparkSession, d: str) -> DataFrame:
-    """Part names with a legal form against a reference list that lacks some."""
-    names = tables.table(spark, d, "part").select(F.col("p_name").alias("nm")).distinct()
-    listed = names.withColumn("t", F.concat(F.lit("R"), F.row_number().over(Window.orderBy("nm")))).where(~F.col("t").endswith("3"))  # the distinct names of parts, a fixed few
-    companies = listed.select(F.col("t").alias("ticker"), F.upper("nm").alias("issuer_name"), F.lit(None).cast("long").alias("cik"), F.lit(None).cast("string").alias("exchange"))
-    empty = companies.limit(0).select("ticker", "issuer_name", F.lit(False).alias("is_etf"), F.lit(False).alias("is_test"))
-    reference = cut(resolution.reference_merge(companies, empty))
-    securities = names.select(F.concat_ws(" ", "nm", F.lit("Inc")).alias("description"), F.lit(None).cast("string").alias("source_ticker"), F.lit("Equity").alias("asset_type")).withColumn("security_key", F.col("description"))
-    found = resolution.resolved(securities, cut(resolution.candidates(securities, reference)))
-    return found.select(F.col("security_key").alias("description"), "resolved_ticker", F.round("confidence", 6).alias("confidence"), F.array_join("flags", "|").alias("flags"))
-
-
 @query("SELECT upper(trim(' s' || s_suppkey)) AS ticker, s_name AS issuer_name FROM supplier WHERE s_nationkey <> 3")
 def symbol_directory(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("s_nationkey")

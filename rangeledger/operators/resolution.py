@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed, instruments
 from rangeledger.functions.money import round1
-from rangeledger.functions.text import first_truthy, issuer_similarity, normal_description, security_key, stable_id
+from rangeledger.functions.text import first_truthy, normal_description, security_key, stable_id
+from rangeledger.operators.similarity import similar_names
 
 
 def ticker_key(ticker: Column) -> Column:
@@ -36,7 +37,7 @@ def candidates(securities: DataFrame, reference: DataFrame) -> DataFrame:
     the reference rows it can mean, the best score of each ticker.
 
     Ticker, full name, clean name and compact name are joins by equality; names
-    that are only alike are sought within the same first word."""
+    that are only alike are joined by keys that such names must share."""
     ref = reference.where(~F.col("is_test")).withColumn("compact_name", F.regexp_replace("clean_name", "[^A-Z0-9]", ""))
     named = securities.withColumns({"name": normal_description(F.col("description")), "clean": instruments.issuer_name(F.col("description"))})
     named = named.withColumn("short", security_key(F.col("description")))
@@ -46,11 +47,10 @@ def candidates(securities: DataFrame, reference: DataFrame) -> DataFrame:
     right = ref.select("ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.explode(keys(("ticker", F.col("ticker_key"), 1.0), ("exact", F.col("normal_name"), 1.0), ("clean", F.col("clean_name"), 1.0), ("compact", F.col("compact_name"), 1.0))).alias("r"))
     same = left.join(right, (F.col("k.kind") == F.col("r.kind")) & (F.col("k.value") == F.col("r.value")))
     same = same.select("security_key", "asset_type", "ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.col("k.kind").alias("how"), F.col("k.score").alias("score"))
-    block = lambda c: F.split(c, r"\s+")[0]
-    near = named.where(F.length("clean") >= 4).withColumn("b", block("clean")).join(
-        ref.select("ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", block("clean_name").alias("b")), "b"
+    alike = similar_names(
+        named.where(F.length("clean") >= 4).select(F.col("clean").alias("name")), ref.select(F.col("clean_name").alias("name")), fixed.SIMILAR
     )
-    near = near.withColumn("score", issuer_similarity(F.col("clean"), F.col("clean_name"))).where(F.col("score") >= fixed.SIMILAR)
+    near = named.join(alike, F.col("clean") == F.col("left_name")).join(ref, F.col("right_name") == F.col("clean_name"))
     near = near.select("security_key", "asset_type", "ticker_key", "ticker", "issuer_name", "clean_name", "cik", "is_etf", F.lit("similar").alias("how"), "score")
     rows = same.unionByName(near)
     fund_by_name = (F.col("how") != "ticker") & (((F.col("asset_type") == "Equity") & F.col("is_etf")) | (F.col("asset_type") == "ETF / Fund"))
@@ -58,24 +58,68 @@ def candidates(securities: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.where(~fund_by_name).withColumn("rn", best).where("rn = 1").drop("rn")
 
 
+def _order() -> list[Column]:
+    """Candidates of one security, the best first."""
+    return [F.col("score").desc(), F.col("cik").isNotNull().desc(), F.col("is_etf").desc(), F.col("ticker").asc()]
+
+
+def is_common(ticker: Column, issuer_name: Column, is_etf: Column) -> Column:
+    """Whether a reference row is an issuer's plain share."""
+    words = F.upper(F.concat_ws(" ", ticker, issuer_name))
+    return ~is_etf & ~words.rlike(fixed.NO_COMMON_WORDS) & ~F.upper(ticker).rlike(fixed.NO_COMMON_TICKER)
+
+
+def issuer_contexts(found: DataFrame) -> DataFrame:
+    """The issuer that a security other than a share belongs to, where its candidates say so.
+
+    Candidates near the best one are a family; of its names the one of the best
+    candidate counts, then the one with more rows; of that name's rows the first
+    plain share stands for the issuer, else the first."""
+    others = found.where(F.col("asset_type") != "Equity")
+    top = F.max("score").over(Window.partitionBy("security_key"))
+    family = others.withColumn("top", top).where((F.col("top") >= fixed.CONTEXT_FLOOR) & (F.col("score") >= F.greatest(F.lit(fixed.CONTEXT_FLOOR), F.col("top") - fixed.AMBIGUITY_MARGIN)))
+    common = is_common(F.col("ticker"), F.col("issuer_name"), F.col("is_etf"))
+    # Fields in the order of the comparison, the least first.
+    row = F.struct((~common).alias("other"), (-F.col("score")).alias("less"), F.col("cik").isNull().alias("no_cik"), (~F.col("is_etf")).alias("no_etf"), "ticker", "issuer_name", "cik", "score")
+    names = family.groupBy("security_key", "clean_name").agg(F.max("score").alias("best"), F.count("*").alias("rows"), F.min(row).alias("row"))
+    first = names.groupBy("security_key").agg(F.min(F.struct((-F.col("best")).alias("b"), (-F.col("rows")).alias("n"), "clean_name", "row")).alias("g"))
+    chosen, rows = F.col("g.row"), -F.col("g.n")
+    flags = F.array_compact(F.array(F.lit(fixed.CONTEXT_ONLY), F.when(rows > 1, fixed.SHARED_NAME), F.when(chosen["cik"].isNull(), fixed.NO_CONTEXT_NUMBER)))
+    return first.select(
+        "security_key", chosen["ticker"].alias("context_ticker"), chosen["issuer_name"].alias("context_issuer"), chosen["cik"].alias("context_cik"),
+        F.when(chosen["cik"].isNotNull(), "sec-issuer-context").otherwise("nasdaq-issuer-context").alias("context_source"), F.least(F.lit(fixed.CONTEXT_CAP), chosen["score"]).alias("context_confidence"),
+        rows.alias("context_rows"), flags.alias("context_flags"),
+    )
+
+
 def resolved(securities: DataFrame, found: DataFrame) -> DataFrame:
     """Each security's decision: its ticker if the best candidate is good enough
-    and clear of the second, else why not."""
-    order = Window.partitionBy("security_key").orderBy(F.col("score").desc(), F.col("cik").isNotNull().desc(), F.col("is_etf").asc(), "ticker")
-    ranked = found.withColumns({"rank": F.row_number().over(order), "second": F.lead("score").over(order)}).where("rank = 1").drop("asset_type", "rank", "clean_name")
-    rows = securities.join(ranked, "security_key", "left")
-    ambiguous = F.col("second").isNotNull() & (F.col("score") < fixed.CERTAIN) & (F.col("score") - F.col("second") < fixed.AMBIGUITY_MARGIN)
-    enough = F.when(F.col("asset_type") == "Equity", fixed.EQUITY_ACCEPTS).otherwise(fixed.OTHER_ACCEPTS)
-    flag = (
-        F.when(F.col("score").isNull(), F.when(F.col("asset_type") == "Equity", "No public match"))
-        .when(ambiguous, "Multiple possible tickers").when(F.col("score") < enough, "Low-confidence issuer match")
+    and clear of the second, else why not; its issuer's context where it has one; and
+    its first five candidates."""
+    order = Window.partitionBy("security_key").orderBy(*_order())
+    ranked = found.withColumns({"rank": F.row_number().over(order), "second": F.lead("score").over(order)}).where("rank <= 5").drop("asset_type", "clean_name")
+    five = ranked.groupBy("security_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker"))), lambda c: c["ticker"]).alias("candidate_tickers"))
+    rows = securities.join(ranked.where("rank = 1").drop("rank"), "security_key", "left").join(five, "security_key", "left").join(issuer_contexts(found), "security_key", "left")
+    kind, none = F.col("asset_type"), F.col("score").isNull()
+    ambiguous = F.coalesce(F.col("second").isNotNull() & (F.col("score") < fixed.CERTAIN) & (F.col("score") - F.col("second") < fixed.AMBIGUITY_MARGIN), F.lit(False))
+    poor = F.col("score") < F.when(kind == "Equity", fixed.EQUITY_ACCEPTS).otherwise(fixed.OTHER_ACCEPTS)
+    # What passes the threshold above passes those of bonds too, which are lower.
+    direct = kind.isin(*fixed.DIRECT_TYPES) | (F.coalesce("source_ticker", F.lit("")) != "")
+    accepted = ~none & ~ambiguous & ~poor & direct
+    has_context = F.col("context_ticker").isNotNull()
+    context_note = F.when(has_context, fixed.CONTEXT_ONLY)
+    why = (
+        F.when(none, F.array(F.when(kind == "Equity", "No public match")))
+        .when(ambiguous, F.array(F.lit("Multiple possible tickers"), context_note))
+        .when(poor, F.array(F.lit("Low-confidence issuer match"), context_note))
+        .when(~direct, F.array(F.when(has_context, fixed.CONTEXT_ONLY).otherwise(fixed.NO_DIRECT_TICKER)))
+        .otherwise(F.array(F.when(F.col("score") < 0.9, "Low-confidence issuer match")))
     )
-    accepted = F.col("score").isNotNull() & ~F.coalesce(ambiguous, F.lit(False)) & (F.col("score") >= enough)
-    note = F.when(accepted & (F.col("score") < 0.9), "Low-confidence issuer match")
     return rows.select(
         "security_key", "asset_type", F.when(accepted, F.col("ticker")).alias("resolved_ticker"), F.when(accepted, F.col("issuer_name")).alias("resolved_issuer"),
         F.when(accepted, F.col("cik")).alias("resolved_cik"), F.when(accepted, F.col("how")).otherwise("none").alias("source"), F.coalesce("score", F.lit(0.0)).alias("confidence"),
-        F.array_compact(F.array(flag, note)).alias("flags"),
+        F.array_compact(why).alias("flags"), F.coalesce("candidate_tickers", F.array().cast("array<string>")).alias("candidate_tickers"),
+        "context_ticker", "context_issuer", "context_cik", "context_source", "context_confidence", F.coalesce("context_flags", F.array().cast("array<string>")).alias("context_flags"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rangeledger import queries as q
 from rangeledger.functions import fixed
-from rangeledger.operators import events
+from rangeledger.operators import events, resolution, similarity
 from rangeledger.plans.stages import cut, scratch
 from rangeledger.queries import query
 from rangeledger.sources import tables
@@ -49,3 +49,69 @@ def versioned_tables(spark: SparkSession, d: str) -> DataFrame:
 FROM (VALUES ('v1', 3, 'balance'), ('v1', 3, 'richest'), ('v2', 2, 'balance'), ('v2', 2, 'richest')) x(v, c, t)""")
 def committed_versions(spark: SparkSession, d: str) -> DataFrame:
     return _store(spark, d).versions().select("version", "commit", "table", "rows")
+
+
+# Names
+
+_SIMILAR = """CASE WHEN {a} = {b} THEN 0.93 WHEN replace({a}, ' ', '') = replace({b}, ' ', '') THEN 0.91 WHEN length({a}) >= 5 AND length({b}) >= 5 AND (contains({a}, {b}) OR contains({b}, {a})) THEN 0.84 + 0.08 * least(length({a}), length({b})) / greatest(length({a}), length({b}))
+ELSE greatest(len(list_intersect(list_distinct(string_split({a}, ' ')), list_distinct(string_split({b}, ' ')))) / len(list_distinct(list_concat(string_split({a}, ' '), string_split({b}, ' ')))),
+CASE WHEN greatest(length(replace({a}, ' ', '')), length(replace({b}, ' ', ''))) > 48 THEN 0 ELSE 0.92 * (1 - levenshtein(replace({a}, ' ', ''), replace({b}, ' ', '')) / greatest(length(replace({a}, ' ', '')), length(replace({b}, ' ', '')))) END) END"""
+_NAMES = """nm AS (SELECT DISTINCT upper(p_name) AS name FROM part), nr AS (SELECT DISTINCT CASE WHEN length(p_name) % 2 = 0 THEN left(upper(p_name), length(p_name) - 1) ELSE upper(p_name) || ' ' || upper(p_type) END AS name FROM part),
+nv AS (SELECT name FROM nm UNION SELECT name || 'S' FROM nm)"""
+
+
+@query(f"WITH {_NAMES} SELECT a.name AS left_name, b.name AS right_name, round({_SIMILAR.format(a='a.name', b='b.name')}, 6) AS score FROM nv a JOIN nr b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) WHERE {_SIMILAR.format(a='a.name', b='b.name')} >= 0.8")
+def similar_part_names(spark: SparkSession, d: str) -> DataFrame:
+    """All names of parts, plain and with one more letter, against names cut by a letter
+    or with their type, at 0.8 and above."""
+    part = tables.table(spark, d, "part")
+    name = F.upper("p_name")
+    plain = part.select(name.alias("name")).distinct()
+    left = plain.union(plain.select(F.concat("name", F.lit("S"))))
+    right = part.select(F.when(F.length("p_name") % 2 == 0, F.left(name, F.length("p_name") - 1)).otherwise(F.concat_ws(" ", name, F.upper("p_type"))).alias("name"))
+    return similarity.similar_names(left, right, 0.8).select("left_name", "right_name", F.round("score", 6).alias("score"))
+
+
+# A reference list without some names; some have a second class, some no number.
+_REFERENCE = f"""nm AS (SELECT DISTINCT p_name AS nm FROM part), sy AS (SELECT nm, 'R' || upper(left(md5(nm), 8)) AS t FROM nm), lp AS (SELECT upper(nm) AS nm, t, right(t, 1) AS z FROM sy WHERE right(t, 1) NOT IN ('3', 'A')),
+ref AS (SELECT nm, t, CASE WHEN z < '8' THEN length(nm)::BIGINT END AS cik FROM lp UNION ALL SELECT nm, t || '-P', NULL FROM lp WHERE z < '5'),
+sec AS (SELECT nm || ' Inc' AS description, upper(nm) AS c, ['Equity', 'Corporate Bond', 'Municipal Bond', 'Other'][(length(nm) + ascii(right(nm, 1))) % 4 + 1] AS asset_type FROM nm),
+al AS (SELECT description, asset_type, t, nm, cik, {_SIMILAR.format(a='c', b='nm')} AS score FROM sec JOIN ref ON split_part(c, ' ', 1) = split_part(nm, ' ', 1) WHERE {_SIMILAR.format(a='c', b='nm')} >= 0.8),
+rn AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second, max(score) OVER (PARTITION BY description) AS top, NOT regexp_matches(t, '-P[A-Z]?$') AS common FROM al WINDOW w AS (PARTITION BY description ORDER BY score DESC, cik IS NULL, t)),
+fam AS (SELECT * FROM rn WHERE asset_type <> 'Equity' AND score >= greatest(0.78, top - 0.1)), fg AS (SELECT description, nm, max(score) AS best, count(*) AS n, arg_min(struct_pack(t := t, cik := cik, score := score), CASE WHEN common THEN 0 ELSE 1000000 END + r) AS row FROM fam GROUP BY ALL),
+ctx AS (SELECT description, row.t AS context_ticker, row.cik AS context_cik, least(0.9, row.score) AS context_confidence, n AS context_rows FROM (SELECT *, row_number() OVER (PARTITION BY description ORDER BY best DESC, n DESC, nm) AS o FROM fg) WHERE o = 1),
+dec AS (SELECT s.description, s.asset_type, rn.t, rn.score, rn.second IS NOT NULL AND rn.score < 0.97 AND rn.score - rn.second < 0.1 AS amb, context_ticker, context_cik, context_confidence, context_rows FROM sec s LEFT JOIN rn ON rn.description = s.description AND r = 1 LEFT JOIN ctx ON ctx.description = s.description)"""
+
+
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Part names with a legal form and types dealt over them, and their candidates."""
+    names = tables.table(spark, d, "part").select(F.col("p_name").alias("nm")).distinct()
+    listed = names.withColumn("t", F.concat(F.lit("R"), F.upper(F.left(F.md5(F.col("nm").cast("binary")), F.lit(8))))).withColumn("z", F.right("t", F.lit(1))).where("z NOT IN ('3', 'A')")
+    first = listed.select(F.col("t").alias("ticker"), F.upper("nm").alias("issuer_name"), F.when(F.col("z") < "8", F.length("nm").cast("long")).alias("cik"), F.lit(None).cast("string").alias("exchange"))
+    second = listed.where("z < '5'").select(F.concat("t", F.lit("-P")).alias("ticker"), F.upper("nm").alias("issuer_name"), F.lit(None).cast("long").alias("cik"), F.lit(None).cast("string").alias("exchange"))
+    none = first.limit(0).select("ticker", "issuer_name", F.lit(False).alias("is_etf"), F.lit(False).alias("is_test"))
+    reference = cut(resolution.reference_merge(first.unionByName(second), none))
+    kinds = F.array(*(F.lit(k) for k in ("Equity", "Corporate Bond", "Municipal Bond", "Other")))
+    kind = F.element_at(kinds, ((F.length("nm") + F.ascii(F.right("nm", F.lit(1)))) % 4 + 1).cast("int"))
+    securities = names.select(F.concat_ws(" ", "nm", F.lit("Inc")).alias("security_key"), F.lit(None).cast("string").alias("source_ticker"), kind.alias("asset_type")).withColumn("description", F.col("security_key"))
+    return securities, cut(resolution.candidates(securities, reference))
+
+
+@query(f"""WITH {_REFERENCE} SELECT description, CASE WHEN score >= 0.78 AND NOT amb AND asset_type <> 'Other' THEN t END AS resolved_ticker, round(coalesce(score, 0), 6) AS confidence,
+array_to_string([x FOR x IN [CASE WHEN score IS NULL THEN CASE WHEN asset_type = 'Equity' THEN 'No public match' END WHEN amb THEN 'Multiple possible tickers' WHEN asset_type <> 'Other' AND score < 0.9 THEN 'Low-confidence issuer match' END,
+CASE WHEN score IS NOT NULL AND (amb OR asset_type = 'Other') AND context_ticker IS NOT NULL THEN 'Issuer context only; not direct instrument ticker' END] IF x IS NOT NULL], '|') AS flags FROM dec""")
+def resolved_securities(spark: SparkSession, d: str) -> DataFrame:
+    """Part names with a legal form against a reference list that lacks some."""
+    found = resolution.resolved(*_resolved(spark, d))
+    return found.select(F.col("security_key").alias("description"), "resolved_ticker", F.round("confidence", 6).alias("confidence"), F.array_join("flags", "|").alias("flags"))
+
+
+@query(f"""WITH {_REFERENCE} SELECT description, asset_type, context_ticker, context_cik, round(context_confidence, 6) AS context_confidence, array_to_string([x FOR x IN [CASE WHEN context_ticker IS NOT NULL THEN 'Issuer context only; not direct instrument ticker' END,
+CASE WHEN context_rows > 1 THEN 'Multiple issuer securities share this issuer name' END, CASE WHEN context_ticker IS NOT NULL AND context_cik IS NULL THEN 'No SEC CIK for issuer context' END] IF x IS NOT NULL], '|') AS context_flags,
+coalesce((SELECT string_agg(t, '|' ORDER BY r) FROM rn WHERE rn.description = dec.description AND r <= 5), '') AS candidates FROM dec""")
+def issuer_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Issuers of securities other than shares, by the family of their candidates."""
+    found = resolution.resolved(*_resolved(spark, d))
+    return found.select(
+        F.col("security_key").alias("description"), "asset_type", "context_ticker", "context_cik", F.round("context_confidence", 6).alias("context_confidence"), F.array_join("context_flags", "|").alias("context_flags"), F.array_join("candidate_tickers", "|").alias("candidates")
+    )
