@@ -14,7 +14,7 @@ from rangeledger.functions import fixed
 from rangeledger.operators import events, resolution, similarity
 from rangeledger.plans.stages import cut, scratch
 from rangeledger.queries import query
-from rangeledger.sources import tables
+from rangeledger.sources import paged, tables
 from rangeledger.sources.versions import VersionStore
 
 # Versions
@@ -115,3 +115,57 @@ def issuer_contexts(spark: SparkSession, d: str) -> DataFrame:
     return found.select(
         F.col("security_key").alias("description"), "asset_type", "context_ticker", "context_cik", F.round("context_confidence", 6).alias("context_confidence"), F.array_join("context_flags", "|").alias("context_flags"), F.array_join("candidate_tickers", "|").alias("candidates")
     )
+
+
+# Paged sources
+
+PAGE = 50
+
+
+def _landed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as answers of a paged source, ``PAGE`` rows each, written and read back."""
+    rows = tables.table(spark, d, "customer").withColumn("at", F.col("c_custkey"))
+    first = rows.agg(F.min("at").alias("least"), F.count("*").alias("total"))
+    placed = rows.crossJoin(F.broadcast(first)).withColumn("at", F.col("at") - F.col("least"))
+    record = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("title"), F.concat(F.lit("2020-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")).alias("docDate"))
+    page = placed.groupBy((F.floor(F.col("at") / PAGE) * PAGE).alias("start"), "total").agg(F.array_sort(F.collect_list(F.struct("at", record.alias("r")))).alias("rows"))  # PAGE rows at most
+    body = F.to_json(F.struct(F.transform("rows", lambda x: x["r"]).alias("data"), F.col("total").alias("recordsTotal")))
+    path = scratch(spark, "pages")
+    page.select("start", body.alias("body")).write.parquet(path)
+    return spark.read.schema("start long, body string").parquet(path)
+
+
+@query("SELECT c_custkey - min(c_custkey) OVER () AS position, c_name AS name, c_mktsegment AS title, DATE '2020-01-01' + (c_custkey % 28)::INTEGER AS date FROM customer")
+def paged_records(spark: SparkSession, d: str) -> DataFrame:
+    """A table landed as pages and read back whole."""
+    found = paged.records(_landed_pages(spark, d), paged.SOURCE_RECORD, PAGE)
+    return found.select((F.col("start") + F.col("place")).alias("position"), "name", "title", F.to_date("docDate").alias("date"))
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_name AS name FROM customer, n WHERE c_custkey - (SELECT min(c_custkey) FROM customer) < (n // {3 * PAGE}) * {PAGE}")
+def paged_records_until_failure(spark: SparkSession, d: str) -> DataFrame:
+    """The same with one page broken at a third of the way: what stands before it counts."""
+    pages = _landed_pages(spark, d)
+    total = tables.table(spark, d, "customer").agg((F.floor(F.count("*") / (3 * PAGE)) * PAGE).alias("broken"))
+    torn = pages.crossJoin(F.broadcast(total)).select("start", F.when(F.col("start") == F.col("broken"), F.left("body", F.lit(40))).otherwise(F.col("body")).alias("body"))
+    return paged.records(torn, paged.SOURCE_RECORD, PAGE).select("name")
+
+
+_DOCUMENT_SQL = "'D' || l_partkey"
+
+
+@query(f"SELECT {_DOCUMENT_SQL} AS number, arg_max('Title ' || l_linenumber, l_orderkey * 10 + l_linenumber) AS title, arg_max(l_shipdate::DATE, l_orderkey * 10 + l_linenumber) AS date FROM lineitem GROUP BY 1")
+def searched_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as answers of searches (one an order); of each document the one found last."""
+    one = F.struct(F.concat(F.lit("Title "), "l_linenumber").alias("title"), F.col("l_shipdate").cast("date").cast("string").alias("publication_date"), F.concat(F.lit("D"), "l_partkey").alias("document_number"))
+    rows = tables.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("r")))).alias("rows"))  # lines of one order
+    landed = rows.select(F.col("l_orderkey").alias("asked"), F.to_json(F.struct(F.transform("rows", lambda x: x["r"]).alias("results"))).alias("body"))
+    return paged.document_search(landed).select("number", "title", "date")
+
+
+@query("""SELECT p_partkey AS cik, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey * 37 % 9000)::VARCHAR END AS sic, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS sic_description FROM part""")
+def company_submissions(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    answer = F.struct(F.when(key % 7 == 0, "").otherwise((key * 37 % 9000).cast("string")).alias("sic"), F.when(key % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("sicDescription"), F.lit("10").alias("fiscalYearEnd"))
+    landed = tables.table(spark, d, "part").select(key.alias("cik"), F.to_json(answer).alias("body"))
+    return paged.submissions(landed).select("cik", "sic", "sic_description")
