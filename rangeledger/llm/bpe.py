@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut, cut_small, in_small_batches
+from rangeledger.llm.common import add_columns, cut, cut_small, in_small_batches, lean
 from rangeledger.llm.text import slices
 
 RANK_BUCKETS = 1 << 15
@@ -136,7 +136,7 @@ def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dict
             ids = [np.array([by_piece[p] for p in row], dtype="<u4").tobytes() for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(ids, pa.binary())], names=["word", "ids"])
 
-    folded = frequent.select("word", fold_merges("word", ranks).alias("pieces")).mapInArrow(packed, "word binary, ids binary")
+    folded = frequent.select("word", fold_merges("word", ranks).alias("pieces")).mapInArrow(lean(packed), "word binary, ids binary")
     out = io.BytesIO()
     table = folded.toArrow()  # bounded by dictionary_words
     with pa.ipc.new_stream(out, table.schema) as stream:
@@ -227,7 +227,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, dictionary_w
             ids = [encoder.encode(t.as_py()) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return light.mapInArrow(run, add_columns(T.StructType([light.schema["doc_id"]]), ("ids", T.BinaryType())))
+    return light.mapInArrow(lean(run), add_columns(T.StructType([light.schema["doc_id"]]), ("ids", T.BinaryType())))
 
 
 def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
@@ -240,7 +240,7 @@ def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
 
     light = encoded.select("doc_id", "ids")
-    return light.mapInArrow(run, add_columns(T.StructType([light.schema["doc_id"]]), ("decoded", T.BinaryType())))
+    return light.mapInArrow(lean(run), add_columns(T.StructType([light.schema["doc_id"]]), ("decoded", T.BinaryType())))
 
 
 def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = False, dictionary_words: int = 1 << 18) -> DataFrame:
@@ -265,4 +265,4 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool
 
     schema = add_columns(T.StructType([light.schema["doc_id"]]), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
     schema = add_columns(schema, ("ids", T.BinaryType())) if keep_ids else schema
-    return light.mapInArrow(run, schema)
+    return light.mapInArrow(lean(run), schema)

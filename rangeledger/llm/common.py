@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +55,39 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def give_back_memory() -> None:
+    """Return what a worker has freed to the system: workers stay for later tasks, and
+    what they keep stands beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def lean(fn: Callable) -> Callable:
+    """A task's function, or generator, that gives its memory back when it ends."""
+    if inspect.isgeneratorfunction(fn):
+
+        @functools.wraps(fn)
+        def generate(*args):
+            try:
+                yield from fn(*args)
+            finally:
+                give_back_memory()
+
+        return generate
+
+    @functools.wraps(fn)
+    def run(*args):
+        try:
+            return fn(*args)
+        finally:
+            give_back_memory()
+
+    return run
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows: a batch
     of whole texts stands in memory in the JVM and in the worker."""

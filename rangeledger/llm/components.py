@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeledger.llm.common import cut_small
+from rangeledger.llm.common import cut_small, lean
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -57,7 +57,7 @@ def _forest(edges: DataFrame) -> DataFrame:
             linked, root = forest(i, j, len(nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root])], names=["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(lean(run), "a long, b long")
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

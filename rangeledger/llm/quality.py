@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeledger.llm.common import cut_small, in_small_batches
+from rangeledger.llm.common import cut_small, in_small_batches, lean
 
 LEVEL = 3
 BLOCK_BYTES = 512
@@ -140,6 +140,7 @@ def fit_quality(
     good, bad = (dictionary(label, rows.where("train")) for label in (1, 0))
 
     @F.pandas_udf("double")
+    @lean
     def difference(texts: pd.Series) -> pd.Series:
         return pd.Series(differences(good, bad, texts.tolist()))
 
@@ -159,6 +160,7 @@ def quality_score(model: QualityModel, text: str = "text") -> Column:
     """Probability that a whole text has label 1."""
 
     @F.pandas_udf("double")
+    @lean
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(texts.tolist()))
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import cut, cut_small, in_small_batches, join_bounded
+from rangeledger.llm.common import cut, cut_small, in_small_batches, join_bounded, lean
 from rangeledger.llm.components import components, forest
 from rangeledger.llm.text import slices, word_pieces
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
     light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([light.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return light.mapInArrow(run, schema)
+    return light.mapInArrow(lean(run), schema)
 
 
 def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def _linked_groups(groups: DataFrame, budget: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[a]), pa.array(part[b])], names=["a", "b"])
                 at = to
 
-    return groups.select("fps").mapInArrow(run, "a long, b long")
+    return groups.select("fps").mapInArrow(lean(run), "a long, b long")
 
 
 def _segments(free: list[int], parts: int) -> list[list[int]]:
@@ -256,7 +256,7 @@ def shingle_sets(rows: DataFrame, shingle: int, keys: int, minima: int) -> DataF
     light = rows.select("doc_id", "row_key", F.col("text").cast("string").alias("text"))
     long = T.LongType()
     schema = T.StructType([light.schema["doc_id"], light.schema["row_key"], T.StructField("set_id", long), T.StructField("fp", long), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(long))])
-    return light.mapInArrow(run, schema)
+    return light.mapInArrow(lean(run), schema)
 
 
 def _proposed(groups: DataFrame, budget: int, similarity: float) -> DataFrame:
@@ -278,7 +278,7 @@ def _proposed(groups: DataFrame, budget: int, similarity: float) -> DataFrame:
             a, b = ids[a[fits]], ids[b[fits]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a long, b long")
+    return groups.select("members").mapInArrow(lean(run), "a long, b long")
 
 
 def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -375,9 +375,9 @@ def _linked_tiles(large: DataFrame, keyed: DataFrame, whole_sets: Callable[[Data
         node, to = forest(i, j, len(ids))
         return pa.table({"a": ids[node], "b": ids[to]})
 
-    wanted = cut_small(tiles.groupBy("key", "i", "j").applyInArrow(involved, tiles.schema))
+    wanted = cut_small(tiles.groupBy("key", "i", "j").applyInArrow(lean(involved), tiles.schema))
     full = wanted.join(whole_sets(wanted.select("set_id").distinct()), "set_id")
-    return full.groupBy("key", "i", "j").applyInArrow(linked, "a long, b long")
+    return full.groupBy("key", "i", "j").applyInArrow(lean(linked), "a long, b long")
 
 
 def _whole_sets(wanted: DataFrame, rows: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
@@ -390,7 +390,7 @@ def _whole_sets(wanted: DataFrame, rows: DataFrame, stands: DataFrame, shingle:
 
     one = cut_small(stands.join(wanted, "set_id").select("set_id", "row_key"))
     found = join_bounded(rows.select("row_key", F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0), one, "row_key")
-    sets = found.select("set_id", "text").mapInArrow(texts, "set_id long, hashes array<long>")
+    sets = found.select("set_id", "text").mapInArrow(lean(texts), "set_id long, hashes array<long>")
     return cut_small(sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")))
 
 

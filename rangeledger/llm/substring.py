@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeledger.llm.common import add_columns, cut_small, in_small_batches, join_bounded
+from rangeledger.llm.common import add_columns, cut_small, in_small_batches, join_bounded, lean
 from rangeledger.llm.text import slices
 
 BLOCK_BITS = 20
@@ -174,8 +174,8 @@ def sketch_of(docs: DataFrame, width: int, cells: int) -> list[np.ndarray]:
                     seen[row] |= count > 0
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(twice, axis=1).tobytes()], pa.binary())], names=["block", "bits"])
 
-    touched = docs.select("text").mapInArrow(count, "block long, cells binary")
-    merged = touched.groupBy("block").applyInArrow(merge, "block long, bits binary")
+    touched = docs.select("text").mapInArrow(lean(count), "block long, cells binary")
+    merged = touched.groupBy("block").applyInArrow(lean(merge), "block long, bits binary")
     out = [np.zeros(cells // 8, dtype=np.uint8) for _ in range(ROWS)]
     # At most ROWS * max_cells bits in all; written first, so that the tasks run side by side.
     for r in cut_small(merged).toLocalIterator():
@@ -239,7 +239,7 @@ def first_windows(docs: DataFrame, width: int, sketch: Broadcast, start_bits: in
     else:
         schema = add_columns(keys, ("doc_id", docs.schema["doc_id"].dataType), ("text_key", long), ("start", long))
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "text_key")
-    found = docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
+    found = docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), schema)
     least = found.groupBy("h1", "h2").agg(F.min(place).alias("place"))
     if start_bits:
         return least.select(F.shiftright("place", start_bits).alias("doc_id"), F.lit(0).cast("long").alias("text_key"), F.col("place").bitwiseAND(F.lit((1 << start_bits) - 1)).alias("start"))
@@ -329,7 +329,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_cells: int = 1 << 27)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=schema.fieldNames())
 
     schema = add_columns(schema, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def substring_digest(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -342,4 +342,4 @@ def substring_digest(docs: DataFrame, width: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return done.select("doc_id", "n_words", "n_removed", "kept_text").mapInArrow(run, schema)
+    return done.select("doc_id", "n_words", "n_removed", "kept_text").mapInArrow(lean(run), schema)
