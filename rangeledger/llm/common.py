@@ -66,22 +66,22 @@ def give_back_memory() -> None:
 
 
 def lean(fn: Callable) -> Callable:
-    """A task's function, or generator, that gives its memory back when it ends."""
+    """A task's function of one argument, or generator, that gives its memory back when it ends."""
     if inspect.isgeneratorfunction(fn):
 
         @functools.wraps(fn)
-        def generate(*args):
+        def generate(batches):
             try:
-                yield from fn(*args)
+                yield from fn(batches)
             finally:
                 give_back_memory()
 
         return generate
 
     @functools.wraps(fn)
-    def run(*args):
+    def run(data):
         try:
-            return fn(*args)
+            return fn(data)
         finally:
             give_back_memory()
 
