@@ -525,12 +525,12 @@ def page_transactions(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, d).page("transactions", {"year": " 1997 "})["transactions"].select("id", "date")
 
 
-@query(f"WITH {INDEX} SELECT security_key, score FROM s ORDER BY score DESC, cmid DESC, security_key LIMIT 600")
+@query(f"WITH {INDEX} SELECT security_key, score FROM s ORDER BY score DESC, cmid DESC, icu_sort_key(description, 'en'), description, security_key LIMIT 600")
 def page_index(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, d).page("index", {})["index"].select("security_key", "score")
 
 
-@query(f"WITH {INDEX} SELECT security_key, score FROM s ORDER BY score DESC, cmid DESC, security_key LIMIT 80")
+@query(f"WITH {INDEX} SELECT security_key, score FROM s ORDER BY score DESC, cmid DESC, icu_sort_key(description, 'en'), description, security_key LIMIT 80")
 def bootstrap_index(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, d).bootstrap()["index"].select("security_key", "score")
 
@@ -540,7 +540,7 @@ def page_sectors(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, d).page("sectors", {"sector": "All"})["sectors"]
 
 
-@query(f"WITH {INDEX} SELECT {_stable_sql(chr(39) + 'entry|' + chr(39) + ' || security_key')} AS entry_id, score FROM s ORDER BY score DESC, cmid DESC, security_key LIMIT 12")
+@query(f"WITH {INDEX} SELECT {_stable_sql(chr(39) + 'entry|' + chr(39) + ' || security_key')} AS entry_id, score FROM s ORDER BY score DESC, cmid DESC, icu_sort_key(description, 'en'), description, security_key LIMIT 12")
 def fact_entries(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark, d).facts({})["entries"].select("entry_id", "score")
 

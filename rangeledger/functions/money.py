@@ -96,3 +96,10 @@ def compact_money(value: Column) -> Column:
         text = F.when(size >= least, short) if text is None else text.when(size >= least, short)
     small = F.regexp_replace(F.format_string("%.1f", F.floor(size * 10 + 0.5) / 10), r"\.0$", "")
     return F.concat(F.when(value < 0, "-$").otherwise("$"), text.otherwise(small))
+
+
+def short_money(value: Column) -> Column:
+    """Dollars in millions with one decimal, in whole thousands, or whole."""
+    rounded = lambda x, scale: F.floor(x * scale + 0.5) / scale
+    millions = F.format_string("$%.1fM", rounded(value / 1_000_000, 10))
+    return F.when(value >= 1_000_000, millions).when(value >= 1_000, F.format_string("$%.0fK", rounded(value / 1_000, 1))).otherwise(F.format_string("$%.0f", rounded(value, 1)))

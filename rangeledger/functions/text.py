@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -149,3 +151,18 @@ def issuer_similarity(a: Column, b: Column) -> Column:
         F.when((a == "") | (b == ""), 0.0).when(a == b, 0.93).when(ca == cb, 0.91)
         .when(inside, 0.84 + 0.08 * F.least(la, lb) / F.greatest(la, lb)).otherwise(F.greatest(jaccard, 0.92 * edit))
     )
+
+
+def named_symbol(description: Column, symbols: list[str], names: dict[str, str]) -> Column:
+    """The first symbol in the list's order that the text holds anywhere, else that of
+    the first name it holds.
+
+    One pass finds the best symbol that begins at each place (a symbol that begins
+    another one stands for it only if it comes first); the least rank counts."""
+    upper = F.upper(description)
+    alternatives = "|".join(re.escape(s) for s in symbols)
+    found = F.regexp_extract_all(upper, F.lit(f"(?=({alternatives}))"), F.lit(1))
+    order = F.array(*(F.lit(s) for s in symbols))
+    first = F.array_min(F.transform(found, lambda s: F.array_position(order, s)))
+    by_name = F.coalesce(*(F.when(F.contains(upper, F.lit(name)), symbol) for name, symbol in names.items())) if names else F.lit(None).cast("string")
+    return F.coalesce(F.get(order, (first - 1).cast("int")), by_name)

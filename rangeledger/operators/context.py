@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeledger.functions import fixed
+from rangeledger.functions import fixed, order
 from rangeledger.functions.text import clean_html, importance_of, labels_of, stable_id, ticker_mentions
 
 WORDS = "(?i)" + "|".join(fixed.CONTEXT_WORDS)
@@ -157,7 +157,7 @@ def rate_meetings(spark: SparkSession) -> DataFrame:
 
 def two_phase(events: DataFrame, limit: int) -> DataFrame:
     """The gravest ``limit`` events, then in the order of their dates."""
-    gravest = events.orderBy(F.col("importance").desc(), F.col("date").desc(), "title", "event_id").limit(limit)
-    return gravest.orderBy("date", F.col("importance").desc(), "title", "event_id")
+    gravest = events.orderBy(F.col("importance").desc(), F.col("date").desc(), *order.visible("title"), "event_id").limit(limit)
+    return gravest.orderBy(*order.event_order())
 
 

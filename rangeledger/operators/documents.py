@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed, money
-from rangeledger.functions.text import class_flags, classified, replaced, squeezed
+from rangeledger.functions.text import class_flags, classified, named_symbol, replaced, squeezed
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -43,6 +43,23 @@ def line_items(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", "n", F.try_to_date(parts[0], "M/d/yyyy").alias("date"), kind.alias("type"), F.trim(parts[2]).alias("description"), parts[3].alias("amount"))
 
 
+def reported_trades(rows: DataFrame) -> DataFrame:
+    """Lines that report a trade in words, with or without a row's number: doc_id, n,
+    date, type, description, amount (null if there is none), late and ticker.
+
+    A line without a number needs a description of 4 to 99 characters that is no
+    heading."""
+    line = F.trim(F.regexp_replace("line", r"[\t\r\f\x0B\x{A0}]", " "))
+    marked = rows.withColumn("line", line).withColumns({"numbered": F.col("line").rlike(fixed.NUMBERED_TRADE), "bare": F.col("line").rlike(fixed.BARE_TRADE)}).where("numbered or bare")
+    part = lambda i: F.when(F.col("numbered"), F.regexp_extract("line", fixed.NUMBERED_TRADE, i + 1)).otherwise(F.regexp_extract("line", fixed.BARE_TRADE, i))
+    found = marked.withColumns({"raw": part(1), "kind": part(2), "day": part(3), "late_word": part(4), "sum": part(5)})
+    fits = F.col("numbered") | ((F.length("raw") > 3) & (F.length("raw") < 100) & ~F.col("raw").rlike(fixed.HEADING_WORDS))
+    return found.where(fits).select(
+        "doc_id", "n", F.try_to_date("day", "M/d/yyyy").alias("date"), F.initcap("kind").alias("type"), F.trim("raw").alias("description"), F.nullif(squeezed(F.col("sum")), F.lit("")).alias("amount"),
+        (F.lower("late_word") == "yes").alias("late"), named_symbol(F.col("raw"), fixed.LINE_SYMBOLS, fixed.LINE_NAMES).alias("ticker"),
+    )
+
+
 def corrected(line: Column) -> Column:
     """A line with misread words put right, white space squeezed, and sums of money
     regrouped by thousands."""

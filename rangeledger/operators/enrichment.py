@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangeledger.functions import fixed, instruments
+from rangeledger.functions import fixed, instruments, order
 from rangeledger.functions.text import security_key, stable_id
 
 
@@ -49,7 +49,7 @@ def lookup_groups(transactions: DataFrame, kinds: list[str]) -> DataFrame:
     """Securities of the kinds that need an identifier, the largest first."""
     rows = transactions.where(F.col("asset_type").isin(kinds)).withColumn("security_key", security_key(F.col("description")))
     grouped = rows.groupBy("security_key").agg(F.min_by("description", "ord").alias("description"), F.count("*").alias("transaction_count"), F.sum("amount.midpoint").alias("midpoint"))
-    return grouped.orderBy(F.col("midpoint").desc(), F.col("transaction_count").desc(), "description", "security_key")
+    return grouped.orderBy(*order.lookup_order())
 
 
 def merged_cache(groups: DataFrame, cache: DataFrame, looked_up: DataFrame, limit: int) -> DataFrame:
@@ -64,7 +64,7 @@ def merged_cache(groups: DataFrame, cache: DataFrame, looked_up: DataFrame, limi
     kept = rows.where("old.status <> 'failed'").select("security_key", "midpoint", "transaction_count", "old.status", "old.figi")
     wanted = rows.where("old is null or old.status = 'failed'")
     # Only the first of the wanted are numbered: the limit bounds what is brought together.
-    first = wanted.orderBy(F.col("midpoint").desc(), F.col("transaction_count").desc(), "description", "security_key").limit(limit)
+    first = wanted.orderBy(*order.lookup_order()).limit(limit)
     asked = first.join(new, "security_key", "left").select("security_key", "midpoint", "transaction_count", F.coalesce("new.status", F.lit("failed")).alias("status"), "new.figi")
     rest = wanted.join(first.select("security_key"), "security_key", "left_anti").select("security_key", "midpoint", "transaction_count", F.lit("not_queried").alias("status"), F.lit(None).cast("string").alias("figi"))
     unseen = cache.join(groups.select("security_key"), "security_key", "left_anti").select("security_key", "midpoint", "transaction_count", "status", "figi")

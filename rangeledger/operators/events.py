@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed
+from rangeledger.functions.money import short_money
 from rangeledger.functions.text import clean_html, importance_of, labels_of
 from rangeledger.plans.joins import interval_join, last_wins
 from rangeledger.plans.stages import cut
@@ -96,11 +98,11 @@ def matters_to(events: DataFrame, config: DataFrame) -> DataFrame:
     return by_kind.unionByName(said).distinct()
 
 
-def timing_conflicts(holdings: DataFrame, events: DataFrame, tx: DataFrame, config: DataFrame, days: int = 30, strict: bool = True) -> DataFrame:
+def timing_conflicts(holdings: DataFrame, events: DataFrame, tx: DataFrame, config: DataFrame, days: int = 30, strict: bool = False) -> DataFrame:
     """Holdings traded within ``days`` of an event that matters to their sector.
 
-    A transaction belongs to a holding by its ticker or its issuer's;
-    ``strict=False`` also lets two missing ones agree.  Before the event weighs
+    A transaction belongs to a holding by its ticker or its issuer's; two missing
+    ones agree, unless ``strict`` asks for one that is there.  Before the event weighs
     more than after.  Trades are counted by day under each ticker, issuer and pair
     of both, a missing one being a value like any other; trades by either are those
     by ticker and by issuer less those by both.  Events of one date are looked up
@@ -139,15 +141,18 @@ def rate_conflicts(holdings: DataFrame, events: DataFrame, sensitive: Column) ->
     # One row of totals.
     rows = events.crossJoin(F.broadcast(total)).where("value > 100000")
     return rows.select(
-        F.concat_ws("-", F.lit("rate"), "event_id").alias("indicator_id"), F.when(F.col("value") > 1_000_000, "high").otherwise("medium").alias("severity"), F.lit("rate-sensitive").alias("category"),
-        F.lit(None).cast("string").alias("ticker"), F.concat(F.col("n"), F.lit(" holdings")).alias("holding"), "value", F.col("event_id").cast("string").alias("event_id"), F.lit(0.5).alias("evidence"),
+        F.concat_ws("-", F.lit("fed"), "event_id").alias("indicator_id"), F.when(F.col("value") > 1_000_000, "high").otherwise("medium").alias("severity"), F.lit("fed-rate-sensitive").alias("category"),
+        F.lit(None).cast("string").alias("ticker"), F.concat(F.col("n"), F.lit(" financial holdings")).alias("holding"), "value", F.col("event_id").cast("string").alias("event_id"), F.lit(0.5).alias("evidence"),
     )
 
 
+def severity_order(severity: Column) -> Column:
+    return F.when(severity == "critical", 4).when(severity == "high", 3).when(severity == "medium", 2).otherwise(1)
+
+
 def ranked_conflicts(indicators: DataFrame, n: int = 100) -> DataFrame:
     """The gravest indicators, the better evidenced first."""
-    grade = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    return indicators.orderBy(grade.desc(), F.col("evidence").desc(), "indicator_id").limit(n)
+    return indicators.orderBy(severity_order(F.col("severity")).desc(), F.col("evidence").desc(), "indicator_id").limit(n)
 
 
 def conflict_summary(indicators: DataFrame, n: int = 100) -> DataFrame:
@@ -163,8 +168,66 @@ def conflict_summary(indicators: DataFrame, n: int = 100) -> DataFrame:
 
 
 def conflicts_by(indicators: DataFrame, *keys: str, n: int = 100) -> DataFrame:
-    """The ranked indicators counted under each key (category, severity)."""
-    return ranked_conflicts(indicators, n).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.max("evidence").alias("evidence"))
+    """The ranked indicators under each key (category, severity): counts, and their ids
+    in the order of the ranking (all keys together hold ``n`` of them)."""
+    placed = F.struct((-severity_order(F.col("severity"))).alias("s"), (-F.col("evidence")).alias("e"), "indicator_id")
+    ids = F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["indicator_id"]).alias("indicators")
+    return ranked_conflicts(indicators, n).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.max("evidence").alias("evidence"), ids)
+
+
+def detailed(shown: DataFrame, holdings: DataFrame, dated: DataFrame, tx: DataFrame, notes: dict[str, str] | None = None, days: int = 30, most: int = 50) -> DataFrame:
+    """Ranked indicators with all that is shown of them: title, summary, the event's
+    date and title, ids and dates of the transactions, window, position, links, tags.
+
+    holdings: holding_id, ticker, issuer_ticker, name, sector; dated: event_id, date,
+    category, title; tx: id, ticker, issuer_ticker, date; ``source_urls`` of holdings
+    and ``source_url`` of the others count where they are there.  An indicator names
+    the first ``most`` transactions by date and id: tasks keep no more of each before
+    the shuffle.  The indicators are bounded by their rank and go to the transactions."""
+    kind = F.split("indicator_id", "-")[0]
+    url = lambda df: F.col("source_url") if "source_url" in df.columns else F.lit(None).cast("string")
+    urls = F.col("source_urls") if "source_urls" in holdings.columns else F.array().cast("array<string>")
+    found = dated.select(F.col("event_id").cast("string").alias("event_id"), F.col("date").alias("event_date"), F.col("title").alias("event_title"), F.col("category").alias("event_category"), url(dated).alias("event_url"))
+    held = holdings.select(F.col("holding_id").cast("string").alias("holding"), F.col("ticker").alias("own_ticker"), F.col("issuer_ticker").alias("own_issuer"), F.col("name").alias("own_name"), F.col("sector").alias("own_sector"))
+    sources = holdings.groupBy(F.col("ticker"), F.col("name").alias("holding")).agg(F.min(urls).alias("holding_urls"))
+    rows = cut(shown.withColumn("family", kind).join(found, "event_id", "left"))
+    timing = rows.where("family = 'timing'").join(held, "holding")
+    spans = timing.select("indicator_id", "event_date", "own_ticker", "own_issuer", F.date_sub("event_date", days).alias("low"), F.date_add("event_date", days).alias("high"))
+    bucket = lambda c: F.floor(F.unix_date(c) / days)
+    # As many rows as indicators are shown, a few buckets each.
+    spread = F.broadcast(spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high"))))))
+    trades = tx.select(F.col("id").cast("string").alias("tx_id"), F.col("ticker").alias("tx_ticker"), F.col("issuer_ticker").alias("tx_issuer"), F.col("date").alias("tx_date"), url(tx).alias("tx_url")).withColumn("_tx_bucket", bucket(F.col("tx_date")))
+    same = F.col("own_ticker").eqNullSafe(F.col("tx_ticker")) | F.col("own_issuer").eqNullSafe(F.col("tx_issuer"))
+    met = trades.join(spread, (F.col("_bucket") == F.col("_tx_bucket")) & F.col("tx_date").between(F.col("low"), F.col("high")) & same)
+    counts = met.groupBy("indicator_id").agg(F.count("*").alias("related"), F.count_if(F.col("tx_date") < F.col("event_date")).alias("before"))
+    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("indicator_id").orderBy("tx_date", "tx_id"))).where(F.col("_n") <= most)
+    lists = first.groupBy("indicator_id").agg(F.array_sort(F.collect_list(F.struct("tx_date", "tx_id", "tx_url"))).alias("trades"))
+    rows = rows.drop("related", "before").join(timing.select("indicator_id", "own_name", "own_sector"), "indicator_id", "left").join(counts, "indicator_id", "left").join(lists, "indicator_id", "left").join(sources, ["ticker", "holding"], "left")
+    labels = F.create_map(*(F.lit(x) for pair in fixed.CATEGORY_LABELS.items() for x in pair))
+    noted = F.create_map(*(F.lit(x) for pair in (fixed.POLICY_NOTES if notes is None else notes or {"": ""}).items() for x in pair))
+    is_timing, is_policy, worth = F.col("family") == "timing", F.col("family") == "policy", short_money(F.col("value"))
+    quoted = F.concat(F.lit('"'), F.coalesce("event_title", F.lit("")), F.lit('"'))
+    title = F.when(is_policy, F.concat(F.coalesce(F.try_element_at(labels, F.col("category")), "category"), F.lit(": "), "holding")).when(
+        is_timing, F.concat(F.lit("Suspicious timing: "), "own_name", F.lit(" transactions near "), quoted)
+    )
+    summary = F.when(is_policy, F.concat(F.lit("Holds "), worth, F.lit(" in "), "ticker", F.lit(". "), F.coalesce(F.try_element_at(noted, F.col("ticker")), F.lit("")))).when(
+        is_timing, F.concat("related", F.lit(f" transaction(s) within {days} days of "), "event_category", F.lit(" event. "), "before", F.lit(" occurred before the announcement."))
+    )
+    tags = F.when(is_policy, F.array("ticker", "category")).when(is_timing, F.filter(F.array("own_sector", "event_category", "ticker"), lambda t: F.coalesce(t, F.lit("")) != "")).otherwise(F.array(*(F.lit(t) for t in fixed.RATE_TAGS)))
+    none = F.array().cast("array<string>")
+    links = F.when(is_policy, F.coalesce("holding_urls", none)).otherwise(F.array_compact(F.concat(F.array("event_url"), F.coalesce(F.transform("trades", lambda t: t["tx_url"]), none))))
+    return rows.select(
+        "indicator_id", "severity", "category", title_or(title, "Fed rate decision while holding rate-sensitive assets").alias("title"),
+        title_or(summary, F.concat(F.lit("Held "), worth, F.lit(" in rate-sensitive financials during Fed event: "), quoted)).alias("summary"), F.col("ticker"),
+        F.when(is_timing, F.col("own_name")).otherwise(F.col("holding")).alias("holding"), "value", "event_id", "event_date", "event_title",
+        F.coalesce(F.transform("trades", lambda t: t["tx_id"]), none).alias("transaction_ids"), F.coalesce(F.transform("trades", lambda t: t["tx_date"]), F.array().cast("array<date>")).alias("transaction_dates"),
+        F.coalesce("related", F.lit(0)).alias("related"), F.when(is_timing, days).alias("window_days"),
+        F.when(is_timing, F.when(F.col("before") > 0, "before").otherwise("after")).when(~is_policy, "during").alias("position"), "evidence", links.alias("source_urls"), tags.alias("tags"),
+    )
+
+
+def title_or(known: Column, rest: Column | str) -> Column:
+    return F.coalesce(known, F.lit(rest) if isinstance(rest, str) else rest)
 
 
 def conflict_timeline(indicators: DataFrame, events: DataFrame, links: DataFrame, tx: DataFrame) -> DataFrame:

@@ -67,6 +67,23 @@ def holding_transactions(tx: DataFrame) -> DataFrame:
     return tx.select(security_key(F.col("description")).alias("security_key"), "id", "date", "ord")
 
 
+def backing_transactions(holdings: DataFrame, tx: DataFrame) -> DataFrame:
+    """Transactions behind each holding: holding_id, how ('ids' or 'key'), place, id, date, ord.
+
+    holdings: holding_id, transaction_ids (array), normalized_description.  Each id
+    means the first transaction that has it, in the array's order (place); ids that
+    nobody has are passed over.  A holding of which no id is found takes the
+    transactions of its description instead, in their own order: theirs is the
+    normalized one, or the description in capitals where that is missing."""
+    of_id = tx.groupBy("id").agg(F.min(F.struct("ord", "date")).alias("t"))
+    asked = holdings.select("holding_id", F.posexplode("transaction_ids").alias("place", "id")).where("id is not null")
+    by_ids = asked.join(of_id, "id").select("holding_id", F.lit("ids").alias("how"), "place", "id", F.col("t.date").alias("date"), F.col("t.ord").alias("ord"))
+    without = holdings.join(by_ids.select("holding_id").distinct(), "holding_id", "left_anti").select("holding_id", F.col("normalized_description").alias("_key"))
+    key = F.coalesce(F.nullif(F.col("normalized_description"), F.lit("")), F.upper("description"))
+    by_key = without.join(tx.select(key.alias("_key"), "id", "date", "ord"), "_key").select("holding_id", F.lit("key").alias("how"), F.lit(None).cast("int").alias("place"), "id", "date", "ord")
+    return by_ids.unionByName(by_key)
+
+
 def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
     """Transaction-backed holdings, each with the one baseline row it can mean,
     and baseline rows whose security has no transactions.

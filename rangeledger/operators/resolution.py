@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeledger.functions import fixed, instruments
+from rangeledger.functions import fixed, instruments, order
 from rangeledger.functions.money import round1
 from rangeledger.functions.text import first_truthy, normal_description, security_key, stable_id
 from rangeledger.operators.similarity import similar_names
@@ -96,8 +96,8 @@ def resolved(securities: DataFrame, found: DataFrame) -> DataFrame:
     """Each security's decision: its ticker if the best candidate is good enough
     and clear of the second, else why not; its issuer's context where it has one; and
     its first five candidates."""
-    order = Window.partitionBy("security_key").orderBy(*_order())
-    ranked = found.withColumns({"rank": F.row_number().over(order), "second": F.lead("score").over(order)}).where("rank <= 5").drop("asset_type", "clean_name")
+    best = Window.partitionBy("security_key").orderBy(*_order())
+    ranked = found.withColumns({"rank": F.row_number().over(best), "second": F.lead("score").over(best)}).where("rank <= 5").drop("asset_type", "clean_name")
     five = ranked.groupBy("security_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker"))), lambda c: c["ticker"]).alias("candidate_tickers"))
     rows = securities.join(ranked.where("rank = 1").drop("rank"), "security_key", "left").join(five, "security_key", "left").join(issuer_contexts(found), "security_key", "left")
     kind, none = F.col("asset_type"), F.col("score").isNull()
@@ -188,7 +188,7 @@ def identities(entries: DataFrame) -> DataFrame:
 
 def review_items(found: DataFrame) -> DataFrame:
     need = (F.col("status") == "needs_identifier") | (F.col("review") == "needs_review")
-    return found.where(need).orderBy(F.col("priority").desc(), F.col("score").desc(), F.col("current_mid").desc(), "display")
+    return found.where(need).orderBy(*order.identity_order())
 
 
 def filtered_identities(found: DataFrame, asset_type: str | None = None, reliability: str | None = None, issuer: str | None = None, query: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangeledger.functions import money
+from rangeledger.functions import money, order
 from rangeledger.functions.text import security_key, stock_key
 
 
@@ -29,7 +29,7 @@ def sector_summary(tx: DataFrame) -> DataFrame:
 
 def sector_order(summary: DataFrame) -> DataFrame:
     """'All' rows first, then by size of the net."""
-    return summary.orderBy(F.when(F.col("asset_type") == "All", 0).otherwise(1), F.abs("net_midpoint").desc(), "sector", "asset_type")
+    return summary.orderBy(*order.sector_order())
 
 
 def kpis(tx: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def stock_summary(tx: DataFrame) -> DataFrame:
 
 def stock_order(stocks: DataFrame, n: int = 160) -> DataFrame:
     """The most bought first, at most ``n``."""
-    return stocks.orderBy(F.col("purchase_midpoint").desc(), F.col("transaction_count").desc(), "stock").limit(n)
+    return stocks.orderBy(*order.stock_order()).limit(n)
 
 
 def page_totals(tx: DataFrame) -> DataFrame:

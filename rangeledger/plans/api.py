@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeledger.functions import fixed
+from rangeledger.functions import fixed, order
 from rangeledger.operators import enrichment, events, filters, holdings, resolution, review, sectors, timeline
 from rangeledger.operators.filters import Filters
 from rangeledger.plans.stages import cut
@@ -82,11 +82,12 @@ class Engine:
         timing = events.timing_conflicts(held, dated, trades, triggers).drop("related", "before")
         rate = events.rate_conflicts(held, dated.where("category = 'fed'").select("event_id"), sensitive)
         found = cut(events.policy_conflicts(held, policies).unionByName(rate).unionByName(timing))
-        return {"indicators": events.ranked_conflicts(found, CONFLICT_ROWS), "summary": events.conflict_summary(found, CONFLICT_ROWS), "groups": events.conflicts_by(found, "category", "severity", n=CONFLICT_ROWS)}
+        shown = events.ranked_conflicts(found, CONFLICT_ROWS)
+        return {"indicators": shown, "details": events.detailed(shown, held, dated, trades), "summary": events.conflict_summary(found, CONFLICT_ROWS), "groups": events.conflicts_by(found, "category", "severity", n=CONFLICT_ROWS)}
 
     @staticmethod
     def _first(index: DataFrame, n: int) -> DataFrame:
-        return index.orderBy(F.col("score").desc(), F.col("current_mid").desc(), "security_key").limit(n)
+        return index.orderBy(*order.index_order()).limit(n)
 
     def page(self, name: str, params: Mapping[str, str]) -> dict[str, DataFrame]:
         if name not in PAGES:
@@ -146,7 +147,7 @@ class Engine:
         index = self.index(f)
         entries = index.where(F.col("entry_id").isin(selected)) if selected else self._first(index, FACT_ENTRIES)
         years = self.transactions(f).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"))
-        by_sector = holdings.rollups(index).where("kind = 'sector'").orderBy(F.col("current_mid").desc(), "key").limit(FACT_SECTORS)
+        by_sector = holdings.rollups(index).where("kind = 'sector'").orderBy(*order.rollup_order()).limit(FACT_SECTORS)
         return {"entries": entries, "rollups": by_sector, "years": years.orderBy(F.col("year").desc()).limit(FACT_YEARS)}
 
     def workbook(self, path: str) -> list[str]:

@@ -368,7 +368,7 @@ def conflict_policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 FED = f"""{POLICY}, ft AS (SELECT coalesce(sum(cmid), 0) AS value, count(*) AS n FROM e WHERE sector = 'EUROPE'),
-fc AS (SELECT 'rate-' || event_id AS indicator_id, CASE WHEN ft.value > 1000000 THEN 'high' ELSE 'medium' END AS severity, 'rate-sensitive' AS category, NULL::VARCHAR AS ticker, n || ' holdings' AS holding, ft.value, event_id::VARCHAR AS event_id, 0.5::DOUBLE AS evidence
+fc AS (SELECT 'fed-' || event_id AS indicator_id, CASE WHEN ft.value > 1000000 THEN 'high' ELSE 'medium' END AS severity, 'fed-rate-sensitive' AS category, NULL::VARCHAR AS ticker, n || ' financial holdings' AS holding, ft.value, event_id::VARCHAR AS event_id, 0.5::DOUBLE AS evidence
 FROM events CROSS JOIN ft WHERE event_type = 'error' AND ft.value > 100000)"""
 
 
@@ -428,9 +428,9 @@ def conflict_summary(spark: SparkSession, d: str) -> DataFrame:
     return events.conflict_summary(_all_conflicts(spark, d))
 
 
-@query(f"{ALL_CONFLICTS} SELECT category, severity, count(*) AS n, sum(value) AS value, max(evidence) AS evidence FROM sh GROUP BY ALL")
+@query(f"{ALL_CONFLICTS} SELECT category, severity, count(*) AS n, sum(value) AS value, max(evidence) AS evidence, string_agg(indicator_id, '|' ORDER BY evidence DESC, indicator_id) AS indicators FROM sh GROUP BY category, severity")
 def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
-    return events.conflicts_by(_all_conflicts(spark, d), "category", "severity")
+    return events.conflicts_by(_all_conflicts(spark, d), "category", "severity").withColumn("indicators", F.array_join("indicators", "|"))
 
 
 @query(f"{ALL_CONFLICTS} SELECT indicator_id, value FROM sh WHERE severity = 'high' AND category = 'suspicious-timing'")

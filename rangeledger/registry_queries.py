@@ -5,13 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from rangeledger import queries as q
-from rangeledger.functions import fixed
-from rangeledger.operators import events, resolution, similarity
+from rangeledger.disclosure_queries import _pick_sql
+from rangeledger.functions import fixed, order
+from rangeledger.operators import documents, events, holdings, resolution, similarity
 from rangeledger.plans.stages import cut, scratch
 from rangeledger.queries import query
 from rangeledger.sources import paged, tables
@@ -169,3 +170,75 @@ def company_submissions(spark: SparkSession, d: str) -> DataFrame:
     answer = F.struct(F.when(key % 7 == 0, "").otherwise((key * 37 % 9000).cast("string")).alias("sic"), F.when(key % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("sicDescription"), F.lit("10").alias("fiscalYearEnd"))
     landed = tables.table(spark, d, "part").select(key.alias("cik"), F.to_json(answer).alias("body"))
     return paged.submissions(landed).select("cik", "sic", "sic_description")
+
+
+# Transactions behind holdings, symbols of lines, a reader's order, all of an indicator
+
+
+@query(f"""WITH {q.TX}, h AS (SELECT c_custkey AS holding_id, CASE WHEN c_custkey % 3 = 0 THEN [c_custkey || '-1', 'nobody', NULL, c_custkey || '-2', c_custkey || '-1'] ELSE ['none-' || c_custkey] END AS ids, upper(p_name || ' ' || p_brand) AS key FROM customer JOIN part ON p_partkey = c_custkey),
+a AS (SELECT holding_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS place FROM h), i AS (SELECT holding_id, place, id, date FROM a JOIN (SELECT id, min(date) AS date FROM tx GROUP BY id) USING (id)),
+k AS (SELECT upper(description) AS key, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM tx GROUP BY 1)
+SELECT holding_id, 'ids' AS how, count(*) AS n, min(date) AS first_date, max(date) AS last_date, string_agg(id, '|' ORDER BY place) AS ids FROM i GROUP BY holding_id
+UNION ALL SELECT holding_id, 'key', n, first_date, last_date, '' FROM h JOIN k USING (key) WHERE holding_id NOT IN (SELECT holding_id FROM i)""")
+def holding_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as holdings: a third by ids of lines, some of nobody, the rest by the
+    description of the part of their number."""
+    key = F.col("c_custkey")
+    ids = F.when(key % 3 == 0, F.array(F.concat(key, F.lit("-1")), F.lit("nobody"), F.lit(None).cast("string"), F.concat(key, F.lit("-2")), F.concat(key, F.lit("-1")))).otherwise(F.array(F.concat(F.lit("none-"), key)))
+    part = tables.table(spark, d, "part").select("p_partkey", F.upper(F.concat_ws(" ", "p_name", "p_brand")).alias("normalized_description"))
+    held = tables.table(spark, d, "customer").join(part, F.col("p_partkey") == key).select(key.alias("holding_id"), ids.alias("transaction_ids"), "normalized_description")
+    tx = tables.transactions(spark, d).select("id", "description", "date", "ord", F.lit(None).cast("string").alias("normalized_description"))
+    found = holdings.backing_transactions(held, tx)
+    listed = F.when(F.col("how") == "ids", F.struct("place", "id"))  # an array of ids each
+    return found.groupBy("holding_id", "how").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.array_join(F.transform(F.array_sort(F.collect_list(listed)), lambda x: x["id"]), "|").alias("ids"))
+
+
+SAID = ["GOOGL CL A", "Goog class c", "Apple com", "meta platforms", "Coca Cola co", "NVDA notes", "plain", "HDPG", "Pepsi bottling", "maMRK"]
+_SYMBOL_SQL = "CASE " + " ".join(f"WHEN contains(upper(raw), '{s}') THEN '{s}'" for s in fixed.LINE_SYMBOLS) + " " + " ".join(f"WHEN contains(upper(raw), '{n}') THEN '{s}'" for n, s in fixed.LINE_NAMES.items()) + " END"
+
+
+@query(f"""WITH l AS (SELECT p_partkey AS doc_id, p_name || ' ' || {_pick_sql(SAID, 'p_partkey')} AS raw, p_partkey % 4 AS k, p_partkey % 9 AS e FROM part)
+SELECT doc_id, 1 AS n, DATE '2026-04-01' + (doc_id % 27)::INTEGER AS date, CASE k WHEN 0 THEN 'Purchase' WHEN 1 THEN 'Sale' ELSE 'Exchange' END AS type, raw AS description, CASE WHEN k < 2 THEN '$1,001 - $15,000' END AS amount, k = 1 AS late, {_SYMBOL_SQL} AS ticker FROM l WHERE k < 3 AND NOT (k = 2 AND e = 0)""")
+def reported_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as lines that report trades: numbered, bare, headings, none."""
+    k, said = F.col("p_partkey") % 4, F.element_at(F.array(*(F.lit(s) for s in SAID)), (F.col("p_partkey") % len(SAID) + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2026-04-01").cast("date"), (F.col("p_partkey") % 27).cast("int")), "M/d/yyyy")
+    raw = F.concat_ws(" ", "p_name", said)
+    heading = F.when((k == 2) & (F.col("p_partkey") % 9 == 0), F.lit("Description ")).otherwise("")
+    line = F.when(k == 0, F.concat(F.lit("7 \t"), raw, F.lit(" \tpurchase \t"), day, F.lit("  No $1,001  -  $15,000"))).when(k == 1, F.concat(F.lit("12\t"), raw, F.lit(" SALE "), day, F.lit(" Yes $1,001 - $15,000")))
+    line = line.when(k == 2, F.concat(heading, raw, F.lit(" exchange "), day)).otherwise(F.concat(raw, F.lit(" purchase soon")))
+    return documents.reported_trades(documents.lines(tables.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), line.alias("text"))))
+
+
+_MIXED_SQL = "CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment WHEN 2 THEN upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) WHEN 3 THEN replace(lower(c_mktsegment), 'e', 'é') ELSE '(' || c_mktsegment || ')' END || ' ' || (c_custkey % 50)"
+
+
+@query(f"WITH m AS (SELECT c_custkey, c_nationkey, {_MIXED_SQL} AS name FROM customer) SELECT c_custkey, name, row_number() OVER (PARTITION BY c_nationkey ORDER BY icu_sort_key(name, 'en'), name, c_custkey)::INTEGER AS place FROM m")
+def visible_order(spark: SparkSession, d: str) -> DataFrame:
+    """Names in capitals, small letters, with accents and marks, as a reader sorts them within a nation."""
+    seg, k = F.col("c_mktsegment"), F.col("c_custkey") % 5
+    name = F.when(k == 0, F.lower(seg)).when(k == 1, seg).when(k == 2, F.concat(F.upper(F.left(seg, F.lit(1))), F.lower(F.substring(seg, 2, 99)))).when(k == 3, F.replace(F.lower(seg), F.lit("e"), F.lit("é"))).otherwise(F.concat(F.lit("("), seg, F.lit(")")))
+    rows = tables.table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat(name, F.lit(" "), F.col("c_custkey") % 50).alias("name"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*order.visible("name"), "c_custkey"))).select("c_custkey", "name", "place")
+
+
+_WORTH = "CASE WHEN value >= 1000000 THEN '$' || printf('%.1f', floor(value / 1000000 * 10 + 0.5) / 10) || 'M' WHEN value >= 1000 THEN '$' || printf('%.0f', floor(value / 1000 + 0.5)) || 'K' ELSE '$' || printf('%.0f', floor(value + 0.5)) END"
+_LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.CATEGORY_LABELS.items()) + " ELSE category END"
+_SHOWN = f"""{q.FED}, {q.TIMING}, fs AS (SELECT * FROM fc ORDER BY CASE severity WHEN 'high' THEN 3 ELSE 2 END DESC, indicator_id LIMIT 20), ts AS (SELECT * FROM tc ORDER BY CASE severity WHEN 'high' THEN 3 ELSE 2 END DESC, evidence DESC, indicator_id LIMIT 60),
+mt2 AS (SELECT ts.indicator_id, p.id, p.date, ev.date AS edate FROM ts JOIN ev ON ev.event_id::VARCHAR = ts.event_id JOIN hd ON hd.holding_id = ts.holding JOIN p ON p.date BETWEEN ev.date - 30 AND ev.date + 30 AND (p.ticker = hd.ticker OR p.issuer IS NOT DISTINCT FROM hd.issuer)),
+ids AS (SELECT indicator_id, string_agg(id::VARCHAR, '|' ORDER BY date, id::VARCHAR) FILTER (o <= 20) AS ids, count(*) AS related, count(*) FILTER (date < edate) AS before FROM (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY date, id::VARCHAR) AS o FROM mt2) GROUP BY indicator_id)"""
+
+
+@query(f"""{_SHOWN}
+SELECT indicator_id, {_LABEL} || ': ' || holding AS title, 'Holds ' || {_WORTH} || ' in ' || ticker || '. ' || CASE ticker WHEN 'Brand#1' THEN 'first note' ELSE '' END AS summary, holding, NULL::DATE AS event_date, '' AS ids, 0::BIGINT AS related, NULL::VARCHAR AS position, ticker || '|' || category AS tags FROM pc
+UNION ALL SELECT indicator_id, 'Fed rate decision while holding rate-sensitive assets', 'Held ' || {_WORTH} || ' in rate-sensitive financials during Fed event: "' || ev.title || '"', holding, ev.date, '', 0, 'during', 'fed|financials|rate-sensitive' FROM fs JOIN ev ON ev.event_id::VARCHAR = fs.event_id
+UNION ALL SELECT indicator_id, 'Suspicious timing: ' || hd.holding_id || ' transactions near "' || ev.title || '"', ids.related || ' transaction(s) within 30 days of ' || ev.category || ' event. ' || ids.before || ' occurred before the announcement.', hd.holding_id, ev.date, ids, ids.related,
+CASE WHEN ids.before > 0 THEN 'before' ELSE 'after' END, hd.sector || '|' || ev.category || '|' || hd.ticker FROM ts JOIN ids USING (indicator_id) JOIN ev ON ev.event_id::VARCHAR = ts.event_id JOIN hd ON hd.holding_id = ts.holding""")
+def conflict_details(spark: SparkSession, d: str) -> DataFrame:
+    """All of each policy indicator, of the first twenty of rates and the first sixty of timing."""
+    dated = tables.table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"), F.col("event_type").alias("title"))
+    held = q._traded_holdings(spark, d).withColumn("name", F.col("holding_id"))
+    of_policy, of_rates, of_timing = q.conflict_policy(spark, d), q.conflict_fed(spark, d), q.conflict_timing(spark, d).drop("related", "before")
+    shown = of_policy.unionByName(events.ranked_conflicts(of_rates, 20)).unionByName(events.ranked_conflicts(of_timing, 60))
+    found = events.detailed(shown, held, dated, q._purchases(spark, d), {"Brand#1": "first note"}, most=20)
+    return found.select("indicator_id", "title", "summary", "holding", "event_date", F.array_join("transaction_ids", "|").alias("ids"), "related", "position", F.array_join("tags", "|").alias("tags"))
