@@ -19,6 +19,10 @@ from rangeledger.sources import readers, sinks, tables
 # Words dealt over the rows of a table where the texts of the tables have none of their kind.
 NOTICES = ["Executive order on steel imports", "Customs notice &amp; <b>chips</b>", "Plain notice", "Harmonized tariff update", "Bank stock market remarks", "Interview on $ABC and $XYZ trade", "RT: oil and gas", ""]
 KINDS = ["executive_order", "remarks", "interview", "proclamation", "press"]
+#: Sources shown by their links (fixed value).
+LINKED_SOURCES = 500
+#: Rows of a text or payload made of a table's rows.
+DOCUMENT_ROWS = 200
 PLACES = ["truth_social", "app", "factbase", "press", "twitter"]
 
 
@@ -469,8 +473,8 @@ def symbol_directory(spark: SparkSession, d: str) -> DataFrame:
 def company_tickers(spark: SparkSession, d: str) -> DataFrame:
     n, key = F.col("s_nationkey"), F.col("s_suppkey").cast("string")
     cells = F.array(key, F.col("s_name"), F.when(n % 5 == 0, " ").otherwise(F.concat(F.lit(" s"), key)), F.lit("N"))
-    rows = tables.table(spark, d, "supplier").select(F.when(n % 4 == 0, F.slice(cells, 1, 3)).otherwise(cells).alias("row")).groupBy().agg(F.collect_list("row").alias("data"))
-    return readers.company_tickers(rows)
+    rows = tables.table(spark, d, "supplier").select(F.when(n % 4 == 0, F.slice(cells, 1, 3)).otherwise(cells).alias("row"), n.alias("nation"), (F.col("s_suppkey") / DOCUMENT_ROWS).cast("long").alias("file"))
+    return readers.company_tickers(rows.groupBy("nation", "file").agg(F.collect_list("row").alias("data")))  # DOCUMENT_ROWS rows at most
 
 
 @query("""WITH n AS (SELECT event_type AS ticker, max(ts) AS newest FROM events GROUP BY 1), q AS (SELECT event_type AS ticker, arg_max(value, (ts, event_id)) AS price FROM events JOIN (SELECT max(ts) AS now FROM events) ON ts >= now - INTERVAL 5 MINUTE GROUP BY 1) SELECT n.ticker, price FROM n LEFT JOIN q USING (ticker)""")
@@ -575,9 +579,9 @@ def window_export(spark: SparkSession, d: str) -> DataFrame:
     return q.event_windows(spark, d).select("event_id", "window_days", "transaction_count", "net_midpoint").join(rows, "event_id", "left")
 
 
-@query(f"WITH {SOURCES} SELECT source_id, url FROM src ORDER BY url DESC NULLS LAST, source_id LIMIT 13000")
+@query(f"WITH {SOURCES} SELECT source_id, url FROM src ORDER BY url DESC NULLS LAST, source_id LIMIT 500")
 def sources_with_links_first(spark: SparkSession, d: str) -> DataFrame:
-    return _sources(spark, d).orderBy(F.col("url").desc_nulls_last(), "source_id").limit(13000).select("source_id", "url")
+    return _sources(spark, d).orderBy(F.col("url").desc_nulls_last(), "source_id").limit(LINKED_SOURCES).select("source_id", "url")
 
 
 @query(f"WITH {TX} SELECT id FROM tx ORDER BY strftime(date, '%Y-%m'), mid DESC, description, id LIMIT 250")
@@ -598,12 +602,20 @@ def line_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return periodic_line_items(spark, d).groupBy("type").agg(F.count("*").alias("n"))
 
 
-# Disclosure documents: a nation's suppliers and customers as lines of one document
+# Disclosure documents: a nation's suppliers and customers as lines of documents of some hundred rows
+
+
+def _document(nation: str, key: str) -> Column:
+    """Number of the document that a nation's row stands in."""
+    return F.col(nation) * 1_000_000 + (F.col(key) / DOCUMENT_ROWS).cast("long")
+
+
+_DOC_S, _DOC_C = "s_nationkey * 1000000 + s_suppkey // 200", "c_nationkey * 1000000 + c_custkey // 200"
 
 
 def _nation_documents(rows: DataFrame, nation: str, key: str, line: Column, head: str, tail: str = "") -> DataFrame:
-    """One document of each nation: a line for each of its rows, numbered by key."""
-    lines = rows.withColumn("line", line).groupBy(F.col(nation).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(key, "line"))).alias("l"))
+    """Documents of each nation, of at most ``DOCUMENT_ROWS`` rows: a line for each row, by key."""
+    lines = rows.withColumn("line", line).groupBy(_document(nation, key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(key, "line"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     return lines.select("doc_id", F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
 
@@ -623,13 +635,13 @@ def _asset_holdings(spark: SparkSession, d: str) -> DataFrame:
     return documents.asset_holdings(documents.asset_rows(documents.lines(docs)))
 
 
-@query(f"""SELECT s_nationkey AS source_id, (s_suppkey + 1)::VARCHAR AS number, s_name || ' Acct' AS description, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS value, CASE s_suppkey % 3 WHEN 0 THEN 'Dividends' WHEN 2 THEN 'Rent' END AS income_type,
+@query(f"""SELECT {_DOC_S} AS source_id, (s_suppkey + 1)::VARCHAR AS number, s_name || ' Acct' AS description, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS value, CASE s_suppkey % 3 WHEN 0 THEN 'Dividends' WHEN 2 THEN 'Rent' END AS income_type,
 CASE s_suppkey % 3 WHEN 0 THEN 600.5 ELSE 0 END::DOUBLE AS income, CASE WHEN s_suppkey % 4 = 3 THEN 4 ELSE 3 END AS flags FROM supplier""")
 def asset_holdings(spark: SparkSession, d: str) -> DataFrame:
     return _asset_holdings(spark, d).select("source_id", "number", "description", F.col("value.midpoint").alias("value"), "income_type", F.col("income.midpoint").alias("income"), F.size("flags").alias("flags"))
 
 
-@query(f"""SELECT c_nationkey AS doc_id, c_name AS creditor, CASE WHEN c_custkey % 2 = 0 THEN 'Mortgage on a house' ELSE 'credit card' END AS type, CASE WHEN c_custkey % 3 = 0 THEN 8000.5 ELSE 75000.5 END::DOUBLE AS amount, CASE WHEN c_custkey % 4 <> 0 THEN (1990 + c_custkey % 30)::VARCHAR END AS year,
+@query(f"""SELECT {_DOC_C} AS doc_id, c_name AS creditor, CASE WHEN c_custkey % 2 = 0 THEN 'Mortgage on a house' ELSE 'credit card' END AS type, CASE WHEN c_custkey % 3 = 0 THEN 8000.5 ELSE 75000.5 END::DOUBLE AS amount, CASE WHEN c_custkey % 4 <> 0 THEN (1990 + c_custkey % 30)::VARCHAR END AS year,
 CASE WHEN c_custkey % 5 <> 0 THEN '4.5%' END AS rate, 'On demand ' || c_custkey AS term FROM customer""")
 def liability_rows(spark: SparkSession, d: str) -> DataFrame:
     from rangeledger.operators import documents, liabilities
@@ -643,13 +655,13 @@ def liability_rows(spark: SparkSession, d: str) -> DataFrame:
     return liabilities.liabilities(documents.lines(docs)).select("doc_id", "creditor", "type", F.col("amount.midpoint").alias("amount"), "year", "rate", "term")
 
 
-@query(f"""SELECT s_nationkey AS doc_id, s_name AS creditor, CASE WHEN s_suppkey % 2 = 0 THEN 'Seven Springs loan' ELSE 'mortgage' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS amount, CASE WHEN s_suppkey % 3 <> 0 THEN (2000 + s_suppkey % 20)::VARCHAR END AS year,
+@query(f"""SELECT {_DOC_S} AS doc_id, s_name AS creditor, CASE WHEN s_suppkey % 2 = 0 THEN 'Seven Springs loan' ELSE 'mortgage' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS amount, CASE WHEN s_suppkey % 3 <> 0 THEN (2000 + s_suppkey % 20)::VARCHAR END AS year,
 'Prime + ' || s_suppkey AS rate, CASE WHEN s_suppkey % 2 = 1 THEN 'Matures in ' || s_suppkey END AS term FROM supplier""")
 def liability_columns(spark: SparkSession, d: str) -> DataFrame:
     from rangeledger.operators import documents, liabilities
 
     key = F.col("s_suppkey")
-    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) % 90
+    place = F.row_number().over(Window.partitionBy(_document("s_nationkey", "s_suppkey")).orderBy("s_suppkey")) % 90
     rows = tables.table(spark, d, "supplier").withColumn("at", place)
     amount = F.concat(F.col("at"), F.when(key % 5 == 0, ".\n").otherwise(". "), _supplier_label(), F.when(key % 3 != 0, F.concat(F.lit(" "), key % 20 + 2000)).otherwise(" N/A"), F.lit(" Prime +\n"), key, F.when(key % 2 == 1, F.concat(F.lit(" Matures in "), key)).otherwise(""))
     name = F.concat(F.col("s_name"), F.when(key % 2 == 0, "\nSeven Springs loan").otherwise(" mortgage"))
@@ -659,7 +671,7 @@ def liability_columns(spark: SparkSession, d: str) -> DataFrame:
     return liabilities.columnar_rows(documents.lines(docs)).select("doc_id", "creditor", "type", F.col("amount.midpoint").alias("amount"), "year", "rate", "term")
 
 
-@query(f"""SELECT s_nationkey AS doc_id, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' -mortgage' ELSE '' END AS creditor, CASE WHEN s_suppkey % 2 = 0 THEN 'Unspecified liability' ELSE 'litigation' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS amount,
+@query(f"""SELECT {_DOC_S} AS doc_id, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' -mortgage' ELSE '' END AS creditor, CASE WHEN s_suppkey % 2 = 0 THEN 'Unspecified liability' ELSE 'litigation' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 8000.5 WHEN 1 THEN 32500.5 WHEN 2 THEN 50000001 ELSE 0 END::DOUBLE AS amount,
 CASE WHEN s_suppkey % 3 <> 0 THEN (2000 + s_suppkey % 20)::VARCHAR END AS year, CASE WHEN s_suppkey % 3 <> 0 THEN 0.68 ELSE 0.62 END::DOUBLE AS confidence FROM supplier""")
 def liability_lines(spark: SparkSession, d: str) -> DataFrame:
     from rangeledger.operators import documents, liabilities
@@ -670,7 +682,7 @@ def liability_lines(spark: SparkSession, d: str) -> DataFrame:
     return liabilities.liabilities(documents.lines(docs)).where("layout = 'inline'").select("doc_id", "creditor", "type", F.col("amount.midpoint").alias("amount"), "year", "confidence")
 
 
-@query("SELECT s_nationkey AS doc_id, DATE '2020-01-01' + (s_suppkey % 300)::INT AS date, CASE s_suppkey % 3 WHEN 0 THEN 'Purchase' WHEN 1 THEN 'Sale' ELSE 'Exchange' END AS type, s_name AS description, '$1,001 - $15,000' AS amount FROM supplier")
+@query(f"SELECT {_DOC_S} AS doc_id, DATE '2020-01-01' + (s_suppkey % 300)::INT AS date, CASE s_suppkey % 3 WHEN 0 THEN 'Purchase' WHEN 1 THEN 'Sale' ELSE 'Exchange' END AS type, s_name AS description, '$1,001 - $15,000' AS amount FROM supplier")
 def periodic_line_items(spark: SparkSession, d: str) -> DataFrame:
     from rangeledger.operators import documents
 

@@ -90,11 +90,10 @@ def estimated(groups: DataFrame, baseline: DataFrame) -> DataFrame:
 
     A baseline matched by ticker but under another key also stands alone, as
     only the key tells whether it has transactions."""
-    left = groups.select("security_key", "sample", typed_keys(groups.schema["sample"].dataType.names, "security_key", "sample.").alias("keys"))
+    own = typed_keys(groups.schema["sample"].dataType.names, "security_key", "sample.")
+    left = groups.select("security_key", F.col("sample.asset_type").alias("asset_type"), F.col("sample.ticker").alias("ticker"), own.alias("keys"))
     right = baseline.withColumn("base_key", security_key(F.col("description"))).withColumn("keys", typed_keys(baseline.columns, "base_key"))
-    prefer = (F.col("l.sample.asset_type") == F.col("r.asset_type")) | (F.col("l.sample.ticker") == F.col("r.ticker"))
-    exact = F.col("l.security_key") == F.col("r.base_key")
-    matched = unique_match(left, right, "security_key", "baseline_id", "keys", prefer, exact, ("asset_type", "ticker", "base_key"))
+    matched = unique_match(left, right, "security_key", "baseline_id", "keys", [("asset_type", "asset_type"), ("ticker", "ticker")], ("security_key", "base_key"))
     values = right.select("baseline_id", F.col("value").alias("base_value"), F.col("description").alias("base_description"))
     backed = groups.join(matched, "security_key", "left").join(values, "baseline_id", "left")
     missing = F.col("baseline_id").isNull()

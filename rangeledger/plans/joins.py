@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+
 def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, at: str, days: int, how: str = "inner", also: Column | None = None) -> DataFrame:
     """Rows of ``left`` with the rows of ``right`` whose date ``at`` lies in [low, high].
 
@@ -49,31 +50,44 @@ def last_wins(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(fields, F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str, prefer: Column, exact: Column, compared: tuple[str, ...]) -> DataFrame:
+def match_probes(rows: DataFrame, keys: str, alike: list[str], exact: str) -> Column:
+    """What a row is looked up by: each of its typed keys alone (all), with each column
+    of ``alike`` (near), with the exact one (same), and with both (both).  Lists on both
+    sides name their columns in one order; what is null makes no probe."""
+    none = F.array().cast("array<struct<what:string,at:bigint>>")
+    probe = lambda what, *parts: F.struct(F.lit(what).alias("what"), F.xxhash64(F.lit(what), *parts).alias("at"))
+
+    def of(k: Column) -> Column:
+        found = [F.array(probe("all", k)), F.when(F.col(exact).isNotNull(), F.array(probe("same", k, F.col(exact))))]
+        for n, c in enumerate(alike):
+            found.append(F.when(F.col(c).isNotNull(), F.array(probe("near", k, F.lit(n), F.col(c)))))
+            found.append(F.when(F.col(c).isNotNull() & F.col(exact).isNotNull(), F.array(probe("both", k, F.lit(n), F.col(c), F.col(exact)))))
+        return F.concat(*(F.coalesce(f, none) for f in found))
+
+    return F.flatten(F.transform(F.array_distinct(keys), of))
+
+
+def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str, alike: list[tuple[str, str]], exact: tuple[str, str]) -> DataFrame:
     """Left id with the one right row it can mean, by any of several typed keys.
 
-    ``keys`` is an array column on both sides.  Candidates that satisfy ``prefer``
-    (on l.* and r.*) replace the others where there are any; a single one is
-    taken, else the single one that satisfies ``exact``, else none.  ``compared``
-    names the right columns that ``prefer`` and ``exact`` look at."""
-    # Right rows alike in keys and in what is compared count as one class, so that pairs do not
-    # grow with the rows behind a key.
-    same = [c for c in right.columns if c in (keys, *compared)]
-    classes = right.groupBy(*same).agg(F.count("*").alias("_n"), F.min(right_id).alias(right_id))
-    lk = left.select("*", F.explode(F.array_distinct(keys)).alias("_k")).alias("l")
-    rk = classes.select("*", F.explode(F.array_distinct(keys)).alias("_k")).alias("r")
-    pairs = lk.join(rk, F.col("l._k") == F.col("r._k")).select(
-        F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), F.col("r._n").alias("_n"), prefer.alias("_prefer"), exact.alias("_exact")
+    ``keys`` is an array column on both sides.  Candidates that are equal in one of the
+    pairs of ``alike`` replace the others where there are any; a single one is taken,
+    else the single one that is equal in ``exact``, else none.
+
+    Nothing is paired: right rows are counted under each key, and under each key and
+    value, with their least id.  The candidates of a kind are one row if every count
+    that a left row meets is 1 and all name the same id.  So a key that thousands share
+    costs one row on the right and one for each left row."""
+    spread = lambda df, id_col, names, same: df.select(id_col, F.explode(match_probes(df, keys, names, same)).alias("p")).select(id_col, "p.*")
+    counted = spread(right, right_id, [r for _, r in alike], exact[1]).groupBy("what", "at").agg(F.count("*").alias("n"), F.min(right_id).alias(right_id))
+    met = spread(left, left_id, [c for c, _ in alike], exact[0]).join(counted, ["what", "at"])
+    of = lambda what, value: F.when(F.col("what") == what, value)
+    kinds = ("all", "near", "same", "both")
+    stats = met.groupBy(left_id).agg(
+        *(F.max(of(k, F.col("n"))).alias(f"n_{k}") for k in kinds), *(F.min(of(k, F.col(right_id))).alias(f"low_{k}") for k in kinds), *(F.max(of(k, F.col(right_id))).alias(f"high_{k}") for k in kinds)
     )
-    # A class is named by its least right id, which no other class has.
-    pairs = pairs.groupBy(left_id, right_id).agg(F.max("_n").alias("_n"), F.max("_prefer").alias("_prefer"), F.max("_exact").alias("_exact"))
-    total = lambda when: F.sum(F.when(when, F.col("_n")).otherwise(0))
-    counted = pairs.groupBy(left_id).agg(
-        F.sum("_n").alias("n"), total(F.col("_prefer")).alias("n_prefer"), total(F.col("_exact")).alias("n_exact"), total(F.col("_prefer") & F.col("_exact")).alias("n_both"),
-        F.min(right_id).alias("any_id"), F.min(F.when(F.col("_prefer"), F.col(right_id))).alias("prefer_id"),
-        F.min(F.when(F.col("_exact"), F.col(right_id))).alias("exact_id"), F.min(F.when(F.col("_prefer") & F.col("_exact"), F.col(right_id))).alias("both_id"),
-    )
-    narrowed = F.col("n_prefer") > 0
-    chosen = F.when(narrowed & (F.col("n_prefer") == 1), F.col("prefer_id")).when(narrowed & (F.col("n_both") == 1), F.col("both_id"))
-    chosen = chosen.when(~narrowed & (F.col("n") == 1), F.col("any_id")).when(~narrowed & (F.col("n_exact") == 1), F.col("exact_id"))
-    return counted.select(left_id, chosen.alias(right_id)).where(F.col(right_id).isNotNull())
+    one = lambda k: (F.col(f"n_{k}") == 1) & (F.col(f"low_{k}") == F.col(f"high_{k}"))
+    narrowed = F.col("n_near").isNotNull()
+    chosen = F.when(narrowed & one("near"), F.col("low_near")).when(narrowed & one("both"), F.col("low_both"))
+    chosen = chosen.when(~narrowed & one("all"), F.col("low_all")).when(~narrowed & one("same"), F.col("low_same"))
+    return stats.select(left_id, chosen.alias(right_id)).where(F.col(right_id).isNotNull())

@@ -90,3 +90,46 @@ def test_families(spark):
     assert got["far"]["context_ticker"] is None and got["far"]["flags"] == ["Low-confidence issuer match"]
     assert got["share"]["context_ticker"] is None and got["share"]["resolved_ticker"] == "SHR" and got["fund"]["resolved_ticker"] == "FND"
     assert got["tie"]["context_ticker"] == "BB" and got["none"]["flags"] == [] and got["nothing"]["flags"] == ["No public match"]
+
+
+def paired_match(left, right):
+    """The rule of the unique match over all pairs."""
+    out = {}
+    for l_id, keys, kind, ticker, own in left:
+        met = [r for r in right if set(keys) & set(r[1])]
+        near = [r for r in met if (r[2] is not None and r[2] == kind) or (r[3] is not None and r[3] == ticker)]
+        some = near or met
+        exact = [r for r in some if r[4] is not None and r[4] == own]
+        if len(some) == 1 or len(exact) == 1:
+            out[l_id] = (some if len(some) == 1 else exact)[0][0]
+    return out
+
+
+def test_unique_match_equals_all_pairs(spark):
+    from rangeledger.plans.joins import unique_match
+
+    schema, rnd, hits = "id long, keys array<string>, kind string, ticker string, own string", random.Random(9), 0
+    for seed in range(4):
+        pick = lambda values: rnd.choice([*values, None])
+        make = lambda n, spare: [(i, [rnd.choice(spare) for _ in range(rnd.randint(0, 3))], pick("ab"), pick("xyz"), pick("pqrst")) for i in range(n)]
+        spare = [f"k{i}" for i in range(6 + 60 * seed)]
+        left, right = make(120, spare), make(80, spare)
+        got = unique_match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("id", "rid"), "id", "rid", "keys", [("kind", "kind"), ("ticker", "ticker")], ("own", "own"))
+        want = paired_match(left, right)
+        hits += len(want)
+        assert {r["id"]: r["rid"] for r in got.collect()} == want
+    assert hits > 30
+
+
+def test_a_hot_ticker_makes_no_pairs(spark):
+    """Three thousand securities and two thousand baseline rows of one ticker."""
+    from rangeledger.operators.holdings import estimated, grouped
+
+    bracket = F.struct(F.lit("b").alias("label"), F.lit(1.0).alias("min"), F.lit(3.0).alias("max"), F.lit(2.0).alias("midpoint"))
+    tx = spark.range(3000).select(F.concat(F.lit("NAME "), "id").alias("description"), F.lit("HOT").alias("ticker"), F.lit("Equity").alias("asset_type"), F.lit("s").alias("sector"), F.lit("Purchase").alias("type"), F.lit("2024-01-01").cast("date").alias("date"), bracket.alias("amount"), F.lit(False).alias("late"), F.col("id").alias("ord"))
+    baseline = spark.range(1000, 3000).select(F.col("id").alias("baseline_id"), F.concat(F.lit("NAME "), "id").alias("description"), F.lit("HOT").alias("ticker"), F.lit("Equity").alias("asset_type"), bracket.alias("value"))
+    found = estimated(grouped(tx), baseline)
+    rows = found.groupBy("missing_baseline").count().collect()
+    assert {r["missing_baseline"]: r["count"] for r in rows} == {True: 1000, False: 2000}
+    # A left row meets one count for each of its probes, however many rows stand behind it.
+    assert found.select("security_key").distinct().count() == 3000
