@@ -123,22 +123,43 @@ def resolved(securities: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def identifier_candidates(groups: DataFrame) -> DataFrame:
-    """Which of a bond's candidates remain after market, coupon, maturity, issuer
-    and restricted-sale filters: matched if exactly one.
+def meaningful_tokens(words: Column) -> Column:
+    """Words of an issuer's name that tell it from others, short forms spelled out."""
+    plain = F.split(normal_description(F.coalesce(words, F.lit(""))), r"\s+")
+    known = instruments.words_map(fixed.TOKEN_ALIASES)
+    return F.filter(F.transform(plain, lambda w: F.coalesce(F.try_element_at(known, w), w)), lambda w: (F.length(w) >= 2) & ~w.isin(fixed.COMMON_TOKENS))
+
+
+def search_query(issuer_ticker: Column, issuer: Column, other_issuers: list[Column], coupon: Column, maturity: Column) -> Column:
+    """What an identifier service is asked: issuer, coupon and maturity as mm/dd/yy, those that are known."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    short = F.concat_ws("/", F.substring(maturity, 6, 2), F.substring(maturity, 9, 2), F.substring(maturity, 3, 2))
+    number = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", coupon), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.trim(F.concat_ws(" ", F.coalesce(full(issuer_ticker), full(issuer), *(full(c) for c in other_issuers)), F.when(coupon.isNotNull(), number), F.when(full(maturity).isNotNull(), short)))
 
-    groups: security_key, description, asset_type, candidates (array of structs
-    figi, ticker, name, market, security_type, text)."""
-    rows = groups.withColumn("p", instruments.parsed(F.col("description"), F.col("asset_type")))
+
+def identifier_candidates(groups: DataFrame) -> DataFrame:
+    """Which of a bond's candidates remain after market, coupon, maturity, issuer and
+    restricted-sale filters: matched if exactly one.
+
+    groups: security_key, description, asset_type, candidates (array of structs figi,
+    ticker, name, market, security_type, text), and issuer_ticker and issuer_name of the
+    context where they are known.  Returns status, figi, remaining, confidence, flags,
+    shown (at most eight of what remains, else of all) and the query that asks for them."""
+    if "issuer_ticker" not in groups.columns:
+        groups = groups.withColumn("issuer_ticker", F.lit(None).cast("string"))
+    if "issuer_name" not in groups.columns:
+        groups = groups.withColumn("issuer_name", F.lit(None).cast("string"))
+    rows = groups.withColumn("candidates", F.coalesce("candidates", F.array().cast(groups.schema["candidates"].dataType))).withColumn("p", instruments.parsed(F.col("description"), F.col("asset_type")))
     market = F.when(F.col("asset_type") == "Municipal Bond", "MUNI").otherwise("CORP")
     whole = lambda c: F.concat_ws(" ", c["ticker"], c["text"], c["name"], c["security_type"])
-    kept = F.filter("candidates", lambda c: F.upper(c["market"]) == market)
-    kept = F.filter(kept, lambda c: F.col("p.coupon").isNull() | F.exists(instruments.candidate_coupons(whole(c)), lambda v: F.abs(v - F.col("p.coupon")) <= 0.015))
-    kept = F.filter(kept, lambda c: F.col("p.maturity").isNull() | F.array_contains(instruments.candidate_dates(whole(c)), F.col("p.maturity")))
-    tokens = lambda t: F.filter(F.split(normal_description(F.coalesce(t, F.lit(""))), " "), lambda w: F.length(w) >= 3)
-    mine = tokens(F.col("p.issuer"))
-    shared = lambda c: F.size(F.array_intersect(mine, tokens(F.concat_ws(" ", c["name"], c["ticker"]))))
-    issuer = F.filter(kept, lambda c: (F.size(mine) == 0) | (shared(c) >= F.least(F.lit(2), F.size(mine))))
+    by_coupon = lambda c: F.exists(instruments.candidate_coupons(whole(c)), lambda v: F.abs(v - F.col("p.coupon")) <= fixed.COUPON_MARGIN)
+    by_date = lambda c: F.array_contains(instruments.candidate_dates(whole(c)), F.col("p.maturity"))
+    issuer = F.coalesce("p.issuer", "issuer_name")
+    # The issuer's words are counted each time they stand there, the candidate's once.
+    mine = meaningful_tokens(issuer)
+    shared = lambda c: F.size(F.filter(mine, lambda w: F.array_contains(meaningful_tokens(F.concat_ws(" ", c["name"], c["ticker"])), w)))
+    by_issuer = lambda c: (F.size(mine) == 0) | (shared(c) >= F.least(F.lit(2), F.size(mine)))
     regs = lambda c: normal_description(whole(c)).rlike(fixed.REG_S) | (normal_description(F.coalesce(c["security_type"], F.lit(""))) == "EURO DOLLAR")
     private = lambda c: normal_description(whole(c)).rlike(fixed.RULE_144A) | (normal_description(F.coalesce(c["security_type"], F.lit(""))) == "PRIV PLACEMENT")
     normal = normal_description(F.col("description"))
@@ -147,12 +168,37 @@ def identifier_candidates(groups: DataFrame) -> DataFrame:
         free = F.filter(some, lambda c: ~regs(c) & ~private(c))
         return F.when(normal.rlike(fixed.REG_S), F.filter(some, regs)).when(normal.rlike(fixed.RULE_144A), F.filter(some, private)).when(F.size(free) > 0, free).otherwise(some)
 
-    rows = rows.withColumns({"by_terms": kept, "by_issuer": issuer})
-    rows = rows.withColumns({"terms": F.array_distinct(F.transform(preferred(F.col("by_terms")), lambda c: c["figi"])), "left": F.array_distinct(F.transform(preferred(F.col("by_issuer")), lambda c: c["figi"]))})
-    municipal_clear = (F.col("asset_type") != "Municipal Bond") | (F.size("terms") == 1)
-    matched = municipal_clear & (F.size("left") == 1)
-    status = F.when(F.size("candidates") == 0, "not_found").when(matched, "matched").otherwise("ambiguous")
-    return rows.select("security_key", status.alias("status"), F.when(matched, F.get("left", F.lit(0))).alias("figi"), F.size("left").alias("remaining"))
+    def once(some: Column) -> Column:
+        """Of candidates that share an identifier the last, at the first one's place."""
+        figis = F.array_distinct(F.transform(some, lambda c: c["figi"]))
+        return F.transform(figis, lambda f: F.element_at(F.filter(some, lambda c: c["figi"] == f), -1))
+
+    kept = F.filter("candidates", lambda c: F.coalesce(F.upper(c["market"]) == market, F.lit(False)))
+    kept = F.filter(kept, lambda c: F.col("p.coupon").isNull() | by_coupon(c))
+    rows = rows.withColumn("by_terms", F.filter(kept, lambda c: F.col("p.maturity").isNull() | by_date(c)))
+    rows = rows.withColumns({"terms": once(preferred(F.col("by_terms"))), "left": once(preferred(F.filter("by_terms", by_issuer)))})
+    municipal = F.col("asset_type") == "Municipal Bond"
+    unclear = municipal & (F.size("terms") != 1)
+    rest = F.when(unclear, F.col("terms")).otherwise(F.col("left"))
+    rows = rows.withColumns({"rest": rest, "unclear": unclear}).withColumn("matched", ~F.col("unclear") & (F.size("rest") == 1) & (F.size("candidates") > 0)).withColumn("one", F.get("rest", F.lit(0)))
+    one = F.col("one")
+    sure = (
+        F.lit(62) + F.when(F.col("p.coupon").isNotNull() & by_coupon(one), 12).otherwise(0) + F.when(F.col("p.maturity").isNotNull() & by_date(one), 12).otherwise(0)
+        + F.when(by_issuer(one), 8).otherwise(0) + F.when((F.coalesce("issuer_ticker", F.lit("")) != "") & normal_description(F.coalesce(one["ticker"], F.lit(""))).startswith(F.col("issuer_ticker")), 4).otherwise(0)
+    )
+    n = F.size("rest")
+    flag = (
+        F.when(F.col("matched"), F.array(*(F.lit(f) for f in fixed.MATCHED_FLAGS)))
+        .when(F.col("unclear"), F.array(F.when(n > 1, F.concat(n, F.lit(fixed.MUNICIPAL_SHARED))).otherwise(fixed.MUNICIPAL_NONE)))
+        .when(F.size("candidates") == 0, F.array(F.lit(fixed.NO_CANDIDATES))).otherwise(F.array(F.concat(n, F.lit(fixed.CANDIDATES_LEFT))))
+    )
+    status = F.when(F.col("matched"), "matched").when(F.size("candidates") == 0, "not_found").otherwise("ambiguous")
+    shown = F.slice(F.when(n > 0, F.col("rest")).otherwise(F.col("candidates")), 1, fixed.CANDIDATES_SHOWN)
+    return rows.select(
+        "security_key", status.alias("status"), F.when(F.col("matched"), one["figi"]).alias("figi"), F.size("left").alias("remaining"),
+        F.when(F.col("matched"), F.least(F.lit(fixed.MATCH_CAP), sure / 100)).alias("confidence"), flag.alias("flags"), shown.alias("shown"),
+        search_query(F.col("issuer_ticker"), F.col("p.issuer"), [F.col("issuer_name")], F.col("p.coupon"), F.col("p.maturity")).alias("query"),
+    )
 
 
 def identities(entries: DataFrame) -> DataFrame:

@@ -242,3 +242,31 @@ def conflict_details(spark: SparkSession, d: str) -> DataFrame:
     shown = of_policy.unionByName(events.ranked_conflicts(of_rates, 20)).unionByName(events.ranked_conflicts(of_timing, 60))
     found = events.detailed(shown, held, dated, q._purchases(spark, d), {"Brand#1": "first note"}, most=20)
     return found.select("indicator_id", "title", "summary", "holding", "event_date", F.array_join("transaction_ids", "|").alias("ids"), "related", "position", F.array_join("tags", "|").alias("tags"))
+
+
+# Identifiers of bonds
+
+
+_CANDIDATE = "struct<figi:string,ticker:string,name:string,market:string,security_type:string,text:string>"
+
+
+@query("""WITH b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 2 AND p_size % 9 IN (0, 8) THEN 1 ELSE p_partkey % 7 END AS v, printf('%.3f', 1 + (p_size % 9) * 0.5) AS c, p_name FROM part)
+SELECT 'B' || k AS security_key, CASE v WHEN 3 THEN 'not_found' WHEN 1 THEN 'ambiguous' WHEN 4 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN v IN (0, 2, 5, 6) THEN 'F' || k || CASE v WHEN 5 THEN 'r' ELSE 'a' END END AS figi,
+(CASE v WHEN 1 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE 1 END)::INTEGER AS remaining, CASE WHEN v IN (0, 2, 5, 6) THEN 0.92::DOUBLE END AS confidence,
+'ZETA HORIZON ' || upper(p_name) || ' ' || regexp_replace(regexp_replace(c, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || ' 05/01/30' AS query FROM b""")
+def identifier_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as bonds, each with candidates of one of seven kinds: one that fits; two that
+    fit; one besides one of another coupon; none; one of another issuer; a restricted one
+    that is asked for; an unrestricted one besides a restricted one.  A coupon of 1 or 5
+    is also read from the candidates' date."""
+    k, v = F.col("p_partkey"), F.col("p_partkey") % 7
+    coupon = F.format_string("%.3f", 1 + (F.col("p_size") % 9) * 0.5)
+    issuer = F.concat(F.lit("ZETA HORIZON "), F.upper("p_name"))
+    one = lambda tail, name, c, kind, text: F.struct(F.concat(F.lit("F"), k, F.lit(tail)).alias("figi"), F.lit("ZH").alias("ticker"), name.alias("name"), F.lit("Corp").alias("market"), F.lit(kind).alias("security_type"), F.concat(F.lit("ZH "), c, F.lit(f" 05/01/30{text}")).alias("text"))
+    fits, other = one("a", issuer, coupon, "GLOBAL", ""), one("x", F.lit("OMEGA PARTNERS"), coupon, "GLOBAL", "")
+    again, off = one("b", issuer, coupon, "GLOBAL", ""), one("c", issuer, F.lit("17.125"), "GLOBAL", "")
+    held_back = one("r", issuer, coupon, "EURO-DOLLAR", " REGS")
+    of = F.when(v == 0, F.array(fits, other)).when(v == 1, F.array(fits, again)).when(v == 2, F.array(off, fits)).when(v == 3, F.array().cast(f"array<{_CANDIDATE}>")).when(v == 4, F.array(other)).otherwise(F.array(held_back, fits))
+    text = F.concat(issuer, F.lit(" DUE 05/01/2030 0"), coupon, F.lit("%"), F.when(v == 5, " REGS").otherwise(""))
+    groups = tables.table(spark, d, "part").select(F.concat(F.lit("B"), k).alias("security_key"), text.alias("description"), F.lit("Corporate Bond").alias("asset_type"), of.alias("candidates"))
+    return resolution.identifier_candidates(groups).select("security_key", "status", "figi", "remaining", "confidence", "query")
