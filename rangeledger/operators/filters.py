@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASSET_PAGES = {"equities": "Equity", "corporate-bonds": "Corporate Bond", "municipal-bonds": "Municipal Bond", "funds": "ETF / Fund", "preferred": "Preferred / Hybrid", "other": "Other"}
 
@@ -54,11 +55,24 @@ class Filters:
         return Filters(**changed)
 
 
-def _text(df: DataFrame, names: tuple[str, ...]) -> Column:
-    return F.lower(F.concat_ws(" ", *(F.col(n) for n in names if n in df.columns)))
-
-
-TEXT_FIELDS = ("description", "ticker", "resolved_ticker", "issuer_ticker", "resolved_issuer", "issuer_context", "instrument_issuer", "sector", "asset_type", "flags")
+def field_text(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The named columns in small letters, in their order, with a space after each; a
+    missing value is empty, lists give their members, what the table lacks is left out."""
+    parts = []
+    for field in (df.schema[n] for n in names if n in df.columns):
+        column = F.col(field.name)
+        parts.append(column if isinstance(field.dataType, T.ArrayType) else F.coalesce(column.cast("string"), F.lit("")))
+    return F.lower(F.concat_ws(" ", *parts))
+
+
+#: What words are sought in, of transactions, holdings and index entries, in this order (fixed values).
+INSTRUMENT_FIELDS = ("instrument_issuer", "instrument_state", "instrument_category", "instrument_label", "instrument_source")
+TEXT_FIELDS = (
+    "description", "ticker", "resolved_ticker", "issuer_ticker", "resolved_issuer", "issuer_context", *INSTRUMENT_FIELDS, "instrument_summary", "resolved_exchange", "issuer_exchange", "resolved_cik", "issuer_cik",
+    "resolved_sector", "issuer_sector", "sector", "asset_type", "flags", "instrument_flags", "issuer_flags",
+)
+HOLDING_FIELDS = ("description", "resolved_ticker", "issuer_ticker", "resolved_issuer", "issuer_context", *INSTRUMENT_FIELDS, "instrument_summary", "sector", "asset_type")
+ENTRY_FIELDS = ("resolved_issuer", "issuer_context", *INSTRUMENT_FIELDS, "display", "instrument_summary")
 ISSUER_FIELDS = ("resolved_issuer", "issuer_context", "instrument_issuer", "description")
 
 
@@ -81,12 +95,12 @@ def predicate(df: DataFrame, f: Filters) -> Column:
     if f.confidence is not None and "confidence" in df.columns:
         parts.append(F.col("confidence") >= f.confidence)
     if f.query:
-        parts.append(F.contains(_text(df, TEXT_FIELDS), F.lit(f.query.strip().lower())))
+        parts.append(F.contains(field_text(df, TEXT_FIELDS), F.lit(f.query.strip().lower())))
     if on(f.ticker):
         tickers = F.array_compact(F.array(*(F.upper(c) for c in ("resolved_ticker", "ticker", "issuer_ticker") if c in df.columns)))
         parts.append(F.array_contains(tickers, f.ticker.upper()))
     if f.issuer:
-        parts.append(F.contains(_text(df, ISSUER_FIELDS), F.lit(f.issuer.strip().lower())))
+        parts.append(F.contains(field_text(df, ISSUER_FIELDS), F.lit(f.issuer.strip().lower())))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed, money
 from rangeledger.functions.text import normal_description, security_key, stable_id
+from rangeledger.operators.filters import ENTRY_FIELDS, HOLDING_FIELDS, field_text
 from rangeledger.plans.joins import unique_match
 from rangeledger.plans.stages import cut
 
@@ -206,8 +207,9 @@ def filtered_holdings(holdings: DataFrame, asset_type: str | None = None, sector
         if value and value != "All":
             holdings = holdings.where(F.col(name) == value)
     if query and query.strip():
-        fields = [c for c in ("description", "ticker", "issuer_ticker", "issuer", "sector", "asset_type") if c in holdings.columns]
-        holdings = holdings.where(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(query.strip().lower())))
+        # Without resolved tickers, as in the views, a holding's own ticker is what it is known by.
+        names = HOLDING_FIELDS if "resolved_ticker" in holdings.columns else tuple("ticker" if n == "resolved_ticker" else n for n in HOLDING_FIELDS)
+        holdings = holdings.where(F.contains(field_text(holdings, names), F.lit(query.strip().lower())))
     return holdings
 
 
@@ -216,9 +218,11 @@ def filtered_entries(entries: DataFrame, reliability: str | None = None, ticker:
     if reliability and reliability != "All":
         entries = entries.where(F.col("reliability") == reliability)
     if ticker and ticker != "All":
-        own = F.array_compact(F.array(*(F.upper(c) for c in ("ticker", "issuer_ticker") if c in entries.columns)))
+        known = ("resolved_ticker" if "resolved_ticker" in entries.columns else "ticker", "issuer_ticker")
+        own = F.array_compact(F.array(*(F.upper(c) for c in known if c in entries.columns)))
         entries = entries.where(F.array_contains(own, ticker.upper()))
     if issuer and issuer.strip():
-        fields = [c for c in ("issuer", "display", "description") if c in entries.columns]
-        entries = entries.where(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(issuer.strip().lower())))
+        # Without a display name, as in the views, the description is what is shown.
+        names = ENTRY_FIELDS if "display" in entries.columns else tuple("description" if n == "display" else n for n in ENTRY_FIELDS)
+        entries = entries.where(F.contains(field_text(entries, names), F.lit(issuer.strip().lower())))
     return entries

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeledger import queries as q
 from rangeledger.disclosure_queries import _pick_sql
-from rangeledger.functions import fixed, order
-from rangeledger.operators import documents, events, holdings, resolution, similarity
+from rangeledger.functions import describe, fixed, order
+from rangeledger.operators import documents, events, filters, holdings, resolution, similarity
 from rangeledger.plans.stages import cut, scratch
 from rangeledger.queries import query
 from rangeledger.sources import paged, tables
@@ -270,3 +272,72 @@ def identifier_cascade(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(issuer, F.lit(" DUE 05/01/2030 0"), coupon, F.lit("%"), F.when(v == 5, " REGS").otherwise(""))
     groups = tables.table(spark, d, "part").select(F.concat(F.lit("B"), k).alias("security_key"), text.alias("description"), F.lit("Corporate Bond").alias("asset_type"), of.alias("candidates"))
     return resolution.identifier_candidates(groups).select("security_key", "status", "figi", "remaining", "confidence", "query")
+
+
+# Words in every field, sentences, citations, figures of a cache
+
+
+def _wide_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as transactions with all fields that words are sought in; each says its own
+    word in one field, by its number, and none in the others."""
+    part, fields = tables.table(spark, d, "part"), filters.TEXT_FIELDS
+    key = F.col("p_partkey")
+    lists, numbers = ("flags", "instrument_flags", "issuer_flags"), ("resolved_cik", "issuer_cik")
+
+    def field(n: int, name: str) -> Column:
+        here = key % len(fields) == n
+        if name in numbers:
+            return F.when(here, F.lit(7_000_000) + n).alias(name)
+        word = F.concat(F.upper("p_name"), F.lit(f" Said{n:02d}"))
+        return (F.when(here, F.array(F.lit("first"), word)) if name in lists else F.when(here, word)).alias(name)
+
+    return part.select("p_partkey", "p_size", *(field(n, name) for n, name in enumerate(fields)))
+
+
+def _found_sql(fields: tuple[str, ...], label: str) -> str:
+    at = [filters.TEXT_FIELDS.index(f) if f in filters.TEXT_FIELDS else filters.TEXT_FIELDS.index("description") for f in fields]
+    return " UNION ALL ".join(f"SELECT '{label}' AS of, '{f}' AS field, count(*) AS n, sum(p_size)::BIGINT AS sizes FROM part WHERE p_partkey % {len(filters.TEXT_FIELDS)} = {n}" for f, n in zip(fields, at, strict=True))
+
+
+@query(" UNION ALL ".join((_found_sql(filters.TEXT_FIELDS, "transactions"), _found_sql(filters.HOLDING_FIELDS, "holdings"), _found_sql(filters.ENTRY_FIELDS, "entries"))))
+def words_in_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field that words are sought in, of transactions, holdings and entries."""
+    rows = cut(_wide_parts(spark, d))
+
+    def said(of: str, fields: tuple[str, ...], search: Callable[[str], DataFrame]) -> DataFrame:
+        found = []
+        for name in fields:
+            n = filters.TEXT_FIELDS.index(name) if name in filters.TEXT_FIELDS else filters.TEXT_FIELDS.index("description")
+            word = str(7_000_000 + n) if name in ("resolved_cik", "issuer_cik") else f" sAid{n:02d} "
+            found.append(search(word).agg(F.count("*").alias("n"), F.sum("p_size").alias("sizes")).select(F.lit(of).alias("of"), F.lit(name).alias("field"), "n", "sizes"))
+        return reduce(DataFrame.unionByName, found)
+
+    shown = rows.withColumn("display", F.col("description"))
+    return (
+        said("transactions", filters.TEXT_FIELDS, lambda w: filters.filtered(rows, filters.Filters(query=w)))
+        .unionByName(said("holdings", filters.HOLDING_FIELDS, lambda w: holdings.filtered_holdings(rows, query=w)))
+        .unionByName(said("entries", filters.ENTRY_FIELDS, lambda w: holdings.filtered_entries(shown, issuer=w)))
+    )
+
+
+_SECTOR_TEXT = "CASE sector " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SECTOR_TEXTS.items()) + f" ELSE '{fixed.ANY_SECTOR_TEXT}' END"
+
+
+@query(f"""WITH {q.TX}, s AS (SELECT [{', '.join(f"'{k}'" for k in fixed.SECTOR_TEXTS)}][p_size % {len(fixed.SECTOR_TEXTS) + 1} + 1] AS sector, type, mid FROM tx),
+g AS (SELECT coalesce(sector, 'Elsewhere') AS sector, count(*) AS n, sum(CASE type WHEN 'Purchase' THEN mid WHEN 'Sale' THEN -mid ELSE 0 END) AS net, count(*) FILTER (mid > 100000) AS companies FROM s GROUP BY 1)
+SELECT sector, format('{{:,}}', n) || ' visible transactions, ' || CASE WHEN net >= 0 THEN 'net buying' ELSE 'net selling' END || ' by midpoint estimate, ' || CASE WHEN companies > 0 THEN format('{{:,}}', companies) || ' public-company matches' ELSE 'no public-company matches' END || '. ' || {_SECTOR_TEXT} AS sentence FROM g""")
+def sector_sentences(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(k) for k in fixed.SECTOR_TEXTS))
+    rows = tables.transactions(spark, d).withColumn("sector", F.coalesce(F.get(names, (F.col("p_size") % (len(fixed.SECTOR_TEXTS) + 1)).cast("int")), F.lit("Elsewhere")))
+    mid = F.col("amount.midpoint")
+    net = F.sum(F.when(F.col("type") == "Purchase", mid).when(F.col("type") == "Sale", -mid).otherwise(0.0))
+    sums = rows.groupBy("sector").agg(F.count("*").alias("n"), net.alias("net"), F.count_if(mid > 100_000).alias("companies"))
+    return sums.select("sector", describe.sector_sentence(F.col("sector"), F.col("n"), F.col("net"), F.col("companies")).alias("sentence"))
+
+
+@query(f"""WITH {q.TX} SELECT id, CASE type WHEN 'Purchase' THEN 'Bought' WHEN 'Sale' THEN 'Sold' ELSE 'Reported' END || ' ' || lower(asset_type) || ' exposure in ' || sector || '; ' || CASE WHEN late THEN 'reported late' ELSE 'not flagged late' END || '; ' || floor(confidence * 100 + 0.5)::INTEGER || '% classifier confidence; '
+|| CASE WHEN p_size % 3 = 0 THEN 'public match ' || ticker || CASE WHEN p_size % 2 = 0 THEN ' on NYSE' ELSE '' END WHEN p_size % 3 = 1 THEN 'issuer context ' || ticker ELSE 'no public-security match' END || '.' || CASE WHEN p_size > 40 THEN ' A note.' ELSE '' END AS sentence FROM tx""")
+def transaction_sentences(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    rows = tables.transactions(spark, d).withColumns({"resolved_ticker": F.when(size % 3 == 0, F.col("ticker")), "resolved_exchange": F.when(size % 2 == 0, "NYSE"), "issuer_ticker": F.when(size % 3 == 1, F.col("ticker")), "instrument_summary": F.when(size > 40, "A note.").otherwise("")})
+    return rows.select("id", describe.transaction_sentence(rows.columns).alias("sentence"))
