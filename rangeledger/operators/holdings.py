@@ -22,6 +22,14 @@ def match_keys(**values: Column) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+#: How far a source is trusted, the least first (fixed values).
+RELIABILITY = ["metadata_only", "archived_copy", "official"]
+#: What a compact entry shows, in this order (fixed values).
+COMPACT_FIELDS = [
+    "entry_id", "security_key", "score", "description", "display", "asset_type", "sector", "ticker", "resolved_ticker", "resolved_issuer", "resolved_exchange", "resolved_cik", "issuer_ticker", "issuer_context", "issuer_exchange",
+    "issuer_cik", "issuer_sector", "instrument_issuer", "coupon", "maturity", "cusip", "isin", "figi", "instrument_summary", "current_mid", "change_mid", "change_pct", "purchase_mid", "sale_mid", "net_mid", "direction",
+    "transaction_count", "filing_count", "first_date", "last_date", "exposure", "change", "activity", "confidence", "reliability", "flags",
+]
 #: Columns that name what a row holds, besides its description and ticker, with the kind of key they make.
 NAMING = {
     "issuer_ticker": "issuer-ticker", "resolved_issuer": "resolved-issuer", "issuer_context": "issuer-context", "instrument_issuer": "instrument-issuer", "cusip": "cusip", "isin": "isin", "figi": "figi",
@@ -187,10 +195,41 @@ def cited(transactions: DataFrame, historical: DataFrame, filings: DataFrame, mo
     )
     rows = rows.withColumn("cite", F.coalesce("source_id", "url", "label"))
     once = rows.groupBy("security_key", "cite").agg(F.min("ord").alias("ord"), F.max_by(F.struct("source_id", "url", "label", "reliability"), "ord").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("security_key").orderBy("ord"))
+    rank = F.row_number().over(Window.partitionBy("security_key").orderBy("ord", "cite"))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).select("security_key", "rank", "c.*")
 
 
+def citation_summary(citations: DataFrame) -> DataFrame:
+    """filing_count (one at least) and the strongest reliability of each holding cited."""
+    rank = F.array_position(F.array(*(F.lit(r) for r in RELIABILITY)), F.col("reliability"))
+    cite = F.coalesce("source_id", "url", "label")
+    sums = citations.groupBy("security_key").agg(F.greatest(F.lit(1), F.count_distinct(cite)).alias("filing_count"), F.max(rank).alias("r"))
+    return sums.select("security_key", "filing_count", F.element_at(F.array(*(F.lit(r) for r in RELIABILITY)), F.greatest(F.lit(1), F.col("r")).cast("int")).alias("reliability"))
+
+
+def with_citations(entries: DataFrame, citations: DataFrame) -> DataFrame:
+    """Entries with filing_count, reliability and, where that is not official, a flag."""
+    rows = entries.join(citation_summary(citations), "security_key", "left")
+    trust = F.coalesce("reliability", F.lit(RELIABILITY[0]))
+    flag = F.when(trust != RELIABILITY[-1], F.array(F.concat(F.lit("Source reliability: "), trust))).otherwise(F.array().cast("array<string>"))
+    flags = F.array_union("flags", flag) if "flags" in entries.columns else flag
+    return rows.withColumns({"filing_count": F.coalesce("filing_count", F.lit(1).cast("long")), "reliability": trust, "flags": flags})
+
+
+def unique_citations(shown: DataFrame, citations: DataFrame, most: int = 12) -> DataFrame:
+    """Citations of the entries shown (security_key, place; few rows), each source once
+    in the order in which a reader meets it, at most ``most``."""
+    rows = citations.join(shown.select("security_key", "place"), "security_key").withColumn("cite", F.coalesce("source_id", "url", "label"))
+    at = F.struct("place", "rank")
+    once = rows.groupBy("cite").agg(F.min(at).alias("at"), F.min_by(F.struct("source_id", "url", "label", "reliability"), at).alias("c"))
+    return once.orderBy("at", "cite").limit(most).select("c.*")
+
+
+def compact(entries: DataFrame) -> DataFrame:
+    """The columns of an entry that a bounded bundle of facts shows, those it has."""
+    return entries.select(*(c for c in COMPACT_FIELDS if c in entries.columns))
+
+
 def holding_sources(entries: DataFrame, historical: DataFrame, filings: DataFrame) -> DataFrame:
     """Source of a holding without transactions by the filing it comes from:
     the historical record of that id before the filing itself."""

@@ -120,6 +120,45 @@ def resolved_numbers(transactions: DataFrame) -> DataFrame:
     return transactions.select(F.explode(F.array_compact(F.array("resolved_cik", "issuer_cik"))).alias("cik")).distinct().orderBy("cik")
 
 
+#: Figures of a cache: name, table, and what is counted of it ('' for its rows) or an aggregate.
+FIGURES = [
+    ("source_filing_count", "filings", ""), ("transaction_count", "transactions", ""), ("baseline_holding_count", "baseline", ""), ("estimated_holding_count", "holdings", ""), ("review_queue_count", "review", ""),
+    ("late_transaction_count", "transactions", "late"), ("security_reference_count", "reference", ""), ("security_enrichment_count", "enrichments", ""),
+    ("instrument_context_count", "transactions", "coalesce(instrument_summary, '') <> '' OR coalesce(issuer_ticker, '') <> ''"), ("fixed_income_identifier_count", "identifiers", ""),
+    ("fixed_income_figi_match_count", "identifiers", "status = 'matched'"), ("fixed_income_identifier_ambiguous_count", "identifiers", "status = 'ambiguous'"), ("instrument_identity_count", "identities", ""),
+    ("exact_instrument_reference_count", "identities", "status = 'exact' AND coalesce(reference_url, '') <> ''"), ("identifier_review_count", "identities", "status = 'needs_identifier' OR review = 'needs_review'"),
+    ("annual_baseline_matched_count", "holdings", "NOT missing_baseline"), ("annual_baseline_missing_count", "holdings", "missing_baseline"), ("enriched_transaction_count", "transactions", "coalesce(resolved_ticker, '') <> ''"),
+    ("event_count", "events", ""), ("event_window_count", "windows", ""), ("historical_source_count", "historical", ""), ("financial_disclosure_report_count", "reports", ""), ("asset_income_holding_count", "assets", ""),
+    ("liability_count", "liabilities", ""), ("index_count", "index", ""),
+]
+
+
+def cache_figures(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """One row of all figures of a cache; tables that are not given, and conditions on
+    columns that a table lacks, count none.  Every table is read once, its counts are
+    combined in the tasks; data_through is the last filing's date and
+    estimated_midpoint the sum of the transactions' midpoints."""
+    out = None
+    for table in dict.fromkeys(t for _, t, _ in FIGURES):
+        if table not in frames:
+            continue
+        df = frames[table]
+        for name in ("instrument_summary", "issuer_ticker", "resolved_ticker", "reference_url"):
+            if name not in df.columns:
+                df = df.withColumn(name, F.lit(None).cast("string"))
+        wanted = [F.count("*").alias(n) if not when else F.count_if(F.expr(when)).alias(n) for n, t, when in FIGURES if t == table]
+        if table == "filings" and "filed_date" in df.columns:
+            wanted.append(F.max("filed_date").alias("data_through"))
+        if table == "transactions":
+            wanted.append(F.coalesce(F.sum("amount.midpoint"), F.lit(0.0)).alias("estimated_midpoint"))
+        row = df.agg(*wanted)
+        out = row if out is None else out.crossJoin(F.broadcast(row))
+    if out is None:
+        raise ValueError("none of the tables that figures are made of is given")
+    rest = {"data_through": F.lit(None).cast("date"), "estimated_midpoint": F.lit(0.0)} | {n: F.lit(0).cast("long") for n, _, _ in FIGURES}
+    return out.select("*", *(value.alias(n) for n, value in rest.items() if n not in out.columns))
+
+
 def cache_meta(frames: Mapping[str, DataFrame], conditions: Mapping[str, tuple[str, str]]) -> DataFrame:
     """One row of counts: of each table, and of each table's rows under a condition.
 

@@ -9,9 +9,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rangeledger.functions import fixed, order
-from rangeledger.operators import enrichment, events, filters, holdings, resolution, review, sectors, timeline
+from rangeledger.functions.text import security_key
+from rangeledger.operators import documents, enrichment, events, filters, holdings, ingest, liabilities, resolution, review, sectors, timeline
 from rangeledger.operators.filters import Filters
 from rangeledger.plans.stages import cut
 from rangeledger.sources import sinks, tables
@@ -19,7 +21,7 @@ from rangeledger.sources.versions import VersionStore
 
 # Rows a page shows at most (fixed values).
 BOOTSTRAP_ROWS, INDEX_ROWS, TRANSACTION_ROWS, REVIEW_ROWS = 80, 600, 1000, 500
-FACT_ENTRIES, FACT_SECTORS, FACT_YEARS = 12, 10, 12
+FACT_ENTRIES, FACT_SECTORS, FACT_YEARS, FACT_CITATIONS = 12, 10, 12, 12
 CONFLICT_ROWS = 100
 PAGES = (
     "overview", "index", "equities", "corporate-bonds", "municipal-bonds", "funds", "preferred", "other", "holdings", "sectors", "timing", "transactions", "filings", "identifier-review",
@@ -135,6 +137,12 @@ class Engine:
         index = cut(self._entries(held, f))
         return {"kpis": sectors.kpis(tx), "transactions": tx, "sectors": sectors.sector_summary(tx), "holdings": held, "index": index, "rollups": holdings.rollups(index), "stocks": sectors.stock_summary(tx)}
 
+    def citations(self, tx: DataFrame, entries: DataFrame) -> DataFrame:
+        """Sources of the transactions behind the entries given, which are few."""
+        keyed = tx.select(security_key(F.col("description")).alias("security_key"), "ord", "url").join(F.broadcast(entries.select("security_key")), "security_key", "left_semi")
+        filed = tables.filings(self.spark, self.sf_dir)
+        return holdings.cited(keyed, filed.limit(0), filed)
+
     def market(self, tickers: list[str], quotes: DataFrame) -> DataFrame:
         """Values of holdings by quotes of up to 50 tickers of up to 6 characters."""
         wanted = [t.strip().upper() for t in tickers if 0 < len(t.strip()) <= 6][:50]
@@ -142,22 +150,60 @@ class Engine:
         return sectors.market_values(held.where(F.upper("ticker").isin(wanted)), quotes)
 
     def facts(self, params: Mapping[str, str], selected: list[str] | None = None) -> dict[str, DataFrame]:
-        """A bounded bundle: the selected or first entries, sector rollups, years."""
+        """A bounded bundle: the selected or first entries, their citations, sector rollups, years."""
         f = Filters.from_params(params)
-        index = self.index(f)
+        index = cut(self.index(f))
         entries = index.where(F.col("entry_id").isin(selected)) if selected else self._first(index, FACT_ENTRIES)
+        place = Window.orderBy(*order.index_order())
+        entries = cut(entries.withColumn("place", F.row_number().over(place)))  # as many rows as are shown
+        cited = cut(self.citations(self.transactions(f), entries))
+        citations = holdings.unique_citations(entries, cited, FACT_CITATIONS)
+        entries = holdings.compact(holdings.with_citations(entries, cited).orderBy("place"))
         years = self.transactions(f).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"))
         by_sector = holdings.rollups(index).where("kind = 'sector'").orderBy(*order.rollup_order()).limit(FACT_SECTORS)
-        return {"entries": entries, "rollups": by_sector, "years": years.orderBy(F.col("year").desc()).limit(FACT_YEARS)}
-
-    def workbook(self, path: str) -> list[str]:
-        """A sheet (CSV folder) of every table, nested cells spread; their names."""
-        spark, d, everything = self.spark, self.sf_dir, self.full_response({})
+        return {"entries": entries, "citations": citations, "rollups": by_sector, "years": years.orderBy(F.col("year").desc()).limit(FACT_YEARS)}
+
+    def workbook(self, path: str, given: Mapping[str, DataFrame] | None = None) -> list[str]:
+        """A sheet (CSV folder) of every table, nested cells spread; their names.
+
+        ``given`` has what the tables lack: events (event_id, date, end_date, tickers,
+        sectors and more), historical (source_id, title, filed_date, filing_type, url,
+        reliability), documents (doc_id, text) and candidates (as of the identifier
+        cascade).  Without events the dated ones of the tables stand there; the other
+        sheets are empty then, and identifiers are not queried."""
+        spark, d, given, everything = self.spark, self.sf_dir, given or {}, self.full_response({})
+        tx, identities = everything["transactions"], cut(self.identities())
+        none = F.array().cast("array<string>")
+        dated = given.get("events")
+        if dated is None:
+            dated = tables.dated_events(spark, d, "signup").select("event_id", "date", F.lit(None).cast("date").alias("end_date"), none.alias("tickers"), none.alias("sectors"), "category")
+        history = given.get("historical")
+        if history is None:
+            history = spark.createDataFrame([], "source_id string, title string, filed_date date, filing_type string, url string, reliability string")
+        docs = given.get("documents")
+        lines = cut(documents.lines(spark.createDataFrame([], "doc_id string, text string") if docs is None else docs))
+        assets, debts = cut(documents.asset_holdings(documents.asset_rows(lines))), cut(liabilities.liabilities(lines).withColumn("source_id", F.col("doc_id")))
+        wanted = enrichment.lookup_groups(tx, list(fixed.IDENTIFIED_TYPES))
+        if "candidates" in given:
+            found = cut(resolution.identifier_candidates(given["candidates"]))
+        else:
+            found = cut(wanted.select("security_key", F.lit("not_queried").alias("status"), F.lit(None).cast("string").alias("figi")))
+        review_rows = cut(self._review(everything["holdings"], identities))
+        windows = cut(events.event_windows(dated, tx))
+        figures = ingest.cache_figures({
+            "transactions": tx, "holdings": everything["holdings"], "index": everything["index"], "filings": tables.filings(spark, d), "baseline": tables.baseline(spark, d), "review": review_rows, "identities": identities,
+            "identifiers": found, "events": dated, "windows": windows, "historical": history, "assets": assets, "liabilities": debts,
+        })
+        reports = ingest.reports(history.withColumn("status", F.lit("ok")), assets.select("source_id"), debts.select("source_id"))
+        flows = assets.groupBy(F.lit(None).cast("int").alias("year")).agg(F.sum("value.midpoint").alias("asset_value"))
+        told = spark.createDataFrame(fixed.METHODS, "field string, value string")
+        counted = figures.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in figures.columns))).alias("r")).select("r.*")
         sheets = {
-            "kpis": everything["kpis"], "index": everything["index"].drop("baseline", "purchases", "sales"), "rollups": everything["rollups"], "holdings": everything["holdings"], "baseline": tables.baseline(spark, d),
-            "transactions": everything["transactions"].drop("ord"), "sectors": everything["sectors"], "stocks": everything["stocks"], "filings": tables.filings(spark, d), "review": self.review(), "identities": self.identities(),
-            "identifier_review": resolution.review_items(self.identities()), "security_groups": enrichment.security_groups(everything["transactions"]), "monthly_flow": timeline.monthly_flow(everything["transactions"]),
-            "monthly_activity": timeline.monthly_activity(everything["transactions"]),
+            "index": everything["index"].drop("baseline", "purchases", "sales"), "rollups": everything["rollups"], "transactions": tx.drop("ord"), "stocks": everything["stocks"], "holdings": everything["holdings"],
+            "sectors": everything["sectors"], "security_groups": enrichment.security_groups(tx), "identifiers": found, "events": dated, "event_windows": windows, "filings": tables.filings(spark, d), "historical_sources": history,
+            "reports": reports, "asset_holdings": assets, "liabilities": debts, "yearly_exposure": timeline.yearly_exposure(tx, flows), "identities": identities, "identifier_review": resolution.review_items(identities),
+            "review": review_rows, "evidence_methods": spark.createDataFrame(fixed.EVIDENCE_METHODS, "field string, value string"), "methods": told.unionByName(counted), "kpis": everything["kpis"],
+            "baseline": tables.baseline(spark, d), "monthly_flow": timeline.monthly_flow(tx), "monthly_activity": timeline.monthly_activity(tx),
         }
         sinks.write_sheets(sheets, path)
         return list(sheets)

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from rangeledger import queries as q
 from rangeledger.disclosure_queries import _pick_sql
 from rangeledger.functions import describe, fixed, order
-from rangeledger.operators import documents, events, filters, holdings, resolution, similarity
+from rangeledger.operators import documents, events, filters, holdings, ingest, resolution, similarity
+from rangeledger.plans.api import Engine
 from rangeledger.plans.stages import cut, scratch
 from rangeledger.queries import query
 from rangeledger.sources import paged, tables
@@ -341,3 +342,26 @@ def transaction_sentences(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
     rows = tables.transactions(spark, d).withColumns({"resolved_ticker": F.when(size % 3 == 0, F.col("ticker")), "resolved_exchange": F.when(size % 2 == 0, "NYSE"), "issuer_ticker": F.when(size % 3 == 1, F.col("ticker")), "instrument_summary": F.when(size > 40, "A note.").otherwise("")})
     return rows.select("id", describe.transaction_sentence(rows.columns).alias("sentence"))
+
+
+@query(f"""WITH {q.INDEX}, ff AS (SELECT security_key, row_number() OVER (ORDER BY score DESC, cmid DESC, icu_sort_key(description, 'en'), description, security_key) AS place FROM s QUALIFY place <= 12),
+pk AS (SELECT p_partkey, {q._key_sql("p_name || ' ' || p_brand")} AS security_key FROM part), ct AS (SELECT f.security_key, f.place, l_suppkey, min((l_orderkey, l_linenumber)) AS o FROM lineitem JOIN pk ON l_partkey = p_partkey JOIN ff f ON f.security_key = pk.security_key GROUP BY ALL),
+rr AS (SELECT *, row_number() OVER (PARTITION BY security_key ORDER BY o, l_suppkey) AS rank FROM ct QUALIFY rank <= 5), uu AS (SELECT l_suppkey, min((place, rank)) AS seen FROM rr GROUP BY 1)
+SELECT 'https://filings.example/' || l_suppkey AS url, s_name AS label FROM (SELECT * FROM uu ORDER BY seen, l_suppkey LIMIT 12) JOIN supplier ON s_suppkey = l_suppkey""")
+def fact_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of the first twelve entries, each once, the first twelve."""
+    return Engine(spark, d).facts({})["citations"].select("url", "label")
+
+
+@query(f"""WITH {q.GROUPS} SELECT (SELECT count(*) FROM tx) AS transaction_count, (SELECT count(*) FROM tx WHERE late) AS late_transaction_count, (SELECT count(*) FROM tx WHERE p_size % 2 = 0) AS enriched_transaction_count, (SELECT sum(mid) FROM tx) AS estimated_midpoint,
+(SELECT count(*) FROM tx WHERE p_size % 5 = 0) AS instrument_context_count, (SELECT count(*) FROM supplier) AS source_filing_count, (SELECT max(o_orderdate)::DATE FROM orders) AS data_through, (SELECT count(*) FROM e) AS estimated_holding_count, (SELECT count(*) FROM e WHERE missing_baseline) AS annual_baseline_missing_count,
+(SELECT count(*) FROM e WHERE NOT missing_baseline) AS annual_baseline_matched_count, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS baseline_holding_count, (SELECT count(*) FROM events) AS event_count, 0::BIGINT AS liability_count""")
+def cache_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of a cache of the tables' own transactions, holdings, filings and events."""
+    size = F.col("p_size")
+    tx = tables.transactions(spark, d).withColumns({"resolved_ticker": F.when(size % 2 == 0, F.col("ticker")), "issuer_ticker": F.when(size % 5 == 0, F.col("ticker"))})
+    last = tables.table(spark, d, "orders").agg(F.max("o_orderdate").cast("date").alias("filed_date"))
+    filed = tables.filings(spark, d).crossJoin(F.broadcast(last))  # one row
+    frames = {"transactions": tx, "holdings": q._held(spark, d), "filings": filed, "baseline": tables.baseline(spark, d), "events": tables.table(spark, d, "events")}
+    names = ["transaction_count", "late_transaction_count", "enriched_transaction_count", "estimated_midpoint", "instrument_context_count", "source_filing_count", "data_through", "estimated_holding_count", "annual_baseline_missing_count", "annual_baseline_matched_count", "baseline_holding_count", "event_count", "liability_count"]
+    return ingest.cache_figures(frames).select(*names)

@@ -7,7 +7,7 @@ columns it uses."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeledger.functions import fixed
@@ -29,8 +29,12 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return found
 
 
+def filing_url(key: str) -> Column:
+    return F.concat(F.lit("https://filings.example/"), F.col(key))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ord, description, ticker, asset_type, sector, type, date, amount, late, confidence, flags, p_size, p_partkey."""
+    """id, ord, description, ticker, asset_type, sector, type, date, amount, late, confidence, flags, p_size, p_partkey, url."""
     line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     supplier, nation, region = (table(spark, sf_dir, n) for n in ("supplier", "nation", "region"))
     # Nation and region have a fixed size; the supplier side is left to the planner.
@@ -49,7 +53,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.col("p_brand").alias("ticker"), F.col("p_type").alias("asset_type"),
         F.col("r_name").alias("sector"), kind.alias("type"), date.alias("date"), bracket_of(F.col("l_extendedprice")).alias("amount"),
         (date > F.date_add(F.col("o_orderdate").cast("date"), 45)).alias("late"),
-        F.when(low, 0.55).otherwise(0.78).alias("confidence"), flags.alias("flags"), "p_size", "p_partkey",
+        F.when(low, 0.55).otherwise(0.78).alias("confidence"), flags.alias("flags"), "p_size", "p_partkey", filing_url("l_suppkey").alias("url"),
     )
 
 
@@ -68,9 +72,9 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, ord, title, status of each source filing (a supplier)."""
+    """source_id, ord, title, status, url, reliability of each source filing (a supplier)."""
     status = F.when(F.col("s_acctbal") < 0, "failed").when(F.col("s_acctbal") < 500, "needs-review").otherwise("parsed")
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("title"), status.alias("status"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("title"), status.alias("status"), filing_url("s_suppkey").alias("url"), F.lit("official").alias("reliability"))
 
 
 def dated_events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

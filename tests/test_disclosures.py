@@ -123,5 +123,31 @@ def test_built_bootstrap_and_workbook(spark, tmp_path):
     plain = Engine(spark, SMALL).bootstrap()
     assert stored["kpis"].first() == plain["kpis"].first() and [r["security_key"] for r in stored["index"].collect()] == [r["security_key"] for r in plain["index"].collect()]
     names = Engine(spark, SMALL).workbook(str(tmp_path / "w"))
-    assert len(names) == 15 and spark.read.option("header", True).csv(str(tmp_path / "w" / "holdings")).count() == plain["index"].sparkSession.read.option("header", True).csv(str(tmp_path / "w" / "index")).count()
+    assert len(names) == 25 and {"identifiers", "events", "event_windows", "historical_sources", "reports", "asset_holdings", "liabilities", "yearly_exposure", "methods", "evidence_methods"} <= set(names)
+    figures = {r["field"]: r["value"] for r in spark.read.option("header", True).csv(str(tmp_path / "w" / "methods")).collect()}
+    assert figures["transaction_count"] == str(spark.read.parquet(f"{SMALL}/lineitem.parquet").count()) and figures["liability_count"] == "0" and "index_formula" in figures
+    assert spark.read.option("header", True).csv(str(tmp_path / "w" / "holdings")).count() == plain["index"].sparkSession.read.option("header", True).csv(str(tmp_path / "w" / "index")).count()
     assert tables.views(spark, SMALL)["nation"].count() == spark.table("nation").count() == 25
+
+
+def test_workbook_of_given_tables(spark, tmp_path):
+    text = "Part 6: Other Assets and Income\n1. Some Acct. N/A $1,001 - $15,000 Rent\nPart 7: Transactions\nPart 8: Liabilities\n1. A Bank mortgage $15,001 - $50,000 1999 4% On demand\nPart 9: Gifts"
+    day = F.lit("2020-05-01").cast("date")
+    given = {
+        "documents": spark.createDataFrame([("s1", text)], "doc_id string, text string"), "events": spark.createDataFrame([("e1", "fed")], "event_id string, category string").select("event_id", F.lit("1998-05-01").cast("date").alias("date"), F.lit(None).cast("date").alias("end_date"), F.array().cast("array<string>").alias("tickers"), F.array().cast("array<string>").alias("sectors"), "category"),
+        "historical": spark.createDataFrame([("s1", "Report", "Annual 278e", "https://x/1.pdf", "official")], "source_id string, title string, filing_type string, url string, reliability string").withColumn("filed_date", day),
+        "candidates": spark.createDataFrame([("k", "BOND DUE 05/01/2030 5%", "Corporate Bond", [])], "security_key string, description string, asset_type string, candidates array<struct<figi:string,ticker:string,name:string,market:string,security_type:string,text:string>>"),
+    }
+    Engine(spark, SMALL).workbook(str(tmp_path / "w"), given)
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / "w" / name)).collect()
+    assert [r["description"] for r in read("asset_holdings")] == ["Some Acct"] and [r["creditor"] for r in read("liabilities")] == ["A Bank"]
+    assert [(r["source_id"], r["assets"], r["liabilities"], r["parser_status"]) for r in read("reports")] == [("s1", "1", "1", "parsed")]
+    assert [r["status"] for r in read("identifiers")] == ["not_found"] and len(read("event_windows")) == 2 and int(read("event_windows")[0]["transaction_count"]) > 0
+    assert {r["field"]: r["value"] for r in read("methods")}["asset_income_holding_count"] == "1"
+
+
+def test_facts_cite_each_source_once(spark):
+    bundle = Engine(spark, SMALL).facts({})
+    entries, cited = bundle["entries"].collect(), bundle["citations"].collect()
+    assert len(entries) == 12 and all(1 <= r["filing_count"] <= 5 and r["reliability"] == "official" for r in entries)
+    assert 0 < len(cited) <= 12 and len({r["url"] for r in cited}) == len(cited) and "baseline" not in entries[0].__fields__
