@@ -6,7 +6,7 @@ equal, and an id what has the same text, so that every order is total."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,5 +45,14 @@ def identity_order() -> list[Column]:
     return [F.col("priority").desc(), F.col("score").desc(), F.col("current_mid").desc(), *visible("display"), F.col("key").asc()]
 
 
+#: Rows that a screen shows of a kind (fixed values).
+SHOWN = {"leaders": 8, "index": 120, "cloud": 80, "holdings": 120, "holdings_with_baseline": 100, "transactions": 250, "stocks": 160, "review": 120, "conflicts": 50, "gaps": 8, "rollups": 8, "marker_sectors": 5}
+
+
+def shown(kind: str, df: DataFrame, keys: list[Column]) -> DataFrame:
+    """The first rows of a kind in the order given, as many as a screen shows."""
+    return df.orderBy(*keys).limit(SHOWN[kind])
+
+
 def lookup_order() -> list[Column]:
     return [F.col("midpoint").desc(), F.col("transaction_count").desc(), *visible("description"), F.col("security_key").asc()]

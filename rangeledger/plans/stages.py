@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("stages", default=None)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[str]:
+    """A scope whose stages are tables of one folder, which goes at its end: what is
+    planned inside is to be written or collected inside."""
+    folder = scratch(spark, "stages")
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut; what reads it twice plans from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    folder = _FOLDER.get()
+    if folder is None:
+        shared_dir(df.sparkSession)
+        return df.checkpoint()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

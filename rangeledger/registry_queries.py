@@ -365,3 +365,15 @@ def cache_figures(spark: SparkSession, d: str) -> DataFrame:
     frames = {"transactions": tx, "holdings": q._held(spark, d), "filings": filed, "baseline": tables.baseline(spark, d), "events": tables.table(spark, d, "events")}
     names = ["transaction_count", "late_transaction_count", "enriched_transaction_count", "estimated_midpoint", "instrument_context_count", "source_filing_count", "data_through", "estimated_holding_count", "annual_baseline_missing_count", "annual_baseline_matched_count", "baseline_holding_count", "event_count", "liability_count"]
     return ingest.cache_figures(frames).select(*names)
+
+
+@query(f"""WITH {q.INDEX}, si AS (SELECT 'index' AS kind, security_key AS id, row_number() OVER (ORDER BY score DESC, cmid DESC, icu_sort_key(description, 'en'), description, security_key) AS place FROM s), sh AS (SELECT 'holdings', security_key, row_number() OVER (ORDER BY cmid DESC, transaction_count DESC, icu_sort_key(description, 'en'), description, security_key) AS place FROM e),
+st AS (SELECT 'transactions', id, row_number() OVER (ORDER BY date DESC, icu_sort_key(description, 'en'), description, id) AS place FROM tx) SELECT kind, id FROM (SELECT * FROM si WHERE place <= 120 UNION ALL SELECT * FROM sh WHERE place <= 120 UNION ALL SELECT * FROM st WHERE place <= 250)""")
+def screen_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What screens show first of the index, the holdings and the transactions."""
+    held = cut(q._held(spark, d))
+    tx = tables.transactions(spark, d).select("id", "date", "description")
+    some = lambda kind, df, keys, name: order.shown(kind, df, keys).select(F.lit(kind).alias("kind"), F.col(name).alias("id"))
+    index = some("index", holdings.scored(held), order.index_order(), "security_key")
+    first = some("holdings", held, order.holding_order(), "security_key")
+    return index.unionByName(first).unionByName(some("transactions", tx, [F.col("date").desc(), *order.visible("description"), F.col("id").asc()], "id"))
