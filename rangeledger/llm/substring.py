@@ -52,26 +52,25 @@ SLICE_ROWS = 250
 
 
 class WordHashes(dict):
-    """Rows in a growing table of words' 128-bit hashes, remembered up to a bound."""
+    """Rows of words' 128-bit hashes in a growing run of bytes, remembered up to a bound."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.table = np.zeros((1024, 2), dtype=np.uint64)
+        self.hashes = bytearray()
 
     def __missing__(self, word: bytes) -> int:
-        value, row = xxhash.xxh3_128_intdigest(word), len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = (value >> 64, value & (2**64 - 1))
-        self[word] = row
+        row = self[word] = len(self)
+        self.hashes += xxhash.xxh3_128_digest(word)
         return row
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """n x 2 array of the words' hashes."""
         if len(self) > _KEPT_WORDS:
             self.clear()
+            self.hashes.clear()
         rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.table[rows]
+        # A digest's bytes stand high first.
+        return np.frombuffer(self.hashes, dtype=">u8").reshape(-1, 2)[rows].astype(np.uint64)
 
 
 @functools.lru_cache
