@@ -217,8 +217,8 @@ def detailed(shown: DataFrame, holdings: DataFrame, dated: DataFrame, tx: DataFr
     none = F.array().cast("array<string>")
     links = F.when(is_policy, F.coalesce("holding_urls", none)).otherwise(F.array_compact(F.concat(F.array("event_url"), F.coalesce(F.transform("trades", lambda t: t["tx_url"]), none))))
     return rows.select(
-        "indicator_id", "severity", "category", title_or(title, "Fed rate decision while holding rate-sensitive assets").alias("title"),
-        title_or(summary, F.concat(F.lit("Held "), worth, F.lit(" in rate-sensitive financials during Fed event: "), quoted)).alias("summary"), F.col("ticker"),
+        "indicator_id", "severity", "category", F.coalesce(title, F.lit("Fed rate decision while holding rate-sensitive assets")).alias("title"),
+        F.coalesce(summary, F.concat(F.lit("Held "), worth, F.lit(" in rate-sensitive financials during Fed event: "), quoted)).alias("summary"), F.col("ticker"),
         F.when(is_timing, F.col("own_name")).otherwise(F.col("holding")).alias("holding"), "value", "event_id", "event_date", "event_title",
         F.coalesce(F.transform("trades", lambda t: t["tx_id"]), none).alias("transaction_ids"), F.coalesce(F.transform("trades", lambda t: t["tx_date"]), F.array().cast("array<date>")).alias("transaction_dates"),
         F.coalesce("related", F.lit(0)).alias("related"), F.when(is_timing, days).alias("window_days"),
@@ -226,10 +226,6 @@ def detailed(shown: DataFrame, holdings: DataFrame, dated: DataFrame, tx: DataFr
     )
 
 
-def title_or(known: Column, rest: Column | str) -> Column:
-    return F.coalesce(known, F.lit(rest) if isinstance(rest, str) else rest)
-
-
 def conflict_timeline(indicators: DataFrame, events: DataFrame, links: DataFrame, tx: DataFrame) -> DataFrame:
     """Dated entries of the events and transactions that indicators name, each with
     its indicators in order.

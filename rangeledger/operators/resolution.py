@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from rangeledger.functions import fixed, instruments, order
 from rangeledger.functions.money import round1
 from rangeledger.functions.text import first_truthy, normal_description, security_key, stable_id
+from rangeledger.operators.enrichment import plain_number
 from rangeledger.operators.similarity import similar_names
 
 
@@ -134,8 +135,7 @@ def search_query(issuer_ticker: Column, issuer: Column, other_issuers: list[Colu
     """What an identifier service is asked: issuer, coupon and maturity as mm/dd/yy, those that are known."""
     full = lambda c: F.nullif(c, F.lit(""))
     short = F.concat_ws("/", F.substring(maturity, 6, 2), F.substring(maturity, 9, 2), F.substring(maturity, 3, 2))
-    number = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", coupon), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.trim(F.concat_ws(" ", F.coalesce(full(issuer_ticker), full(issuer), *(full(c) for c in other_issuers)), F.when(coupon.isNotNull(), number), F.when(full(maturity).isNotNull(), short)))
+    return F.trim(F.concat_ws(" ", F.coalesce(full(issuer_ticker), full(issuer), *(full(c) for c in other_issuers)), F.when(coupon.isNotNull(), plain_number(coupon)), F.when(full(maturity).isNotNull(), short)))
 
 
 def identifier_candidates(groups: DataFrame) -> DataFrame:
