@@ -19,3 +19,10 @@ def test_totals_behind_holdings_are_those_of_their_pairs(spark):
     assert got == {
         (1, "ids"): (3, "2024-01-01", "2024-01-02", ["b", "a", "b"]), (2, "key"): (3, "2024-01-02", "2024-01-04", []), (3, "key"): (1, "2024-01-01", "2024-01-01", []), (5, "key"): (1, "2024-01-05", "2024-01-05", []),
     }
+
+
+def test_rows_of_five_digits(spark):
+    text = "Part 6: Other Assets and Income\n9999. FIRST CO $1,001 - $15,000\n10000. SECOND CO $15,001 - $50,000\n60000. THIRD CO $1,001 - $15,000"
+    rows = documents.asset_rows(documents.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    found = documents.asset_holdings(rows).collect()
+    assert {(r["number"], r["description"]) for r in found} == {("9999", "FIRST CO"), ("10000", "SECOND CO"), ("60000", "THIRD CO")}
