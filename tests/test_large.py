@@ -26,3 +26,7 @@ def test_rows_of_five_digits(spark):
     rows = documents.asset_rows(documents.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))
     found = documents.asset_holdings(rows).collect()
     assert {(r["number"], r["description"]) for r in found} == {("9999", "FIRST CO"), ("10000", "SECOND CO"), ("60000", "THIRD CO")}
+
+
+def test_every_source_by_its_link(spark):
+    assert q.QUERIES["sources_with_links_first"](spark, SMALL).count() == tables.table(spark, SMALL, "orders").count()
