@@ -30,3 +30,14 @@ def test_rows_of_five_digits(spark):
 
 def test_every_source_by_its_link(spark):
     assert q.QUERIES["sources_with_links_first"](spark, SMALL).count() == tables.table(spark, SMALL, "orders").count()
+
+
+def test_years_do_not_ask_for_the_index(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("the index was computed")
+
+    monkeypatch.setattr(Engine, "index", none)
+    bundle = Engine(spark, SMALL).facts({})
+    assert set(bundle) == {"entries", "citations", "rollups", "years"} and bundle["years"].count() > 0
+    with pytest.raises(AssertionError):
+        bundle["entries"]
