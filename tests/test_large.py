@@ -41,3 +41,16 @@ def test_years_do_not_ask_for_the_index(spark, monkeypatch):
     assert set(bundle) == {"entries", "citations", "rollups", "years"} and bundle["years"].count() > 0
     with pytest.raises(AssertionError):
         bundle["entries"]
+
+
+def test_transactions_are_read_once_for_the_holdings(spark):
+    assert not any("lineitem" in f for f in q._held(spark, SMALL).inputFiles())
+
+
+def test_first_row_by_pairs_of_integers_and_of_equal_place(spark):
+    rows = [("X CO", "T2", "B", "s2", 7, 1), ("X CO", "T1", "A", "s1", 7, 1), ("X CO", "T0", "0", "s0", 7, 2), ("X CO", "T9", "0", "s0", 8, -3), ("Y CO", "T3", "C", "s3", -5, 3), ("Y CO", "T4", "D", "s4", -5, -2)]
+    tx = spark.createDataFrame(rows, "description string, ticker string, asset_type string, sector string, a long, b int")
+    tx = tx.select("*", F.struct("a", "b").alias("ord"), F.lit("Sale").alias("type"), F.lit("2024-01-01").cast("date").alias("date"), F.lit(False).alias("late"), money.parse_range(F.lit("$1,001-$15,000")).alias("amount"))
+    for given in (tx, tx.withColumn("ord", F.struct(F.col("a").cast("string"), "b")).where("a > 0")):
+        got = {r["security_key"]: (r["sample"]["ticker"], r["transaction_count"]) for r in holdings.grouped(given).collect()}
+        assert got["X CO"] == ("T1", 4) and got.get("Y CO", ("T4", 2)) == ("T4", 2)
