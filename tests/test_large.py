@@ -54,3 +54,8 @@ def test_first_row_by_pairs_of_integers_and_of_equal_place(spark):
     for given in (tx, tx.withColumn("ord", F.struct(F.col("a").cast("string"), "b")).where("a > 0")):
         got = {r["security_key"]: (r["sample"]["ticker"], r["transaction_count"]) for r in holdings.grouped(given).collect()}
         assert got["X CO"] == ("T1", 4) and got.get("Y CO", ("T4", 2)) == ("T4", 2)
+
+
+def test_keys_of_distinct_descriptions(spark):
+    plan = q.QUERIES["holdings_anti_baseline"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan
