@@ -59,3 +59,7 @@ def test_first_row_by_pairs_of_integers_and_of_equal_place(spark):
 def test_keys_of_distinct_descriptions(spark):
     plan = q.QUERIES["holdings_anti_baseline"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan
+
+
+def test_documents_are_built_once_for_their_liabilities(spark):
+    assert not any("customer" in f for f in q.QUERIES["liability_rows"](spark, SMALL).inputFiles())
