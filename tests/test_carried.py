@@ -23,3 +23,15 @@ def test_numbers_of_brackets_make_the_brackets(spark):
     both = rows.select("v", money.bracket_of(F.col("v")).alias("a"), money.numbered_range(money.bracket_number(F.col("v"))).alias("b"))
     assert both.schema["a"].dataType == both.schema["b"].dataType and both.schema["a"].nullable == both.schema["b"].nullable
     assert all(r["a"] == r["b"] for r in both.collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_descriptions_are_classified_before_lines_are_joined(spark):
+    from rangeledger.queries import QUERIES
+
+    plan = _plan(QUERIES["normalized_transactions"](spark, SMALL))
+    above, below = plan[: plan.index("Join")], plan[plan.index("Join") :]
+    assert "CASH" in below and "CASH" not in above
