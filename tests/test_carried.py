@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rangeledger.functions import money
+from rangeledger.operators import events
 from rangeledger.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +42,12 @@ def test_parts_are_dealt_to_all_tasks_before_the_cascade(spark):
     from rangeledger.queries import QUERIES
 
     assert "Repartition" in _plan(QUERIES["identifier_cascade"](spark, SMALL))
+
+
+def test_indicators_of_one_id_are_ranked_alike_in_every_run(spark):
+    rows = [("policy-A-x", "high", "A", f"n{i % 3}", float(i % 5), 0.7) for i in range(15)] + [("fed-1", "high", None, "f", 9.0, 0.5)]
+    for order in (rows, rows[::-1]):
+        found = spark.createDataFrame(order, "indicator_id string, severity string, ticker string, holding string, value double, evidence double")
+        for parts in (1, 5):
+            shown = events.ranked_conflicts(found.repartition(parts), 5).collect()
+            assert [(r["value"], r["holding"]) for r in shown] == [(4.0, "n0"), (4.0, "n1"), (4.0, "n2"), (3.0, "n0"), (3.0, "n1")]
