@@ -1,5 +1,7 @@
 """Steps that must not grow faster than their input, and rows beyond earlier bounds."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,22 @@ def test_keys_of_distinct_descriptions(spark):
 
 def test_documents_are_built_once_for_their_liabilities(spark):
     assert not any("customer" in f for f in q.QUERIES["liability_rows"](spark, SMALL).inputFiles())
+
+
+@pytest.fixture
+def tied_lines(spark, tmp_path):
+    """Tables in which two lines of one security share their order and number."""
+    day = datetime(2000, 1, 1)
+    rows = {
+        "part": [(80, "red ring", "Brand#1", "STANDARD", 1, 900.0), (1, "red ring", "Brand#1", "ECONOMY", 1, 900.0)], "supplier": [(1, "S1", 1, 0.0), (2, "S2", 2, 0.0)],
+        "nation": [(1, "N1", 1), (2, "N2", 2)], "region": [(1, "EUROPE"), (2, "AFRICA")], "orders": [(n, 1, "O", 1.0, day, "5-LOW") for n in (3, 4)],
+        "lineitem": [(3, 80, 1, 2, 1.0, 2000.0, 0.1, 0.0, "N", "O", day), (3, 1, 2, 2, 1.0, 2000.0, 0.1, 0.0, "N", "O", day), (4, 1, 2, 1, 1.0, 2000.0, 0.1, 0.0, "N", "O", day)],
+    }
+    for name, given in rows.items():
+        spark.createDataFrame(given, tables.table(spark, SMALL, name).schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_tied_sources_stand_as_in_the_file(spark, tied_lines):
+    got = q.QUERIES["holding_citations"](spark, tied_lines).orderBy("rank").collect()
+    assert [(r["rank"], r["cite"]) for r in got] == [(1, "u80"), (2, "h1")]
