@@ -84,3 +84,19 @@ def tied_lines(spark, tmp_path):
 def test_tied_sources_stand_as_in_the_file(spark, tied_lines):
     got = q.QUERIES["holding_citations"](spark, tied_lines).orderBy("rank").collect()
     assert [(r["rank"], r["cite"]) for r in got] == [(1, "u80"), (2, "h1")]
+
+
+def test_first_of_tied_lines_is_the_first_in_the_file(spark, tied_lines):
+    got = q._held(spark, tied_lines).where("transaction_count > 0").collect()
+    assert [(r["asset_type"], r["sector"], r["transaction_count"]) for r in got] == [("STANDARD", "EUROPE", 3)]
+    rollups = {(r["kind"], r["key"]): r["purchase_mid"] for r in q.QUERIES["index_rollups"](spark, tied_lines).collect()}
+    assert rollups["sector", "EUROPE"] == rollups["asset_type", "STANDARD"] == 3 * 8000.5 and ("sector", "AFRICA") not in rollups
+
+
+def test_order_numbers_of_the_largest_keys(spark):
+    top, low, far = (1 << 63) - 1, (1 << 31) - 1, 10**9 - 1
+    rows = [("X CO", "T1", top, low, far), ("X CO", "T0", top, low, far - 1), ("Y CO", "T1", -top - 1, -low - 1, 1), ("Y CO", "T0", -top - 1, -low - 1, 0), ("Z CO", "T0", 1, 1, far), ("Z CO", "T1", 1, 2, 0), ("Z CO", "T2", 2, 1, 0)]
+    tx = spark.createDataFrame(rows, "description string, ticker string, a long, b int, c long").select(
+        "*", F.struct("a", "b", "c").alias("ord"), F.lit("A").alias("asset_type"), F.lit("s").alias("sector"), F.lit("Sale").alias("type"), F.lit("2024-01-01").cast("date").alias("date"), F.lit(False).alias("late"), money.parse_range(F.lit("$1,001-$15,000")).alias("amount")
+    )
+    assert {r["sample"]["ticker"] for r in holdings.grouped(tx).collect()} == {"T0"}
