@@ -100,3 +100,16 @@ def test_order_numbers_of_the_largest_keys(spark):
         "*", F.struct("a", "b", "c").alias("ord"), F.lit("A").alias("asset_type"), F.lit("s").alias("sector"), F.lit("Sale").alias("type"), F.lit("2024-01-01").cast("date").alias("date"), F.lit(False).alias("late"), money.parse_range(F.lit("$1,001-$15,000")).alias("amount")
     )
     assert {r["sample"]["ticker"] for r in holdings.grouped(tx).collect()} == {"T0"}
+
+
+def _nation_table(spark, tmp_path, name):
+    """A directory with one table of 450 rows of one nation."""
+    row = lambda n: (n, f"A{n}", 3, 0.0, "M") if name == "customer" else (n, f"A{n}", 3, 0.0)
+    spark.createDataFrame([row(n) for n in range(450)], tables.table(spark, SMALL, name).schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("query, name", [("liability_rows", "customer")])
+def test_a_nation_is_one_document(spark, tmp_path, query, name):
+    got = q.QUERIES[query](spark, _nation_table(spark, tmp_path, name)).select("doc_id").collect()
+    assert len(got) == 450 and {r["doc_id"] for r in got} == {3}
