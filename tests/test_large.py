@@ -109,7 +109,7 @@ def _nation_table(spark, tmp_path, name):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("query, name", [("liability_rows", "customer"), ("liability_columns", "supplier")])
+@pytest.mark.parametrize("query, name", [("liability_rows", "customer"), ("liability_columns", "supplier"), ("periodic_line_items", "supplier")])
 def test_a_nation_is_one_document(spark, tmp_path, query, name):
     got = q.QUERIES[query](spark, _nation_table(spark, tmp_path, name)).select("doc_id").collect()
     assert len(got) == 450 and {r["doc_id"] for r in got} == {3}
